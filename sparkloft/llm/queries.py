@@ -17,6 +17,31 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "text", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
 
 
+def op2_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloft.llm.pq_dedup import embedding_links
+
+    return embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloft.llm.chat import format_turns, train
+
+    turns = _table(spark, sf_dir, "conversations")
+    return format_turns(turns, train(turns))
+
+
+def op4_ann_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloft.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloft.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloft.llm.packing import pack
 
@@ -38,6 +63,12 @@ def op8_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_toxic_words"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloft.llm.suffix_dedup import passage_digests
+
+    return passage_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloft.llm.bpe import round_trip
 
@@ -51,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_line_dedup, op6_mixture_packing, op7_simhash_vptree, op8_toxicity_crf, op10_bpe_tree, pipeline]
+    found = [op1_line_dedup, op2_embedding_pq, op3_chat_format, op4_ann_multiprobe, op5_html_extract, op6_mixture_packing, op7_simhash_vptree, op8_toxicity_crf, op9_suffix_array, op10_bpe_tree, pipeline]
     return {f.__name__: f for f in found}
 
 
