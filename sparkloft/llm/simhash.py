@@ -15,7 +15,7 @@ from sparkloft.llm.common import checkpointed, connected_components, written
 
 SHINGLE = 3
 RADIUS = 3
-SHARD = 16384  # fingerprints aimed at in a shard
+SHARD = 65536  # fingerprints aimed at in a shard: a few seconds of search, and each level of shards sends three in ten twice
 LEAF = 768  # fingerprints below which a shard's own tree compares all
 SAMPLE = 8192  # fingerprints that set the thresholds of the upper nodes
 KNOWN_LEVELS = 8  # levels whose thresholds come from the sample
