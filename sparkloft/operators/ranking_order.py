@@ -1,0 +1,15 @@
+"""Choice among candidate names."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkloft.operators.graph import search_nodes
+
+
+def timeline_entity(nodes: DataFrame, edges: DataFrame, text: str, include_sensitive: bool = False) -> str | None:
+    """The node name that a phrase means: an exact match first, else the one of highest degree among five that hold it."""
+    found = search_nodes(nodes, edges, text, 5, include_sensitive=include_sensitive)
+    row = found.orderBy(F.desc(F.lower("name") == text.lower()), F.desc("degree"), "name").first()
+    return row["name"] if row else None
