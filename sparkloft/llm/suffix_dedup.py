@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 SPAN = 50
 GRAM = 24
 SHARD_BYTES = 4 << 20  # text aimed at in a shard of documents
-SUFFIX_BYTES = 2 << 20  # text under one suffix array
+SUFFIX_BYTES = 512 << 10  # text under one suffix array; sorting it takes some sixty times as much memory
 SEGMENT = 1 << 20  # window starts hashed at once
 RUN = 256  # most windows in a run
 NO_ID = np.iinfo(np.int64).max  # a null doc_id counts as larger than any other
@@ -423,7 +423,7 @@ def _removed(docs: DataFrame):
     """``docs`` dealt into shards of documents, and the spans that each shard loses."""
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     shards = max(1, math.ceil(((size or 0) + 64 * rows) / SHARD_BYTES))
-    bits = min(12, max(4, math.ceil(math.log2(shards))))
+    bits = min(14, max(4, math.ceil(math.log2(shards)) + 2))  # buckets of about as much candidate text as one suffix array takes
     whole = docs.withColumn("__shard", F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(shards)).cast("int"))
     values = whole.groupBy("__shard").applyInArrow(_minimisers(bits), "bucket int, shard int, data binary")
     shared = values.groupBy("bucket").applyInArrow(_shared, "bucket int, shard int, data binary")
