@@ -21,7 +21,7 @@ SPAN = 50
 GRAM = 24
 SHARD_BYTES = 4 << 20  # text aimed at in a shard of documents
 SUFFIX_BYTES = 512 << 10  # text under one suffix array; sorting it takes some sixty times as much memory
-SEGMENT = 1 << 20  # window starts hashed at once
+SEGMENT = 1 << 16  # window starts hashed at once: their arrays stay in a core's cache
 RUN = 256  # most windows in a run
 NO_ID = np.iinfo(np.int64).max  # a null doc_id counts as larger than any other
 
@@ -71,7 +71,8 @@ class Text:
         out = []
         for a in range(0, len(t) - SPAN + 1, SEGMENT):
             part = t[a : a + SEGMENT + SPAN - 1]
-            m = _minima(_hashes(part), SPAN - GRAM + 1) >> np.uint64(16)
+            # minima crowd at low values: an odd factor spreads them over the buckets again, and keeps different ones different
+            m = ((_minima(_hashes(part), SPAN - GRAM + 1) >> np.uint64(16)) * np.uint64(0x9E3779B97F4B)) & np.uint64((1 << 48) - 1)
             lo, hi = np.searchsorted(ends, [a, a + len(part)], "left")
             near = ends[lo : hi + 1] - a  # windows over the end of a document are none
             ok = np.ones(len(m), bool)
@@ -97,12 +98,21 @@ class Text:
 
     def values(self, value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The shard's different minimisers, and those of them that two of its documents have."""
-        order = np.lexsort((row, value))
-        v, r = value[order], row[order]
-        keep = np.ones(len(v), bool)
-        keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
-        all_values, n = np.unique(v[keep], return_counts=True)
-        return all_values, all_values[n > 1]
+        if len(self.texts) < 1 << 16:
+            both = np.sort((value << np.uint64(16)) | row.astype(np.uint64))
+            keep = np.ones(len(both), bool)
+            keep[1:] = both[1:] != both[:-1]
+            v = both[keep] >> np.uint64(16)
+        else:
+            order = np.lexsort((row, value))
+            v, r = value[order], row[order]
+            keep = np.ones(len(v), bool)
+            keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
+            v = v[keep]
+        again = v[1:] == v[:-1]
+        first = np.ones(len(v), bool)
+        first[1:] = ~again
+        return v[first], np.unique(v[1:][again])
 
 
 def _packed(v: np.ndarray) -> bytes:
@@ -171,28 +181,32 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, starts: np.ndarray, lens: np.
     order = np.argsort(-lens, kind="stable")
     starts, lens = starts[order], lens[order]
     have = np.zeros(len(starts), np.int64)
-    padded = np.concatenate([t.astype(np.int16), np.full(most + 1, -1, np.int16)])
+    words = np.ndarray((n + most + 1,), "<u8", np.concatenate([t, np.zeros(most + 8, np.uint8)]), strides=(1,))
     live = len(starts)
     for step in range(int(lens[0]) if len(lens) else 0):
         live = int(np.searchsorted(-lens[:live], -step, "left"))
         p = starts[:live] + step
         at = place[p]
-        q = np.where(at > 0, sa[at - 1], -1)
+        q = sa[at - 1]
         length = np.maximum(have[:live] - 1, 0)
-        length[q < 0] = 0
-        go = np.flatnonzero(q >= 0)
-        while len(go):
-            reach = length[go]
-            ok = (reach < most) & (padded[p[go] + np.minimum(reach, most)] == padded[q[go] + np.minimum(reach, most)]) & (p[go] + reach < n) & (q[go] + reach < n)
-            go = go[ok]
-            length[go] += 1
+        go = slice(None)
+        while True:  # eight bytes at a time; the lowest differing bit tells how many of them agree
+            x = words[p[go] + length[go]] ^ words[q[go] + length[go]]
+            same = (np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
+            length[go] += same
+            more = (same == 8) & (length[go] < most)
+            if not more.any():
+                break
+            go = np.flatnonzero(more) if isinstance(go, slice) else go[more]
+        length = np.minimum(np.minimum(length, most), n - np.maximum(p, q))
+        length[at == 0] = 0
         have[:live] = length
         lcp[at] = length
     return lcp
 
 
-def first_holders(texts: list[bytes], ids: np.ndarray) -> tuple[list[np.ndarray], None]:
-    """For each window of each text the least id among the texts that hold it. ids: one for each text."""
+def _least_ids(texts: list[bytes], ids: np.ndarray):
+    """Shards of texts as (first text, starts, lengths, text of each byte, least id of the window at each byte, whether one begins there)."""
     shards, lo, size = [], 0, 0
     for i, c in enumerate(texts):
         if size and size + len(c) > SUFFIX_BYTES:
@@ -225,11 +239,30 @@ def first_holders(texts: list[bytes], ids: np.ndarray) -> tuple[list[np.ndarray]
             same = np.flatnonzero(low[k] == high) if len(low) and len(high) else np.zeros(0, np.int64)
             both = np.minimum(made[v][6][k[same]], made[u][6][same])
             made[v][6][k[same]] = made[u][6][same] = both
-    out = []
-    for t, starts, lens, at, number, _, least in made:
-        by_place = np.zeros(len(t), np.int64)
+    for (a, _), (t, starts, lens, at, number, _, least) in zip(shards, made, strict=True):
+        by_place, begins = np.zeros(len(t), np.int64), np.zeros(len(t), bool)
         by_place[at] = least[number] if len(least) else 0
-        out += [by_place[s : s + n - SPAN + 1] for s, n in zip(starts.tolist(), lens.tolist(), strict=True)]
+        begins[at] = True
+        yield a, starts, lens, np.repeat(np.arange(len(starts)), lens), by_place, begins
+
+
+def first_holders(texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
+    """For each window of each text the least id among the texts that hold it. ids: one for each text."""
+    return [least[s : s + n - SPAN + 1] for _, starts, lens, _, least, _ in _least_ids(texts, ids) for s, n in zip(starts.tolist(), lens.tolist(), strict=True)]
+
+
+def lost_spans(texts: list[bytes], ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """By text, the (start, end) that texts of a smaller id hold too; texts without such a span are left out."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for a, starts, _, of, least, begins in _least_ids(texts, ids):
+        gone = np.flatnonzero(begins & (least < ids[a:][of]))
+        if not len(gone):
+            continue
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(gone) > 1) | (np.diff(of[gone]) > 0)]))
+        first, last = gone[new], gone[np.append(new[1:], len(gone)) - 1]
+        k = of[first]
+        for i, x, y in zip((k + a).tolist(), (first - starts[k]).tolist(), (last - starts[k] + SPAN).tolist(), strict=True):
+            out.setdefault(i, []).append((x, y))
     return out
 
 
@@ -358,15 +391,13 @@ def _decide(table: pa.Table) -> pa.Table:
             elif i < least[k]:
                 least[k] = i
             runs.append((x["shard"], k, i, r, o))
-    holders = first_holders(texts, np.array(least, np.int64))
-    for k, w in enumerate(holders):  # spans that the holder of least id loses; all its other holders lose the whole text
-        gone = np.flatnonzero(w < least[k])
-        holders[k] = [(int(p[0]), int(p[-1]) + SPAN) for p in np.split(gone, np.flatnonzero(np.diff(gone) > 1) + 1)] if len(gone) else []
+    lost_by_least = lost_spans(texts, np.array(least, np.int64))  # all other holders of a text lose the whole of it
     spans: dict[int, list] = {}
     for s, k, i, r, o in runs:
-        lost = [(0, len(texts[k]))] if least[k] < i else holders[k]
-        if lost:
-            spans.setdefault(s, []).extend((r, o + a, o + b) for a, b in lost)
+        if least[k] < i:
+            spans.setdefault(s, []).append((r, o, o + len(texts[k])))
+        elif k in lost_by_least:
+            spans.setdefault(s, []).extend([(r, o + a, o + b) for a, b in lost_by_least[k]])
     for s, x in spans.items():
         x = _joined(x)
         out.append({"shard": s, "rows": _i64([r for r, _, _ in x]), "offs": _i64([a for _, a, _ in x]), "lens": _i64([b - a for _, a, b in x])})
