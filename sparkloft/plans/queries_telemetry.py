@@ -59,7 +59,7 @@ def _trend(t, spark, sf):
     return rounded(telemetry.latency(t("query_log"), "hour"), "avg", "p50", "p95")
 
 
-_TOP = "SELECT query, count(*) AS n, round(avg(latency_ms), 6) AS avg_latency_ms, count(*) FILTER (WHERE result_count = 0) AS zero_results, max(ts) AS last_ts, arg_max(id, ts * 100000000 + id) AS last_id FROM query_log {w} GROUP BY 1 ORDER BY 2 DESC, 5 DESC, 1 LIMIT 10".format
+_TOP = "SELECT query, count(*) AS n, round(avg(latency_ms), 6) AS avg_latency_ms, count(*) FILTER (WHERE result_count = 0) AS zero_results, max(ts) AS last_ts, arg_max(id, CAST(ts AS BIGINT) * 1000000000 + id) AS last_id FROM query_log {w} GROUP BY 1 ORDER BY 2 DESC, 5 DESC, 1 LIMIT 10".format
 
 
 @query("querylog_top", _TOP(w=""), "query_log")

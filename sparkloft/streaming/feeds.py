@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
 
@@ -71,7 +70,3 @@ def upsert_feed(spark: SparkSession, stream: DataFrame, table: str, key: list[st
 
     w = stream.writeStream.foreachBatch(put).option("checkpointLocation", state)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval)).start()
-
-
-def drop_local(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
