@@ -41,7 +41,7 @@ def minified(file_name: Column, text: Column) -> Column:
     longest = F.array_max(F.transform(F.split(text, "\n", -1), F.length))
     breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     dense = (F.length(text) >= 50_000) & (breaks / F.length(text) < 0.001)
-    return F.coalesce(F.lower(file_name).rlike(r"\.min\.(js|css|mjs)$|\.bundle\.js$|-min\.js$") | (longest > 50_000) | dense, F.lit(False))
+    return F.coalesce(F.lower(file_name).rlike(r"\.min\.(js|css)$") | (longest > 50_000) | dense, F.lit(False))
 
 
 def glob_to_regex(glob: str) -> str:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of entity types, and the ends of session relations.
-ENTITY_TYPES = "Package Module Class Method Function Interface Enum Type Variable Constant File Folder Document README APIDoc PRD Runbook Service Endpoint Database ConfigFile Commit Person Decision Task Error Tool Session".split()
+ENTITY_TYPES = "Package Module Class Method Function Interface Enum Folder Decorator DesignDoc UserDoc PRD Runbook README APIDoc Service Endpoint Database ConfigFile Decision Error Session Tool File Task Commit Author".split()
+PREDICATES = "calls extends implements references depends_on imports contains defined_in decorated_by handled_by modifies authored_by".split()
 RELATION_TYPES = {"touches": ("File", None), "fixed-by": ("Error", "Decision"), "superseded-by": ("Decision", "Decision"), "ran-in": ("Tool", "Session"), "depends-on": ("Task", "Task"), "decided": ("Session", "Decision")}
 _SCHEMA = "source_file string, subject string, subject_type string, predicate string, object string, object_type string"
 

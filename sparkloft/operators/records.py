@@ -125,3 +125,21 @@ def currency(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, metric, unit, value): every dollar amount of a text."""
     found = F.posexplode(F.regexp_extract_all("text", F.lit(CURRENCY), F.lit(1))).alias("pos", "amount")
     return texts.select(key, found).select(key, "pos", F.lit("amount").alias("metric"), F.lit("USD").alias("unit"), F.replace("amount", F.lit(","), F.lit("")).cast("double").alias("value"))
+
+
+def revalidated(records: DataFrame, scores: Column, metric: str | None = None, below: float = 2.0) -> DataFrame:
+    """Records with their confidence scored again, where it is under ``below`` and of the metric; others stay."""
+    scope = F.col("confidence") < below
+    if metric is not None:
+        scope &= F.col("metric") == metric
+    return records.withColumn("confidence", F.when(scope, scores).otherwise(F.col("confidence")))
+
+
+def with_rule(rules: DataFrame, rule: dict, now: str) -> DataFrame:
+    """Rule table with one more rule; an active sibling (same owner, metric and unit) is retired and the version goes up."""
+    spark = rules.sparkSession
+    new = spark.createDataFrame([(rule["owner"], rule["metric"], rule.get("unit"), rule.get("value_min"), rule.get("value_max"), rule["tier"], 1, now, None)], rules.schema)
+    same = (F.col("owner") == rule["owner"]) & (F.col("metric") == rule["metric"]) & F.col("unit").eqNullSafe(F.lit(rule.get("unit")))
+    old = rules.withColumn("retired_at", F.when(same & F.col("retired_at").isNull(), F.lit(now)).otherwise(F.col("retired_at")))
+    version = rules.where(same).agg(F.coalesce(F.max("version"), F.lit(0)).alias("v"))
+    return old.unionByName(new.crossJoin(version).withColumn("version", (F.col("v") + 1).cast("int")).drop("v"))

@@ -162,3 +162,31 @@ def boost(results: DataFrame, memories: DataFrame, k: int, floor: float = 0.35,
     extra = memories.where(F.col("score") >= floor).join(results.select("chunk_id"), "chunk_id", "left_anti")
     merged = results.select("chunk_id", "score", F.lit("chunk").alias("kind")).unionByName(extra.select("chunk_id", (F.col("score") * factor).alias("score"), F.lit("memory").alias("kind")))
     return top(merged, k)
+
+
+def field_search(chunks: DataFrame, terms: Iterable[str], weights: dict[str, float], k: int) -> DataFrame:
+    """Keyword search over weighted fields (title, summary, body): all terms must occur, each counts weight * tf / (tf + 1); over the largest."""
+    terms = list(dict.fromkeys(terms))
+    fields = {f: tokens(F.col(f)) for f in weights}
+    count = lambda f, t: F.size(F.filter(fields[f], _equals(t)))
+    found = F.lit(True)
+    score = F.lit(0.0)
+    for t in terms:
+        tf = {f: count(f, t) for f in fields}
+        found &= sum(list(tf.values())[1:], list(tf.values())[0]) > 0
+        for f, n in tf.items():
+            score = score + F.lit(float(weights[f])) * n / (n + 1.0)
+    return normalised(top(chunks.where(found).withColumn("score", score), k))
+
+
+def first_number(text: Column) -> Column:
+    """The first number of a scorer's answer, in 0..10; 0 if there is none."""
+    n = F.regexp_extract(text, r"-?\d+(?:\.\d+)?", 0)
+    return F.least(F.greatest(F.coalesce(F.when(n != "", n.cast("double")), F.lit(0.0)), F.lit(0.0)), F.lit(10.0))
+
+
+def distinct_hits(hits: DataFrame, order: str = "pos") -> DataFrame:
+    """The first hit of each chunk, or of each path where there is no chunk; hits with neither all stay."""
+    key = F.coalesce("chunk_id", "path")
+    w = W.Window.partitionBy(key).orderBy(order)
+    return hits.withColumn("__key", key).withColumn("__n", F.when(F.col("__key").isNull(), 1).otherwise(F.row_number().over(w))).where("__n = 1").drop("__n", "__key")

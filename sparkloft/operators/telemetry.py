@@ -120,3 +120,26 @@ def should_pause(pending_count: int, most: int, resumed: bool) -> bool:
 def cache_evict(cache: DataFrame, count: int) -> DataFrame:
     """The tenth of the entries (one at least) that were used longest ago."""
     return cache.orderBy("last_accessed", "key").limit(max(1, count // 10))
+
+
+def log_rows(queries: DataFrame, most_results: int, snippet: int = 500) -> DataFrame:
+    """Query-log rows of (id, ts, mode, query, results array<struct<chunk_id, score, text>>): results cut to so many, texts to a snippet."""
+    kept = F.transform(F.slice("results", 1, most_results), lambda r: F.struct(r["chunk_id"].alias("chunk_id"), r["score"].alias("score"), F.substring(r["text"], 1, snippet).alias("text")))
+    return queries.withColumn("result_count", F.size("results")).withColumn("results", kept)
+
+
+def visible_jobs(jobs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Jobs, newest first, without finished ones that changed nothing; hidden before the page is cut."""
+    noop = F.coalesce((F.col("status") == "done") & (F.col("changed") == 0), F.lit(False))
+    return jobs.where(~noop).orderBy(F.desc("created"), F.desc("id")).offset(offset).limit(limit)
+
+
+def queue_stats(jobs: DataFrame) -> DataFrame:
+    return jobs.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def cache_economics(cache: DataFrame, prices: DataFrame, avg_tokens: float) -> DataFrame:
+    """Cost of misses and savings of hits by model: cache (model, hits, misses), prices (model, per million tokens); unknown models cost 0."""
+    out = cache.groupBy("model").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses")).join(prices, "model", "left")
+    rate = F.coalesce("price", F.lit(0.0)) * avg_tokens / 1e6
+    return out.select("model", "hits", "misses", (F.col("hits") * rate).alias("saved"), (F.col("misses") * rate).alias("spent"), (F.col("hits") / (F.col("hits") + F.col("misses"))).alias("hit_rate"))

@@ -8,12 +8,14 @@ from pyspark.sql import window as W
 
 from sparkloft.functions.text import collapse
 
-TEXT, THINKING, RESULT, INPUT = 2000, 500, 500, 200
+# Lengths that texts are cut to, and words of the step format.
+TEXT, THINKING, RESULT, INPUT = 1500, 300, 240, 200
 _MESSAGE = "type string, sessionId string, cwd string, gitBranch string, timestamp string, message struct<role:string, content:variant>"
 _ROLLOUT = "timestamp string, type string, payload struct<type:string, role:string, name:string, session_id:string, cwd:string, timestamp:string, content:variant, summary:variant, arguments:variant, output:variant>"
 _STEP = "step_index long, source string, type string, status string, created_at string, content string, thinking string, tool_calls array<struct<name:string, args:map<string,string>>>"
-TERMINAL = ("DONE", "COMPLETED", "FAILED", "CANCELLED", "ERROR")
-STEP_RESULTS = ("RUN_COMMAND", "TOOL_RESULT", "COMMAND_OUTPUT")
+TERMINAL = ("DONE", "ERROR")
+STEP_RESULTS = ("RUN_COMMAND", "VIEW_FILE", "GREP_SEARCH", "LIST_DIRECTORY", "SEARCH_WEB", "CODE_ACTION")
+STEP_PATHS = ("AbsolutePath", "TargetFile", "SearchPath", "DirectoryPath")
 TURN = "source_path string, idx long, role string, kind string, text string, tool_name string, tool_inputs map<string,string>, ts string, terminal boolean"
 
 
@@ -62,6 +64,13 @@ def rollout_turns(rows: DataFrame) -> DataFrame:
     return _indexed(out).select("source_path", "idx", "role", "kind", "text", "tool_name", "tool_inputs", F.col("j.timestamp").alias("ts"), F.lit(True).alias("terminal"))
 
 
+def _step_inputs(args: Column) -> Column:
+    """Non-empty arguments, and the first path among them as file_path too."""
+    kept = F.transform_values(F.map_filter(args, lambda k, v: F.coalesce(v != "", F.lit(False))), lambda k, v: collapse(v, INPUT))
+    path = F.coalesce(*[F.try_element_at(kept, F.lit(k)) for k in STEP_PATHS])
+    return F.when(path.isNotNull() & ~F.map_contains_key(kept, F.lit("file_path")), F.map_concat(kept, F.create_map(F.lit("file_path"), path))).otherwise(kept)
+
+
 def step_turns(rows: DataFrame) -> DataFrame:
     """Turns of the step format: a step's thinking, content and tool calls share its number; steps in flight are not terminal.
 
@@ -80,7 +89,7 @@ def step_turns(rows: DataFrame) -> DataFrame:
         return F.struct(kind.alias("kind"), text.alias("text"), name.alias("tool_name"), inputs.alias("tool_inputs"))
 
     null = F.lit(None).cast("string")
-    calls = F.transform(F.coalesce("j.tool_calls", F.from_json(F.lit("[]"), "array<struct<name:string,args:map<string,string>>>")), lambda c: part(F.lit("tool_use"), F.lit(""), F.coalesce(c["name"], F.lower(F.col("j.type"))), F.transform_values(c["args"], lambda k, v: collapse(v, INPUT))))
+    calls = F.transform(F.coalesce("j.tool_calls", F.from_json(F.lit("[]"), "array<struct<name:string,args:map<string,string>>>")), lambda c: part(F.lit("tool_use"), F.lit(""), F.coalesce(c["name"], F.lower(F.col("j.type"))), _step_inputs(c["args"])))
     parts = F.concat(F.array(part(F.lit("thinking"), collapse(F.coalesce("j.thinking", F.lit("")), THINKING), null, none), part(F.when(result, "tool_result").otherwise("text"), collapse(content, TEXT), null, none)), calls)
     out = j.select("source_path", F.col("j.step_index").alias("idx"), role.alias("role"), F.col("j.created_at").alias("ts"), F.coalesce(F.col("j.status").isin(*TERMINAL), F.lit(False)).alias("terminal"), F.explode(parts).alias("p"))
     return out.where("p.kind = 'tool_use' or p.text <> ''").select("source_path", "idx", "role", "p.kind", "p.text", "p.tool_name", "p.tool_inputs", "ts", "terminal")
