@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkloft.llm.common import small_batches
+
 VOCABULARY = "byte_bpe_50k"
 LEAF = 512  # bytes of unsplit text that are encoded at once
 
@@ -117,6 +119,7 @@ def encode_texts(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
             ids = [t.encode(x.as_py()).astype(np.int32) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -149,4 +152,5 @@ def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
                 of_text.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on in this session: texts are long, and each one is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that an idle Python worker does not keep what its largest group took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of any executor."""
     shared_dir(df.sparkSession)

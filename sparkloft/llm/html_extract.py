@@ -8,6 +8,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkloft.llm.common import small_batches
+
 # Fixed values of HTML: elements that begin a block, have no content, hold no text for readers, or end an open paragraph or item.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
@@ -251,4 +253,5 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloft.llm.common import checkpointed, connected_components, written
+from sparkloft.llm.common import checkpointed, connected_components, small_batches, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -160,6 +160,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     directly or through links. Rows that repeat a doc_id each get a row. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
     # a fingerprint that only rows without an id have cannot be named, so it links with nothing
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))

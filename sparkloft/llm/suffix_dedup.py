@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloft.llm.common import small_batches, trim
+
 SPAN = 50
 GRAM = 24
 SHARD_BYTES = 4 << 20  # text aimed at in a shard of documents
@@ -311,6 +313,8 @@ def _minimisers(bits: int):
         cut = np.searchsorted(value, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(48 - bits))
         parts = np.split(value, cut)
         full = [(b, v) for b, v in enumerate(parts) if len(v)]
+        del text, row
+        trim()
         return pa.Table.from_pydict({"bucket": [b for b, _ in full], "shard": [shard] * len(full), "data": [_packed(v) for _, v in full]}, _VALUES_ARROW)
 
     return run
@@ -365,7 +369,10 @@ def _candidates(bits: int):
         out = [_row(shard % (1 << bits), shard, True, [e - s for _, s, e in done], [], [r for r, _, _ in done], [s for _, s, _ in done], b"")] if done else []
         for k, x in sent.items():
             out.append(_row(k, shard, False, [len(c) for c, *_ in x], [i for _, i, _, _ in x], [r for _, _, r, _ in x], [o for *_, o in x], b"".join(c for c, *_ in x)))
-        return pa.Table.from_pylist(out, _FOUND_ARROW)
+        found = pa.Table.from_pylist(out, _FOUND_ARROW)
+        del out, sent, seen, text
+        trim()
+        return found
 
     return run
 
@@ -455,6 +462,7 @@ def _removed(docs: DataFrame):
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     shards = max(1, math.ceil(((size or 0) + 64 * rows) / SHARD_BYTES))
     bits = min(14, max(4, math.ceil(math.log2(shards)) + 2))  # buckets of about as much candidate text as one suffix array takes
+    small_batches(docs.sparkSession)
     whole = docs.withColumn("__shard", F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(shards)).cast("int"))
     values = whole.groupBy("__shard").applyInArrow(_minimisers(bits), "bucket int, shard int, data binary")
     shared = values.groupBy("bucket").applyInArrow(_shared, "bucket int, shard int, data binary")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloft.llm.common import small_batches
+
 TRAIN_DOCS = 4000  # most labelled documents that the model is fitted on
 TRAIN_BYTES = 8192  # a labelled text longer than this is no training example
 TRAIN_CHAINS = 4000  # most chains the field is fitted on
@@ -20,7 +22,7 @@ FEATURES = 4000  # most word features that are kept
 CHAIN = 48  # words in a chain; a longer text is a row of chains
 THRESHOLD = 0.7
 HELD_OUT, FOLDS = 1, 3
-CACHE = 400_000
+CACHE = 150_000
 
 _WORD = re.compile(r"\w+")
 
@@ -239,16 +241,16 @@ def _evidence(model: Model, words: list[list[str]], cache: dict[str, float]):
 
 def score_texts(model: Model, texts: list[str | None], cache: dict[str, float], spans: bool = False):
     """Scores of whole texts (null: empty); with ``spans`` also each text's toxic words as (start, end, marginal)."""
-    lowered = [(t or "").lower() for t in texts]
-    words = [_WORD.findall(t) for t in lowered]
     scores, found = np.zeros(len(texts)), [[] for _ in texts]
     at = 0
-    while at < len(texts):  # groups of about 200,000 words bound the memory
-        to, n = at, 0
-        while to < len(texts) and (to == at or n < 200_000):
-            n += len(words[to])
+    while at < len(texts):  # groups of about 100,000 words bound the memory
+        lowered, words, n, to = [], [], 0, at
+        while to < len(texts) and (to == at or n < 100_000):
+            lowered.append((texts[to] or "").lower())
+            words.append(_WORD.findall(lowered[-1]))
+            n += len(words[-1])
             to += 1
-        x, post, docs = _evidence(model, words[at:to], cache)
+        x, post, docs = _evidence(model, words, cache)
         scores[at:to] = 1 / (1 + np.exp(-np.clip(x @ model.calibration, -30, 30)))
         if spans:
             hit: dict[int, dict[int, float]] = {}
@@ -256,7 +258,7 @@ def score_texts(model: Model, texts: list[str | None], cache: dict[str, float],
             for c, j in zip(*np.nonzero(post > 0.5), strict=True):
                 hit.setdefault(int(docs[c]), {})[int(c - first[docs[c]]) * CHAIN + int(j)] = float(post[c, j])
             for d, places in hit.items():
-                found[at + d] = [(m.start(), m.end(), places[i]) for i, m in enumerate(_WORD.finditer(lowered[at + d])) if i in places]
+                found[at + d] = [(m.start(), m.end(), places[i]) for i, m in enumerate(_WORD.finditer(lowered[d])) if i in places]
         at = to
     return (scores, found) if spans else scores
 
@@ -285,6 +287,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts get the calibrated score of no evidence. held_out is null for a null doc_id.
     Only the text enters a score; repeated rows get equal scores; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
@@ -302,6 +305,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay as they are."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
