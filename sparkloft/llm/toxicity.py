@@ -153,7 +153,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         q = a / (a + b)
         if a >= 3 and q > lifted:  # Chernoff bound on as many toxic documents among those with the feature
             strength[f] = (a + b) * (q * math.log(q / lifted) + (1 - q) * math.log(max(1 - q, 1e-12) / (1 - lifted)))
-    chance = math.log(max(len(df[1]), 1))
+    chance = math.log(max(len(strength), 1))  # only features of three toxic examples can pass, so only they are tries
     chosen = sorted((f for f in strength if strength[f] >= chance / 2), key=lambda f: (-strength[f], f))[:FEATURES]
     marks = {f for f in chosen if strength[f] >= chance and df[1][f] >= 4 * df[0][f]}
     index = {f: i for i, f in enumerate(chosen)}
