@@ -1,6 +1,6 @@
 """Removal of byte passages that an earlier document holds too, by suffix arrays over shards of candidate text.
 
-A 50-byte window is named by its minimiser, the least hash of the 24-byte strings in it, so equal windows have equal
+A 50-byte window is named by its minimiser, the least hash of the 20-byte strings in it, so equal windows have equal
 minimisers. Minimisers that only one document has are set aside first: windows under them cannot repeat. What
 remains goes to shards by minimiser, in runs of windows that share one, each different run once a document shard. There a suffix array and
 common prefixes decide exactly which windows an earlier document has. Hashes only route; two strings are equal only if their bytes are.
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from sparkloft.llm.common import small_batches, trim
 
 SPAN = 50
-GRAM = 24
+GRAM = 20
 SHARD_BYTES = 4 << 20  # text aimed at in a shard of documents
 SUFFIX_BYTES = 512 << 10  # text under one suffix array; sorting it takes some sixty times as much memory
 SEGMENT = 1 << 16  # window starts hashed at once: their arrays stay in a core's cache
@@ -39,7 +39,7 @@ def _hashes(t: np.ndarray) -> np.ndarray:
     h += w[8 : n + 8]
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    h += w[16 : n + 16]
+    h += w[GRAM - 8 : n + GRAM - 8]  # the last words overlap where GRAM is no multiple of eight
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(30)
     return h
@@ -287,16 +287,17 @@ def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _i64(values) -> bytes:
-    return np.array(values, "<i8").tobytes()
+def _put(values, kind: str = "<i4") -> bytes:
+    """Numbers as bytes; rows, offsets and lengths within a text fit 32 bits."""
+    return np.array(values, kind).tobytes()
 
 
-def _from(blobs: list[bytes | None]) -> np.ndarray:
-    return np.frombuffer(b"".join(b or b"" for b in blobs), "<i8")
+def _get(blobs: list[bytes | None], kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(b"".join(b or b"" for b in blobs), kind)
 
 
 def _row(bucket: int, shard: int, done: bool, lens, ids, rows, offs, data: bytes) -> dict:
-    return {"bucket": bucket, "shard": shard, "done": done, "lens": _i64(lens), "ids": _i64(ids), "rows": _i64(rows), "offs": _i64(offs), "data": data}
+    return {"bucket": bucket, "shard": shard, "done": done, "lens": _put(lens), "ids": _put(ids, "<i8"), "rows": _put(rows), "offs": _put(offs), "data": data}
 
 
 _FOUND_ARROW = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("done", pa.bool_()), *((c, pa.binary()) for c in ("lens", "ids", "rows", "offs", "data"))])
@@ -388,7 +389,7 @@ def _decide(table: pa.Table) -> pa.Table:
             out.append({k: x[k] for k in ("shard", "rows", "offs", "lens")})
             continue
         at = 0
-        for n, i, r, o in zip(*(_from([x[c]]).tolist() for c in ("lens", "ids", "rows", "offs")), strict=True):
+        for n, i, r, o in zip(*(_get([x[c]], "<i8" if c == "ids" else "<i4").tolist() for c in ("lens", "ids", "rows", "offs")), strict=True):
             c = x["data"][at : at + n]
             at += n
             k = index.setdefault(c, len(texts))
@@ -407,14 +408,14 @@ def _decide(table: pa.Table) -> pa.Table:
             spans.setdefault(s, []).extend([(r, o + a, o + b) for a, b in lost_by_least[k]])
     for s, x in spans.items():
         x = _joined(x)
-        out.append({"shard": s, "rows": _i64([r for r, _, _ in x]), "offs": _i64([a for _, a, _ in x]), "lens": _i64([b - a for _, a, b in x])})
+        out.append({"shard": s, "rows": _put([r for r, _, _ in x]), "offs": _put([a for _, a, _ in x]), "lens": _put([b - a for _, a, b in x])})
     return pa.Table.from_pylist(out, _SPANS_ARROW)
 
 
 def _lost(docs: pa.Table, spans: pa.Table):
     """The shard's text and each row's removed (start, end), merged."""
     text = Text(docs)
-    rows, offs, lens = (_from(spans.column(c).to_pylist()) for c in ("rows", "offs", "lens"))
+    rows, offs, lens = (_get(spans.column(c).to_pylist()) for c in ("rows", "offs", "lens"))
     lost: list[list[tuple[int, int]]] = [[] for _ in text.texts]
     for r, a, b in _joined(list(zip(rows.tolist(), offs.tolist(), (offs + lens).tolist(), strict=True))):
         lost[r].append((a, b))
