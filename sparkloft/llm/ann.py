@@ -61,26 +61,41 @@ def buckets(x: np.ndarray) -> np.ndarray:
 _ERF = np.vectorize(math.erf, otypes=[float])
 
 
-def probes(q: np.ndarray, distance: float) -> list[np.ndarray]:
+def probes(q: np.ndarray, distance: float, held: np.ndarray, k: int) -> list[np.ndarray]:
     """Buckets to visit for each lifted query, in the order of their estimated success.
 
     A neighbour at ``distance`` is off by a normal deviate of that size in each function, so the chance of a perturbed bucket
-    is the product of its intervals' chances. Buckets are visited until the chances of a table add up to its share of SUCCESS.
+    is the product of its intervals' chances. Buckets are visited until the chances of a table add up to its share of SUCCESS. ``held`` has the ids in
+    each [table, bucket]: the chances of those that are not empty must reach that share of their own sum as well (few vectors,
+    or uneven lengths, leave most buckets empty), and the visited ones hold k ids besides the query's own, or all there are.
     """
     at = positions(q)
     edges = np.concatenate([[-np.inf], np.arange(-REACH + 1, REACH + 1), [np.inf]])
     z = (edges[None, None] - at[:, :, None]) * WIDTH / (distance * math.sqrt(2))
+    gap = np.maximum(np.maximum(z[:, :, :-1], -z[:, :, 1:]), 0) ** 2
     chance = np.diff((1 + _ERF(np.clip(z, -8, 8))) / 2, axis=2)
     goal = 1 - (1 - SUCCESS) ** (1 / TABLES)
     out = []
-    for row in chance:
+    for row, far in zip(chance, gap, strict=True):
         found = []
         for t in range(TABLES):
             p = row[t * FUNCTIONS]
             for f in row[t * FUNCTIONS + 1 : (t + 1) * FUNCTIONS]:
                 p = (f[:, None] * p[None]).ravel()  # the first function varies fastest, as in the codes
             order = np.argsort(-p, kind="stable")
-            n = int(np.searchsorted(np.cumsum(p[order]), goal)) + 1
+            first = int(np.searchsorted(np.cumsum(p[order]), goal)) + 1
+            n = np.count_nonzero(held[t][order[:first]])
+            order = order[held[t][order] > 0]
+            sums = np.cumsum(p[order])
+            n = max(n, int(np.searchsorted(sums, goal * sums[-1])) + 1)
+            if held[t][order[:n]].sum() <= k:
+                sure = np.count_nonzero(p[order])
+                if sure < len(order):  # chances too small to tell apart: by distance
+                    g = far[t * FUNCTIONS]
+                    for f in far[t * FUNCTIONS + 1 : (t + 1) * FUNCTIONS]:
+                        g = (f[:, None] + g[None]).ravel()
+                    order[sure:] = order[sure:][np.argsort(g[order[sure:]], kind="stable")]
+                n = max(n, int(np.searchsorted(np.cumsum(held[t][order]), k + 1)) + 1)
             found.append(order[:n] + t * _SIDE**FUNCTIONS)
         out.append(np.concatenate(found))
     return out
@@ -121,7 +136,7 @@ def _distance(sample: np.ndarray, queries: np.ndarray, n: int, k: int) -> float:
 
 def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows that ``is_query`` (a condition on vec_id) picks, the k other rows of
-    largest inner product among those found, ties to the smaller vec_id.
+    largest inner product among those found, ties to the smaller vec_id. A query gets k rows, or all candidates if there are fewer.
 
     vectors: (vec_id long, embedding array<float>, ...). Vectors that are null, zero or hold null or non-finite components, and rows
     with a null vec_id, take no part; vectors of another length than the query are no candidates. Equal vectors are
@@ -158,9 +173,12 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     codes = base.mapInArrow(hashed, "dim int, code long, ids array<long>, embedding array<double>")
     # as many counts as the tables have buckets, at most TABLES * _SIDE ** FUNCTIONS for each vector length
     sizes: dict[int, dict[int, int]] = {}
-    for r in codes.groupBy("dim", "code").count().collect():
-        sizes.setdefault(r["dim"], {})[r["code"]] = r["count"]
+    held: dict[int, np.ndarray] = {}
+    for r in codes.groupBy("dim", "code").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("held")).collect():
+        sizes.setdefault(r["dim"], {})[r["code"]] = r["n"]
+        held.setdefault(r["dim"], np.zeros((TABLES, _SIDE**FUNCTIONS), np.int64)).ravel()[r["code"]] = r["held"]
     sent = spark.sparkContext.broadcast({d: Layout.of(s) for d, s in sizes.items()})
+    ids_in = spark.sparkContext.broadcast(held)
 
     def deal(batches):
         for b in batches:
@@ -179,12 +197,11 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                     continue
                 where, layout = np.flatnonzero(dims == dim), sent.value[int(dim)]
                 q = lift_query(matrix(b.column("embedding").take(pa.array(where))))
-                for i, found in zip(where.tolist(), probes(q, near[int(dim)]), strict=True):
+                for i, found in zip(where.tolist(), probes(q, near[int(dim)], ids_in.value[int(dim)], k), strict=True):
                     by: dict[int, list[int]] = {}
                     for c in found.tolist():
-                        if c in layout.first:
-                            for s in range(layout.first[c], layout.first[c] + layout.pieces[c]):
-                                by.setdefault(s, []).append(c)
+                        for s in range(layout.first[c], layout.first[c] + layout.pieces[c]):
+                            by.setdefault(s, []).append(c)
                     take += [i] * len(by)
                     shards += by.keys()
                     visited += by.values()

@@ -220,6 +220,24 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_neighbours_fill_up(spark):
+    rng = np.random.default_rng(5)
+    tables = [rng.normal(size=(n, 64)) for n in (*range(5, 22), 400)]
+    tables[-1][1] *= 30  # pushes all others to one pole
+    for x in tables:
+        n, longest = len(x), float(np.sqrt((x * x).sum(1).max()))
+        code = ann.buckets(ann.lift(x, longest)) - np.arange(ann.TABLES) * ann._SIDE**ann.FUNCTIONS
+        held = np.stack([np.bincount(c, minlength=ann._SIDE**ann.FUNCTIONS) for c in code.T])
+        q = ann.lift_query(x[:100])
+        for i, visits in enumerate(ann.probes(q, max(0.05, ann._distance(ann.lift(x, longest), q, n, 20)), held, 20)):
+            seen = np.isin(code + np.arange(ann.TABLES) * ann._SIDE**ann.FUNCTIONS, visits).any(1)
+            assert np.delete(seen, i).sum() >= min(20, n - 1)
+    for x in (tables[1], tables[-1]):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        counts = ann.nearest_neighbours(df, F.col("vec_id") < 40).groupBy("query_id").count().collect()
+        assert {r["query_id"]: r["count"] for r in counts} == dict.fromkeys(range(min(40, len(x))), min(20, len(x) - 1))
+
+
 def test_chat(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     model = chat.train(turns.where("conv_id % 3 <> 1"))
