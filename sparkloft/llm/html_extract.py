@@ -21,22 +21,26 @@ IMPLIED_END = {"li": ("li", ("ul", "ol", "menu", "dir")), "dd": ("dd dt", ("dl",
 ASIDE_TAGS = frozenset("nav aside footer form button dialog menu search fieldset label header".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
 ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert disclaimer newsletter subscribe subscription signup login sidebar aside comment comments commentlist disqus respond reply replies discussion menu nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended recommendations popular trending footer header masthead toolbar widget popup modal overlay paywall outbrain taboola skip tags byline".split())
+SAYS_WHETHER = frozenset("has no not with without is show hide".split())  # class has-sidebar tells of a sidebar elsewhere
+LOWERED = 0.25  # what the points of text count under an element whose class or id has one of ASIDE_WORDS
 KEEP_TAGS = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "parts", "links", "size", "points")
+    __slots__ = ("tag", "parent", "children", "out", "doubt", "named", "links", "size", "whole", "points")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
+    def __init__(self, tag: str, parent: Node | None, out: bool, named: bool = False):
         self.tag, self.parent, self.out = tag, parent, out
+        self.named = named  # class or id has one of ASIDE_WORDS
+        self.doubt = named and tag not in KEEP_TAGS  # its text counts less, and it stays only with many points
         self.children: list[Node | Run] = []
         self.points = 0.0
-        self.links = self.size = 0
+        self.links = self.size = self.whole = 0
         if parent is not None:
             parent.children.append(self)
 
@@ -53,20 +57,23 @@ class Run:
         self.size = 0
 
 
-def _aside(tag: str, attributes: str, article: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form, comment list or invisible."""
+def _aside(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
+    """Whether an element is a menu, header, footer, sidebar, form or the like by tag or role, or invisible; and whether its class or id says so."""
     if tag in ASIDE_TAGS and not (article and tag == "header"):
-        return True
+        return True, False
     if not attributes:
-        return False
+        return False, False
     words: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.strip().lower() in ASIDE_ROLES or name == "hidden" and tag not in ("html", "body") or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _INVISIBLE.search(value):
-            return True
+            return True, False
         if name in ("class", "id"):
-            words.update(w.lower() for w in _WORDS.findall(value))
-    return tag not in KEEP_TAGS and not words.isdisjoint(ASIDE_WORDS)
+            for label in value.split():
+                found = [w.lower() for w in _WORDS.findall(label)]
+                if found and found[0] not in SAYS_WHETHER:
+                    words.update(found)
+    return False, not words.isdisjoint(ASIDE_WORDS)
 
 
 def parse(page: str) -> Node:
@@ -143,14 +150,16 @@ def parse(page: str) -> Node:
                 continue
             stack.append((tag, here))
             articles += tag in ("article", "main")
-            here = Node(tag, here, here.out or _aside(tag, attributes, articles > 0))
+            out, named = _aside(tag, attributes, articles > 0)
+            here = Node(tag, here, here.out or out, named)
         elif tag in VOID:
             if tag == "br" and run is not None:
                 run.raw.append(" ")
         elif not attributes.endswith("/"):
-            if tag in ASIDE_TAGS or _aside(tag, attributes, articles > 0):  # an inline element that is no part of the article
+            out, named = _aside(tag, attributes, articles > 0)
+            if out or named and here.tag not in PARAGRAPHS:  # an inline element that may be no part of the article
                 stack.append((tag, here))
-                here, run = Node(tag, here, True), None
+                here, run = Node(tag, here, here.out or out, named), None
                 stack[-1] = ("div", stack[-1][1]) if tag not in BLOCKS else stack[-1]
             else:
                 stack.append((tag, here))
@@ -159,7 +168,10 @@ def parse(page: str) -> Node:
 
 
 def _measure(node: Node) -> None:
-    """Text and link sizes of every element, bottom up; the explicit stack takes trees of any depth."""
+    """Text and link sizes of every element, bottom up; the explicit stack takes trees of any depth.
+
+    An element that holds an article, or most of the page's text and is not beside an article, is not in doubt. The sizes of one that is are no part of its parent's.
+    """
     order, todo = [], [node]
     while todo:
         x = todo.pop()
@@ -171,9 +183,26 @@ def _measure(node: Node) -> None:
                 raw = "".join(c.raw)
                 c.text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
                 c.size = len(c.text)
+                x.whole += c.size
+            elif not c.out:
+                x.whole += c.whole
+    articles = [x for x in order if x.tag in ("article", "main") and x.whole and not x.named]
+    for x in articles:
+        up = x.parent
+        while up is not None:
+            up.doubt, up = False, up.parent
+    for x in order:
+        if x.doubt and x.whole * 2 > node.whole:
+            up = x
+            while articles and up is not None and up.tag not in ("article", "main"):
+                up = up.parent
+            x.doubt = up is None  # the article is elsewhere
+    for x in reversed(order):
+        for c in x.children:
+            if isinstance(c, Run):
                 x.size += c.size
                 x.links += min(c.linked, c.size)
-            elif not c.out:
+            elif not c.out and not c.doubt:
                 x.size += c.size
                 x.links += c.links
 
@@ -184,23 +213,24 @@ def _density(node: Node) -> float:
 
 def _score(node: Node) -> list[Node]:
     """Gives each paragraph's points to its ancestors: all to the container, half to the next, then a third and so on."""
-    order, todo = [], [node]
+    order, todo = [], [(node, 1.0)]
     while todo:
-        x = todo.pop()
-        order.append(x)
-        todo += [c for c in reversed(x.children) if isinstance(c, Node) and not c.out]
-    for x in order:
+        x, weight = todo.pop()
+        weight = LOWERED if x.doubt else weight
+        order.append((x, weight))
+        todo += [(c, weight) for c in reversed(x.children) if isinstance(c, Node) and not c.out]
+    for x, weight in order:
         for c in x.children:
             if not isinstance(c, Run) or not c.size:
                 continue
             text, size = c.text, c.size
-            points = (1 + text.count(",") + text.count("、") + text.count("，") + min(size / 100, 3)) * (1 - min(c.linked, size) / size)
+            points = (1 + text.count(",") + text.count("、") + text.count("，") + min(size / 100, 3)) * (1 - min(c.linked, size) / size) * weight
             to = x.parent if x.tag in PARAGRAPHS and x.parent is not None else x
             share = 1
             while to is not None and share <= 6:
                 to.points += points / share
                 to, share = to.parent, share + 1
-    return order
+    return [x for x, _ in order]
 
 
 def main_text(page: str | None) -> str:
@@ -211,12 +241,19 @@ def main_text(page: str | None) -> str:
     _measure(root)
     order = _score(root)
     best = max(order, key=lambda x: (x.points * (1 - _density(x)), x.size), default=None)
-    if best is None or not root.size:
+    if best is None or not root.whole:
         return ""
+    up = best
+    while up is not None:
+        up.doubt, up = False, up.parent
     article = best
     while article is not None and article.tag not in ("article", "main"):
         article = article.parent
     top = best.points * (1 - _density(best))
+
+    def like(x: Node) -> bool:
+        return x.points * (1 - _density(x)) >= max(3.0, 0.2 * top) and _density(x) < 0.5
+
     if article is not None:
         kept = [article]
     elif best.parent is None:
@@ -227,7 +264,7 @@ def main_text(page: str | None) -> str:
             if isinstance(c, Run):
                 if c.size >= 80 and c.linked < 0.25 * c.size:
                     kept.append(c)
-            elif c is best or not c.out and (c.points * (1 - _density(c)) >= max(3.0, 0.2 * top) and _density(c) < 0.5 or c.tag in HEADINGS or c.tag in PARAGRAPHS and c.size and _density(c) < 0.25):
+            elif c is best or not c.out and (like(c) or c.tag in HEADINGS or c.tag in PARAGRAPHS and c.size and _density(c) < 0.25):
                 kept.append(c)
     out: list[str] = []
     todo: list[Node | Run] = kept[::-1]
@@ -236,7 +273,7 @@ def main_text(page: str | None) -> str:
         if isinstance(x, Run):
             if x.size:
                 out.append(x.text)
-        elif not x.out and not (x.tag in ("ul", "ol", "div", "table", "section", "dl") and _density(x) > 0.6):  # a list of links is a menu
+        elif not x.out and not (x.doubt and not like(x)) and not (x.tag in ("ul", "ol", "div", "table", "section", "dl") and _density(x) > 0.6):  # a list of links is a menu
             todo += x.children[::-1]
     return " ".join(out)
 

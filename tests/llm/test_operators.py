@@ -279,6 +279,19 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_class_words_only_lower():
+    text = "The first paragraph of the story has commas, and it is long enough to count as one of them."
+    more = "The second paragraph goes on, with more commas, so that the container gets its points."
+    for links in ('<a href="/hidden-gems">gems</a>', '<a title="Hidden figures" data-hidden>gems</a>', "<em class=popular>gems</em>"):
+        assert html_extract.main_text(f"<article><p title='not hidden'>{text}</p><p data-id=hidden>{more} {links}</p></article>") == f"{text} {more} gems"
+    ad = "<div class=ad><p>Buy now.</p></div>"
+    for name in ("content has-sidebar", "site no-comments", "layout with-header", "sidebar-layout", "newsletter"):
+        page = f"<body><div class='{name}'><article><h1>T</h1><p>{text}</p>{ad}<p>{more}</p></article></div><div class=footer>About us</div></body>"
+        assert html_extract.main_text(page) == f"T {text} {more}"
+        assert html_extract.main_text(page.replace("article", "div")) == f"T {text} {more}"
+    assert html_extract.main_text(f"<article><p>{text}</p><div hidden>x</div><div style='display: none'>y</div><div class=share>Share</div></article>") == text
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
