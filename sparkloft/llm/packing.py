@@ -22,7 +22,8 @@ from sparkloft.llm.common import small_batches, written
 LENGTH = 1024
 WINDOW = 64  # sequences in a window: every window of so many tokens holds the target proportions
 SEPARATOR = 0
-QUEUES = 2048  # most source queues; where there are more sources, they share so many by hash
+QUEUES = 2048  # most source queues whose plan one process holds; of more, each row works out its own queue
+BLOCK = 4096  # windows whose places are summed up together
 BROADCAST_ROWS = 200_000  # starts (24 bytes and a queue name each) that are broadcast at most
 
 
@@ -71,7 +72,7 @@ class Plan:
             for q in self.names:
                 out[q] = (a[q], b[q], at)
                 at += b[q] - a[q]
-            if len(self.rows) > 20_000:
+            if len(self.rows) * len(self.names) > 1_000_000:
                 self.rows.clear()
             self.rows[k] = out
         return self.rows[k]
@@ -102,6 +103,48 @@ class Plan:
         return out, k
 
 
+def _spread(rows: DataFrame, totals: DataFrame, length: int, window: int) -> DataFrame:
+    """What Plan gives without a target, for any number of queues: no process holds them all.
+
+    All queues last to the end then, so what a queue has served when a window begins follows from its own total and the sum of all.
+    Where a piece lies in its window takes the other pieces of the window only, a window's worth of tokens.
+
+    rows: (doc_id, queue, base, before, n, ids). Returns the pieces as (doc_id, queue, done, m, n, ids, at).
+    """
+    whole, tokens = totals.agg(F.sum("total")).first()[0], length * window
+
+    def cut(batches):
+        for b in batches:
+            take, cols = [], defaultdict(list)
+            for i, (base, before, n, ids, total) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 7)), strict=True)):
+                done, wide = 0, len(ids) // n
+                while done < n:
+                    a = base + before + done
+                    k = -(-whole * (2 * a + 1) // (2 * tokens * total)) - 1  # the window that serves token a
+                    m = min(n - done, min(total, (2 * (k + 1) * tokens * total + whole) // (2 * whole)) - a)
+                    take.append(i)
+                    for c, v in zip(("k", "a", "done", "m", "n", "ids"), (k, a, done, m, n, ids[done * wide : (done + m) * wide]), strict=True):
+                        cols[c].append(v)
+                    done += m
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(cols[c], pa.int64()) for c in ("k", "a", "done", "m", "n")), pa.array(cols["ids"], pa.binary())], names=["doc_id", "queue", "k", "a", "done", "m", "n", "ids"])
+
+    schema = T.StructType().add("doc_id", rows.schema["doc_id"].dataType).add("queue", "string")
+    for c in ("k", "a", "done", "m", "n"):
+        schema = schema.add(c, "long")
+    pieces = written(rows.join(totals, "queue").select("doc_id", "queue", "base", "before", "n", "ids", "total").mapInArrow(cut, schema.add("ids", "binary")), "packing-pieces")
+    block = F.floor(F.col("k") / BLOCK)
+    sizes = pieces.groupBy("k").agg(F.sum("m").alias("size")).withColumn("block", block)
+    earlier = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.groupBy("block").agg(F.sum("size").alias("size"))  # one row for BLOCK windows, so few that one task sums them up
+    blocks = blocks.select("block", earlier(W.Window.orderBy("block")).alias("block_at"))
+    begins = sizes.withColumn("in_block", earlier(W.Window.partitionBy("block").orderBy("k"))).join(blocks, "block")
+    begins = begins.select("k", (F.col("block_at") + F.col("in_block")).alias("begin"))
+    inside = F.sum("m").over(W.Window.partitionBy("k").orderBy("queue", "a").rowsBetween(W.Window.unboundedPreceding, -1))
+    placed = pieces.withColumn("inside", F.coalesce(inside, F.lit(0))).join(begins, "k")
+    return placed.select("doc_id", "queue", "done", "m", "n", "ids", (F.col("begin") + F.col("inside")).alias("at"))
+
+
 def _schema(docs: DataFrame) -> T.StructType:
     return T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("part", "long").add("queue", "string").add("before", "long").add("n", "long").add("ids", "binary")
 
@@ -115,14 +158,14 @@ def pack(docs: DataFrame, target: Mapping[str, float] | None = None, length: int
     the corpus's own, so that all queues last to the end. Only the last sequence is not full, so it alone needs padding.
     Repeated rows are packed each for itself; an empty table gives an empty result.
 
+    Each source has its queue, however many there are: of more than QUEUES the places are worked out by rows (see _spread),
+    with the same result.
+
     Texts are encoded once; the ids are written to the shared folder, and what follows reads them there.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    if docs.agg(F.approx_count_distinct("source")).first()[0] > QUEUES // 2 and target is None:
-        queue = F.concat(F.lit("pool-"), F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("string"))
-    else:
-        queue = F.coalesce("source", F.lit(""))
+    queue = F.coalesce("source", F.lit(""))
 
     def encode(batches):
         t, part = tokenizer(name), TaskContext.get().partitionId()
@@ -142,31 +185,52 @@ def pack(docs: DataFrame, target: Mapping[str, float] | None = None, length: int
     earlier = W.Window.partitionBy("queue").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     starts = held.select("queue", "part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"), "held")
     starts = written(starts, "packing-starts")
-    totals = {r["queue"]: r["total"] for r in starts.groupBy("queue").agg(F.sum("held").alias("total")).collect()}  # QUEUES rows at most
+    totals = starts.groupBy("queue").agg(F.sum("held").alias("total"))
     small = starts.drop("held")
     if starts.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    plan = spark.sparkContext.broadcast(Plan(totals, length * window, target))
+    placed = rows.join(small, ["queue", "part"]).select("doc_id", "queue", "base", "before", "n", "ids")
+    out = T.StructType().add("doc_id", docs.schema["doc_id"].dataType)
+    for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"):
+        out = out.add(c, "long")
+    out = out.add("source", "string")
+
+    def split(b, queues, pieces):
+        """A batch of the result: pieces (row of b, ids, offset in them, offset in the document, length, its tokens, place) in their sequences."""
+        cols, take = defaultdict(list), []
+        for i, ids, off, start, m, n, at in pieces:
+            while m:  # sequences end inside a window
+                k = min(m, length - at % length)
+                take.append(i)
+                for c, v in zip(("start", "length", "crc", "n", "seq", "off"), (start, k, zlib.crc32(ids[off : off + k]), n, at // length, at % length), strict=True):
+                    cols[c].append(v)
+                off, start, m, at = off + k, start + k, m - k, at + k
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *(pa.array(cols[c], pa.int64()) for c in ("start", "length", "crc", "n", "seq", "off")), queues.take(pa.array(take, pa.int64()))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+
+    def numbers(ids, n):
+        return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
+
+    if target is None and len(totals.select("queue").take(QUEUES + 1)) > QUEUES:
+
+        def sequences(batches):
+            for b in batches:
+                pieces = zip(range(b.num_rows), *(b.column(c).to_pylist() for c in range(2, 7)), strict=True)
+                yield split(b, b.column(1), ((i, numbers(ids, m), 0, done, m, n, at) for i, done, m, n, ids, at in pieces))
+
+        return _spread(placed, totals, length, window).mapInArrow(sequences, out)
+
+    plan = spark.sparkContext.broadcast(Plan({r["queue"]: r["total"] for r in totals.collect()}, length * window, target))  # without a target QUEUES rows at most
 
     def place(batches):
         p, last = plan.value, {}
-        for b in batches:
-            cols = defaultdict(list)
-            take = []
+
+        def pieces(b):
             for i, (q, base, before, n, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 6)), strict=True)):
-                ids = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
+                ids = numbers(ids, n)
                 found, last[q] = p.pieces(q, base + before, n, last.get(q))
-                for off, m, at in found:
-                    while m:  # sequences end inside a window
-                        k = min(m, length - at % length)
-                        take.append(i)
-                        for c, v in zip(("start", "length", "crc", "n", "seq", "off"), (off, k, zlib.crc32(ids[off : off + k]), n, at // length, at % length), strict=True):
-                            cols[c].append(v)
-                        off, m, at = off + k, m - k, at + k
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *(pa.array(cols[c], pa.int64()) for c in ("start", "length", "crc", "n", "seq", "off")), b.column(1).take(pa.array(take, pa.int64()))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+                yield from ((i, ids, off, off, m, n, at) for off, m, at in found)
 
-    out = T.StructType().add("doc_id", docs.schema["doc_id"].dataType)
-    for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"):
-        out = out.add(c, "long")
-    placed = rows.join(small, ["queue", "part"]).select("doc_id", "queue", "base", "before", "n", "ids")
-    return placed.mapInArrow(place, out.add("source", "string"))
+        for b in batches:
+            yield split(b, b.column(1), pieces(b))
+
+    return placed.mapInArrow(place, out)

@@ -146,6 +146,15 @@ def test_packing(spark, odd, monkeypatch):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_many_sources(spark, odd, monkeypatch):
+    df = table(spark, [(i, f"s{i % 23}" if i % 5 else None, t) for i, _, t in odd]).repartition(3, "doc_id")
+    want = sorted(tuple(r) for r in packing.pack(df, length=64, window=4).collect())
+    monkeypatch.setattr(packing, "QUEUES", 4)
+    monkeypatch.setattr(packing, "BLOCK", 3)
+    assert sorted(tuple(r) for r in packing.pack(df, length=64, window=4).collect()) == want
+    assert {r[-1] for r in want} == {"", *(f"s{i}" for i in range(23))} and packing.pack(df.limit(0)).count() == 0
+
+
 def test_packing_plan():
     p = packing.Plan({"a": 1000, "b": 300, "c": 7, "d": 0}, 64)
     for k in range(p.windows + 1):  # at most half a token off the share
