@@ -255,7 +255,8 @@ def main_text(page: str | None) -> str:
         return x.points * (1 - _density(x)) >= max(3.0, 0.2 * top) and _density(x) < 0.5
 
     if article is not None:
-        kept = [article]
+        beside = article.parent.children if article.parent is not None else [article]
+        kept = [c for c in beside if c is article or isinstance(c, Node) and not c.out and like(c)]
     elif best.parent is None:
         kept = [best]
     else:

@@ -301,6 +301,13 @@ def test_html_class_words_only_lower():
     assert html_extract.main_text(f"<article><p>{text}</p><div hidden>x</div><div style='display: none'>y</div><div class=share>Share</div></article>") == text
 
 
+def test_html_siblings_of_an_article():
+    text = "The first paragraph of the story has commas, and it is long enough to count as one of them."
+    parts = [" ".join([text] * n) for n in (6, 3)]
+    page = "<body><main>" + "".join(f"<article>{f'<p>{p}</p>' * n}</article>" for p, n in zip(parts, (4, 2), strict=True)) + "<article><a href=x>Read next</a></article></main></body>"
+    assert html_extract.main_text(page) == " ".join([parts[0]] * 4 + [parts[1]] * 2)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
