@@ -1,7 +1,9 @@
 """Files, transcripts, commit logs, chunks and code triples."""
 
 import json
+import subprocess
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloft.operators import chunking, code_graph, tiers
@@ -25,9 +27,28 @@ def test_folder_scan(spark, tmp_path):
     assert [r["file_name"] for r in files.scan(spark, str(tmp_path), ["*.md"]).collect()] == ["a.md"]
 
 
+SAMPLES = {
+    "python": "from a import b\n\nclass A(B):\n    def run(self, x):\n        self.x = x\n        return x\n",
+    "javascript": "const a = require('a');\nfunction f(x) {\n  console.log(x);\n}\nmodule.exports = f;\n",
+    "typescript": "export interface A {\n  name: string;\n}\ntype B = A | null;\nconst x: number = 1;\n",
+    "java": "package a.b;\nimport java.util.List;\npublic class A {\n  @Override\n  public void run() {\n    System.out.println(1);\n  }\n}\n",
+    "kotlin": "data class A(val x: Int)\nfun main() {\n  val y = 1\n  println(y)\n}\n",
+    "cpp": "#include <vector>\nnamespace a {\ntemplate <class T>\nT f(T x) { return x; }\n}\nint main() { std::cout << 1; }\n",
+    "c": "#include <stdio.h>\n#define N 3\nint main(void)\n{\n  printf(\"x\");\n  return 0;\n}\n",
+    "go": "package main\nimport (\n\"fmt\"\n)\nfunc main() {\n  x := 1\n  fmt.Println(x)\n}\n",
+    "rust": "use std::fmt;\nfn main() {\n  let mut x = 1;\n  println!(\"{}\", x);\n}\n",
+    "swift": "import Foundation\nclass A: B {\n  func run() {\n    guard let x = y else { return }\n  }\n}\n",
+    "csharp": "using System;\nnamespace A {\n  public class B {\n    public string Name { get; set; }\n  }\n}\n",
+    "pascal": "unit A;\ninterface\nimplementation\nprocedure Run;\nbegin\n  x := 1;\nend;\nend.\n",
+}
+
+
 def test_language(spark):
     rows = spark.createDataFrame([("x.rs", ""), ("noext", "package main\nimport (\n\"fmt\"\n)\nfunc a() {}\n"), ("noext", "plain words")], "p string, t string")
-    assert [r[0] for r in rows.select(files.detect_language(F.col("p"), F.col("t"))).collect()][::2] == ["rust", None]
+    assert [r[0] for r in rows.select(files.detect_language(F.col("p"), F.col("t"))).collect()] == ["rust", "go", None]
+    own = [(lang, text) for lang, text in SAMPLES.items()]
+    told = spark.createDataFrame(own, "lang string, t string").select("lang", files.detect_language(F.lit("noext"), F.col("t")).alias("found")).collect()
+    assert [(r["lang"], r["found"]) for r in told] == [(lang, lang) for lang in SAMPLES]
 
 
 def test_dependencies(spark):
@@ -75,12 +96,35 @@ def test_transcripts(spark, tmp_path):
     assert {r["title"] for r in sessions.session_titles(t).collect()} == {"please help", "add", "look"}
 
 
-def test_commit_log(spark):
+def test_commit_log(spark, tmp_path):
     log = f"{history.COMMIT}abc\nAnn\na@x\n2026-01-01T00:00:00+00:00\nFix it\nbody line{history.END}\n3\t1\tsrc/a.py\n-\t-\tpic.png\n{history.COMMIT}def\nBo\nb@x\n2026-01-02T00:00:00+00:00\nMore\n{history.END}\n"
     rows = history.parse_log(spark.createDataFrame([(log,)], "value string")).orderBy("sha").collect()
     assert [(r["sha"], r["subject"], r["body"], r["files_changed"], r["lines_added"], r["lines_deleted"]) for r in rows] == [("abc", "Fix it", "body line", ["src/a.py", "pic.png"], 3, 1), ("def", "More", "", [], 0, 0)]
     assert history.commit_chunks(spark.createDataFrame(rows)).count() == 2
-    assert history.commits(spark, "/root/repo", depth=2).count() == 2
+    repository = tmp_path / "work"
+    repository.mkdir()
+
+    def git(*args):
+        named = ["-c", "user.name=Ann", "-c", "user.email=a@x", "-c", "commit.gpgsign=false"]
+        return subprocess.run(["git", "-C", str(repository), *named, *args], check=True, capture_output=True, text=True).stdout.strip()
+
+    git("init", "-q")
+    for k in range(3):
+        (repository / f"f{k}.txt").write_text("line\n" * (k + 1))
+        git("add", "-A")
+        git("commit", "-q", "-m", f"Change {k}\n\nbody")
+    first, last = git("rev-list", "--max-parents=0", "HEAD"), git("rev-parse", "HEAD")
+    got = history.commits(spark, str(repository)).orderBy("subject").collect()
+    assert [(r["subject"], r["body"], r["files_changed"], r["lines_added"]) for r in got] == [(f"Change {k}", "body", [f"f{k}.txt"], k + 1) for k in range(3)]
+    assert history.commits(spark, str(repository), depth=2).count() == 2
+    assert history.commits(spark, str(repository), since=first).count() == 2
+    assert [r["subject"] for r in history.commits(spark, str(repository), paths=["f1.txt"]).collect()] == ["Change 1"]
+    assert {r["sha"] for r in history.reachable(spark, str(repository)).collect()} == {r["sha"] for r in got}
+    state = spark.createDataFrame([(str(repository), first, 1), ("other", "x", 5)], "repository string, sha string, indexed long")
+    after = history.advance(state, history.commits(spark, str(repository), since=first), str(repository), last)
+    assert sorted(tuple(r) for r in after.collect()) == sorted([(str(repository), last, 3), ("other", "x", 5)])
+    with pytest.raises(Exception, match="not a git repository|does not have any commits|No such file|cannot change"):
+        history.commits(spark, str(tmp_path / "none")).count()
 
 
 CODE = '''
