@@ -88,7 +88,7 @@ def commits(spark: SparkSession, repository: str, since: str | None = None, dept
 def reachable(spark: SparkSession, repository: str, depth: int = 0, paths: Iterable[str] = (), revision: str = "HEAD") -> DataFrame:
     """(sha): the commits that a revision reaches; indexed commits beyond them were rewritten away."""
     rows = _log(spark, repository, None, depth, paths, names="true", revision=revision)
-    return rows.select(F.trim(F.regexp_replace("value", COMMIT, "")).alias("sha")).where("sha <> ''").distinct()
+    return rows.select(F.btrim("value", F.lit(COMMIT + " \r\n")).alias("sha")).where("sha <> ''").distinct()
 
 
 def advance(state: DataFrame, new: DataFrame, repository: str, head: str) -> DataFrame:
