@@ -1,4 +1,8 @@
-"""Byte-pair encoding and decoding with a public vocabulary; long unsplit text by tree concatenation."""
+"""Byte-pair encoding and decoding with a public vocabulary; long text by tree concatenation.
+
+A long text is halved again and again, whatever stands at the middle. The pieces at the leaves are encoded in parallel, and at each
+join a window around it is encoded anew, which grows until it agrees with what stands on both sides.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ import functools
 import hashlib
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +20,21 @@ from pyspark.sql import DataFrame
 from sparkloft.llm.common import small_batches
 
 VOCABULARY = "byte_bpe_50k"
-LEAF = 512  # bytes of unsplit text that are encoded at once
+LEAF = 512  # bytes of a piece without any split that are encoded at once
+LONG = 4096  # characters; a text of more is encoded as a tree of halves
+THREADS = 2  # parts of one very long text that are encoded side by side (the encoder lets other threads run)
+SHARED = 16  # leaves from which on a text is shared out over the threads
 
 # Only a run like these can hold a piece of more than LEAF bytes: a character takes four at most.
 _LONG_RUN = re.compile(r"\S{%d,}|\s{%d,}" % (LEAF // 4, LEAF // 4))
+# A window would have to grow over a run like these; its pieces are trees of their own.
+_ENDLESS = re.compile(r"\S{%d,}|\s{%d,}" % (LONG, LONG))
 
 
 class Tokenizer:
     """Ids of whole texts, equal to the tokenizers library's with add_special_tokens=False."""
 
-    def __init__(self, name: str = VOCABULARY, leaf: int = LEAF):
+    def __init__(self, name: str = VOCABULARY, leaf: int = LEAF, long: int = LONG):
         import public_tokenizers
         import regex
         import tiktoken
@@ -42,7 +52,16 @@ class Tokenizer:
             self.bytes_of[i] = token
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        self.leaf = leaf
+        self.leaf, self.long = leaf, long
+        self.trees = 0  # long texts that were encoded as trees, and the joins that took
+        self.joins = 0
+        # the splitting pattern always parts a space from a letter, digit or mark before it: no piece holds the two in this order
+        self.opens = np.array([b[:1] in (b" ", b"\n") for b in self.bytes_of])
+        self.shuts = np.array([b[-1:].isalnum() or b[-1:] in (b".", b",", b";", b":", b"!", b"?", b")", b'"') for b in self.bytes_of])
+
+    @functools.cached_property
+    def pool(self) -> ThreadPoolExecutor:
+        return ThreadPoolExecutor(THREADS)
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of bytes that the splitting pattern leaves in one piece."""
@@ -68,13 +87,59 @@ class Tokenizer:
                 return left[:a] + ids + right[b:]
             width *= 2
 
+    def side_by_side(self, f, items: list) -> list:
+        """f of each item, in order; of many items each thread takes a share of neighbours."""
+        if len(items) < SHARED:
+            return [f(x) for x in items]
+        share = -(-len(items) // THREADS)
+        parts = self.pool.map(lambda k: [f(x) for x in items[k : k + share]], range(0, len(items), share))
+        return [x for part in parts for x in part]
+
     def unsplit(self, data: bytes) -> list[int]:
         """Ids of one unsplit piece of any length: leaves are encoded alone and joined pairwise, level by level."""
-        parts = [self.piece(data[k : k + self.leaf]) for k in range(0, len(data), self.leaf)]
+        parts = self.side_by_side(self.piece, [data[k : k + self.leaf] for k in range(0, len(data), self.leaf)])
         while len(parts) > 1:
-            parts = [self.join(parts[k], parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+            even = len(parts) // 2 * 2
+            joined = self.side_by_side(lambda both: self.join(*both), list(zip(parts[:even:2], parts[1:even:2], strict=True)))
+            parts = joined + parts[even:]
         return parts[0] if parts else []
 
+    def seam(self, left: np.ndarray, right: np.ndarray) -> tuple[int, int]:
+        """How many ids at the end of ``left`` and at the start of ``right`` a window around their join has to hold.
+
+        It grows until it begins and ends where the pattern splits whatever stands around: from there on each side's own ids are those
+        of the whole text. A side without such a place is in it whole.
+        """
+        width = 8
+        while True:
+            a, b = max(0, len(left) - width), min(len(right), width)
+            begins = np.flatnonzero(self.opens[left[a + 1 :]] & self.shuts[left[a:-1]])
+            ends = np.flatnonzero(self.opens[right[1:b]] & self.shuts[right[: b - 1]]) if b else np.zeros(0, np.int64)
+            if (len(begins) or not a) and (len(ends) or b == len(right)):
+                return len(left) - (a + 1 + int(begins[-1]) if len(begins) else 0), int(ends[0]) + 1 if len(ends) else len(right)
+            width *= 2
+
+    def concatenate(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Encoding of two neighbouring texts from their own encodings."""
+        if not len(left) or not len(right):
+            return np.concatenate([left, right])
+        a, b = self.seam(left, right)
+        a = len(left) - a
+        window = b"".join(map(self.bytes_of.__getitem__, [*left[a:].tolist(), *right[:b].tolist()])).decode()
+        self.joins += 1
+        return np.concatenate([left[:a], self.plain(window), right[b:]])
+
+    def tree(self, text: str, leaf) -> np.ndarray:
+        """Ids of a long text: halves of halves down to LONG characters are encoded in parallel, then joined level by level."""
+        cuts = [0, len(text)]
+        while cuts[1] > self.long:
+            cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:], strict=False))})
+        self.trees += 1
+        parts = self.side_by_side(leaf, [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        while len(parts) > 1:
+            parts = self.side_by_side(lambda both: self.concatenate(*both), list(zip(parts[::2], parts[1::2], strict=True)))
+        return parts[0]
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; none for a null or empty one. A special token's string is that token."""
         if not text:
@@ -86,9 +151,16 @@ class Tokenizer:
         return np.concatenate([np.array([special[p]], np.uint32) if p in special else self.ordinary(p) for p in parts])
 
     def ordinary(self, text: str) -> np.ndarray:
-        """Ids of text in which special tokens' strings mean nothing. Only long runs take the tree; the rest is encoded in one call."""
-        if not _LONG_RUN.search(text):
-            return self.encoding.encode_to_numpy(text, disallowed_special=())
+        """Ids of text in which special tokens' strings mean nothing: a long text is a tree of halves, a long piece one of its own."""
+        leaf = self.pieces if _LONG_RUN.search(text) else self.plain
+        if len(text) <= self.long or leaf == self.pieces and _ENDLESS.search(text):
+            return leaf(text)
+        return self.tree(text, leaf)
+
+    def plain(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
+
+    def pieces(self, text: str) -> np.ndarray:
         out: list[int] = []
         for word in self.pattern.findall(text):
             data = word.encode()

@@ -166,25 +166,42 @@ def test_packing_plan():
     assert where[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(where, where[1:], strict=False))
 
 
+def t_library(library, text):
+    return library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe(spark, odd, monkeypatch):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
 
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t = bpe.Tokenizer()
     rng = random.Random(4)
-    texts = [t for _, _, t in odd] + ["<|endoftext|>x<|endoftext|>", "½² \u0085\x1c a", "日本語" * 900, "\U0001f600" * 700, " " * 2000 + "x", "".join(rng.choice("thequickbrown") for _ in range(5000)), "don't've"]
+    texts = [x for _, _, x in odd] + ["<|endoftext|>x<|endoftext|>", "½² \u0085\x1c a", "日本語" * 900, "\U0001f600" * 700, " " * 2000 + "x", "".join(rng.choice("thequickbrown") for _ in range(5000)), "don't've"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in bpe.round_trip(df).collect()}
-    for i, t in enumerate(texts):
-        ids = library.encode(t or "", add_special_tokens=False).ids
-        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()), t
+    for i, x in enumerate(texts):
+        ids = library.encode(x or "", add_special_tokens=False).ids
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()), x
         assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 4096").select("text").collect()]
+    for x in docs:  # the long documents of a table are trees
+        assert t_library(library, x) == t.encode(x).tolist()
+    assert len(docs) > 100 and t.trees == len(docs) and t.joins >= len(docs)
+    halves = bpe.Tokenizer(long=16)
+    for _ in range(1500):
+        x = "".join(rng.choice("ab  \n\t .,'sre' \u3000é日\U0001f6421½") for _ in range(rng.randint(0, 200)))
+        assert halves.encode(x).tolist() == t_library(library, x), x
+    for x in [x for x in texts if x]:
+        assert halves.encode(x).tolist() == t_library(library, x)
+    twice = spark.createDataFrame([(1, "a b", 1, "x"), (1, "a b", 2, "y"), (None, None, 3, "z")], "doc_id long, text string, ids int, n_tokens string")
+    assert sorted(tuple(r)[:2] for r in bpe.round_trip(twice).where("doc_id = 1").collect()) == [(1, 2), (1, 2)] and bpe.round_trip(twice).count() == 3
     small = bpe.Tokenizer(leaf=5)  # every word goes through the tree
-    for t in texts[-2:] + [x for x in texts if x][:10]:
-        for w in t.split():
+    for x in texts[-2:] + [x for x in texts if x][:10]:
+        for w in x.split():
             assert small.unsplit(w.encode()) == small.piece(w.encode())
     back = bpe.decode_texts(bpe.encode_texts(df))
-    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: x or "" for i, x in enumerate(texts)}
     assert bpe.round_trip(df.limit(0)).count() == 0
 
 
@@ -249,15 +266,41 @@ def test_nearest_neighbours_fill_up(spark):
 
 def test_chat(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
-    model = chat.train(turns.where("conv_id % 3 <> 1"))
-    held = turns.where("conv_id % 3 = 1")
-    got = chat.format_turns(held.withColumn("score", F.lit(1)), model).join(held.select("conv_id", "turn", F.col("role").alias("truth")), ["conv_id", "turn"])
-    n, right = got.agg(F.count("*"), F.count_if(F.col("role") == F.col("truth"))).first()
-    assert n == held.count() and right >= 0.9 * n
-    raw = spark.createDataFrame([(1, "System: be brief\nUser: hi\nhow are you?\nAssistant: fine\n### Human: and now\n**Bot:** bye"), (2, None), (3, "")], "conv_id long, text string")
-    parts = chat.format_turns(chat.split_transcripts(raw), model).orderBy("turn").collect()
-    assert [r["role"] for r in parts] == ["system", "user", "assistant", "user", "assistant"]
-    assert parts[1]["rendered"] == "<|user|>\nhi\nhow are you?\n<|end|>"
+    models = chat.train(turns)  # each conversation is decoded by the model that has not seen it
+    truth = turns.select("conv_id", "turn", F.col("role").alias("truth"))
+    got = chat.format_turns(turns.withColumn("part", F.lit(1)), models).join(truth, ["conv_id", "turn"])
+    n, right, parts = got.agg(F.count("*"), F.count_if(F.col("role") == F.col("truth")), F.max("part")).first()
+    assert n == turns.count() and right >= 0.9 * n and parts == 0
+    # whole transcripts, markers and all: the lines alone tell the turns
+    words = {"system": "System", "user": "User", "assistant": "Assistant"}
+    said = {}
+    for r in turns.orderBy("conv_id", "turn").collect():
+        said.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    raw = spark.createDataFrame([(i, "\n".join(f"{words[r]}: {t}" for r, t in x)) for i, x in said.items()], "conv_id long, text string")
+    found = {}
+    for r in chat.parse_transcripts(raw, models).orderBy("conv_id", "turn").collect():
+        found.setdefault(r["conv_id"], []).append(r["rendered"])
+    assert found == {i: [chat.render(r, t) for r, t in x] for i, x in said.items()}
+    text = "System: be brief\nUser: hi\nhow are you?\nAssistant: fine\n### Human: and now\n**Bot:** bye\n<|im_start|>user\nlast<|im_end|>"
+    rows = chat.parse_transcripts(spark.createDataFrame([(1, text), (2, None), (3, "")], "conv_id long, text string"), models).orderBy("conv_id", "turn").collect()
+    assert [r["role"] for r in rows if r["conv_id"] == 1] == ["system", "user", "assistant", "user", "assistant", "user"]
+    assert rows[1]["rendered"] == "<|user|>\nhi\nhow are you?\n<|end|>" and rows[5]["rendered"] == "<|user|>\nlast\n<|end|>"
+    assert [(r["conv_id"], r["turn"]) for r in rows[6:]] == [(2, 0), (3, 0)] and rows[6]["rendered"].endswith("|>\n\n<|end|>")
+    long = spark.createDataFrame([(1, 0, "word " * 200_000 + "\n" * 1000), (1, 1, "User: " + "x" * 500_000)], "conv_id long, turn long, text string")
+    assert [r["role"] for r in chat.format_turns(long, models).orderBy("turn").collect()][1] == "user"
+
+
+def test_chat_viterbi():
+    """The best path of short runs against all paths."""
+    import itertools
+
+    model = chat.Model.fit([[(1, chat.features("abc?\nx", True)), (2, chat.features("a" * 300, False))] * 4])
+    f = np.array([line for i, t in enumerate(["hi?", "User: a\nBot: b"]) for line in chat.features(t, i == 0)])
+    scores = model.scores(f)
+    value = lambda p: model.start[p[0]] + sum(model.step[a, b] for a, b in zip(p, p[1:], strict=False)) + sum(scores[i, s] for i, s in enumerate(p))
+    want = max(itertools.product(range(chat.STATES), repeat=len(f)), key=value)
+    assert np.isclose(value(chat.viterbi(model, scores, True)), value(want))
+    assert np.isclose(chat.product(model, scores, True)[0].max(), value(want))
 
 
 def test_chat_borders(spark, monkeypatch):
@@ -267,10 +310,11 @@ def test_chat_borders(spark, monkeypatch):
     df = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(4)
     model = chat.Model.fit([[(1, chat.features("abc?", True)), (2, chat.features("a" * 300, False))] * 4])
     monkeypatch.setattr(chat, "ROWS_A_TASK", 13)
-    got = [r["role"] for r in chat.format_turns(df, model).where("conv_id = 1").orderBy("turn").collect()]
-    f = np.array([chat.features(t, i == 0) for i, (_, _, t) in enumerate(rows[:200])])
-    assert got == [chat.ROLES[k] for k in chat.viterbi(model, model.scores(f), True)]
-    assert chat.format_turns(df, model).count() == len(rows) and chat.format_turns(df.limit(0), model).count() == 0
+    got = [r["role"] for r in chat.format_turns(df, [model]).where("conv_id = 1").orderBy("turn", "part").collect()]
+    f = [chat.features(t, i == 0) for i, (_, _, t) in enumerate(rows[:200])]
+    states = chat.viterbi(model, model.scores(np.array([line for x in f for line in x])), True)
+    assert got == [chat.ROLES[s] for s in states if s < 3] and len(got) == 200
+    assert chat.format_turns(df, [model]).count() == len(rows) and chat.format_turns(df.limit(0), [model]).count() == 0
 
 
 PAGE = """<html><body class="has-sidebar"><div class="menu"><a href=x>Home</a> <a href=y>About</a></div>{}<div class="sidebar"><p>Side text, with words, and more, and more text.</p></div>
