@@ -1,8 +1,14 @@
-"""Chat formatting: a hidden Markov model finds the role of every utterance, then turns are rendered in one form."""
+"""Chat formatting: a hidden Markov model over the lines of transcripts finds where turns begin and whose they are.
+
+Every line is an observation: its speaker marker, its size, and the size of what follows up to the next place where a turn could begin.
+The states are a role and whether the line begins a turn or goes on with it. Viterbi recovers them, then turns are rendered in one form.
+"""
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,10 +20,14 @@ from pyspark.taskcontext import TaskContext
 from sparkloft.llm.common import checkpointed
 
 ROLES = ("system", "user", "assistant")
-TRAIN_CONVERSATIONS = 2000  # conversations with known roles that the model is fitted on at most
-TRAIN_TURNS = 64  # and turns of each
+STATES = 2 * len(ROLES)  # a turn of each role begins, then one of each role goes on
+FOLDS = 2  # conversations of a fold are decoded by the model that is fitted on the other ones
+TRAIN_CONVERSATIONS = 2000  # conversations with known roles that a model is fitted on at most
+TRAIN_TURNS = 64  # turns of each
+TRAIN_BYTES = 1 << 16  # and bytes of a turn
 ROWS_A_TASK = 50_000
 BEGIN, END = "<|{role}|>\n", "\n<|end|>"
+NEVER = -1e9
 
 # Fixed words that mark a speaker at the start of a line, by role.
 MARKERS = {
@@ -27,64 +37,89 @@ MARKERS = {
 }
 _ROLE_OF = {w: r for r, words in MARKERS.items() for w in words}
 _ANY = "|".join(sorted(_ROLE_OF, key=lambda w: (-len(w), w)))
-_MARKER = re.compile(rf"\s*(?:<\|im_start\|>\s*({_ANY})\s*\n|(?:#{{1,4}}\s*|\*\*|\[|<\|?)?({_ANY})(?:\*\*)?\s*(?::\*\*|[:\]>]|\|>))\s*", re.I)
+_MARKER = re.compile(
+    rf"\s*(?:<\|im_start\|>\s*({_ANY})\s*$|(?:#{{1,4}}\s*|\*\*|\[|<\|?)?({_ANY})(?:\*\*)?\s*(?::\*\*|[:\]>]|\|>))\s*", re.I
+)
+_CLOSING = re.compile(r"(?:\s*(?:<\|im_end\|>|<\|end\|>))+\s*$")
 
 
-def marker(text: str) -> tuple[str | None, int]:
+def marker(line: str) -> tuple[str | None, int]:
     """The role that a speaker marker at the start names, and where the text after it begins."""
-    m = _MARKER.match(text)
+    m = _MARKER.match(line)
     return (_ROLE_OF[(m[1] or m[2]).lower()], m.end()) if m else (None, 0)
 
 
-def features(text: str, first: bool) -> tuple[int, ...]:
-    """Speaker marker, length, number of lines, length of the first line, question mark, and whether the conversation begins here."""
-    role, start = marker(text)
-    body = text[start:]
-    lines = body.count("\n") + 1
-    return (
-        0 if role is None else 1 + ROLES.index(role),
-        min(len(body).bit_length(), 15),
-        min(lines, 8),
-        min(len(body.split("\n", 1)[0]).bit_length(), 11),
-        int("?" in body),
-        int(first),
-    )
+# What is seen of a line: marker; bits of the number of characters, and number of lines, up to where the next turn could begin; bits
+# of the line's own length; a question mark; inside a row, at the start of a row, at the start of the conversation.
+SIZES = (4, 17, 10, 12, 2, 3)
+INSIDE, ROW, CONVERSATION = 0, 1, 2
 
 
-SIZES = (4, 16, 9, 12, 2, 2)
+def features(text: str, first: bool) -> list[tuple[int, ...]]:
+    """Observations of the lines of a row; a turn can begin at its first line and at marked ones."""
+    lines = text.split("\n")
+    marks = [marker(x) for x in lines]
+    opens = [i for i, (role, _) in enumerate(marks) if i == 0 or role]
+    out = [(0, 0, 0, min(len(x).bit_length(), 11), int("?" in x), INSIDE) for x in lines]
+    for a, b in zip(opens, [*opens[1:], len(lines)], strict=True):
+        role, at = marks[a]
+        size = sum(map(len, lines[a:b])) + b - a - 1 - at
+        place = INSIDE if a else (CONVERSATION if first else ROW)
+        out[a] = (0 if role is None else 1 + ROLES.index(role), min(1 + size.bit_length(), 16), min(b - a, 9), min((len(lines[a]) - at).bit_length(), 11), int("?" in lines[a]), place)
+    return out
 
 
 @dataclass
 class Model:
     start: np.ndarray
     step: np.ndarray  # [from, to]
-    emit: list[np.ndarray]  # for each feature [role, value]
+    emit: list[np.ndarray]  # for each feature [state, value]
 
     @classmethod
-    def fit(cls, conversations: list[list[tuple[int, tuple[int, ...]]]]) -> Model:
-        """Smoothed counts of (role, features) sequences. A marker names its role in 98 of 100 cases, whatever the sample holds."""
+    def fit(cls, conversations: Sequence[Sequence[tuple[int, Sequence[Sequence[int]]]]]) -> Model:
+        """Smoothed counts of conversations: rows of (role, observations of its lines).
+
+        What a marker means is fixed, whatever the sample holds: where a turn begins it names its role in 9998 of 10000 cases, and inside a
+        turn there is hardly one. So is that a row begins a turn.
+        """
         n = len(ROLES)
         start, step = np.ones(n), np.full((n, n), 0.5)
-        emit = [np.full((n, k), 0.5) for k in SIZES]
-        emit[0][:] = [[60, *(49 if r == j else 0.5 for j in range(n))] for r in range(n)]
-        for turns in conversations:
-            for i, (role, f) in enumerate(turns):
+        emit = [np.full((STATES, k), 0.5) for k in SIZES]
+        for rows in conversations:
+            for i, (role, lines) in enumerate(rows):
                 if i:
-                    step[turns[i - 1][0], role] += 1
+                    step[rows[i - 1][0], role] += 1
                 else:
                     start[role] += 1
-                for e, v in zip(emit[1:], f[1:], strict=True):
-                    e[role, v] += 1
-        return cls(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), [np.log(e / e.sum(1, keepdims=True)) for e in emit])
+                for k, f in enumerate(lines):
+                    for e, v in zip(emit, f, strict=True):
+                        e[role + n * (k > 0), v] += 1
+        p = [e / e.sum(1, keepdims=True) for e in emit]
+        for k in (1, 2):  # how much follows says whose turn begins, not whether one does
+            p[k][n:] = p[k][:n].mean(0)
+        for r in range(n):
+            p[0][r] = [60, *(50 if r == j else 0.005 for j in range(n))]
+            p[0][r] /= p[0][r].sum()
+            p[0][r + n] = [1 - 3e-5, 1e-5, 1e-5, 1e-5]
+            p[5][r] = [0.02, *(0.98 * emit[5][r, 1:] / emit[5][r, 1:].sum())]
+        emit = [np.log(np.maximum(x, 1e-12)) for x in p]
+        emit[5][n:] = [0.0, NEVER, NEVER]
+        turn = np.log(step / step.sum(1, keepdims=True))
+        trans = np.full((STATES, STATES), NEVER)
+        for r in range(n):
+            for s in (r, r + n):
+                trans[s, :n] = np.log(0.5) + turn[r]
+                trans[s, r + n] = np.log(0.5)
+        return cls(np.concatenate([np.log(start / start.sum()), np.full(n, NEVER)]), trans, emit)
 
     def scores(self, f: np.ndarray) -> np.ndarray:
-        """[utterance, role] log likelihood of features."""
+        """[line, state] log likelihood of observations."""
         return sum(e[:, f[:, i]].T for i, e in enumerate(self.emit))
 
 
 def product(model: Model, scores: np.ndarray, begins: bool) -> np.ndarray:
-    """Best score of a run of utterances from each entering role to each last role (max-plus product)."""
-    m = np.full((len(ROLES), len(ROLES)), -np.inf)
+    """Best score of a run of lines from each entering state to each last state (max-plus product)."""
+    m = np.full((STATES, STATES), NEVER)
     np.fill_diagonal(m, 0.0)
     for i, e in enumerate(scores):
         step = np.broadcast_to(model.start, m.shape) if begins and not i else model.step
@@ -93,10 +128,10 @@ def product(model: Model, scores: np.ndarray, begins: bool) -> np.ndarray:
 
 
 def viterbi(model: Model, scores: np.ndarray, begins: bool, enter: int | None = None, leave: int | None = None) -> np.ndarray:
-    """Best roles of a run; ``enter`` is the role before it, ``leave`` the role it must end in."""
+    """Best states of a run; ``enter`` is the state before it, ``leave`` the state it must end in."""
     n = len(scores)
     best = (model.start if begins or enter is None else model.step[enter]) + scores[0]
-    back = np.zeros((n, len(ROLES)), np.int8)
+    back = np.zeros((n, STATES), np.int8)
     for i in range(1, n):
         s = best[:, None] + model.step
         back[i] = s.argmax(0)
@@ -109,30 +144,51 @@ def viterbi(model: Model, scores: np.ndarray, begins: bool, enter: int | None =
 
 
 def render(role: str, text: str) -> str:
-    """One turn in canonical form: role line, text without its speaker marker and outer white space, end line."""
-    return BEGIN.format(role=role) + text[marker(text)[1] :].strip() + END
+    """One turn in canonical form: role line, text without its speaker marker, closing marks and outer white space, end line."""
+    line = text.split("\n", 1)[0]
+    return BEGIN.format(role=role) + _CLOSING.sub("", text[marker(line)[1] :]).strip() + END
+
+
+def turns_of(text: str, states: Sequence[int]) -> list[tuple[str, str]]:
+    """(role, text) of the turns that the states of a row's lines tell."""
+    lines = text.split("\n")
+    begins = [i for i, s in enumerate(states) if s < len(ROLES)] or [0]
+    return [(ROLES[states[a] % len(ROLES)], "\n".join(lines[a:b])) for a, b in zip(begins, [*begins[1:], len(lines)], strict=True)]
+
+
+def fold(conv_id) -> int:
+    """Whose model decodes a conversation; that model has not seen it."""
+    return 0 if conv_id is None else zlib.crc32(str(conv_id).encode()) % FOLDS
 
 
-def train(turns: DataFrame) -> Model:
-    """Fits a model on a bounded sample of conversations, chosen by a hash of their ids: turns (conv_id, turn, role, text)."""
+def train(turns: DataFrame) -> list[Model]:
+    """A model for each fold, fitted on a bounded sample of the other folds' conversations, chosen by a hash of their ids.
+
+    turns: (conv_id, turn, role, text). Rows without a known role, with a marker inside or of more than TRAIN_BYTES are no examples.
+    Without any example the models know markers only.
+    """
     known = turns.where(F.col("conv_id").isNotNull() & F.col("role").isin(*ROLES) & F.col("turn").between(0, TRAIN_TURNS - 1))
-    chosen = known.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(TRAIN_CONVERSATIONS)
+    known = known.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    chosen = known.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(FOLDS * TRAIN_CONVERSATIONS)
 
     def describe(batches):
         for b in batches:
             f = [features(t or "", i == 0) for t, i in zip(b.column("text").to_pylist(), b.column("turn").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), pa.array([list(x) for x in f], pa.list_(pa.int32()))], names=["conv_id", "turn", "role", "f"])
+            flat = pa.array([[v for line in x for v in line] for x in f], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), flat], names=["conv_id", "turn", "role", "f"])
 
-    rows = known.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").join(F.broadcast(chosen), "conv_id")
+    rows = known.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").join(F.broadcast(chosen), "conv_id")  # bounded by the limit
     rows = rows.dropDuplicates(["conv_id", "turn"]).mapInArrow(describe, "conv_id long, turn long, role string, f array<int>").orderBy("conv_id", "turn").collect()
     by: dict[int, list] = {}
     for r in rows:
-        by.setdefault(r["conv_id"], []).append((ROLES.index(r["role"]), tuple(r["f"])))
-    return Model.fit(list(by.values()))
+        lines = [tuple(r["f"][k : k + len(SIZES)]) for k in range(0, len(r["f"]), len(SIZES))]
+        if not any(f[0] for f in lines[1:]):
+            by.setdefault(r["conv_id"], []).append((ROLES.index(r["role"]), lines))
+    return [Model.fit([x for i, x in by.items() if fold(i) != k]) for k in range(FOLDS)]
 
 
 def _segments(batches):
-    """Runs of utterances of one conversation within a task: (conv_id, table)."""
+    """Runs of rows of one conversation within a task: (conv_id, table)."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         ids = b.column("conv_id").to_pylist()
@@ -148,14 +204,16 @@ def _segments(batches):
         yield pa.Table.from_batches(held)
 
 
-def format_turns(turns: DataFrame, model: Model) -> DataFrame:
-    """(conv_id, turn, role, rendered): the recovered role of every row, and the row rendered as a canonical turn.
+def format_turns(turns: DataFrame, models: Sequence[Model]) -> DataFrame:
+    """(conv_id, turn, part, role, rendered): the turns that every row holds, with their recovered roles, each in canonical form.
 
-    turns: (conv_id, turn, text, ...); a role column is not looked at. The order in a conversation is by turn, then text; null turns come
+    turns: (conv_id, turn, text, ...); a role column is not looked at. A row is a message or a whole transcript: it begins a turn, and
+    each of its lines may begin another; part counts them from 0. The order in a conversation is by turn, then text; null turns come
     first. Rows are dealt out by ranges of that order, so a conversation of any length is spread over tasks: each task
-    reduces its part to the best scores from role to role, the driver joins those of conversations that cross tasks (two
-    at most for each task) and fixes the roles at the borders, and each task decodes its part between them. Null texts count as
-    empty; rows with a null conv_id are one conversation; repeated rows are turns of their own; an empty table gives an empty result.
+    reduces its part to the best scores from state to state, the driver joins those of conversations that cross tasks (two
+    at most for each task) and fixes the states at the borders, and each task decodes its part between them. Null texts count as
+    empty; an empty text is one empty turn; rows with a null conv_id are one conversation; repeated rows are turns of their own; an
+    empty table gives an empty result.
     """
     spark = turns.sparkSession
     n = turns.count()
@@ -164,11 +222,14 @@ def format_turns(turns: DataFrame, model: Model) -> DataFrame:
     rows = rows.repartitionByRange(max(1, -(-n // ROWS_A_TASK), min(n, spark.sparkContext.defaultParallelism)), *key)
     rows = rows.sortWithinPartitions("conv_id", "turn", "text")
     rows = checkpointed(rows)  # fixes which task holds which rows
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(list(models))
+
+    def model_of(t: pa.Table) -> Model:
+        return sent.value[fold(t.column("conv_id")[0].as_py()) % len(sent.value)]
 
-    def score(t: pa.Table, begins: bool) -> np.ndarray:
-        f = np.array([features(x, begins and not i) for i, x in enumerate(t.column("text").to_pylist())], np.int64)
-        return sent.value.scores(f)
+    def observed(t: pa.Table, begins: bool) -> tuple[np.ndarray, list[int]]:
+        f = [features(x, begins and not i) for i, x in enumerate(t.column("text").to_pylist())]
+        return model_of(t).scores(np.array([line for x in f for line in x], np.int64)), [len(x) for x in f]
 
     def ends(batches):
         part, edge = TaskContext.get().partitionId(), []
@@ -179,16 +240,25 @@ def format_turns(turns: DataFrame, model: Model) -> DataFrame:
                 edge[1] = t
         for k, t in enumerate(edge):
             # whether this run begins its conversation is known only on the driver: both cases are sent
-            both = np.stack([product(sent.value, score(t, True), True), product(sent.value, score(t, False), False)])
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "last": pa.array([k == 1 or len(edge) == 1]), "first": pa.array([k == 0]), "conv_id": t.column("conv_id").combine_chunks().slice(0, 1).cast(pa.int64()), "m": pa.array([both.ravel().tolist()], pa.list_(pa.float64()))})
-
-    edges = sorted(rows.mapInArrow(ends, "part int, last boolean, first boolean, conv_id long, m array<double>").collect(), key=lambda r: (r["part"], r["last"]))
+            both = np.stack([product(model_of(t), observed(t, begins)[0], begins) for begins in (True, False)])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array([part], pa.int32()),
+                    "last": pa.array([k == 1 or len(edge) == 1]),
+                    "first": pa.array([k == 0]),
+                    "conv_id": t.column("conv_id").combine_chunks().slice(0, 1).cast(pa.int64()),
+                    "m": pa.array([both.ravel().tolist()], pa.list_(pa.float64())),
+                }
+            )
+
+    edges = rows.mapInArrow(ends, "part int, last boolean, first boolean, conv_id long, m array<double>").collect()
+    edges = sorted(edges, key=lambda r: (r["part"], r["last"]))
     border: dict[tuple[int, bool], tuple[bool, int | None, int | None]] = {}  # by task, and whether its first run: begins, enter, leave
     chain: list = []
 
     def settle() -> None:
         if len(chain) > 1:
-            ms = [np.array(r["m"]).reshape(2, len(ROLES), -1)[0 if i == 0 else 1] for i, r in enumerate(chain)]
+            ms = [np.array(r["m"]).reshape(2, STATES, STATES)[0 if i == 0 else 1] for i, r in enumerate(chain)]
             best, back = ms[0][0], []
             for m in ms[1:]:
                 s = best[:, None] + m
@@ -217,20 +287,25 @@ def format_turns(turns: DataFrame, model: Model) -> DataFrame:
         while now is not None:
             after = next(runs, None)
             begins, enter, leave = fixed.value.get((part, first), (True, None, None)) if first or after is None else (True, None, None)
-            roles = [ROLES[r] for r in viterbi(sent.value, score(now, begins), begins, enter, leave)]
-            texts = now.column("text").to_pylist()
-            yield from pa.table({"conv_id": now.column("conv_id"), "turn": now.column("turn"), "role": roles, "rendered": [render(r, t) for r, t in zip(roles, texts, strict=True)]}).to_batches()
+            scores, sizes = observed(now, begins)
+            states = viterbi(model_of(now), scores, begins, enter, leave).tolist()
+            take, parts, roles, rendered, at = [], [], [], [], 0
+            for i, (text, size) in enumerate(zip(now.column("text").to_pylist(), sizes, strict=True)):
+                for k, (role, said) in enumerate(turns_of(text, states[at : at + size])):
+                    take.append(i)
+                    parts.append(k)
+                    roles.append(role)
+                    rendered.append(render(role, said))
+                at += size
+            held = now.select(["conv_id", "turn"]).take(pa.array(take, pa.int64()))
+            yield from pa.table({"conv_id": held.column(0), "turn": held.column(1), "part": pa.array(parts, pa.int32()), "role": roles, "rendered": rendered}).to_batches()
             now, first = after, False
 
-    return rows.mapInArrow(decode, f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, turn {turns.schema['turn'].dataType.simpleString()}, role string, rendered string")
-
+    kinds = {c: turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
+    return rows.mapInArrow(decode, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, part int, role string, rendered string")
 
-def split_transcripts(transcripts: DataFrame) -> DataFrame:
-    """(conv_id, turn, text) of (conv_id, text): a raw transcript is cut where a line begins with a speaker marker.
 
-    Lines before the first marker are an utterance of their own. A null text has no utterances.
-    """
-    words = "|".join(sorted(_ROLE_OF, key=lambda w: (-len(w), w)))
-    cut = F.regexp_replace("text", rf"(?im)^(?=\s*(?:#{{1,4}}\s*|\*\*|\[|<\|?)?(?:{words})(?:\*\*)?\s*(?::|\]|\|?>))", "\u0001")
-    parts = F.filter(F.split(cut, "\u0001"), lambda x: F.trim(x) != "")
-    return transcripts.select("conv_id", F.posexplode(parts).alias("turn", "text"))
+def parse_transcripts(transcripts: DataFrame, models: Sequence[Model]) -> DataFrame:
+    """(conv_id, turn, role, rendered) of raw transcripts (conv_id, text), each a text of many turns."""
+    parts = format_turns(transcripts.select("conv_id", F.lit(0).alias("turn"), "text"), models)
+    return parts.select("conv_id", F.col("part").alias("turn"), "role", "rendered")
