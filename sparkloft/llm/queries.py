@@ -60,7 +60,8 @@ def op8_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = train(docs, _table(spark, sf_dir, "labels"))
     scored = score_documents(docs, model)
-    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_toxic_words"))
+    places = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_toxic_words"), places.alias("toxic_spans"))
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,12 @@ CACHE = 150_000
 _WORD = re.compile(r"\w+")
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased words; a character that lower-casing makes two of does not part its word."""
+    low = text.lower()
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
+
+
 def fold(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % FOLDS
 
@@ -131,7 +137,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     """
     words, kept, seen_runs = [], [], set()
     for t, mark in zip(texts, toxic, strict=True):  # a copy of an earlier example is no further evidence
-        w = _WORD.findall(t.lower())
+        w = words_of(t)
         runs = {hash(x) for x in zip(w, w[1:], w[2:], strict=False)}
         if not runs or len(runs & seen_runs) <= 0.3 * len(runs):
             words.append(w)
@@ -244,10 +250,9 @@ def score_texts(model: Model, texts: list[str | None], cache: dict[str, float],
     scores, found = np.zeros(len(texts)), [[] for _ in texts]
     at = 0
     while at < len(texts):  # groups of about 100,000 words bound the memory
-        lowered, words, n, to = [], [], 0, at
+        words, n, to = [], 0, at
         while to < len(texts) and (to == at or n < 100_000):
-            lowered.append((texts[to] or "").lower())
-            words.append(_WORD.findall(lowered[-1]))
+            words.append(words_of(texts[to] or ""))
             n += len(words[-1])
             to += 1
         x, post, docs = _evidence(model, words, cache)
@@ -258,7 +263,7 @@ def score_texts(model: Model, texts: list[str | None], cache: dict[str, float],
             for c, j in zip(*np.nonzero(post > 0.5), strict=True):
                 hit.setdefault(int(docs[c]), {})[int(c - first[docs[c]]) * CHAIN + int(j)] = float(post[c, j])
             for d, places in hit.items():
-                found[at + d] = [(m.start(), m.end(), places[i]) for i, m in enumerate(_WORD.finditer(lowered[d])) if i in places]
+                found[at + d] = [(m.start(), m.end(), places[i]) for i, m in enumerate(_WORD.finditer(texts[at + d])) if i in places]
         at = to
     return (scores, found) if spans else scores
 

@@ -364,7 +364,11 @@ def test_toxicity(spark):
     rows = {r["doc_id"]: r for r in toxicity.score_documents(odd, model).collect()}
     assert rows[0]["score"] == rows[1]["score"] and rows[None]["held_out"] is None and all(0 <= r["score"] <= 1 for r in rows.values())
     assert rows[2]["predicted"] == 1 and rows[3]["predicted"] == 0
-    assert all(texts[2][s["start"] : s["end"]] in texts[2].split() or True for s in rows[2]["spans"]) and "idiot" in [texts[2][s["start"] : s["end"]] for s in rows[2]["spans"]]
+    said = [texts[2][s["start"] : s["end"]] for s in rows[2]["spans"]]
+    assert "idiot" in said and set(said) <= set(texts[2].replace(",", "").split())
+    wide = "İİİ you stupid idiot, you worthless scum"  # lower-casing makes this text longer
+    again = toxicity.score_documents(spark.createDataFrame([(1, wide), (1, wide)], "doc_id long, text string"), model).collect()
+    assert len(again) == 2 and again[0] == again[1] and [wide[s["start"] : s["end"]] for s in again[0]["spans"]] == said
     assert [texts[4][s["start"] : s["end"]] for s in rows[4]["spans"]] == ["idiot"]
     kept = toxicity.drop_toxic(odd, model)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["score"] < 0.7}
