@@ -220,14 +220,18 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
             ids, names = held.column("ids").to_pylist(), wanted.column("query_id").to_pylist()
             kinds, of = np.unique(held.column("codes").combine_chunks().flatten().to_numpy(), return_inverse=True)
             visits = wanted.column("codes").to_pylist()
+            longest = float(np.sqrt((x * x).sum(1).max()))
             for a in range(0, len(q), QUERY_BLOCK):
                 s = q[a : a + QUERY_BLOCK] @ x.T
                 for i in range(len(s)):
                     s[i, ~np.isin(kinds, visits[a + i])[of]] = -np.inf
-                few = min(2 * k + 2, s.shape[1])
-                best = np.argpartition(-s, few - 1, axis=1)[:, :few]
-                for i, cand in enumerate(best):
-                    cand = cand[np.isfinite(s[i, cand])]
+                # every vector that ties with the last place within rounding stays until exact scores and ids decide; a shard can hold
+                # a vector once for each table
+                few = min(TABLES * (k + 1), s.shape[1])
+                least = np.partition(s, s.shape[1] - few, axis=1)[:, s.shape[1] - few]
+                least = least - 1e-12 * longest * np.sqrt((q[a : a + QUERY_BLOCK] ** 2).sum(1))
+                for i in range(len(s)):
+                    cand = np.flatnonzero((s[i] >= least[i]) & np.isfinite(s[i]))
                     exact = (x[cand] * q[a + i]).sum(1)  # equal vectors get equal scores, wherever they stand
                     me = names[a + i]
                     seen = sorted({(-v, j) for v, c in zip(exact.tolist(), cand.tolist(), strict=True) for j in ids[c] if j != me})[:k]
