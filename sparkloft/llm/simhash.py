@@ -17,8 +17,9 @@ SHINGLE = 3
 RADIUS = 3
 SHARD = 65536  # fingerprints aimed at in a shard: a few seconds of search, and each level of shards sends three in ten twice
 LEAF = 768  # fingerprints below which a shard's own tree compares all
-SAMPLE = 8192  # fingerprints that set the thresholds of the upper nodes
-KNOWN_LEVELS = 8  # levels whose thresholds come from the sample
+SAMPLE = 8192  # fingerprints that set the thresholds of the upper nodes, twice as many for each level from the ninth on
+MOST_SAMPLED = 1 << 18  # and at most
+BROADCAST_ROWS = 200_000  # sizes of overfull shards (16 bytes each) that are broadcast at most
 MAX_LEVELS = 40
 BLOCK = 1 << 20  # words hashed at once
 
@@ -88,7 +89,7 @@ def thresholds(sample: np.ndarray) -> dict[int, int]:
     out, todo = {}, [(0, sample, 0)]
     while todo:
         node, fp, level = todo.pop()
-        if level >= KNOWN_LEVELS or len(fp) < 32:
+        if len(fp) < 32 or level >= MAX_LEVELS:
             continue
         d = np.bitwise_count(fp ^ vantage(np.array([node]))[0])
         out[node] = t = balance(d)
@@ -150,6 +151,22 @@ def _links(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": rep[found], "dst": rep[label[found]]}).drop_duplicates()
 
 
+def _blocks(shards: DataFrame) -> DataFrame:
+    """Overfull shards (fingerprints too close together for the vantage points to part) as pairs of blocks: (..., low, high).
+
+    A fingerprint of an overfull shard goes to every pair that its block is in, so each two fingerprints still meet and no task holds
+    more than two blocks.
+    """
+    full = shards.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD)
+    full = checkpointed(full.select("shard", F.ceil(F.col("n") / SHARD).cast("int").alias("blocks")))
+    n = full.count()
+    if not n:
+        return shards.withColumns({"low": F.lit(0), "high": F.lit(0)})
+    dealt = shards.join(F.broadcast(full) if n <= BROADCAST_ROWS else full, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("shard", "fp", "rep", "visits", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs`` (doc_id long, text string; more columns are ignored).
 
@@ -168,7 +185,8 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     levels = max(0, min(MAX_LEVELS - 1, math.ceil(math.log(max(n, 1) / SHARD) / math.log(1 / 0.65)))) if n > SHARD else 0
     known: dict[int, int] = {}
     if levels:
-        sample = [r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+        size = min(MOST_SAMPLED, SAMPLE << max(0, levels - 8))
+        sample = [r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()]
         known = thresholds(np.array(sample, np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(known)
 
@@ -178,7 +196,11 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"shard": shard, "fp": pdf["fp"].to_numpy()[row], "rep": pdf["rep"].to_numpy()[row], "visits": visits.view(np.int64)})
 
     shards = nodes.mapInPandas(routed, "shard long, fp long, rep long, visits long")
-    parts = connected_components(shards.groupBy("shard").applyInPandas(_links, "src long, dst long"))
+    if levels:
+        shards = _blocks(shards)
+    else:
+        shards = shards.withColumns({"low": F.lit(0), "high": F.lit(0)})
+    parts = connected_components(shards.groupBy("shard", "low", "high").applyInPandas(_links, "src long, dst long"))
     named = nodes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
