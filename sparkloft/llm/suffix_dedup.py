@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloft.llm.common import small_batches, trim
+from sparkloft.llm.common import small_batches, trim, written
 
 SPAN = 50
 GRAM = 20
@@ -25,9 +25,12 @@ SHARD_BYTES = 4 << 20  # text aimed at in a shard of documents
 SUFFIX_BYTES = 512 << 10  # text under one suffix array; sorting it takes some sixty times as much memory
 SEGMENT = 1 << 16  # window starts hashed at once: their arrays stay in a core's cache
 RUN = 256  # most windows in a run
+GROUP = 4096  # document shards from which on a bucket's text is put together by groups of so many shards first
 NO_ID = np.iinfo(np.int64).max  # a null doc_id counts as larger than any other
 
-_FOUND = "bucket int, shard int, done boolean, lens binary, ids binary, rows binary, offs binary, data binary"
+_VALUES = "bucket long, shard int, data binary"
+_SPANS = "shard int, rows binary, offs binary, lens binary"
+_FOUND = "bucket long, shard int, done boolean, lens binary, ids binary, rows binary, offs binary, data binary"
 
 
 def _hashes(t: np.ndarray) -> np.ndarray:
@@ -300,9 +303,22 @@ def _row(bucket: int, shard: int, done: bool, lens, ids, rows, offs, data: bytes
     return {"bucket": bucket, "shard": shard, "done": done, "lens": _put(lens), "ids": _put(ids, "<i8"), "rows": _put(rows), "offs": _put(offs), "data": data}
 
 
-_FOUND_ARROW = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("done", pa.bool_()), *((c, pa.binary()) for c in ("lens", "ids", "rows", "offs", "data"))])
+_FOUND_ARROW = pa.schema([("bucket", pa.int64()), ("shard", pa.int32()), ("done", pa.bool_()), *((c, pa.binary()) for c in ("lens", "ids", "rows", "offs", "data"))])
 _SPANS_ARROW = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("rows", "offs", "lens"))])
-_VALUES_ARROW = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("data", pa.binary())])
+_VALUES_ARROW = pa.schema([("bucket", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
+
+
+def _by_bucket(value: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
+    """Sorted minimisers by their highest bits."""
+    if not len(value):
+        return []
+    bucket = (value >> np.uint64(48 - bits)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    return list(zip(bucket[np.concatenate([[0], cut])].tolist(), np.split(value, cut), strict=True))
+
+
+def _values_table(found: list[tuple[int, int, np.ndarray]]) -> pa.Table:
+    return pa.Table.from_pydict({"bucket": [b for b, _, _ in found], "shard": [s for _, s, _ in found], "data": [_packed(v) for _, _, v in found]}, _VALUES_ARROW)
 
 
 def _minimisers(bits: int):
@@ -311,31 +327,50 @@ def _minimisers(bits: int):
         text = Text(table)
         _, _, value, row = text.runs()
         value, _ = text.values(value, row)
-        cut = np.searchsorted(value, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(48 - bits))
-        parts = np.split(value, cut)
-        full = [(b, v) for b, v in enumerate(parts) if len(v)]
         del text, row
         trim()
-        return pa.Table.from_pydict({"bucket": [b for b, _ in full], "shard": [shard] * len(full), "data": [_packed(v) for _, v in full]}, _VALUES_ARROW)
+        return _values_table([(b, shard, v) for b, v in _by_bucket(value, bits)])
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of the minimisers of a bucket, those that two shards have, for each shard."""
-    blobs = table.column("data").to_pylist()
+def _twice(blobs: list[bytes]) -> list[np.ndarray]:
+    """Of several sets of minimisers, those of each that another one has too."""
     sizes = np.cumsum([len(b) // 6 for b in blobs])
     value = _unpacked(blobs)
     order = np.argsort(value, kind="stable")
     v = value[order]
     same = v[1:] == v[:-1]
     twice = np.zeros(len(v), bool)
-    twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(v) else False
-    shards, out = table.column("shard").to_pylist(), []
-    for s, a, b in zip(shards, [0, *sizes[:-1]], sizes, strict=True):
-        if twice[a:b].any():
-            out.append((s, _packed(value[a:b][twice[a:b]])))
-    return pa.Table.from_pydict({"bucket": [0] * len(out), "shard": [s for s, _ in out], "data": [d for _, d in out]}, _VALUES_ARROW)
+    if len(v):
+        twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    return [value[a:b][twice[a:b]] for a, b in zip([0, *sizes[:-1]], sizes, strict=True)]
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of the minimisers of a bucket, those that two shards have, for each shard."""
+    bucket, shards = table.column("bucket")[0].as_py(), table.column("shard").to_pylist()
+    return _values_table([(bucket, s, v) for s, v in zip(shards, _twice(table.column("data").to_pylist()), strict=True) if len(v)])
+
+
+def _together(table: pa.Table) -> pa.Table:
+    """The different minimisers of a bucket in a group of shards, as if the group were a shard."""
+    value = np.unique(_unpacked(table.column("data").to_pylist()))
+    return _values_table([(table.column("bucket")[0].as_py(), table.column("group")[0].as_py(), value)])
+
+
+def _shared_within(table: pa.Table, across: pa.Table) -> pa.Table:
+    """Of the minimisers of a bucket, those that another shard of the group or another group has, for each shard of the group."""
+    if not table.num_rows:
+        return _VALUES_ARROW.empty_table()
+    blobs, other = table.column("data").to_pylist(), np.sort(_unpacked(across.column("data").to_pylist()))
+    out = []
+    for s, blob, here in zip(table.column("shard").to_pylist(), blobs, _twice(blobs), strict=True):
+        v = _unpacked([blob])
+        there = v[other[np.minimum(np.searchsorted(other, v), len(other) - 1)] == v] if len(other) else v[:0]
+        if len(v := np.union1d(here, there)):
+            out.append((table.column("bucket")[0].as_py(), s, v))
+    return _values_table(out)
 
 
 def _candidates(bits: int):
@@ -367,7 +402,7 @@ def _candidates(bits: int):
                 sent.setdefault(k, []).append((c, i, r, a - base[r]))
         if row_now >= 0:
             done.append((row_now, from_now - base[row_now], to_now - base[row_now]))
-        out = [_row(shard % (1 << bits), shard, True, [e - s for _, s, e in done], [], [r for r, _, _ in done], [s for _, s, _ in done], b"")] if done else []
+        out = [_row(shard, shard, True, [e - s for _, s, e in done], [], [r for r, _, _ in done], [s for _, s, _ in done], b"")] if done else []
         for k, x in sent.items():
             out.append(_row(k, shard, False, [len(c) for c, *_ in x], [i for _, i, _, _ in x], [r for _, _, r, _ in x], [o for *_, o in x], b"".join(c for c, *_ in x)))
         found = pa.Table.from_pylist(out, _FOUND_ARROW)
@@ -378,16 +413,13 @@ def _candidates(bits: int):
     return run
 
 
-def _decide(table: pa.Table) -> pa.Table:
-    """Of the runs in a bucket, which bytes a document with a smaller id holds too."""
-    out, runs = [], []
+def _runs(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[tuple[int, int, int, int, int]]]:
+    """The different runs of a bucket, in the order of shards, with the least id that has each; and where each stands: (shard, run, id, row, offset)."""
     index: dict[bytes, int] = {}
     texts: list[bytes] = []
     least: list[int] = []
-    for x in table.to_pylist():
-        if x["done"]:
-            out.append({k: x[k] for k in ("shard", "rows", "offs", "lens")})
-            continue
+    places = []
+    for x in sorted(table.to_pylist(), key=lambda x: x["shard"]):
         at = 0
         for n, i, r, o in zip(*(_get([x[c]], "<i8" if c == "ids" else "<i4").tolist() for c in ("lens", "ids", "rows", "offs")), strict=True):
             c = x["data"][at : at + n]
@@ -398,20 +430,62 @@ def _decide(table: pa.Table) -> pa.Table:
                 least.append(i)
             elif i < least[k]:
                 least[k] = i
-            runs.append((x["shard"], k, i, r, o))
-    lost_by_least = lost_spans(texts, np.array(least, np.int64))  # all other holders of a text lose the whole of it
+            places.append((x["shard"], k, i, r, o))
+    return texts, np.array(least, np.int64), places
+
+
+def _spans(texts: list[bytes], least: np.ndarray, places: list, lost_by_least: dict[int, list[tuple[int, int]]]) -> dict[int, list[tuple[int, int, int]]]:
+    """By shard the (row, start, end) that go: all other holders of a run lose the whole of it, the least one what others have."""
     spans: dict[int, list] = {}
-    for s, k, i, r, o in runs:
+    for s, k, i, r, o in places:
         if least[k] < i:
             spans.setdefault(s, []).append((r, o, o + len(texts[k])))
         elif k in lost_by_least:
             spans.setdefault(s, []).extend([(r, o + a, o + b) for a, b in lost_by_least[k]])
+    return spans
+
+
+def _spans_table(spans: dict[int, list[tuple[int, int, int]]], done: list[dict]) -> pa.Table:
+    out = [{k: x[k] for k in ("shard", "rows", "offs", "lens")} for x in done]
     for s, x in spans.items():
         x = _joined(x)
         out.append({"shard": s, "rows": _put([r for r, _, _ in x]), "offs": _put([a for _, a, _ in x]), "lens": _put([b - a for _, a, b in x])})
     return pa.Table.from_pylist(out, _SPANS_ARROW)
 
 
+def _decide(table: pa.Table) -> pa.Table:
+    """Of the runs in a bucket, which bytes a document with a smaller id holds too."""
+    done = table.column("done").to_numpy(zero_copy_only=False)
+    texts, least, places = _runs(table.filter(pa.array(~done)))
+    return _spans_table(_spans(texts, least, places, lost_spans(texts, least)), table.filter(pa.array(done)).to_pylist())
+
+
+def _decide_between(table: pa.Table) -> pa.Table:
+    """The same between groups of shards; the bucket comes along."""
+    out = _decide(table)
+    return out.add_column(0, "bucket", pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int64()))
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """The different runs of a bucket in a group of shards with their least ids, as if the group were a shard and each run a row."""
+    texts, least, _ = _runs(table)
+    bucket, group = table.column("bucket")[0].as_py(), table.column("group")[0].as_py()
+    row = _row(bucket, group, False, list(map(len, texts)), least, range(len(texts)), [0] * len(texts), b"".join(texts))
+    return pa.Table.from_pylist([row], _FOUND_ARROW)
+
+
+def _hand_out(table: pa.Table, across: pa.Table) -> pa.Table:
+    """What the shards of a group lose in a bucket, from what the group's runs lose to other runs of the bucket."""
+    if not table.num_rows:
+        return _SPANS_ARROW.empty_table()
+    done = table.column("done").to_numpy(zero_copy_only=False)
+    texts, least, places = _runs(table.filter(pa.array(~done)))
+    lost: dict[int, list[tuple[int, int]]] = {}
+    for k, a, n in zip(*(_get(across.column(c).to_pylist()).tolist() for c in ("rows", "offs", "lens")), strict=True):
+        lost.setdefault(k, []).append((a, a + n))
+    return _spans_table(_spans(texts, least, places, lost), table.filter(pa.array(done)).to_pylist())
+
+
 def _lost(docs: pa.Table, spans: pa.Table):
     """The shard's text and each row's removed (start, end), merged."""
     text = Text(docs)
@@ -459,16 +533,32 @@ def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
 
 
 def _removed(docs: DataFrame):
-    """``docs`` dealt into shards of documents, and the spans that each shard loses."""
+    """``docs`` dealt into shards of documents, and the spans that each shard loses.
+
+    Shards and buckets grow in number with the text, so what one task holds does not. A string that very many shards have, as
+    boilerplate does, meets in two steps where there are more than GROUP shards: each group of shards puts its own together first, the
+    bucket decides between groups, and each group hands the answer to its shards.
+    """
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     shards = max(1, math.ceil(((size or 0) + 64 * rows) / SHARD_BYTES))
-    bits = min(14, max(4, math.ceil(math.log2(shards)) + 2))  # buckets of about as much candidate text as one suffix array takes
+    bits = min(48, max(4, math.ceil(math.log2(shards)) + 2))  # buckets of about as much candidate text as one suffix array takes
     small_batches(docs.sparkSession)
     whole = docs.withColumn("__shard", F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(shards)).cast("int"))
-    values = whole.groupBy("__shard").applyInArrow(_minimisers(bits), "bucket int, shard int, data binary")
-    shared = values.groupBy("bucket").applyInArrow(_shared, "bucket int, shard int, data binary")
+    values = whole.groupBy("__shard").applyInArrow(_minimisers(bits), _VALUES)
+    group = F.floor(F.col("shard") / GROUP).cast("int").alias("group")
+    if shards > GROUP:
+        values = written(values.select("*", group), "minimisers")
+        across = values.groupBy("bucket", "group").applyInArrow(_together, _VALUES).groupBy("bucket").applyInArrow(_shared, _VALUES)
+        shared = values.groupBy("bucket", "group").cogroup(across.groupBy("bucket", "shard")).applyInArrow(_shared_within, _VALUES)
+    else:
+        shared = values.groupBy("bucket").applyInArrow(_shared, _VALUES)
     found = whole.groupBy("__shard").cogroup(shared.groupBy("shard")).applyInArrow(_candidates(bits), _FOUND)
-    spans = found.groupBy("bucket").applyInArrow(_decide, "shard int, rows binary, offs binary, lens binary")
+    if shards > GROUP:
+        found = written(found.select("*", group), "runs")
+        across = found.where("not done").groupBy("bucket", "group").applyInArrow(_gather, _FOUND).groupBy("bucket").applyInArrow(_decide_between, f"bucket long, {_SPANS}")
+        spans = found.groupBy("bucket", "group").cogroup(across.groupBy("bucket", "shard")).applyInArrow(_hand_out, _SPANS)
+    else:
+        spans = found.groupBy("bucket").applyInArrow(_decide, _SPANS)
     return whole, spans
 
 

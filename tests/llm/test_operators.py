@@ -84,6 +84,22 @@ def test_vantage_shards_find_all_links():
     assert (found == label).all()
 
 
+def test_simhash_overfull_shards(spark, monkeypatch):
+    """Texts whose fingerprints lie close together: no vantage point parts them, pairs of blocks do."""
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(300)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(300)] = f"x{rng.randint(0, 50)}"
+        rows.append((i, "s", " ".join(w)))
+    want = brute.near_duplicates([(i, t) for i, _, t in rows])
+    monkeypatch.setattr(simhash, "SHARD", 12)
+    got = simhash.simhash_groups(table(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) < 160
+
+
 def test_suffix_dedup(spark, odd, monkeypatch):
     rng = random.Random(9)
     rows = [(i, s, t) for i, s, t in odd]
@@ -97,6 +113,9 @@ def test_suffix_dedup(spark, odd, monkeypatch):
         kept = np.frombuffer(texts[i], np.uint8)[~m].tobytes()
         runs = int((np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum())
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(m), int(m.sum()), runs, hashlib.sha256(kept).hexdigest()), i
+    monkeypatch.setattr(suffix_dedup, "GROUP", 2)  # buckets are decided between groups of shards
+    again = {r["doc_id"]: r for r in suffix_dedup.passage_digests(table(spark, rows)).collect()}
+    assert again == got
     cut = suffix_dedup.cut_repeats(table(spark, rows))
     assert cut.columns == table(spark, rows).columns
     for r in cut.collect():
@@ -246,6 +265,18 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_neighbours_ties(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.full((300, 1), 1.0), rng.choice([-1.0, 1.0], size=(300, 11)) * 0.001], 1)
+    x[:, 1:] -= 0  # different vectors that all have the same product with the query
+    rows = [(1000, [1.0] + [0.0] * 11)] + [(i + 1, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df, F.col("vec_id") == 1000).orderBy("rank").collect()
+    codes = ann.buckets(ann.lift(np.array([v for _, v in rows]), float(np.sqrt((x * x).sum(1).max()))))
+    assert [r["score"] for r in got] == [1.0] * 20 and (len(np.unique(codes)) > 2 or [r["vec_id"] for r in got] == list(range(1, 21)))
+    assert [r["vec_id"] for r in got] == sorted(r["vec_id"] for r in got)
+
+
 def test_nearest_neighbours_fill_up(spark):
     rng = np.random.default_rng(5)
     tables = [rng.normal(size=(n, 64)) for n in (*range(5, 22), 400)]
