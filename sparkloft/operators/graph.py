@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from sparkloft.functions.text import prefix_swap
+from sparkloft.storage import checkpointed
+
 # Fixed vocabulary: the predicates along which a change has an impact.
 IMPACT_PREDICATES = ("calls", "imports", "references", "depends_on", "handled_by", "extends", "implements", "decorated_by", "defined_in")
 # Words of over three letters that a question is put together with; they name nothing.
@@ -42,18 +45,38 @@ def degrees(edges: DataFrame) -> DataFrame:
     return endpoints(edges.where(valid())).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def triplets(nodes: DataFrame, edges: DataFrame, names=None, labels=None, as_of: str | None = None, include_invalid: bool = False, include_sensitive: bool = False) -> DataFrame:
-    """(subject, predicate, object, valid_from, valid_until, source_id, target_id) of edges whose ends are both there and visible."""
+def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with an end among ``ids`` (id), each once: two equi-joins, the second without what the first has found."""
+    ends = ids.select(F.col("id").alias("__end")).distinct()
+    from_them = edges.join(ends, edges["source_id"] == ends["__end"], "left_semi")
+    to_them = edges.join(ends, edges["target_id"] == ends["__end"], "left_semi").join(ends, edges["source_id"] == ends["__end"], "left_anti")
+    return from_them.unionByName(to_them)
+
+
+def named_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with subject, subject_type, object and object_type; those with an end that is not among the nodes go."""
+    s = nodes.select(F.col("id").alias("source_id"), F.col("name").alias("subject"), F.col("label").alias("subject_type"))
+    t = nodes.select(F.col("id").alias("target_id"), F.col("name").alias("object"), F.col("label").alias("object_type"))
+    return edges.withColumnRenamed("label", "predicate").join(s, "source_id").join(t, "target_id")
+
+
+def triplets(
+    nodes: DataFrame, edges: DataFrame, names=None, labels=None, as_of: str | None = None, include_invalid: bool = False, include_sensitive: bool = False
+) -> DataFrame:
+    """(subject, predicate, object, valid_from, valid_until, source_id, target_id) of edges whose ends are both there and visible.
+
+    ``names``: a list, or a DataFrame (name); edges with an end of such a name. They are found before the nodes are joined.
+    """
     e = edges.where(valid(as_of, include_invalid))
     if labels:
         e = e.where(F.col("label").isin(*labels))
     n = visible(nodes, include_sensitive)
-    s = n.select(F.col("id").alias("source_id"), F.col("name").alias("subject"), F.col("label").alias("subject_type"))
-    t = n.select(F.col("id").alias("target_id"), F.col("name").alias("object"), F.col("label").alias("object_type"))
-    out = e.withColumnRenamed("label", "predicate").join(s, "source_id").join(t, "target_id")
-    if names is not None:
-        out = out.where(F.col("subject").isin(*names) | F.col("object").isin(*names)) if isinstance(names, (list, tuple, set)) else out.join(F.broadcast(names.select(F.col("name").alias("__n"))), (F.col("subject") == F.col("__n")) | (F.col("object") == F.col("__n")), "left_semi")
-    return out.select("subject", "subject_type", "predicate", "object", "object_type", "valid_from", "valid_until", "source_id", "target_id")
+    if isinstance(names, DataFrame):
+        e = touching(e, n.join(names.select("name").distinct(), "name", "left_semi").select("id"))
+    elif names is not None:
+        e = touching(e, n.where(F.col("name").isin(*names)).select("id"))
+    columns = ("subject", "subject_type", "predicate", "object", "object_type", "valid_from", "valid_until", "source_id", "target_id")
+    return named_ends(e, n).select(*columns)
 
 
 def search_nodes(nodes: DataFrame, edges: DataFrame, text: str, limit: int = 25, domains=(), include_sensitive: bool = False) -> DataFrame:
@@ -77,18 +100,56 @@ def neighbors(nodes: DataFrame, edges: DataFrame, ids, limit: int = 200) -> Data
     return e.select("id", "source_id", "label", "target_id").orderBy("id").limit(limit)
 
 
-def timeline(nodes: DataFrame, edges: DataFrame, name: str, include_sensitive: bool = False) -> DataFrame:
-    """(subject, predicate, object, valid_from, valid_until, valid): all edges of the nodes of that name, oldest first.
+def neighborhood(nodes: DataFrame, edges: DataFrame, ids, limit: int = 200, domains=()) -> tuple[DataFrame, DataFrame]:
+    """The given nodes' open edges, ``limit`` at most, and the nodes at them (id, name, label, degree).
 
-    Source and target matches are two equi-joins, not one join on either end.
+    With ``domains`` both ends of an edge must lie in one of them; a degree counts all open edges.
     """
+    e = edges.where(valid()).where(F.col("source_id").isin(*ids) | F.col("target_id").isin(*ids))
+    if domains:
+        inside = nodes.where(F.col("domain").isin(*domains)).select("id")
+        for end in ("source_id", "target_id"):
+            e = e.join(inside.withColumnRenamed("id", end), end, "left_semi")
+    e = e.select("id", "source_id", "label", "target_id").orderBy("id").limit(limit)
+    near = e.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    return e, with_degrees(nodes.join(near, "id", "left_semi"), edges)
+
+
+def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, name, label, degree) of some nodes; only edges at them are counted."""
+    found = degrees(touching(edges.where(valid()), nodes.select("id"))).withColumnRenamed("node", "id")
+    return nodes.join(found, "id", "left").select("id", "name", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def node_by_id(nodes: DataFrame, node_id: str) -> DataFrame:
+    return nodes.where(F.col("id") == node_id)
+
+
+def nodes_by_name(nodes: DataFrame, name: str, domains=(), limit: int = 25) -> DataFrame:
+    """Nodes of just that name, by id."""
+    found = nodes.where(F.col("name") == name)
+    return (found.where(F.col("domain").isin(*domains)) if domains else found).orderBy("id").limit(limit)
+
+
+def nodes_by_label(nodes: DataFrame, label: str, contains: str | None = None, limit: int = 100) -> DataFrame:
+    """Nodes of a label whose name holds a text, case ignored, by name."""
+    found = nodes.where(F.col("label") == label)
+    if contains:
+        found = found.where(F.contains(F.lower("name"), F.lit(contains.lower())))
+    return found.orderBy("name", "id").limit(limit)
+
+
+def decision_nodes(nodes: DataFrame, text: str) -> DataFrame:
+    """Decisions of just that text, white space at the ends and case ignored."""
+    return nodes.where((F.col("label") == "Decision") & (F.lower(F.trim("name")) == text.strip().lower()))
+
+
+def timeline(nodes: DataFrame, edges: DataFrame, name: str, include_sensitive: bool = False) -> DataFrame:
+    """(subject, predicate, object, valid_from, valid_until, valid): all edges of the nodes of that name, oldest first."""
     n = visible(nodes, include_sensitive)
-    mine = n.where(F.col("name") == name).select("id")
-    at = edges.join(F.broadcast(mine.select(F.col("id").alias("source_id"))), "source_id", "left_semi").unionByName(edges.join(F.broadcast(mine.select(F.col("id").alias("target_id"))), "target_id", "left_semi")).dropDuplicates(["id"])
-    s = n.select(F.col("id").alias("source_id"), F.col("name").alias("subject"))
-    t = n.select(F.col("id").alias("target_id"), F.col("name").alias("object"))
-    out = at.join(s, "source_id").join(t, "target_id")
-    return out.select("subject", F.col("label").alias("predicate"), "object", "valid_from", "valid_until", F.col("valid_until").isNull().alias("valid")).orderBy("valid_from", "subject", "predicate", "object")
+    out = named_ends(touching(edges, n.where(F.col("name") == name).select("id")), n)
+    columns = ("subject", "predicate", "object", "valid_from", "valid_until", F.col("valid_until").isNull().alias("valid"))
+    return out.select(*columns).orderBy("valid_from", "subject", "predicate", "object")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -121,27 +182,72 @@ def impact(edges: DataFrame, node_id: str, max_depth: int = 3, predicates=IMPACT
     return seen.where("depth > 0").orderBy("depth", "id").limit(limit)
 
 
-def shortest_path_length(edges: DataFrame, src: str, dst: str, max_depth: int = 6) -> int | None:
-    """Hops between two nodes over open edges, either way; stops at the level that reaches the target."""
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """(a, b, edge): open edges, walked either way."""
     e = edges.where(valid())
-    both = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(e.select("target_id", "source_id")).distinct()
-    if src == dst:
-        return 0
-    session = edges.sparkSession
-    seen = session.createDataFrame([(src,)], "id string")
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        frontier = both.join(frontier, both["a"] == frontier["id"]).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
-        if session.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()
-        if frontier.where(F.col("id") == dst).limit(1).count():
-            return depth
+    there = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("id").alias("edge"))
+    return there.unionByName(e.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), F.col("id").alias("edge"))).where("a <> b")
+
+
+def _walk(edges: DataFrame, src: str, dst: str, max_depth: int) -> list[DataFrame] | None:
+    """By level, the steps (a, b, edge) that reach nodes for the first time, up to the level that reaches ``dst``; None if none does.
+
+    A level is one join of the frontier with the edges. Each is checkpointed, so that the next one neither repeats nor depends on it.
+    """
+    both = _both_ways(edges)
+    frontier = edges.sparkSession.createDataFrame([(src,)], "id string")
+    seen, steps = frontier, []
+    for _ in range(max_depth):
+        step = both.join(frontier.select(F.col("id").alias("a")), "a").join(seen.select(F.col("id").alias("b")), "b", "left_anti")
+        steps.append(checkpointed(step.select("a", "b", "edge")))
+        frontier = steps[-1].select(F.col("b").alias("id")).distinct()
+        if not frontier.where(F.col("id") == dst).isEmpty():
+            return steps
         if frontier.isEmpty():
             return None
-        seen = seen.union(frontier)
+        seen = seen.unionByName(frontier)
     return None
 
 
+def shortest_path_length(edges: DataFrame, src: str, dst: str, max_depth: int = 6) -> int | None:
+    """Hops between two nodes over open edges, either way; stops at the level that reaches the target."""
+    if src == dst:
+        return 0
+    steps = _walk(edges, src, dst, max_depth)
+    return None if steps is None else len(steps)
+
+
+def shortest_paths(nodes: DataFrame, edges: DataFrame, src: str, dst: str, max_depth: int = 6, limit: int = 5, domains=()) -> DataFrame:
+    """(path, nodes, edges, length): up to ``limit`` shortest paths between two nodes over open edges, either way.
+
+    nodes and edges list ids from ``src`` on. Parallel edges make paths of their own. Which paths stay, and their numbers, go by the
+    ids of nodes and edges, read from the target back. With ``domains`` both ends of an edge must lie in one of them. No path, or an
+    end that is no node: no rows.
+    """
+    spark = edges.sparkSession
+    none = "path int, nodes array<string>, edges array<string>, length int"
+    ends = nodes.where(F.col("id").isin(src, dst)).select("id").distinct().count()
+    if ends < len({src, dst}):
+        return spark.createDataFrame([], none)
+    if src == dst:
+        return spark.createDataFrame([(1, [src], [], 0)], none)
+    if domains:
+        inside = nodes.where(F.col("domain").isin(*domains)).select("id")
+        for end in ("source_id", "target_id"):
+            edges = edges.join(inside.withColumnRenamed("id", end), end, "left_semi")
+    steps = _walk(edges, src, dst, max_depth)
+    if steps is None:
+        return spark.createDataFrame([], none)
+    back = spark.createDataFrame([(dst, [dst], [])], "at string, back array<string>, over array<string>")
+    for step in reversed(steps):  # every node of a level leads back to the source, so a cut to ``limit`` loses none of the first ones
+        back = back.join(step, back["at"] == step["b"]).select(
+            F.col("a").alias("at"), F.concat("back", F.array("a")).alias("back"), F.concat("over", F.array("edge")).alias("over")
+        )
+        back = back.orderBy("back", "over").limit(max(1, limit))
+    place = F.row_number().over(W.Window.orderBy("back", "over"))  # of at most ``limit`` rows
+    return back.select(place.alias("path"), F.reverse("back").alias("nodes"), F.reverse("over").alias("edges"), F.lit(len(steps)).alias("length"))
+
+
 def levels(edges: DataFrame, src: str, max_depth: int = 3) -> DataFrame:
     """(id, depth) of the nodes within ``max_depth`` hops, either way, at their first depth."""
     e = edges.where(valid())
@@ -164,21 +270,67 @@ def query_entities(text: str) -> list[str]:
     return list(dict.fromkeys(named + plain))[:10]
 
 
+def _matches(nodes: DataFrame, edges: DataFrame, text: str, include_sensitive: bool) -> DataFrame | None:
+    """(pos, entity, low, subject, ..., edge columns): open edges of the nodes that a question's names match, for each name.
+
+    A name stands for the MAX_NODES nodes of highest degree whose names hold it. All names are matched in one pass: they are ten at most.
+    """
+    names = query_entities(text)
+    if not names:
+        return None
+    spark, n, open_edges = nodes.sparkSession, visible(nodes, include_sensitive), edges.where(valid())
+    asked = spark.createDataFrame([(i, x, x.lower()) for i, x in enumerate(names)], "pos int, entity string, low string")
+    hit = n.join(F.broadcast(asked), F.contains(F.lower("name"), F.col("low")))
+    hit = hit.join(degrees(edges).withColumnRenamed("node", "id"), "id", "left")
+    best = F.row_number().over(W.Window.partitionBy("pos").orderBy(F.coalesce("degree", F.lit(0)).desc(), "name", "id"))
+    found = hit.withColumn("__best", best).where(F.col("__best") <= MAX_NODES).select("pos", "entity", "low", "name").distinct()
+    ids = n.join(F.broadcast(found), "name").select("pos", "entity", "low", F.col("id").alias("__end"))  # at most ten times MAX_NODES names
+    sides = [open_edges.join(ids, open_edges[end] == ids["__end"]).drop("__end") for end in ("source_id", "target_id")]
+    rows = named_ends(sides[0].unionByName(sides[1]), n)
+    return rows.where(F.contains(F.lower("subject"), F.col("low")) | F.contains(F.lower("object"), F.col("low")))
+
+
 def graph_query(nodes: DataFrame, edges: DataFrame, text: str, k: int = 10, include_sensitive: bool = False) -> DataFrame:
     """(entity, subject, predicate, object): edges of the nodes that a question's names match, one hop, at most k a name and k in all."""
-    out = None
-    for i, name in enumerate(query_entities(text)):
-        found = search_nodes(nodes, edges, name, MAX_NODES, include_sensitive=include_sensitive).select("name").distinct()
-        low = name.lower()
-        t = triplets(nodes, edges, found, include_sensitive=include_sensitive).select("subject", "predicate", "object").distinct()
-        t = t.where(F.contains(F.lower("subject"), F.lit(low)) | F.contains(F.lower("object"), F.lit(low))).orderBy("subject", "predicate", "object").limit(k)
-        t = t.select(F.lit(i).alias("pos"), F.lit(name).alias("entity"), "subject", "predicate", "object")
-        out = t if out is None else out.unionByName(t)
-    if out is None:
+    rows = _matches(nodes, edges, text, include_sensitive)
+    if rows is None:
         return nodes.sparkSession.createDataFrame([], "entity string, subject string, predicate string, object string")
-    w = W.Window.partitionBy("subject", "predicate", "object").orderBy("pos")
-    out = out.withColumn("n", F.row_number().over(w)).where("n = 1")
-    return out.orderBy("pos", "subject", "predicate", "object").limit(k).select("entity", "subject", "predicate", "object")
+    triple = ("subject", "predicate", "object")
+    rows = rows.select("pos", "entity", *triple).distinct()
+    rows = rows.withColumn("n", F.row_number().over(W.Window.partitionBy("pos").orderBy(*triple))).where(F.col("n") <= k)
+    rows = rows.withColumn("n", F.row_number().over(W.Window.partitionBy(*triple).orderBy("pos"))).where("n = 1")
+    return rows.orderBy("pos", *triple).limit(k).select("entity", *triple)
+
+
+def graph_chunks(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, text: str, k: int = 10, include_sensitive: bool = False, entity_types=(), relations=()) -> DataFrame:
+    """Chunks behind the edges that a question's names match: all columns of chunks, score, entity, subject, predicate, object, path.
+
+    edges: (..., chunk_id, weight); a missing weight is 1. A name keeps its k heaviest different triples; a chunk (or, without one, a
+    path) counts once, at the first name that has it; the heaviest k follow, and those whose chunk exists are the result.
+    With entity_types or relations three times as many are drawn first, and those of an asked type and relation stay.
+    """
+    rows = _matches(nodes, edges, text, include_sensitive)
+    extra = "score double, entity string, subject string, predicate string, object string, path string"
+    if rows is None:
+        return chunks.limit(0).select("*", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in extra.split(", ")])
+    drawn = 3 * k if entity_types or relations else k
+    triple = ("subject", "predicate", "object")
+    rows = rows.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    order = [F.desc("weight"), *triple, "chunk_id"]
+    once = F.row_number().over(W.Window.partitionBy("pos", *triple).orderBy(*order))
+    rows = rows.withColumn("n", once).where("n = 1")
+    rows = rows.withColumn("n", F.row_number().over(W.Window.partitionBy("pos").orderBy(*order))).where(F.col("n") <= drawn)
+    rows = rows.withColumn("path", F.concat_ws(" -> ", *triple)).withColumn("key", F.coalesce("chunk_id", "path"))
+    first = F.row_number().over(W.Window.partitionBy("key").orderBy("pos", "n"))
+    rows = rows.withColumn("first", first).where("first = 1").orderBy(F.desc("weight"), "pos", "n").limit(drawn)
+    kept = F.lit(True)
+    if entity_types:
+        kept &= F.col("subject_type").isin(*entity_types) | F.col("object_type").isin(*entity_types)
+    if relations:
+        kept &= F.lower("predicate").isin(*[r.lower() for r in relations])
+    hits = rows.where(kept).orderBy(F.desc("weight"), "pos", "n").limit(k)
+    hits = hits.select("chunk_id", F.col("weight").alias("score"), "entity", *triple, "path")
+    return chunks.join(F.broadcast(hits), "chunk_id")  # at most k rows
 
 
 def supersede(edges: DataFrame, superseded: DataFrame, at: str, history: tuple[str, ...] = ("superseded-by",)) -> DataFrame:
@@ -194,11 +346,13 @@ def invalidate_file(edges: DataFrame, source_file: str, at: str) -> DataFrame:
 
 
 def link_entities(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(mention, node_id): by node id, else by a name that only one node has."""
+    """(mention, node_id): by node id (path:name), else by the file of that path, else by a name that only one node has."""
     by_id = nodes.select(F.col("id").alias("mention"), F.col("id").alias("m1"))
-    unique = nodes.groupBy(F.col("name").alias("mention")).agg(F.count("*").alias("n"), F.min("id").alias("m2")).where("n = 1").drop("n")
-    out = mentions.join(by_id, "mention", "left").join(unique, "mention", "left")
-    return out.select("mention", F.coalesce("m1", "m2").alias("node_id"))
+    of_file = nodes.where("label = 'File'").groupBy(F.col("id").alias("__path")).agg(F.min("id").alias("m2"))
+    unique = nodes.groupBy(F.col("name").alias("mention")).agg(F.count("*").alias("n"), F.min("id").alias("m3")).where("n = 1").drop("n")
+    path = F.regexp_replace("mention", r":[^:/]*$", "")
+    out = mentions.join(by_id, "mention", "left").withColumn("__path", path).join(of_file, "__path", "left").join(unique, "mention", "left")
+    return out.select("mention", F.coalesce("m1", "m2", "m3").alias("node_id"))
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -228,14 +382,16 @@ def upsert_edges(old: DataFrame, new: DataFrame, now: str) -> DataFrame:
     return old.join(fresh.select("id"), "id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def sweep_empty_folders(nodes: DataFrame, edges: DataFrame, label: str = "Folder", inside: str = "in_folder") -> DataFrame:
-    """Nodes without the folders that hold nothing any more; repeated until no folder goes."""
-    while True:
-        held = edges.where(valid() & (F.col("label") == inside)).join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("id")).distinct()
+def sweep_empty_folders(nodes: DataFrame, edges: DataFrame, label: str = "Folder", inside: str = "in_folder", max_depth: int = 100) -> DataFrame:
+    """Nodes without the folders that hold nothing any more; repeated until no folder goes, as often as folders are nested at most."""
+    links = edges.where(valid() & (F.col("label") == inside)).select("source_id", "target_id")
+    for _ in range(max_depth):
+        held = links.join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("id")).distinct()
         empty = nodes.where(F.col("label") == label).join(held, "id", "left_anti").select("id")
         if empty.isEmpty():
-            return nodes
-        nodes = nodes.join(empty, "id", "left_anti")
+            break
+        nodes = checkpointed(nodes.join(empty, "id", "left_anti"))
+    return nodes
 
 
 def commit_edges(commits: DataFrame, files: DataFrame, most: int = 50) -> DataFrame:
@@ -281,3 +437,42 @@ def set_properties(nodes: DataFrame, changes: DataFrame) -> DataFrame:
 def project_people(people: DataFrame) -> DataFrame:
     """Nodes of people (id, name, kind, domain, sensitivity)."""
     return people.select(F.concat(F.lit("person:"), "id").alias("id"), F.coalesce("name", "id").alias("name"), F.lit("Author").alias("label"), "domain", "sensitivity")
+
+
+# Properties that the graph sets itself; those of a triple may not.
+RESERVED_PROPERTIES = ("id", "name", "label", "domain", "sensitivity", "valid_from", "valid_until")
+
+
+def triple_edges(triples: DataFrame, now: str) -> DataFrame:
+    """Edges (id, source_id, target_id, label, source_file, valid_from, valid_until, chunk_id, properties) of triples.
+
+    triples: (subject, predicate, object, source_file, chunk_id, properties map<string,string>). A triple that a chunk of a file states
+    twice is one edge; reserved properties are dropped; triples without a subject, predicate or object are none.
+    """
+    rows = triples.where("trim(subject) <> '' and trim(predicate) <> '' and trim(object) <> ''")
+    rows = rows.dropDuplicates(["chunk_id", "source_file", "subject", "predicate", "object"])
+    own = F.map_filter(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*RESERVED_PROPERTIES))
+    ends = (F.col("subject").alias("source_id"), F.col("object").alias("target_id"), F.col("predicate").alias("label"))
+    until = F.lit(None).cast("string").alias("valid_until")
+    made = (edge_id(F.col("subject"), F.col("predicate"), F.col("object")).alias("id"), *ends, "source_file", F.lit(now).alias("valid_from"), until, "chunk_id", own.alias("properties"))
+    return rows.select(*made)
+
+
+def replace_files(edges: DataFrame, new: DataFrame, now: str) -> DataFrame:
+    """Purge then write: the edges of the files that ``new`` has edges of give way to the new ones."""
+    files = new.select("source_file").where("source_file is not null").distinct()
+    return upsert_edges(edges.join(files, "source_file", "left_anti").select(*edges.columns), new, now)
+
+
+def rehome(nodes: DataFrame, edges: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after a project has moved: paths under the old root in ids, ends and source files; edge ids follow their ends."""
+    moved = lambda c: prefix_swap(F.col(c), old, new)
+    e = edges.withColumns({c: moved(c) for c in ("source_id", "target_id", "source_file") if c in edges.columns})
+    return nodes.withColumn("id", moved("id")), e.withColumn("id", edge_id(F.col("source_id"), F.col("label"), F.col("target_id")))
+
+
+def timeline_entity(nodes: DataFrame, edges: DataFrame, text: str, include_sensitive: bool = False) -> str | None:
+    """The node name that a phrase means: an exact match first, else the one of highest degree among five that hold it."""
+    found = search_nodes(nodes, edges, text, 5, include_sensitive=include_sensitive)
+    row = found.orderBy(F.desc(F.lower("name") == text.lower()), F.desc("degree"), "name").first()
+    return row["name"] if row else None

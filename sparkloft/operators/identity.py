@@ -51,3 +51,61 @@ def stale_marked(links: DataFrame, source_id: str, alive: DataFrame) -> DataFram
     live = alive.select(F.col("ref").alias("__r")).distinct()
     out = links.join(live, links["ref"] == live["__r"], "left")
     return out.withColumn("stale", F.col("stale") | (F.col("ref").startswith(source_id + "#") & F.col("__r").isNull())).drop("__r")
+
+
+def upsert_people(people: DataFrame, new: DataFrame) -> DataFrame:
+    """People (id, name, ...): a new row replaces the old one of its id; a null name keeps the known one."""
+    old = people.select(F.col("id").alias("__id"), F.col("name").alias("__name"))
+    fresh = new.dropDuplicates(["id"]).join(old, F.col("id") == F.col("__id"), "left").withColumn("name", F.coalesce("name", "__name")).drop("__id", "__name")
+    return people.join(new.select("id"), "id", "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def rename(people: DataFrame, person_id: str, name: str) -> DataFrame:
+    return people.withColumn("name", F.when(F.col("id") == person_id, F.lit(name)).otherwise(F.col("name")))
+
+
+ALIAS_KEY = ("surface", "scope", "person_id", "valid_from", "valid_to")
+
+
+def add_aliases(aliases: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds aliases that are not there yet: nulls equal each other, so adding one again changes nothing."""
+    fresh = new.dropDuplicates(list(ALIAS_KEY)).alias("n")
+    same = None
+    for c in ALIAS_KEY:
+        on = F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
+        same = on if same is None else same & on
+    return aliases.unionByName(fresh.join(aliases.alias("o"), same, "left_anti"), allowMissingColumns=True)
+
+
+def add_links(links: DataFrame, new: DataFrame) -> DataFrame:
+    """Links (id, ref, person_id, method, stale): a new one replaces that of its id and is live."""
+    fresh = new.dropDuplicates(["id"]).withColumn("stale", F.lit(False))
+    return links.join(fresh.select("id"), "id", "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def retract(links: DataFrame, link_id) -> DataFrame:
+    return links.where(~F.col("id").eqNullSafe(F.lit(link_id)))
+
+
+def backfill(links: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Links without a person take the one that their surface name means at their time, if it is just one.
+
+    links: (id, ref, person_id, surface, scope, at, ...); those that name a person already stay.
+    """
+    open_links = links.where(F.col("person_id").isNull() & F.col("surface").isNotNull())
+    found = resolve_all(open_links.select(F.col("id").alias("mention_id"), "surface", "scope", "at"), aliases).where("person_id is not null")
+    found = found.select(F.col("mention_id").alias("id"), F.col("person_id").alias("__p"))
+    return links.join(found, "id", "left").withColumn("person_id", F.coalesce("person_id", "__p")).drop("__p")
+
+
+def forget_source(links: DataFrame, aliases: DataFrame, source_id: str) -> tuple[DataFrame, DataFrame]:
+    """Links into a source go, and the aliases of people that no link names any more."""
+    kept = links.where(~F.col("ref").startswith(source_id + "#") | F.col("ref").isNull())
+    before, after = (x.where("person_id is not null").select("person_id").distinct() for x in (links, kept))
+    lost = before.join(after, "person_id", "left_anti")
+    return kept, aliases.join(lost, "person_id", "left_anti")
+
+
+def chunks_of_person(links: DataFrame, chunks: DataFrame, person_id: str) -> DataFrame:
+    """A person's chunks: live references (source id and place) joined with chunks (source_id, chunk_index, ...)."""
+    return chunks.join(refs_of_person(links, person_id), ["source_id", "chunk_index"], "left_semi")

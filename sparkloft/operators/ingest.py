@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from sparkloft.functions.text import token_estimate
+from sparkloft.functions.text import rendered_turn, token_estimate
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
@@ -37,14 +37,17 @@ def token_budget(chunks: DataFrame, floor: int = 50_000, ratio: float = 2.0, chu
     return out.withColumn("budget", F.greatest(F.lit(floor), (F.lit(ratio) * F.col("chunks") * chunk_size).cast("long"))).withColumn("over", F.col("tokens") > F.col("budget"))
 
 
-def manifest_diff(prior: DataFrame, disk: DataFrame, on_disk: DataFrame | None = None) -> DataFrame:
-    """(path, state): added, changed, deleted, unchanged or out_of_scope.
+def manifest_diff(
+    prior: DataFrame, disk: DataFrame, on_disk: DataFrame | None = None, large: int | None = None, now: float = 0.0, cooldown: float = 0.0
+) -> DataFrame:
+    """(path, state): added, changed, deleted, unchanged, out_of_scope or deferred.
 
     prior and disk: (path, checksum, mtime[, pending_reindex]). An equal mtime is trusted; else the checksum decides; a
-    pending file is changed. A prior file that was not loaded is deleted only if ``on_disk`` (path) lacks it.
+    pending file is changed. A prior file that was not loaded is deleted only if ``on_disk`` (path) lacks it. With ``large``, a changed file
+    of so many bytes (disk has size_bytes, prior embedded_at) is deferred until ``cooldown`` seconds after its last embedding.
     """
-    p = prior.select("path", F.col("checksum").alias("old_sum"), F.col("mtime").alias("old_time"), F.col("pending_reindex").alias("pending"), F.lit(True).alias("had"))
-    d = disk.select("path", F.col("checksum").alias("new_sum"), F.col("mtime").alias("new_time"), F.lit(True).alias("has"))
+    p = prior.select("path", F.col("checksum").alias("old_sum"), F.col("mtime").alias("old_time"), F.col("pending_reindex").alias("pending"), F.lit(True).alias("had"), *([F.col("embedded_at")] if large else []))
+    d = disk.select("path", F.col("checksum").alias("new_sum"), F.col("mtime").alias("new_time"), F.lit(True).alias("has"), *([F.col("size_bytes")] if large else []))
     both = p.join(d, "path", "full_outer")
     still = F.lit(False)
     if on_disk is not None:
@@ -57,6 +60,9 @@ def manifest_diff(prior: DataFrame, disk: DataFrame, on_disk: DataFrame | None =
         .when((F.col("old_time") == F.col("new_time")) | (F.col("old_sum") == F.col("new_sum")), "unchanged")
         .otherwise("changed")
     )
+    if large:
+        soon = (F.col("size_bytes") >= large) & (F.lit(now) - F.col("embedded_at") < cooldown)
+        state = F.when((state == "changed") & F.coalesce(soon, F.lit(False)), "deferred").otherwise(state)
     return both.select("path", state.alias("state"))
 
 
@@ -78,11 +84,12 @@ def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return texts.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256)).join(cache.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
-def session_windows(turns: DataFrame, size: int = 4, stride: int = 2, keep_tail: bool = False) -> DataFrame:
+def session_windows(turns: DataFrame, size: int = 4, stride: int = 2, keep_tail: bool = False, with_tools: bool = False) -> DataFrame:
     """(session_id, window, first_idx, span, text): turns in windows of ``size`` every ``stride``.
 
     A short window is made only at a session's start, unless ``keep_tail``. A turn knows from its number which windows hold it, so
-    no window frame over the session's rows is sorted more than once.
+    no window frame over the session's rows is sorted more than once. ``with_tools`` (turns then have tool_name, tool_inputs) adds tools and
+    files, the different names and file paths of a window's tool calls, and renders each kind of turn in its own way.
     """
     w = W.Window.partitionBy("session_id").orderBy("idx")
     n = W.Window.partitionBy("session_id")
@@ -93,9 +100,19 @@ def session_windows(turns: DataFrame, size: int = 4, stride: int = 2, keep_tail:
     full = F.col("window") * stride + size <= F.col("n")
     if not keep_tail:
         rows = rows.where((F.col("window") == 0) | full)
-    line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
-    grouped = rows.groupBy("session_id", "window").agg(F.sort_array(F.collect_list(F.struct("i", "idx", line.alias("line")))).alias("t"))
-    return grouped.select("session_id", "window", F.col("t")[0]["idx"].alias("first_idx"), F.size("t").alias("span"), F.array_join(F.transform("t", lambda x: x.line), "\n").alias("text"))
+    if with_tools:
+        line = rendered_turn(F.col("role"), F.col("kind"), F.col("text"), F.col("tool_name"))
+        extra = (F.col("tool_name").alias("tool"), F.try_element_at("tool_inputs", F.lit("file_path")).alias("file"))
+    else:
+        line, extra = F.concat(F.col("role"), F.lit(": "), F.col("text")), ()
+    grouped = rows.groupBy("session_id", "window").agg(F.sort_array(F.collect_list(F.struct("i", "idx", line.alias("line"), *extra))).alias("t"))
+    named = [F.array_sort(F.array_distinct(F.filter(F.transform("t", _field(f)), lambda v: v.isNotNull()))).alias(c) for f, c in (("tool", "tools"), ("file", "files"))] if extra else []
+    text = F.array_join(F.transform("t", lambda x: x.line), "\n").alias("text")
+    return grouped.select("session_id", "window", F.col("t")[0]["idx"].alias("first_idx"), F.size("t").alias("span"), text, *named)
+
+
+def _field(name: str):
+    return lambda x: x[name]
 
 
 def count_records(extractions: DataFrame) -> DataFrame:
@@ -105,10 +122,12 @@ def count_records(extractions: DataFrame) -> DataFrame:
     return extractions.select("session_id", rows.alias("r")).select("session_id", "r.metric", "r.value", F.lit("count").alias("unit")).where("value > 0")
 
 
-def merge_first(prior: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
-    """First-wins union by trimmed, lower-cased text within ``key``: earlier items before new ones. Items: (key, pos, text)."""
+def merge_first(prior: DataFrame, new: DataFrame, key: str, text: str, newest_wins: bool = False) -> DataFrame:
+    """Union by trimmed, lower-cased text within ``key``: items (key, pos, text), earlier ones before new ones. Of items of one text the
+    first stays, or with ``newest_wins``, as for files, the last."""
     both = prior.select(key, "pos", text, F.lit(0).alias("gen")).unionByName(new.select(key, "pos", text, F.lit(1).alias("gen")))
-    w = W.Window.partitionBy(key, F.lower(F.trim(F.col(text)))).orderBy("gen", "pos")
+    order = (F.desc("gen"), F.desc("pos")) if newest_wins else ("gen", "pos")
+    w = W.Window.partitionBy(key, F.lower(F.trim(F.col(text)))).orderBy(*order)
     return both.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 

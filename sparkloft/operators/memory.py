@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from sparkloft.functions.text import collapse
+from sparkloft.functions.vector import cosine, literal
+from sparkloft.operators.ordered import running_total
 
 
 def normal(column: str):
@@ -19,19 +21,41 @@ def duplicates(memories: DataFrame, text: str) -> DataFrame:
     return memories.where(F.col("active") & F.contains(normal("text"), F.lit(new)))
 
 
-def evict(memories: DataFrame, cap: int) -> DataFrame:
-    """(id): auto-promoted memories to drop, longest unreferenced and least confident first, until the rest fits ``cap`` characters.
+SUPERSEDES = 0.92  # cosine from which on a new memory takes the place of an old one
+
+
+def superseded(memories: DataFrame, embedding: list[float], section: str | None = None, least: float = SUPERSEDES) -> DataFrame:
+    """The active memory that a new one takes the place of: the nearest by cosine, if it is ``least`` or more; one row or none."""
+    rows = memories.where("active and embedding is not null")
+    if section is not None:
+        rows = rows.where(F.col("section") == section)
+    near = rows.withColumn("score", cosine(F.col("embedding"), literal(embedding)))
+    return near.orderBy(F.desc("score"), "id").limit(1).where(F.col("score") >= least)
+
 
-    Sizes are summed once; the running total runs over the evictable rows in eviction order, spread by day so that
-    each day's rows are summed apart from the others.
+def add(memories: DataFrame, new: DataFrame, embedding: list[float], cap: int | None = None) -> DataFrame:
+    """The table after one more memory (a row of its columns).
+
+    A text that an active memory equals or holds adds nothing. One that supersedes another makes that one inactive. With ``cap``, old
+    auto-promoted memories make room for it first.
     """
-    total = memories.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("total"))
-    rows = memories.where(F.col("active") & F.col("origin").startswith("session:")).select("id", F.coalesce("last_referenced_at", "created_at").alias("at"), "confidence", F.length("text").alias("size"))
-    days = rows.groupBy("at").agg(F.sum("size").alias("day_size"))
-    before = days.withColumn("before_day", F.coalesce(F.sum("day_size").over(W.Window.orderBy("at").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).drop("day_size")
-    run = F.coalesce(F.sum("size").over(W.Window.partitionBy("at").orderBy("confidence", "id").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    out = rows.withColumn("in_day", run).join(F.broadcast(before), "at").crossJoin(F.broadcast(total))
-    return out.where(F.col("total") - F.col("before_day") - F.col("in_day") > cap).select("id")
+    row = new.select("text", "section").first()
+    if not duplicates(memories, row["text"]).isEmpty():
+        return memories
+    gone = superseded(memories, embedding, row["section"]).select(F.col("id").alias("__gone"))
+    kept = memories.join(F.broadcast(gone), memories["id"] == F.col("__gone"), "left")  # one row at most
+    kept = kept.withColumn("active", F.col("active") & F.col("__gone").isNull()).drop("__gone")
+    if cap is not None:
+        kept = kept.join(evict(kept, cap - len(row["text"])), "id", "left_anti").select(*memories.columns)
+    return kept.unionByName(new, allowMissingColumns=True)
+
+
+def evict(memories: DataFrame, cap: int) -> DataFrame:
+    """(id): auto-promoted memories to drop, longest unreferenced and least confident first, until the rest fits ``cap`` characters."""
+    over = memories.agg((F.coalesce(F.sum(F.length("text")), F.lit(0)) - cap).alias("over")).first()["over"]
+    rows = memories.where(F.col("active") & F.col("origin").startswith("session:"))
+    rows = rows.select("id", F.coalesce("last_referenced_at", "created_at").alias("at"), "confidence", F.length("text").alias("size"))
+    return running_total(rows, ("at", "confidence", "id"), "size").where(F.col("before") < over).select("id")
 
 
 def context(memories: DataFrame, budget: int, most: int = 1000) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloft.functions.text import age_decay, iso_week, year_month
+from sparkloft.functions.text import age_decay, iso_week, short_id, year_month
+from sparkloft.operators.ingest import upsert
 
 OPS = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
 GROUPS = {"week": "iso_week", "month": "ym", "source": "source", "subject": "subject", "unit": "unit"}
@@ -85,9 +86,8 @@ def with_buckets(records: DataFrame) -> DataFrame:
     return records.withColumn("iso_week", iso_week(F.col("ts"))).withColumn("ym", year_month(F.col("ts")))
 
 
-def vocabulary(records: DataFrame) -> DataFrame:
+def vocabulary(records: DataFrame, kinds: tuple[str, ...] = ("metric", "source", "domain", "subject")) -> DataFrame:
     """(kind, name): distinct metrics, sources, domains and subjects in one pass."""
-    kinds = ("metric", "source", "domain", "subject")
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in kinds]))
     return records.select(pairs.alias("x")).select("x.kind", "x.name").where("name is not null").distinct().orderBy("kind", "name")
 
@@ -143,3 +143,25 @@ def with_rule(rules: DataFrame, rule: dict, now: str) -> DataFrame:
     old = rules.withColumn("retired_at", F.when(same & F.col("retired_at").isNull(), F.lit(now)).otherwise(F.col("retired_at")))
     version = rules.where(same).agg(F.coalesce(F.max("version"), F.lit(0)).alias("v"))
     return old.unionByName(new.crossJoin(version).withColumn("version", (F.col("v") + 1).cast("int")).drop("v"))
+
+
+def record_id(*parts: Column) -> Column:
+    return short_id("rec_", *parts)
+
+
+def upsert_records(records: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Records by id: the last of the new ones (by ``order``) replaces the old one; week and month follow from the time."""
+    return upsert(records, with_buckets(new), ["id"], order).select(*records.columns)
+
+
+def counts(records: DataFrame, nodes: DataFrame, edges: DataFrame, people: DataFrame, references: DataFrame, min_confidence: float = 0.7) -> DataFrame:
+    """(kind, n): sizes of the stores; edges count as open ones and as all."""
+    parts = [
+        stats(records, min_confidence).select(F.explode(F.create_map(F.lit("records"), "records", F.lit("unverified"), "unverified")).alias("kind", "n")),
+        edges.agg(F.count("*").alias("a"), F.count_if(F.col("valid_until").isNull()).alias("o")).select(F.explode(F.create_map(F.lit("edges_all"), "a", F.lit("edges"), "o")).alias("kind", "n")),
+    ]
+    parts += [t.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, t in (("nodes", nodes), ("people", people), ("references", references))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -37,21 +37,32 @@ def _equals(term: str) -> Callable[[Column], Column]:
     return lambda w: w == term
 
 
+def _counted(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """Chunks with their length and the count of each term; the text is made words once, since they have more than one reader."""
+    words = chunks.withColumn("__words", tokens(F.col("text")))
+    tf = {f"__tf{i}": F.size(F.filter("__words", _equals(t))) for i, t in enumerate(terms)}
+    return words.withColumns({"__dl": F.size("__words"), **tf}).drop("__words")
+
+
 def bm25_scores(chunks: DataFrame, terms: Iterable[str]) -> DataFrame:
-    """All chunks with any query term and their BM25 score. One pass for the statistics, one for the scores, and no shuffle of texts."""
+    """All chunks and their BM25 score, 0 where no query term occurs.
+
+    One pass for the statistics, one for the scores, and no shuffle of texts. A filter on the score belongs after the cut to a top list:
+    Catalyst would push one down here and count the words again for it.
+    """
     terms = list(dict.fromkeys(terms))
+    nothing = chunks.withColumn("score", F.lit(0.0))
     if not terms:
-        return chunks.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    words = tokens(F.col("text"))
-    tf = [F.size(F.filter(words, _equals(t))) for t in terms]
-    n, mean, *df = chunks.agg(F.count("*"), F.avg(F.size(words)), *[F.count_if(x > 0) for x in tf]).first()
+        return nothing
+    names = [f"__tf{i}" for i in range(len(terms))]
+    counted = _counted(chunks, terms)
+    n, mean, *df = counted.agg(F.count("*"), F.avg("__dl"), *[F.count_if(F.col(x) > 0) for x in names]).first()
     if not n or not mean:
-        return chunks.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    dl = F.size(words) / F.lit(float(mean))
-    parts = [F.lit(float(idf(n, d))) * x / (x + K1 * (1 - B + B * dl)) for x, d in zip(tf, df, strict=True) if d]
-    if not parts:
-        return chunks.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    return chunks.withColumn("score", sum(parts[1:], parts[0])).where(F.col("score") > 0)
+        return nothing
+    norm = K1 * (1 - B + B * F.col("__dl") / F.lit(float(mean)))
+    parts = [F.lit(float(idf(n, d))) * F.col(x) / (F.col(x) + norm) for x, d in zip(names, df, strict=True) if d]
+    score = sum(parts[1:], parts[0]) if parts else F.lit(0.0)
+    return counted.withColumn("score", score).drop("__dl", *names)
 
 
 def idf(n: int, df: int) -> float:
@@ -68,16 +79,16 @@ def bm25_from_postings(index: DataFrame, n: int, mean: float, terms: Iterable[st
 
 
 def normalised(hits: DataFrame) -> DataFrame:
-    """Scores over the list's largest. The list is short (a top k), so the maximum is one broadcast row."""
-    most = hits.agg(F.max("score").alias("__most"))
-    return hits.crossJoin(F.broadcast(most)).withColumn("score", F.when(F.col("__most") > 0, F.col("score") / F.col("__most")).otherwise(F.col("score"))).drop("__most")
+    """Scores over the list's largest. The list is short (a top k), so one window holds it, and it is worked out once only."""
+    most = F.max("score").over(W.Window.partitionBy(F.lit(0)))
+    return hits.withColumn("__most", most).withColumn("score", F.when(F.col("__most") > 0, F.col("score") / F.col("__most")).otherwise(F.col("score"))).drop("__most")
 
 
 def keyword_search(chunks: DataFrame, terms: Iterable[str], k: int, where: Column | None = None, exact: bool = False) -> DataFrame:
     """BM25 top k over the largest score. The filter comes after the cut to 3 k and the division, or before both if ``exact``."""
     if exact:
-        return normalised(top(bm25_scores(chunks if where is None else chunks.where(where), terms), k))
-    hits = normalised(top(bm25_scores(chunks, terms), 3 * k))
+        return normalised(top(bm25_scores(chunks if where is None else chunks.where(where), terms), k).where("score > 0"))
+    hits = normalised(top(bm25_scores(chunks, terms), 3 * k).where("score > 0"))
     return top(hits if where is None else hits.where(where), k)
 
 
@@ -151,6 +162,14 @@ def source_weights(hits: DataFrame, doc: float = 0.5, reference: float = 0.7) ->
     return hits.withColumn("score", F.col("score") * weight).where(weight > 0)
 
 
+def guarded(scorer: Callable[[str], Column], query: str) -> Column:
+    """A scorer's Column, or 0 for all hits where it cannot be made: the first stage's order then stays."""
+    try:
+        return F.coalesce(scorer(query), F.lit(0.0))
+    except Exception:  # a broken scorer must not cost the answer
+        return F.lit(0.0)
+
+
 def rerank(hits: DataFrame, scorer: Column, k: int) -> DataFrame:
     """Second stage over the first one's short list: original_rank from 1, then the scorer decides."""
     first = hits.withColumn("original_rank", F.row_number().over(W.Window.orderBy(F.desc("score"), "chunk_id")))

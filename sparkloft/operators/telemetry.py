@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from sparkloft.operators.ordered import at_ranks
+
 KEYS = ("channel", "provider", "model", "source")
 COUNTERS = ("calls", "tokens_in", "tokens_out", "errors")
 
 
-def percentile(sorted_values: Column, p: float) -> Column:
-    """Nearest rank with banker's rounding of p * (n - 1)."""
-    return F.element_at(sorted_values, (F.bround(F.lit(p) * (F.size(sorted_values) - 1), 0) + 1).cast("int"))
+def nearest_rank(p: float, n: int) -> int:
+    """Rank from 0 of a percentile: p * (n - 1), halves to even."""
+    return round(p * (n - 1))
 
 
 def usage_totals(usage: DataFrame, since: int = 0) -> DataFrame:
@@ -62,16 +64,18 @@ def mode_distribution(log: DataFrame) -> DataFrame:
 
 
 def latency(log: DataFrame, by: str | None = None) -> DataFrame:
-    """n, p50, p95 and mean, exact. Ranks come from a sort that spills, not from one array of all values."""
-    keys = [by] if by else []
-    rows = log.select(*keys, "latency_ms")
-    n = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("latency_ms").alias("avg"))
-    values = rows.groupBy(*keys, "latency_ms").agg(F.count("*").alias("m"))
-    w = (W.Window.partitionBy(by) if by else W.Window.partitionBy(F.lit(0))).orderBy("latency_ms")
-    ranked = values.withColumn("upto", F.sum("m").over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
-    ranked = ranked.join(F.broadcast(n), by) if by else ranked.crossJoin(F.broadcast(n))
-    picks = [F.min(F.when(F.col("upto") > F.bround(F.lit(p) * (F.col("n") - 1), 0), F.col("latency_ms"))).alias(a) for p, a in ((0.5, "p50"), (0.95, "p95"))]
-    return ranked.groupBy(*keys).agg(F.first("n").alias("n"), F.first("avg").alias("avg"), *picks)
+    """n, p50, p95 and mean, exact, in all or by a column. Ranks come from counts of the different values, not from one array of all."""
+    marks = {"p50": 0.5, "p95": 0.95}
+    if by is None:
+        n, mean = log.agg(F.count("*"), F.avg("latency_ms")).first()
+        found = at_ranks(log, "latency_ms", {k: nearest_rank(p, n) for k, p in marks.items()}) if n else dict.fromkeys(marks)
+        return log.sparkSession.createDataFrame([(n, mean, found["p50"], found["p95"])], "n long, avg double, p50 double, p95 double")
+    values = log.groupBy(by, "latency_ms").agg(F.count("*").alias("m"), F.sum("latency_ms").alias("s"))
+    group = W.Window.partitionBy(by)
+    upto = F.sum("m").over(group.orderBy("latency_ms").rowsBetween(W.Window.unboundedPreceding, 0))
+    ranked = values.withColumns({"upto": upto, "n": F.sum("m").over(group)})
+    picks = [F.min(F.when(F.col("upto") > F.bround(F.lit(p) * (F.col("n") - 1), 0), F.col("latency_ms"))).alias(a) for a, p in marks.items()]
+    return ranked.groupBy(by).agg(F.first("n").alias("n"), (F.sum("s") / F.sum("m")).alias("avg"), *picks)
 
 
 def top_queries(log: DataFrame, n: int = 10, zero_only: bool = False) -> DataFrame:
@@ -92,6 +96,23 @@ def round_robin(items: DataFrame, source: str, order: str, most: int) -> DataFra
     return rows.orderBy("turn", source).limit(most)
 
 
+def drain(items: DataFrame, source: str, order: str, most: int, budget: float, cost: str = "cost") -> DataFrame:
+    """The same draw under a spend cap: items that cost something are drawn while they fit the budget, free ones always.
+
+    An item that does not fit ends the billable part, so that the order of a source is kept. Adds spent, the running sum.
+    """
+    drawn = round_robin(items, source, order, most).withColumn("__cost", F.coalesce(cost, F.lit(0.0)))
+    upto = F.sum("__cost").over(W.Window.orderBy("turn", source).rowsBetween(W.Window.unboundedPreceding, 0))  # of ``most`` items
+    return drawn.withColumn("spent", upto).where((F.col("spent") <= budget) | (F.col("__cost") == 0)).drop("__cost")
+
+
+def retained(rows: DataFrame, column: str, days: int, today: str) -> DataFrame:
+    """Rows whose day (text, YYYY-MM-DD at its start) is not older than so many days; rows without one go. 0 days keeps all."""
+    if days <= 0:
+        return rows
+    return rows.where(F.substring(column, 1, 10) >= F.date_format(F.date_sub(F.lit(today).cast("date"), days), "yyyy-MM-dd"))
+
+
 def trailing_hour(calls: DataFrame, key: str, ts: str, budget: int, seconds: int = 3600) -> DataFrame:
     """Adds in_hour, the calls of the key in the hour up to and with this one, and allowed, whether they fit the budget."""
     w = W.Window.partitionBy(key).orderBy(ts).rangeBetween(-seconds, 0)
@@ -106,10 +127,12 @@ def retrieval_quality(retrieved: DataFrame, expected: DataFrame, k: int) -> Data
 
 
 def bench_stats(rows: DataFrame) -> DataFrame:
-    """p50, p95, p99 by int(p / 100 * n), mean and rate of a short list of latencies in ms."""
-    v = F.sort_array(F.collect_list("latency_ms"))
-    at = lambda p: F.element_at("v", F.least(F.floor(F.lit(p / 100.0) * F.size("v")) + 1, F.size("v")).cast("int"))
-    return rows.agg(v.alias("v"), F.avg("latency_ms").alias("mean")).select(at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), "mean", (1000.0 / F.col("mean")).alias("qps"))
+    """p50, p95, p99 by int(p / 100 * n), mean and rate of latencies in ms."""
+    n, mean = rows.agg(F.count("*"), F.avg("latency_ms")).first()
+    ranks = {f"p{p}": min(p * n // 100, n - 1) for p in (50, 95, 99)}
+    found = at_ranks(rows, "latency_ms", ranks) if n else dict.fromkeys(ranks)
+    kept = (found["p50"], found["p95"], found["p99"], mean, 1000.0 / mean if mean else None)
+    return rows.sparkSession.createDataFrame([kept], "p50 double, p95 double, p99 double, mean double, qps double")
 
 
 def should_pause(pending_count: int, most: int, resumed: bool) -> bool:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloft.functions.text import chunk_id, minified, token_estimate
-from sparkloft.operators import ingest
+from sparkloft.operators import ingest, store
 from sparkloft.plans.catalog import query, rounded
 
 _TOKENS = "CAST(ceil(length(text) / 4.0) AS BIGINT)"
@@ -47,7 +47,7 @@ def _lost(t, spark, sf):
 
 @query("manifest_orphans", "SELECT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM manifest_prior)", "manifest_prior", "chunks")
 def _orphans(t, spark, sf):
-    return t("chunks").select("chunk_id").join(t("manifest_prior").select("chunk_id"), "chunk_id", "left_anti")
+    return store.orphan_chunks(t("chunks"), t("manifest_prior"))
 
 
 @query("ingest_delta", "SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, CASE WHEN a.chunk_id IS NULL THEN 'new' WHEN b.chunk_id IS NULL THEN 'stale' ELSE 'kept' END AS state FROM (SELECT chunk_id FROM chunks WHERE doc_id % 3 <> 0) AS a FULL OUTER JOIN (SELECT chunk_id FROM chunks WHERE doc_id % 4 <> 0) AS b ON a.chunk_id = b.chunk_id", "chunks")
@@ -57,12 +57,12 @@ def _delta(t, spark, sf):
 
 @query("ingest_sources", "SELECT folder AS source_id, count(*) AS chunk_count, max(created_at) AS ingested_at FROM chunks WHERE sensitivity = 'normal' GROUP BY 1", "chunks")
 def _sources(t, spark, sf):
-    return t("chunks").where("sensitivity = 'normal'").groupBy(F.col("folder").alias("source_id")).agg(F.count("*").alias("chunk_count"), F.max("created_at").alias("ingested_at"))
+    return store.ingested_sources(t("chunks").where("sensitivity = 'normal'"), "folder", "created_at")
 
 
 @query("ingest_source_page", "SELECT doc_id, chunk_id FROM chunks WHERE folder = 'src3' AND sensitivity = 'normal' ORDER BY doc_id, chunk_id LIMIT 10 OFFSET 5", "chunks")
 def _page(t, spark, sf):
-    return t("chunks").where("folder = 'src3' AND sensitivity = 'normal'").select("doc_id", "chunk_id").orderBy("doc_id", "chunk_id").offset(5).limit(10)
+    return store.source_page(t("chunks").where("sensitivity = 'normal'"), "src3", "folder", "doc_id", 5, 10).select("doc_id", "chunk_id")
 
 
 @query("ingest_upsert", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS state FROM documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloft.functions.text import analyze, prefix_swap
-from sparkloft.operators import graph, identity, records, retrieval, sessions, telemetry
+from sparkloft.operators import graph, identity, records, retrieval, sessions, store, telemetry
 from sparkloft.plans.catalog import query, rounded
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')".format
@@ -14,12 +14,12 @@ _JOBS = "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN '
 
 @query("documents_list", "SELECT source, count(*) AS chunks, max(created_at) AS newest FROM chunks WHERE contains(source, 'src1') GROUP BY 1 ORDER BY 1 LIMIT 20 OFFSET 10", "chunks")
 def _documents(t, spark, sf):
-    return t("chunks").where(F.contains("source", F.lit("src1"))).groupBy("source").agg(F.count("*").alias("chunks"), F.max("created_at").alias("newest")).orderBy("source").offset(10).limit(20)
+    return store.documents(t("chunks"), "src1", 10, 20)
 
 
 @query("documents_counts", "SELECT CASE WHEN source_type = 'code' THEN 'code' ELSE 'doc' END AS kind, folder, count(*) AS n FROM chunks GROUP BY 1, 2", "chunks")
 def _counts(t, spark, sf):
-    return t("chunks").groupBy(F.when(F.col("source_type") == "code", "code").otherwise("doc").alias("kind"), "folder").agg(F.count("*").alias("n"))
+    return store.document_counts(t("chunks"))
 
 
 def _jobs(t):
@@ -79,14 +79,14 @@ def _metadata(t, spark, sf):
     return graph.metadata_triples(t("chunks"))
 
 
-@query("graph_invalidate_file", "SELECT id, CASE WHEN source_file = 'log3' AND valid_until IS NULL THEN '1999-01-01' ELSE valid_until END AS valid_until FROM edges WHERE label = 'authored_by'", "edges")
+@query("graph_invalidate_file", "SELECT id, CASE WHEN source_file = 'log3' AND valid_until IS NULL THEN '1999-01-01' ELSE valid_until END AS valid_until FROM edges", "edges")
 def _invalidate(t, spark, sf):
-    return graph.invalidate_file(t("edges").where("label = 'authored_by'"), "log3", "1999-01-01").select("id", "valid_until")
+    return graph.invalidate_file(t("edges"), "log3", "1999-01-01").select("id", "valid_until")
 
 
-@query("graph_upsert_edges", ", n AS (SELECT id FROM edges WHERE label = 'in') SELECT e.id, CASE WHEN n.id IS NULL THEN e.valid_from ELSE '2000' END AS valid_from, CASE WHEN n.id IS NULL THEN e.valid_until END AS valid_until FROM edges e LEFT JOIN n ON n.id = e.id WHERE e.label IN ('in', 'authored_by')", "edges")
+@query("graph_upsert_edges", ", n AS (SELECT id FROM edges WHERE label = 'in') SELECT e.id, CASE WHEN n.id IS NULL THEN e.valid_from ELSE '2000' END AS valid_from, CASE WHEN n.id IS NULL THEN e.valid_until END AS valid_until FROM edges e LEFT JOIN n ON n.id = e.id", "edges")
 def _upsert(t, spark, sf):
-    e = t("edges").where("label in ('in', 'authored_by')")
+    e = t("edges")
     new = e.where("label = 'in'").withColumn("valid_from", F.lit(None).cast("string")).withColumn("valid_until", F.lit(None).cast("string"))
     return graph.upsert_edges(e, new, "2000").select("id", "valid_from", "valid_until")
 
@@ -98,7 +98,7 @@ def _rehome(t, spark, sf):
 
 def _extractions(t):
     d = F.struct(F.col("text").alias("text"), F.when(F.col("idx") % 3 == 0, "because").otherwise("").alias("rationale"), F.when(F.col("idx") % 4 == 3, F.lag("text").over(_ordered())).alias("supersedes"))
-    return t("turns").where("idx < 6").withColumn("d", d)
+    return t("turns").withColumn("d", d)
 
 
 def _ordered():
@@ -107,7 +107,7 @@ def _ordered():
     return Window.partitionBy("session_id").orderBy("idx")
 
 
-_DEC = ", d AS (SELECT session_id, idx, text, CASE WHEN idx % 3 = 0 THEN 'because' ELSE '' END AS rationale, CASE WHEN idx % 4 = 3 THEN lag(text) OVER (PARTITION BY session_id ORDER BY idx) END AS supersedes FROM turns WHERE idx < 6)"
+_DEC = ", d AS (SELECT session_id, idx, text, CASE WHEN idx % 3 = 0 THEN 'because' ELSE '' END AS rationale, CASE WHEN idx % 4 = 3 THEN lag(text) OVER (PARTITION BY session_id ORDER BY idx) END AS supersedes FROM turns)"
 
 
 @query("session_promoted", _DEC + " SELECT session_id, text FROM d WHERE trim(rationale) <> '' AND NOT EXISTS (SELECT 1 FROM d x WHERE x.session_id = d.session_id AND x.supersedes = d.text)", "turns")
@@ -115,10 +115,22 @@ def _promoted(t, spark, sf):
     return sessions.promoted(_extractions(t).select("session_id", "d.text", "d.rationale", "d.supersedes")).select("session_id", "text")
 
 
-@query("session_fan_out", _DEC + " SELECT session_id, concat('decision:', substr(sha256(concat(CAST(session_id AS STRING), chr(10), text)), 1, 32)) AS chunk_id FROM d", "turns")
+@query(
+    "session_fan_out",
+    _DEC + ", s AS (SELECT session_id, string_agg(role, ' ' ORDER BY idx) AS summary FROM turns GROUP BY 1) "
+    "SELECT session_id, 'decisions' AS tier, concat('decision:', substr(sha256(concat(CAST(session_id AS STRING), chr(10), text)), 1, 32)) AS item FROM d "
+    "UNION ALL SELECT session_id, 'summary', concat('summary:', substr(sha256(concat(CAST(session_id AS STRING), chr(10), summary)), 1, 32)) FROM s "
+    "UNION ALL SELECT DISTINCT session_id, 'triplets', concat(role, ' touches b') FROM turns UNION ALL SELECT session_id, 'superseded', concat(supersedes, ' -> ', text) FROM d WHERE supersedes IS NOT NULL",
+    "turns",
+)
 def _fan_out(t, spark, sf):
-    rows = _extractions(t).groupBy("session_id").agg(F.collect_list("d").alias("decisions"), F.lit("").alias("summary"), F.expr("array(named_struct('subject', 'a', 'relation', 'touches', 'object', 'b'))").alias("triplets"))
-    return sessions.fan_out(rows)["decisions"].select("session_id", "chunk_id")
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "role"))), lambda x: x["role"]), " ").alias("summary")
+    triple = F.collect_list(F.struct(F.col("role").alias("subject"), F.lit("touches").alias("relation"), F.lit("b").alias("object"))).alias("triplets")
+    out = sessions.fan_out(_extractions(t).groupBy("session_id").agg(F.collect_list("d").alias("decisions"), said, triple))
+    rows = out["decisions"].select("session_id", F.lit("decisions").alias("tier"), F.col("chunk_id").alias("item"))
+    rows = rows.union(out["summary"].select("session_id", F.lit("summary"), "chunk_id"))
+    rows = rows.union(out["triplets"].select("session_id", F.lit("triplets"), F.concat_ws(" ", "subject", "relation", "object")))
+    return rows.union(out["superseded"].select("session_id", F.lit("superseded"), F.concat("old", F.lit(" -> "), "new")))
 
 
 _SESS = "s AS (SELECT conv_id AS session_id, concat('t', CAST(conv_id % 3 AS STRING)) AS tool, count(*) AS size, CAST(conv_id * 10 AS DOUBLE) AS modified FROM conversations GROUP BY conv_id)"
@@ -138,7 +150,7 @@ def _revalidate(t, spark, sf):
 
 @query("identity_stale_mark", "SELECT id, stale OR (ref LIKE 'session:7#%' AND ref NOT IN ('session:7#1', 'session:7#2')) AS stale FROM link", "link")
 def _stale(t, spark, sf):
-    alive = spark.createDataFrame([("session:7#1",), ("session:7#2",)], "ref string")
+    alive = t("link").where("ref in ('session:7#1', 'session:7#2')").select("ref")
     return identity.stale_marked(t("link"), "session:7", alive).select("id", "stale")
 
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from collections.abc import Iterable
+from dataclasses import dataclass
 from itertools import chain
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkloft.functions.text import glob_to_regex, minified
+from sparkloft.functions.text import glob_to_regex, html_text, minified
 
 # Known extensions by language, and presets.
 LANGUAGE_EXTENSIONS = {
@@ -112,25 +118,107 @@ def ignored(path: Column, rules: Iterable[str]) -> Column:
     return out
 
 
-def scan(spark: SparkSession, folder: str, globs: Iterable[str] = (), ignore: Iterable[str] = (), include_code: bool = True) -> DataFrame:
+@dataclass(frozen=True)
+class Landmarks:
+    """What a folder's listing tells before any file is read: ignore files by folder, and folders that are skipped whole."""
+
+    ignore: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    skipped: tuple[str, ...] = ()
+
+
+def landmarks(spark: SparkSession, folder: str, ignore_name: str = ".gitignore", project_mark: str | None = None) -> Landmarks:
+    """Ignore files of all folders, virtual environments, and nested projects (folders below the root that hold ``project_mark``).
+
+    A listing on the driver, as Spark's own is; skipped folders are not entered, and only ignore files, which are small, are opened.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    ignore, skipped, todo = [], [], [("", root)]
+    while todo:
+        prefix, at = todo.pop()
+        held = {f.getPath().getName(): f for f in fs.listStatus(at)}
+        if prefix and ("pyvenv.cfg" in held or project_mark in held):
+            skipped.append(prefix)
+            continue
+        if ignore_name in held:
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(held[ignore_name].getPath()), "UTF-8"))
+            ignore.append((prefix, tuple(str(x) for x in reader.lines().toArray())))
+            reader.close()
+        todo += [(f"{prefix}/{name}".strip("/"), f.getPath()) for name, f in held.items() if f.isDirectory() and name not in PRUNED and name != project_mark]
+    outer_first = sorted(ignore, key=lambda x: (x[0].count("/") + bool(x[0]), x[0]))
+    return Landmarks(tuple(outer_first), tuple(sorted(skipped)))
+
+
+def layered_ignore(path: Column, layers: Iterable[tuple[str, Iterable[str]]]) -> Column:
+    """Ignore rules of several folders: each layer sees the path from its own folder on; deeper layers decide after outer ones."""
+    out = F.lit(False)
+    for prefix, rules in layers:
+        inner = path if not prefix else F.substring(path, len(prefix) + 2, 1 << 30)
+        inside = F.lit(True) if not prefix else path.startswith(prefix + "/")
+        for rule in rules:
+            if parsed := ignore_rule(rule):
+                keep, pattern = parsed
+                out = F.when(inside & inner.rlike(pattern), F.lit(not keep)).otherwise(out)
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def docx_text(content: pd.Series) -> pd.Series:
+    """Paragraphs of word-processor files, a line each; what is no such file has no text."""
+    word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+    def read(data: bytes | None) -> str | None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                body = ElementTree.fromstring(z.read("word/document.xml"))
+        except (TypeError, KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+            return None
+        return "\n".join("".join(t.text or "" for t in p.iter(word + "t")) for p in body.iter(word + "p"))
+
+    return content.map(read)
+
+
+def _texts(files: DataFrame) -> DataFrame:
+    """(source, file_name, file_size, modified, text, language, source_type) of listed files; generated blobs and files without text go."""
+    path = F.col("path")
+    kind = extension(path)
+    plain = F.col("content").cast("string")
+    text = F.when(kind == "docx", docx_text(F.col("content"))).when(kind.isin("html", "htm"), html_text(plain)).otherwise(plain)
+    name = F.regexp_extract(path, "[^/]+$", 0)
+    rows = files.where(kind != "pdf").select(path.alias("source"), name.alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), text.alias("text"))
+    rows = rows.where(F.col("text").isNotNull() & ~minified(F.col("file_name"), F.col("text")))
+    tier = F.when(extension(F.col("source")).isin(*DOCUMENT_EXTENSIONS, "docx", "htm"), "doc").otherwise("code")
+    lang = detect_language(F.col("source"), F.col("text"))
+    return rows.withColumn("source_type", tier).withColumn("language", F.when(F.col("source_type") == "code", lang))
+
+
+def scan(
+    spark: SparkSession, folder: str, globs: Iterable[str] = (), ignore: Iterable[str] = (), include_code: bool = True, marks: Landmarks | None = None, recursive: bool = True
+) -> DataFrame:
     """(source, file_name, file_size, modified, text, language, source_type) of a folder's text files, pruned before they are decoded.
 
-    The listing is Spark's own; contents are read only for paths that pass, since the path filter goes into the scan.
+    The listing is Spark's own; contents are read only for paths that pass, since the path filter goes into the scan. ``marks`` (of
+    ``landmarks``) adds the ignore files of the folders and skips virtual environments and nested projects. Markup is read as its text;
+    pdf files need a parser that is not here and are left out.
     """
-    known = DOCUMENT_EXTENSIONS + ([e for found in LANGUAGE_EXTENSIONS.values() for e in found] if include_code else [])
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    known = [*DOCUMENT_EXTENSIONS, "docx", "htm"] + ([e for found in LANGUAGE_EXTENSIONS.values() for e in found] if include_code else [])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     path = F.col("path")
     relative = F.regexp_replace(path, "^.*?" + re.escape(folder.rstrip("/").removeprefix("file:")) + "/", "")
     keep = ~F.concat(F.lit("/"), relative).rlike("/(" + "|".join(map(re.escape, PRUNED)) + ")/") & ~ignored(relative, ignore)
+    if marks is not None:
+        keep &= ~layered_ignore(relative, marks.ignore)
+        for prefix in marks.skipped:
+            keep &= ~relative.startswith(prefix + "/")
     globs = list(globs)
     keep &= F.regexp_extract(path, "[^/]+$", 0).rlike("|".join(f"(?:{glob_to_regex(g)})" for g in globs)) if globs else extension(path).isin(*known)
-    text = F.col("content").cast("string")
-    name = F.regexp_extract(path, "[^/]+$", 0)
-    rows = files.where(keep & ~extension(path).isin("pdf", "docx")).select(path.alias("source"), name.alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), text.alias("text"))
-    rows = rows.where(~minified(F.col("file_name"), F.col("text")))
-    lang = detect_language(F.col("source"), F.col("text"))
-    kind = F.when(extension(F.col("source")).isin(*DOCUMENT_EXTENSIONS), "doc").otherwise("code")
-    return rows.withColumn("source_type", kind).withColumn("language", F.when(F.col("source_type") == "code", lang))
+    return _texts(files.where(keep))
+
+
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """One file as ``scan`` would have it, whatever its extension."""
+    return _texts(spark.read.format("binaryFile").load(path))
 
 
 def manifest_dependencies(spark: SparkSession, files: DataFrame) -> DataFrame:

@@ -135,3 +135,29 @@ def write_archive(turns: DataFrame, path: str) -> None:
 
 def prune_archive(spark: SparkSession, path: str, keep_from: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("day") >= keep_from)
+
+
+def final_turns(turns: DataFrame, include_user: bool = True) -> DataFrame:
+    """Turns that will not change any more, with or without what people said."""
+    done = turns.where("terminal")
+    return done if include_user else done.where("not (role = 'user' and kind = 'text')")
+
+
+def archive_stats(archive: DataFrame) -> DataFrame:
+    """(tool, sessions, turns, first_day, last_day) of an archive."""
+    return archive.groupBy("tool").agg(F.countDistinct("source_path").alias("sessions"), F.count("*").alias("turns"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+def tombstones(archive: DataFrame, live: DataFrame, known: DataFrame, at: str) -> DataFrame:
+    """(source_path, deleted_at): archived sessions whose live file is gone, and those known before; a session that is back is not.
+
+    live: (source_path); known: (source_path, deleted_at).
+    """
+    here = live.select("source_path").distinct()
+    gone = archive.select("source_path").distinct().join(here, "source_path", "left_anti").join(known.select("source_path"), "source_path", "left_anti")
+    return known.select("source_path", "deleted_at").join(here, "source_path", "left_anti").unionByName(gone.withColumn("deleted_at", F.lit(at)))
+
+
+def reconciled(archive: DataFrame, dead: DataFrame) -> DataFrame:
+    """The archive without the sessions that have a tombstone."""
+    return archive.join(dead.select("source_path"), "source_path", "left_anti")

@@ -87,6 +87,9 @@ def _views(d: Dialect) -> dict[str, str]:
         UNION ALL SELECT DISTINCT concat('order:', {_S('o_orderkey')}), concat('part:', {_S('l_partkey')}), 'modifies', concat('log', {_S('o_orderkey % 10')}), {d.iso('o_orderdate')}, {ended} FROM orders JOIN lineitem ON l_orderkey = o_orderkey
         UNION ALL SELECT concat('part:', {_S('p_partkey')}), concat('part:', {_S('p_partkey - p_size')}), CASE WHEN p_partkey % 2 = 0 THEN 'calls' ELSE 'depends_on' END, concat('mod', {_S('p_partkey % 50')}), '1995-01-01T00:00:00', NULL FROM part WHERE p_partkey > p_size)
         AS e"""
+    edge_sources = f"""
+        SELECT concat('nation:', {_S('n_nationkey')}, '|in|region:', {_S('n_regionkey')}) AS id, concat('chunk_', substr(md5(concat(source, '_', {_S('doc_id')})), 1, 16)) AS chunk_id,
+               CAST(1.0 - (doc_id % 10) / 20.0 AS DOUBLE) AS weight FROM documents JOIN nation ON n_nationkey = doc_id % 25"""
     query_log = f"""
         SELECT event_id AS id, CAST({d.epoch('ts')} AS DOUBLE) AS ts, event_type AS mode, concat('q', {_S('user_id % 97')}) AS query, value AS latency_ms,
                {d.json_k('props')} % 4 AS result_count, concat({d.day('ts')}, {"date_format(ts, ' HH:00')" if d.spark else "strftime(ts, ' %H:00')"}) AS hour FROM events"""
@@ -110,7 +113,7 @@ def _views(d: Dialect) -> dict[str, str]:
         SELECT concat('docs/', source, '/', {_S('doc_id')}) AS path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE {checksum} END AS checksum, CASE WHEN doc_id % 7 = 0 OR doc_id % 9 = 0 THEN doc_id - 1 ELSE doc_id END AS mtime,
                source AS folder, concat('chunk_', substr(md5(concat(source, '_', {_S('doc_id')})), 1, 16)) AS chunk_id, (doc_id % 31 = 0) AS pending_reindex, doc_id FROM documents WHERE doc_id % 10 <> 0
         UNION ALL SELECT concat('gone/', {_S('doc_id')}), 'gone', doc_id, source, concat('chunk_gone_', {_S('doc_id')}), false, doc_id FROM documents WHERE doc_id % 40 = 3"""
-    files = {"records": records, "chunks": chunks, "vectors": vectors, "turns": turns, "nodes": nodes, "edges": edges, "query_log": query_log, "usage": usage, "alias": alias, "link": link, "memories": memories, "disk": disk, "manifest_prior": prior}
+    files = {"records": records, "chunks": chunks, "vectors": vectors, "turns": turns, "nodes": nodes, "edges": edges, "edge_sources": edge_sources, "query_log": query_log, "usage": usage, "alias": alias, "link": link, "memories": memories, "disk": disk, "manifest_prior": prior}
     return files
 
 

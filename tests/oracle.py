@@ -64,6 +64,7 @@ if __name__ == "__main__":
             said = compare(spark, c, queries[name], sql[name], sf)
         except Exception as e:  # noqa: BLE001
             said = f"{type(e).__name__}: {str(e)[:400]}"
+            c = connect(sf)
         if said:
             bad += 1
             print(name, said[:600], flush=True)

@@ -1,5 +1,8 @@
 """Operators on literal rows, compilers and the service."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloft.functions import text as ft
@@ -158,11 +161,67 @@ def test_text_functions(spark):
     assert tuple(out) == ("lib/a/b.py", "x y…", "2026-W53", True)
 
 
-def test_feed_upsert(spark, tmp_path):
-    from sparkloft.streaming.feeds import event_stream, upsert_feed
-
-    src, table = str(tmp_path / "in"), str(tmp_path / "t")
-    for k, rows in enumerate([[(1, "a", 1), (2, "b", 1)], [(2, "c", 2)]]):
-        spark.createDataFrame(rows, "k int, v string, n int").coalesce(1).write.mode("append").parquet(src)
-        upsert_feed(spark, event_stream(spark, src), table, ["k"], "n", str(tmp_path / "state"), once=True).awaitTermination()
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(table).collect()) == [(1, "a"), (2, "c")]
+def test_feed_upsert(spark, tmp_path, monkeypatch):
+    from sparkloft.streaming.feeds import FeedTable, event_stream, upsert_feed
+
+    src, state = str(tmp_path / "in"), str(tmp_path / "state")
+    table = FeedTable(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    assert table.read() is None
+    run = lambda: upsert_feed(event_stream(spark, src), table, "n", state, once=True).awaitTermination()
+    rows = lambda: sorted((r["k"], r["v"]) for r in table.read().collect())
+    put = lambda new: spark.createDataFrame(new, "k int, v string, n int").coalesce(1).write.mode("append").parquet(src)
+    put([(1, "a", 1), (2, "b", 1)])
+    run()
+    put([(2, "c", 2), (2, "d", 1), (7, "e", 1)])
+    real = FeedTable._commit
+    monkeypatch.setattr(FeedTable, "_commit", lambda *a: (_ for _ in ()).throw(OSError("crash before the manifest")))
+    with pytest.raises(Exception, match="crash"):
+        run()
+    assert rows() == [(1, "a"), (2, "b")]  # what was there is there still
+    monkeypatch.setattr(FeedTable, "_commit", real)
+    run()
+    assert rows() == [(1, "a"), (2, "c"), (7, "e")]
+    table.apply(spark.createDataFrame([(1, "again", 9)], "k int, v string, n int"), "n", 1)  # a batch that is repeated
+    assert rows() == [(1, "a"), (2, "c"), (7, "e")]
+    for n in range(5):
+        put([(1, f"v{n}", n)])
+        run()
+    assert rows() == [(1, "v4"), (2, "c"), (7, "e")] and len(list((tmp_path / "t").glob("batch-*"))) <= 5
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    from datetime import datetime
+
+    from sparkloft.streaming.feeds import minute_counts
+
+    src = str(tmp_path / "events")
+    for k, stamps in enumerate([["2024-01-01 00:00:10", "2024-01-01 00:00:20"], ["2024-01-01 01:00:00"], ["2024-01-01 01:00:10"], ["2024-01-01 00:00:30", "2024-01-01 01:00:40"]]):
+        rows = [(datetime.fromisoformat(x), "view", 1.0) for x in stamps]
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken in the order of their times
+    start = int(datetime.fromisoformat("2024-01-01 00:00:00+00:00").timestamp()) // 60
+    got = {r["minute"] - start: (r["n"], r["total"]) for r in minute_counts(spark, src, "10 minutes", 1).collect()}
+    assert got == {0: (2, 2.0), 60: (3, 3.0)}
+    late = {r["minute"] - start: r["n"] for r in minute_counts(spark, src, "2 hours", 1).collect()}
+    assert late == {0: 3, 60: 3}
+
+
+def test_language():
+    from sparkloft.functions.language import stem_english
+
+    stems = {
+        "consistently": "consist", "conspiracy": "conspiraci", "knightly": "knight", "knitting": "knit", "happiness": "happi", "hopping": "hop", "hoped": "hope",
+        "cries": "cri", "ties": "tie", "gas": "gas", "this": "this", "kiwis": "kiwi", "agreed": "agre", "luxuriating": "luxuri", "by": "by", "say": "say",
+        "communication": "communic", "rationalize": "ration", "adoption": "adopt", "controlling": "control", "falling": "fall", "inning": "inning", "skies": "sky",
+    }
+    assert {w: stem_english(w) for w in stems} == stems
+
+
+def test_analysis(spark):
+    from sparkloft.functions import language
+
+    rows = spark.createDataFrame([(0, "The cafe\u0301s were closing the queries"), (1, None), (2, "der Hund und die Katze sind nicht im Haus"), (3, "xyzzy")], "id int, t string")
+    got = {r["id"]: (r["w"], r["l"]) for r in rows.select("id", language.analyzed(F.col("t")).alias("w"), language.language_of(F.col("t"), ("en", "de", "xx")).alias("l")).collect()}
+    assert got[0] == (["café", "close", "queri"], "en") and got[1] == ([], "en") and got[2][1] == "de" and got[3][1] == "en"
+    plain = rows.where("id = 2").select(language.analyzed(F.col("t"), "de")).first()[0]
+    assert plain == ["hund", "katze", "haus"]
