@@ -11,6 +11,7 @@ from pyspark.sql import window as W
 
 from sparkloft.functions.text import age_decay, glob_to_regex, tokens
 from sparkloft.functions.vector import literal, score
+from sparkloft.storage import written
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -38,31 +39,29 @@ def _equals(term: str) -> Callable[[Column], Column]:
 
 
 def _counted(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """Chunks with their length and the count of each term; the text is made words once, since they have more than one reader."""
-    words = chunks.withColumn("__words", tokens(F.col("text")))
-    tf = {f"__tf{i}": F.size(F.filter("__words", _equals(t))) for i, t in enumerate(terms)}
-    return words.withColumns({"__dl": F.size("__words"), **tf}).drop("__words")
+    """(chunk_id, dl, tf0, tf1, ...) of all chunks: length and count of each term. The text is made words once: they have several readers."""
+    words = chunks.select("chunk_id", tokens(F.col("text")).alias("w"))
+    tf = [(F.size("w") - F.size(F.array_remove("w", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    return words.select("chunk_id", F.size("w").alias("dl"), *tf)
 
 
 def bm25_scores(chunks: DataFrame, terms: Iterable[str]) -> DataFrame:
-    """All chunks and their BM25 score, 0 where no query term occurs.
+    """(chunk_id, score): BM25 of the chunks that hold any of the terms.
 
-    One pass for the statistics, one for the scores, and no shuffle of texts. A filter on the score belongs after the cut to a top list:
-    Catalyst would push one down here and count the words again for it.
+    Texts are read once: their counts, a few numbers a chunk, are written, and both the statistics and the scores come from those.
     """
     terms = list(dict.fromkeys(terms))
-    nothing = chunks.withColumn("score", F.lit(0.0))
+    names = [f"tf{i}" for i in range(len(terms))]
+    none = chunks.sparkSession.createDataFrame([], "chunk_id string, score double")
     if not terms:
-        return nothing
-    names = [f"__tf{i}" for i in range(len(terms))]
-    counted = _counted(chunks, terms)
-    n, mean, *df = counted.agg(F.count("*"), F.avg("__dl"), *[F.count_if(F.col(x) > 0) for x in names]).first()
-    if not n or not mean:
-        return nothing
-    norm = K1 * (1 - B + B * F.col("__dl") / F.lit(float(mean)))
-    parts = [F.lit(float(idf(n, d))) * F.col(x) / (F.col(x) + norm) for x, d in zip(names, df, strict=True) if d]
-    score = sum(parts[1:], parts[0]) if parts else F.lit(0.0)
-    return counted.withColumn("score", score).drop("__dl", *names)
+        return none
+    counted = written(_counted(chunks, terms), "term-counts")
+    n, mean, *df = counted.agg(F.count("*"), F.avg("dl"), *[F.count_if(F.col(x) > 0) for x in names]).first()
+    parts = []
+    if n and mean:
+        norm = K1 * (1 - B + B * F.col("dl") / F.lit(float(mean)))
+        parts = [F.lit(float(idf(n, d))) * F.col(x) / (F.col(x) + norm) for x, d in zip(names, df, strict=True) if d]
+    return counted.select("chunk_id", sum(parts[1:], parts[0]).alias("score")).where(F.col("score") > 0) if parts else none
 
 
 def idf(n: int, df: int) -> float:
@@ -85,11 +84,13 @@ def normalised(hits: DataFrame) -> DataFrame:
 
 
 def keyword_search(chunks: DataFrame, terms: Iterable[str], k: int, where: Column | None = None, exact: bool = False) -> DataFrame:
-    """BM25 top k over the largest score. The filter comes after the cut to 3 k and the division, or before both if ``exact``."""
+    """(chunk_id, score): BM25 top k over the largest score. The filter comes after the cut to 3 k and the division, or before both if ``exact``."""
     if exact:
-        return normalised(top(bm25_scores(chunks if where is None else chunks.where(where), terms), k).where("score > 0"))
-    hits = normalised(top(bm25_scores(chunks, terms), 3 * k).where("score > 0"))
-    return top(hits if where is None else hits.where(where), k)
+        return normalised(top(bm25_scores(chunks if where is None else chunks.where(where), terms), k))
+    hits = normalised(top(bm25_scores(chunks, terms), 3 * k))
+    if where is not None:
+        hits = chunks.where(where).join(F.broadcast(hits), "chunk_id").select("chunk_id", "score")  # at most 3 k rows
+    return top(hits, k)
 
 
 def request_filter(source_types=(), languages=(), globs=(), domains=(), metadata=None, include_sensitive=False, hidden=()) -> Column:
