@@ -197,7 +197,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
     shards = nodes.mapInPandas(routed, "shard long, fp long, rep long, visits long")
     if levels:
-        shards = _blocks(shards)
+        shards = _blocks(written(shards, "simhash-shards"))  # routed once, read twice
     else:
         shards = shards.withColumns({"low": F.lit(0), "high": F.lit(0)})
     parts = connected_components(shards.groupBy("shard", "low", "high").applyInPandas(_links, "src long, dst long"))
