@@ -1,4 +1,8 @@
-"""Embedding near-dedup: inverted lists, product codes of residuals, table-lookup distances, exact cosine."""
+"""Embedding near-dedup: inverted lists, product codes of residuals, table-lookup distances, exact cosine.
+
+How many lists there are follows from the sample: more of them prune more pairs, but each vector then looks into more of them. Lists of any
+length are split into blocks, and so are those who look into them, so a task holds two blocks at most for each unit of its work.
+"""
 
 from __future__ import annotations
 
@@ -16,10 +20,11 @@ from sparkloft.llm.vectors import k_means, matrix, squared, usable
 
 COSINE = 0.98
 SAMPLE = 20_000  # vectors that the lists and codes are fitted on at most
-LISTS = 1024  # most inverted lists
+A_LIST = 16  # and so many of them at least for each list
 SUBSPACES = 8
 CODES = 64
-BLOCK = 4096  # vectors of a list that one task holds; longer lists are split
+BLOCK = 4096  # vectors of a list, or of those who look into it, that a unit of work holds
+COPY_COST, PAIR_COST = 10.0, 0.02  # microseconds that a copy of a vector and a looked-up pair take, about
 SLACK = 1e-6  # for rounding of distances between unit vectors
 BROADCAST_ROWS = 200_000  # list sizes (20 bytes each) that are broadcast at most
 
@@ -63,6 +68,26 @@ class Index:
         return home, [np.flatnonzero(x) for x in near]
 
 
+def fit_index(unit: np.ndarray, rows: float) -> Index:
+    """The index whose lists cost least, by what the sample shows; ``rows`` is how many vectors share a label on average over vectors.
+
+    A vector is compared with half of its own list and with the lists that it looks into, and is copied to each of those.
+    """
+    best, least = None, math.inf
+    lists = 1
+    while lists == 1 or lists <= min(len(unit) // A_LIST, rows / 4):
+        index = Index.fit(unit, lists)
+        home, probes = index.lists(unit, math.sqrt(2 - 2 * COSINE))
+        share = np.bincount(home, minlength=len(index.centres)) / len(unit)
+        looked = np.mean([len(p) for p in probes])
+        compared = share[home].mean() / 2 + np.mean([share[p].sum() for p in probes])
+        cost = (1 + looked) * COPY_COST + compared * rows * PAIR_COST
+        if cost >= least:  # more lists would only be dearer
+            break
+        best, least, lists = index, cost, lists * 4
+    return best
+
+
 def _search(index: Index, home: tuple, ask: tuple | None, links: np.ndarray, label: np.ndarray, at_home: np.ndarray, at_ask: np.ndarray, weight: np.ndarray, radius: float) -> None:
     """Links between the vectors of a block (or of a block and those that look into it), added to ``links`` and ``label``."""
     vec, unit, codes, err, centre = home
@@ -105,11 +130,12 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
         by_dim: dict[int, list] = {}
         for v in sample.to_pylist():
             by_dim.setdefault(len(v), []).append(v)
-        lists = max(1, min(LISTS, round(math.sqrt(n) / 4)))
+        labels = classes.groupBy("label").agg(F.count("*").cast("double").alias("n"))
+        together = labels.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
         indexes = {}
         for d, v in by_dim.items():
             x = np.array(v, float)
-            indexes[d] = Index.fit(x / np.sqrt((x * x).sum(1))[:, None], lists)
+            indexes[d] = fit_index(x / np.sqrt((x * x).sum(1))[:, None], together)
         sent = spark.sparkContext.broadcast(indexes)
 
         def place(batches):
@@ -131,41 +157,63 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
         kind = classes.schema["label"].dataType.simpleString()
         vector = classes.schema["embedding"].dataType.simpleString()
         placed = written(classes.mapInArrow(place, f"label {kind}, dim int, cell int, guest boolean, rep long, copies long, embedding {vector}"), "vector-lists")
-        sizes = placed.where("not guest").groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-        if sizes.count() <= BROADCAST_ROWS:
+        key = ["label", "dim", "cell"]
+        counts = placed.groupBy(*key).agg(F.count_if(~F.col("guest")).alias("h"), F.count_if("guest").alias("g")).where("h > 0")
+        blocks = {b: F.ceil(F.col(c) / BLOCK).cast("int") for b, c in (("homes", "h"), ("guests", "g"))}
+        sizes = written(counts.withColumns(blocks), "vector-list-sizes")
+        cells, copies = sizes.agg(F.count("*"), F.sum(F.col("h") * (F.col("homes") + F.col("guests")) + F.col("g") * F.col("homes"))).first()
+        sizes = sizes.select(*key, "homes", "guests")
+        if cells <= BROADCAST_ROWS:
             sizes = F.broadcast(sizes)
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        # a long list is split: its vectors live in one block and look into the lower ones, guests look into all
-        blocks = F.when(F.col("guest"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.sequence(F.lit(0), own))
-        dealt = placed.join(sizes, ["label", "dim", "cell"]).withColumn("own", own).withColumn("block", F.explode(blocks))
-        dealt = dealt.select("label", "dim", "cell", "block", (F.col("guest") | (F.col("own") != F.col("block"))).alias("guest"), "rep", "copies", "embedding")
-        tasks = max(1, min(20_000, 2 * n // BLOCK + 8))
-        dealt = dealt.withColumn("task", F.pmod(F.xxhash64("label", "dim", "cell", "block"), F.lit(tasks)).cast("int"))
+        own = F.pmod(F.xxhash64("rep"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))).cast("int")
+        dealt = placed.join(sizes, key).withColumn("own", own)
+
+        def units(first, last, unit):
+            """A unit of work for each number from first to last, none if there is none."""
+            return F.when(last >= first, F.transform(F.sequence(first, last), unit)).otherwise(F.array().cast("array<struct<a:int,b:int,cross:boolean,asks:boolean>>"))
+
+        def unit(a, b, cross: bool, asks: bool):
+            return F.struct(a.alias("a"), b.alias("b"), F.lit(cross).alias("cross"), F.lit(asks).alias("asks"))
+
+        zero, mine = F.lit(0), F.col("own")
+        # blocks of a list meet each other once, the later one asking; each block of guests asks each block of the list
+        at_home = F.concat(
+            units(mine, F.col("homes") - 1, lambda j: unit(mine, j, False, False)),
+            units(zero, mine - 1, lambda i: unit(i, mine, False, True)),
+            units(zero, F.col("guests") - 1, lambda k: unit(mine, k, True, False)),
+        )
+        visiting = units(zero, F.col("homes") - 1, lambda i: unit(i, mine, True, True))
+        dealt = dealt.withColumn("unit", F.explode(F.when(F.col("guest"), visiting).otherwise(at_home)))
+        dealt = dealt.select(*key, "unit.a", "unit.b", "unit.cross", "unit.asks", "rep", "copies", "embedding")
+        tasks = copies // (2 * BLOCK) + 8
+        dealt = dealt.withColumn("task", F.pmod(F.xxhash64(*key, "a", "b", "cross"), F.lit(tasks).cast("long")))
 
         def search(table: pa.Table) -> pa.Table:
             table = table.sort_by("rep")  # the label of a component is then its smallest id
             label_of = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-            keys = np.stack([label_of, table.column("dim").to_numpy(), table.column("cell").to_numpy(), table.column("block").to_numpy()], 1)
+            numbers = [table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dim", "cell", "a", "b", "cross")]
+            keys = np.stack([label_of, *numbers], 1)
             reps, at = np.unique(table.column("rep").to_numpy(), return_inverse=True)
             weight, links, label = np.zeros(len(reps), np.int64), np.zeros(len(reps), np.int64), np.arange(len(reps))
             weight[at] = table.column("copies").to_numpy()
-            guest = table.column("guest").to_numpy()
+            asks = table.column("asks").to_numpy(zero_copy_only=False)
             groups, of = np.unique(keys, axis=0, return_inverse=True)
             order = np.argsort(of.ravel(), kind="stable")
             for g, where in enumerate(np.split(order, np.cumsum(np.bincount(of.ravel(), minlength=len(groups)))[:-1])):
-                _, d, cell, _ = groups[g].tolist()
+                _, d, cell, a, b, cross = groups[g].tolist()
+                h = ~asks[where]
+                if not h.any() or not (a == b and not cross) and h.all():
+                    continue
                 index = sent.value.get(d) or Index(np.zeros((1, d)), [np.zeros((1, d))], [0, d])
                 x = matrix(table.column("embedding").take(pa.array(where)))
-                unit = x / np.sqrt((x * x).sum(1))[:, None]
-                h = ~guest[where]
-                if not h.any():
-                    continue
+                unit_ = x / np.sqrt((x * x).sum(1))[:, None]
                 centre = index.centres[cell]
-                codes, err = index.code(unit[h] - centre)
-                home = (x[h], unit[h], codes, err, centre)
-                _search(index, home, None, links, label, at[where[h]], at[where[h]], weight, radius)
-                if (~h).any():
-                    _search(index, home, (x[~h], unit[~h]), links, label, at[where[h]], at[where[~h]], weight, radius)
+                codes, err = index.code(unit_[h] - centre)
+                home = (x[h], unit_[h], codes, err, centre)
+                if a == b and not cross:
+                    _search(index, home, None, links, label, at[where[h]], at[where[h]], weight, radius)
+                else:
+                    _search(index, home, (x[~h], unit_[~h]), links, label, at[where[h]], at[where[~h]], weight, radius)
             hit = links > 0
             return pa.table({"rep": pa.array(reps[hit]), "links": pa.array(links[hit]), "root": pa.array(reps[label[hit]])})
 
