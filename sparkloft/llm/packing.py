@@ -210,7 +210,10 @@ def pack(docs: DataFrame, target: Mapping[str, float] | None = None, length: int
     def numbers(ids, n):
         return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
 
-    if target is None and len(totals.select("queue").take(QUEUES + 1)) > QUEUES:
+    many = len(totals.select("queue").take(QUEUES + 1)) > QUEUES
+    if many and target is not None:
+        raise ValueError(f"a target takes at most {QUEUES} sources")
+    if many:
 
         def sequences(batches):
             for b in batches:
@@ -219,7 +222,7 @@ def pack(docs: DataFrame, target: Mapping[str, float] | None = None, length: int
 
         return _spread(placed, totals, length, window).mapInArrow(sequences, out)
 
-    plan = spark.sparkContext.broadcast(Plan({r["queue"]: r["total"] for r in totals.collect()}, length * window, target))  # without a target QUEUES rows at most
+    plan = spark.sparkContext.broadcast(Plan({r["queue"]: r["total"] for r in totals.collect()}, length * window, target))  # QUEUES rows at most
 
     def place(batches):
         p, last = plan.value, {}

@@ -165,6 +165,32 @@ def test_packing(spark, odd, monkeypatch):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_is_a_round_robin(spark, odd):
+    """Every token's place against queues that are served in turn, window by window, with their deficits carried on."""
+    rows = [(i, f"s{i % 3}" if i % 4 else None, t) for i, _, t in odd] + [(0, None, "repeated row"), (0, None, "repeated row"), (900, "s1", "very long " * 3000)]
+    t, length, window = bpe.tokenizer(), 64, 4
+    queues: dict[str, list] = {}
+    for row, (_, source, text) in enumerate(rows):
+        n = len(t.encode(text)) + 1
+        queues.setdefault(source or "", []).extend((row, k) for k in range(n))
+    total = sum(map(len, queues.values()))
+    deficit, at, out = dict.fromkeys(queues, 0.0), dict.fromkeys(queues, 0), []
+    while len(out) < total:
+        for q in sorted(queues):
+            deficit[q] += length * window * len(queues[q]) / total
+            n = min(int(deficit[q] + 0.5), len(queues[q]) - at[q])
+            deficit[q] -= n
+            out += queues[q][at[q] : at[q] + n]
+            at[q] += n
+    want = [(rows[r][0], k, p // length, p % length) for p, (r, k) in enumerate(out)]
+    got = packing.pack(table(spark, rows).coalesce(1), length=length, window=window).collect()
+    tokens = [(r["doc_id"], r["start"] + k, r["sequence_id"], r["offset"] + k) for r in got for k in range(r["length"])]
+    assert sorted(tokens) == sorted(want)
+    with pytest.raises(ValueError, match="sources"):
+        many = spark.range(packing.QUEUES + 1).selectExpr("id AS doc_id", "'x' AS text", "concat('s', id) AS source")
+        packing.pack(many, target={"s1": 1.0})
+
+
 def test_packing_many_sources(spark, odd, monkeypatch):
     df = table(spark, [(i, f"s{i % 23}" if i % 5 else None, t) for i, _, t in odd]).repartition(3, "doc_id")
     want = sorted(tuple(r) for r in packing.pack(df, length=64, window=4).collect())
@@ -239,6 +265,11 @@ def test_embedding_links(spark, monkeypatch):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, label int, embedding array<double>, rep string, cell int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_dedup.embedding_links(df).collect()}
     assert got == brute.cosine_links(rows)
+    monkeypatch.setattr(pq_dedup, "COPY_COST", 0.0)  # as many lists as the sample allows, all of them looked into by many
+    monkeypatch.setattr(pq_dedup, "A_LIST", 4)
+    monkeypatch.setattr(pq_dedup, "BLOCK", 5)
+    again = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_dedup.embedding_links(df).collect()}
+    assert again == got
     assert pq_dedup.embedding_links(df.limit(0)).count() == 0
 
 
@@ -363,6 +394,25 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_of_a_table(spark):
+    """All pages of a table against the plain text of their articles."""
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.select("page_id", "html").collect()
+
+    def plain(page):
+        inner = re.search(r"(?s)<article>(.*)</article>", page)[1]
+        blocks = re.split(r"</?(?:p|h1|br|ul|li|div)\b[^>]*>", inner)
+        return " ".join(filter(None, (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks)))
+
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert got == {r["page_id"]: plain(r["html"]) for r in rows}
+    twice = pages.limit(3)
+    assert html_extract.extract(twice.union(twice)).count() == 6
+
+
 def test_html_class_words_only_lower():
     text = "The first paragraph of the story has commas, and it is long enough to count as one of them."
     more = "The second paragraph goes on, with more commas, so that the container gets its points."
@@ -408,6 +458,33 @@ def test_toxicity(spark):
     assert 0 <= toxicity.score_texts(none, ["x"], {})[0] <= 1
 
 
+def test_toxicity_scores_are_those_of_single_texts(spark):
+    """Scores and spans of a batch against a plain forward-backward over each text by itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), lambda fold: True)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()] + [None, "", "idiot", "x " * 500 + "you stupid idiot"]
+    scores, spans = toxicity.score_texts(model, texts, {}, spans=True)
+
+    def chain(words):
+        e = [model.emission(w) for w in words]
+        tag = lambda i, t: e[i] * t
+        f = [[model.start[t] + tag(0, t) for t in (0, 1)]]
+        for i in range(1, len(e)):
+            f.append([np.logaddexp(f[-1][0] + model.trans[0, t], f[-1][1] + model.trans[1, t]) + tag(i, t) for t in (0, 1)])
+        b = [[0.0, 0.0]]
+        for i in range(len(e) - 1, 0, -1):
+            b.insert(0, [np.logaddexp(*(model.trans[s, t] + tag(i, t) + b[0][t] for t in (0, 1))) for s in (0, 1)])
+        z = np.logaddexp(*f[-1])
+        return [float(np.exp(f[i][1] + b[i][1] - z)) for i in range(len(e))]
+
+    for text, score, found in zip(texts, scores, spans, strict=True):
+        words = toxicity.words_of(text or "")
+        p = [x for k in range(0, len(words), toxicity.CHAIN) for x in chain(words[k : k + toxicity.CHAIN])]
+        x = np.array([1.0, np.log1p(sum(p)), max(p, default=0.0), sum(p) / max(1, len(p))])
+        assert np.isclose(score, 1 / (1 + np.exp(-np.clip(x @ model.calibration, -30, 30))), atol=1e-6)
+        assert [m for _, _, m in found] == pytest.approx([v for v in p if v > 0.5])
+
+
 def test_crf_marginals():
     """Forward-backward against the sum over all taggings."""
     import itertools
