@@ -145,7 +145,10 @@ def language_of(text: Column, allowed: Iterable[str] = tuple(STOPWORDS), default
     if not allowed:
         return F.lit(default)
     words = tokens(text)
-    hits = [F.struct(F.size(F.filter(words, _among(STOPWORDS[x]))).alias("n"), F.lit(-k).alias("k"), F.lit(x).alias("language")) for k, x in enumerate(allowed)]
+    hits = [
+        F.struct(F.size(F.filter(words, _among(STOPWORDS[x]))).alias("n"), F.lit(-k).alias("k"), F.lit(x).alias("language")) for k,
+        x in enumerate(allowed)
+    ]
     best = F.array_max(F.array(*hits))
     total = F.aggregate(F.array(*[h["n"] for h in hits]), F.lit(0), lambda a, b: a + b)
     return F.when((total > 0) & (best["n"] >= confidence * total), best["language"]).otherwise(default)

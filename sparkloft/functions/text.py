@@ -59,7 +59,9 @@ def token_estimate(text: Column) -> Column:
 def iso_week(ts: Column) -> Column:
     """YYYY-Www of the wall clock; null where the text is no timestamp."""
     t = F.try_to_timestamp(F.substring(ts, 1, 19)) if isinstance(ts, Column) else F.try_to_timestamp(F.substring(F.col(ts), 1, 19))
-    return F.when(t.isNotNull(), F.concat(F.extract(F.lit("YEAROFWEEK"), t).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(t).cast("string"), 2, "0")))
+    return F.when(
+        t.isNotNull(), F.concat(F.extract(F.lit("YEAROFWEEK"), t).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(t).cast("string"), 2, "0"))
+    )
 
 
 def year_month(ts: Column) -> Column:
@@ -87,7 +89,9 @@ def content_id(prefix: str, *parts: Column) -> Column:
 
 def prefix_swap(value: Column, old: str, new: str) -> Column:
     """A path under a moved root; other values stay."""
-    return F.when(value == old, F.lit(new)).when(value.startswith(old.rstrip("/") + "/"), F.concat(F.lit(new.rstrip("/")), F.substring(value, len(old.rstrip("/")) + 1, 1 << 30))).otherwise(value)
+    return F.when(value == old, F.lit(new)).when(
+        value.startswith(old.rstrip("/") + "/"), F.concat(F.lit(new.rstrip("/")), F.substring(value, len(old.rstrip("/")) + 1, 1 << 30))
+    ).otherwise(value)
 
 
 def parse_time(text: Column) -> Column:

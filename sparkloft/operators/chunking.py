@@ -107,7 +107,9 @@ def chunk_files(files: DataFrame) -> DataFrame:
                 else:
                     parts = [(t, None, None, None) for t in split_text(text or "")]
                 out += [(source, i, len(parts), t, a, b, s and s[0], s and s[1]) for i, (t, a, b, s) in enumerate(parts)]
-            frame = pd.DataFrame(out, columns=["source", "chunk_index", "total_chunks", "text", "start_line", "end_line", "symbol_name", "symbol_kind"])
+            frame = pd.DataFrame(
+                out, columns=["source", "chunk_index", "total_chunks", "text", "start_line", "end_line", "symbol_name", "symbol_kind"]
+            )
             yield frame.astype({"start_line": "Int64", "end_line": "Int64"})
 
     schema = "source string, chunk_index int, total_chunks int, text string, start_line int, end_line int, symbol_name string, symbol_kind string"

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 # Names of entity types, and the ends of session relations.
 ENTITY_TYPES = "Package Module Class Method Function Interface Enum Folder Decorator DesignDoc UserDoc PRD Runbook README APIDoc Service Endpoint Database ConfigFile Decision Error Session Tool File Task Commit Author".split()
 PREDICATES = "calls extends implements references depends_on imports contains defined_in decorated_by handled_by modifies authored_by".split()
-RELATION_TYPES = {"touches": ("File", None), "fixed-by": ("Error", "Decision"), "superseded-by": ("Decision", "Decision"), "ran-in": ("Tool", "Session"), "depends-on": ("Task", "Task"), "decided": ("Session", "Decision")}
+RELATION_TYPES = {
+    "touches": ("File", None), "fixed-by": ("Error", "Decision"), "superseded-by": ("Decision", "Decision"), "ran-in": ("Tool", "Session"),
+    "depends-on": ("Task", "Task"), "decided": ("Session", "Decision")
+}
 _SCHEMA = "source_file string, subject string, subject_type string, predicate string, object string, object_type string"
 
 
@@ -86,7 +89,10 @@ def triples(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([t for s, x in zip(pdf["source"], pdf["text"], strict=True) for t in python_triples(s, x or "")], columns=["source_file", "subject", "subject_type", "predicate", "object", "object_type"])
+            yield pd.DataFrame(
+                [t for s, x in zip(pdf["source"], pdf["text"], strict=True) for t in python_triples(s, x or "")],
+                columns=["source_file", "subject", "subject_type", "predicate", "object", "object_type"]
+            )
 
     return files.where("language = 'python'").select("source", "text").mapInPandas(run, _SCHEMA)
 
@@ -103,16 +109,28 @@ def import_triples(files: DataFrame) -> DataFrame:
     out = None
     for lang, (pattern, group) in _IMPORTS.items():
         langs = (lang, "typescript") if lang == "javascript" else (lang,)
-        rows = files.where(F.col("language").isin(*langs)).select(F.col("source").alias("source_file"), F.lit("imports").alias("predicate"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)))).alias("object"))
+        rows = files.where(F.col("language").isin(*langs)).select(
+            F.col("source").alias("source_file"), F.lit("imports").alias("predicate"),
+            F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)))).alias("object")
+        )
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def to_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, name, label) and edges (source_id, target_id, label, source_file) of triples, each once."""
-    ends = F.explode(F.array(F.struct(F.col("subject").alias("id"), F.col("subject_type").alias("label")), F.struct(F.col("object").alias("id"), F.col("object_type").alias("label")))).alias("n")
-    nodes = rows.select(ends).groupBy("n.id").agg(F.min("n.label").alias("label")).select("id", F.regexp_extract("id", r"[^:]*$", 0).alias("name"), "label")
-    edges = rows.select(F.col("subject").alias("source_id"), F.col("object").alias("target_id"), F.col("predicate").alias("label"), "source_file").distinct()
+    ends = F.explode(
+        F.array(
+            F.struct(F.col("subject").alias("id"), F.col("subject_type").alias("label")),
+            F.struct(F.col("object").alias("id"), F.col("object_type").alias("label"))
+        )
+    ).alias("n")
+    nodes = rows.select(ends).groupBy("n.id").agg(F.min("n.label").alias("label")).select(
+        "id", F.regexp_extract("id", r"[^:]*$", 0).alias("name"), "label"
+    )
+    edges = rows.select(
+        F.col("subject").alias("source_id"), F.col("object").alias("target_id"), F.col("predicate").alias("label"), "source_file"
+    ).distinct()
     return nodes, edges
 
 

@@ -53,6 +53,8 @@ def recoverable(missing: DataFrame, rows: DataFrame, cache: DataFrame, dimension
 
     missing: (chunk_id); rows: (chunk_id, text, ...) that an old store still has, the last of an id counting; cache: (content_hash, embedding).
     """
-    wanted = rows.join(missing.select("chunk_id").distinct(), "chunk_id", "left_semi").dropDuplicates(["chunk_id"]).withColumn("content_hash", content_hash())
+    wanted = rows.join(
+        missing.select("chunk_id").distinct(), "chunk_id", "left_semi"
+    ).dropDuplicates(["chunk_id"]).withColumn("content_hash", content_hash())
     good = cache.where(F.size("embedding") == dimensions).dropDuplicates(["content_hash"]).select("content_hash", "embedding")
     return wanted.join(good, "content_hash").drop("content_hash")

@@ -176,7 +176,9 @@ def impact(edges: DataFrame, node_id: str, max_depth: int = 3, predicates=IMPACT
     seen = edges.sparkSession.createDataFrame([(node_id, 0, None)], "id string, depth int, via string")
     frontier = seen
     for depth in range(1, max_depth + 1):
-        step = e.join(frontier.select(F.col("id").alias("target_id")), "target_id").groupBy(F.col("source_id").alias("id")).agg(F.min("label").alias("via"))
+        step = e.join(
+            frontier.select(F.col("id").alias("target_id")), "target_id"
+        ).groupBy(F.col("source_id").alias("id")).agg(F.min("label").alias("via"))
         frontier = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via")
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0").orderBy("depth", "id").limit(limit)
@@ -302,7 +304,9 @@ def graph_query(nodes: DataFrame, edges: DataFrame, text: str, k: int = 10, incl
     return rows.orderBy("pos", *triple).limit(k).select("entity", *triple)
 
 
-def graph_chunks(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, text: str, k: int = 10, include_sensitive: bool = False, entity_types=(), relations=()) -> DataFrame:
+def graph_chunks(
+    nodes: DataFrame, edges: DataFrame, chunks: DataFrame, text: str, k: int = 10, include_sensitive: bool = False, entity_types=(), relations=()
+) -> DataFrame:
     """Chunks behind the edges that a question's names match: all columns of chunks, score, entity, subject, predicate, object, path.
 
     edges: (..., chunk_id, weight); a missing weight is 1. A name keeps its k heaviest different triples; a chunk (or, without one, a
@@ -342,7 +346,9 @@ def supersede(edges: DataFrame, superseded: DataFrame, at: str, history: tuple[s
 
 
 def invalidate_file(edges: DataFrame, source_file: str, at: str) -> DataFrame:
-    return edges.withColumn("valid_until", F.when((F.col("source_file") == source_file) & F.col("valid_until").isNull(), F.lit(at)).otherwise(F.col("valid_until")))
+    return edges.withColumn(
+        "valid_until", F.when((F.col("source_file") == source_file) & F.col("valid_until").isNull(), F.lit(at)).otherwise(F.col("valid_until"))
+    )
 
 
 def link_entities(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -396,9 +402,16 @@ def sweep_empty_folders(nodes: DataFrame, edges: DataFrame, label: str = "Folder
 
 def commit_edges(commits: DataFrame, files: DataFrame, most: int = 50) -> DataFrame:
     """(source_id, label, target_id): every commit's author; its files too if it has at most ``most``, those that are known."""
-    author = commits.select(F.concat(F.lit("commit:"), "sha").alias("source_id"), F.lit("authored_by").alias("label"), F.concat(F.lit("person:"), "email").alias("target_id"))
-    changed = commits.where(F.size("files_changed") <= most).select(F.concat(F.lit("commit:"), "sha").alias("source_id"), F.explode("files_changed").alias("target_id"))
-    changed = changed.join(files.select(F.col("id").alias("target_id")), "target_id", "left_semi").select("source_id", F.lit("modifies").alias("label"), "target_id")
+    author = commits.select(
+        F.concat(F.lit("commit:"), "sha").alias("source_id"), F.lit("authored_by").alias("label"),
+        F.concat(F.lit("person:"), "email").alias("target_id")
+    )
+    changed = commits.where(F.size("files_changed") <= most).select(
+        F.concat(F.lit("commit:"), "sha").alias("source_id"), F.explode("files_changed").alias("target_id")
+    )
+    changed = changed.join(
+        files.select(F.col("id").alias("target_id")), "target_id", "left_semi"
+    ).select("source_id", F.lit("modifies").alias("label"), "target_id")
     return author.unionByName(changed).distinct()
 
 
@@ -422,8 +435,14 @@ def context(hits: DataFrame) -> DataFrame:
 
 def metadata_triples(chunks: DataFrame) -> DataFrame:
     """(subject, predicate, object, chunk_id) that a chunk's own columns tell: its file's folder and language, and its author if any."""
-    parts = F.array(F.struct(F.col("source").alias("s"), F.lit("defined_in").alias("p"), F.col("folder").alias("o")), F.struct(F.col("chunk_id").alias("s"), F.lit("contains").alias("p"), F.col("source").alias("o")), F.struct(F.col("source").alias("s"), F.lit("references").alias("p"), F.when(F.col("source_type") == "code", F.col("language")).alias("o")))
-    return chunks.select("chunk_id", F.explode(parts).alias("t")).where("t.s is not null and t.o is not null").select(F.col("t.s").alias("subject"), F.col("t.p").alias("predicate"), F.col("t.o").alias("object"), "chunk_id")
+    parts = F.array(
+        F.struct(F.col("source").alias("s"), F.lit("defined_in").alias("p"), F.col("folder").alias("o")),
+        F.struct(F.col("chunk_id").alias("s"), F.lit("contains").alias("p"), F.col("source").alias("o")),
+        F.struct(F.col("source").alias("s"), F.lit("references").alias("p"), F.when(F.col("source_type") == "code", F.col("language")).alias("o"))
+    )
+    return chunks.select("chunk_id", F.explode(parts).alias("t")).where("t.s is not null and t.o is not null").select(
+        F.col("t.s").alias("subject"), F.col("t.p").alias("predicate"), F.col("t.o").alias("object"), "chunk_id"
+    )
 
 
 def set_properties(nodes: DataFrame, changes: DataFrame) -> DataFrame:
@@ -431,12 +450,16 @@ def set_properties(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     new = changes.groupBy("id").agg(F.last("properties").alias("__new"))
     old = F.coalesce("properties", F.create_map().cast("map<string,string>"))
     fresh = F.coalesce("__new", F.create_map().cast("map<string,string>"))
-    return nodes.join(new, "id", "left").withColumn("properties", F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(fresh, k)), fresh)).drop("__new")
+    return nodes.join(new, "id", "left").withColumn(
+        "properties", F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
+    ).drop("__new")
 
 
 def project_people(people: DataFrame) -> DataFrame:
     """Nodes of people (id, name, kind, domain, sensitivity)."""
-    return people.select(F.concat(F.lit("person:"), "id").alias("id"), F.coalesce("name", "id").alias("name"), F.lit("Author").alias("label"), "domain", "sensitivity")
+    return people.select(
+        F.concat(F.lit("person:"), "id").alias("id"), F.coalesce("name", "id").alias("name"), F.lit("Author").alias("label"), "domain", "sensitivity"
+    )
 
 
 # Properties that the graph sets itself; those of a triple may not.
@@ -454,7 +477,10 @@ def triple_edges(triples: DataFrame, now: str) -> DataFrame:
     own = F.map_filter(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*RESERVED_PROPERTIES))
     ends = (F.col("subject").alias("source_id"), F.col("object").alias("target_id"), F.col("predicate").alias("label"))
     until = F.lit(None).cast("string").alias("valid_until")
-    made = (edge_id(F.col("subject"), F.col("predicate"), F.col("object")).alias("id"), *ends, "source_file", F.lit(now).alias("valid_from"), until, "chunk_id", own.alias("properties"))
+    made = (
+        edge_id(F.col("subject"), F.col("predicate"), F.col("object")).alias("id"), *ends, "source_file", F.lit(now).alias("valid_from"), until,
+        "chunk_id", own.alias("properties")
+    )
     return rows.select(*made)
 
 

@@ -24,7 +24,13 @@ def resolve_all(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     a = aliases.select(F.lower("surface").alias("k"), F.col("scope").alias("a_scope"), "person_id", "valid_from", "valid_to")
     m = mentions.withColumn("k", F.lower("surface"))
-    hit = m.join(a, (m["k"] == a["k"]) & (F.col("a_scope").isNull() | F.col("a_scope").eqNullSafe(F.col("scope"))) & (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("at"))) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("at"))), "left")
+    hit = m.join(
+        a,
+        (m["k"] == a["k"]) & (
+            F.col("a_scope").isNull() | F.col("a_scope").eqNullSafe(F.col("scope"))
+        ) & (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("at"))) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("at"))),
+        "left"
+    )
     out = hit.groupBy("mention_id").agg(F.countDistinct("person_id").alias("candidates"), F.min("person_id").alias("p"))
     return out.select("mention_id", F.when(F.col("candidates") == 1, F.col("p")).alias("person_id"), "candidates")
 
@@ -36,7 +42,9 @@ def persons_for_ref(links: DataFrame, ref: str) -> DataFrame:
 def refs_of_person(links: DataFrame, person_id: str) -> DataFrame:
     """(source_id, chunk_index) of a person's live references."""
     parts = F.split("ref", "#")
-    return links.where((F.col("person_id") == person_id) & ~F.col("stale")).select(parts[0].alias("source_id"), F.get(parts, F.lit(1)).cast("int").alias("chunk_index")).distinct()
+    return links.where((F.col("person_id") == person_id) & ~F.col("stale")).select(
+        parts[0].alias("source_id"), F.get(parts, F.lit(1)).cast("int").alias("chunk_index")
+    ).distinct()
 
 
 def group_by_person(results: DataFrame, links: DataFrame) -> DataFrame:
@@ -56,7 +64,9 @@ def stale_marked(links: DataFrame, source_id: str, alive: DataFrame) -> DataFram
 def upsert_people(people: DataFrame, new: DataFrame) -> DataFrame:
     """People (id, name, ...): a new row replaces the old one of its id; a null name keeps the known one."""
     old = people.select(F.col("id").alias("__id"), F.col("name").alias("__name"))
-    fresh = new.dropDuplicates(["id"]).join(old, F.col("id") == F.col("__id"), "left").withColumn("name", F.coalesce("name", "__name")).drop("__id", "__name")
+    fresh = new.dropDuplicates(["id"]).join(
+        old, F.col("id") == F.col("__id"), "left"
+    ).withColumn("name", F.coalesce("name", "__name")).drop("__id", "__name")
     return people.join(new.select("id"), "id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 

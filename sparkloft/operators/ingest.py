@@ -29,12 +29,17 @@ def delete_where(rows: DataFrame, where: Column) -> DataFrame:
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     t = token_estimate(F.col("text"))
-    return chunks.agg(F.count("*").alias("chunks"), F.avg(t).alias("avg_tokens"), F.min(t).alias("min_tokens"), F.max(t).alias("max_tokens"), F.sum(t).alias("total_tokens"), F.countDistinct("source").alias("sources"), F.countDistinct("language").alias("languages"))
+    return chunks.agg(
+        F.count("*").alias("chunks"), F.avg(t).alias("avg_tokens"), F.min(t).alias("min_tokens"), F.max(t).alias("max_tokens"),
+        F.sum(t).alias("total_tokens"), F.countDistinct("source").alias("sources"), F.countDistinct("language").alias("languages")
+    )
 
 
 def token_budget(chunks: DataFrame, floor: int = 50_000, ratio: float = 2.0, chunk_size: int = 512) -> DataFrame:
     out = chunks.agg(F.sum(token_estimate(F.col("text"))).alias("tokens"), F.count("*").alias("chunks"))
-    return out.withColumn("budget", F.greatest(F.lit(floor), (F.lit(ratio) * F.col("chunks") * chunk_size).cast("long"))).withColumn("over", F.col("tokens") > F.col("budget"))
+    return out.withColumn(
+        "budget", F.greatest(F.lit(floor), (F.lit(ratio) * F.col("chunks") * chunk_size).cast("long"))
+    ).withColumn("over", F.col("tokens") > F.col("budget"))
 
 
 def manifest_diff(
@@ -46,8 +51,14 @@ def manifest_diff(
     pending file is changed. A prior file that was not loaded is deleted only if ``on_disk`` (path) lacks it. With ``large``, a changed file
     of so many bytes (disk has size_bytes, prior embedded_at) is deferred until ``cooldown`` seconds after its last embedding.
     """
-    p = prior.select("path", F.col("checksum").alias("old_sum"), F.col("mtime").alias("old_time"), F.col("pending_reindex").alias("pending"), F.lit(True).alias("had"), *([F.col("embedded_at")] if large else []))
-    d = disk.select("path", F.col("checksum").alias("new_sum"), F.col("mtime").alias("new_time"), F.lit(True).alias("has"), *([F.col("size_bytes")] if large else []))
+    p = prior.select(
+        "path", F.col("checksum").alias("old_sum"), F.col("mtime").alias("old_time"), F.col("pending_reindex").alias("pending"),
+        F.lit(True).alias("had"), *([F.col("embedded_at")] if large else [])
+    )
+    d = disk.select(
+        "path", F.col("checksum").alias("new_sum"), F.col("mtime").alias("new_time"), F.lit(True).alias("has"),
+        *([F.col("size_bytes")] if large else [])
+    )
     both = p.join(d, "path", "full_outer")
     still = F.lit(False)
     if on_disk is not None:
@@ -81,7 +92,9 @@ def delta(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """Rows of texts whose content hash has no cached embedding. cache: (content_hash)."""
-    return texts.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256)).join(cache.select("content_hash").distinct(), "content_hash", "left_anti")
+    return texts.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256)).join(
+        cache.select("content_hash").distinct(), "content_hash", "left_anti"
+    )
 
 
 def session_windows(turns: DataFrame, size: int = 4, stride: int = 2, keep_tail: bool = False, with_tools: bool = False) -> DataFrame:
@@ -106,7 +119,10 @@ def session_windows(turns: DataFrame, size: int = 4, stride: int = 2, keep_tail:
     else:
         line, extra = F.concat(F.col("role"), F.lit(": "), F.col("text")), ()
     grouped = rows.groupBy("session_id", "window").agg(F.sort_array(F.collect_list(F.struct("i", "idx", line.alias("line"), *extra))).alias("t"))
-    named = [F.array_sort(F.array_distinct(F.filter(F.transform("t", _field(f)), lambda v: v.isNotNull()))).alias(c) for f, c in (("tool", "tools"), ("file", "files"))] if extra else []
+    named = [
+        F.array_sort(F.array_distinct(F.filter(F.transform("t", _field(f)), lambda v: v.isNotNull()))).alias(c) for f,
+        c in (("tool", "tools"), ("file", "files"))
+    ] if extra else []
     text = F.array_join(F.transform("t", lambda x: x.line), "\n").alias("text")
     return grouped.select("session_id", "window", F.col("t")[0]["idx"].alias("first_idx"), F.size("t").alias("span"), text, *named)
 
@@ -119,7 +135,9 @@ def count_records(extractions: DataFrame) -> DataFrame:
     """(session_id, metric, value, unit): lengths of an extraction's lists as records."""
     names = ("files_touched", "tools_used", "decisions", "open_threads")
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(F.size(m), F.lit(0)).cast("double").alias("value")) for m in names]))
-    return extractions.select("session_id", rows.alias("r")).select("session_id", "r.metric", "r.value", F.lit("count").alias("unit")).where("value > 0")
+    return extractions.select("session_id", rows.alias("r")).select(
+        "session_id", "r.metric", "r.value", F.lit("count").alias("unit")
+    ).where("value > 0")
 
 
 def merge_first(prior: DataFrame, new: DataFrame, key: str, text: str, newest_wins: bool = False) -> DataFrame:
@@ -135,7 +153,9 @@ def resume_offset(turns: DataFrame) -> DataFrame:
     """(session_id, offset): largest terminal index below the first turn in flight, -1 if there is none. turns: (session_id, idx, terminal)."""
     flight = turns.groupBy("session_id").agg(F.min(F.when(~F.col("terminal"), F.col("idx"))).alias("flight"))
     done = turns.join(flight, "session_id").where(F.col("terminal") & (F.col("flight").isNull() | (F.col("idx") < F.col("flight"))))
-    return flight.select("session_id").join(done.groupBy("session_id").agg(F.max("idx").alias("offset")), "session_id", "left").select("session_id", F.coalesce("offset", F.lit(-1).cast("long")).alias("offset"))
+    return flight.select("session_id").join(
+        done.groupBy("session_id").agg(F.max("idx").alias("offset")), "session_id", "left"
+    ).select("session_id", F.coalesce("offset", F.lit(-1).cast("long")).alias("offset"))
 
 
 def parse_triplets(rows: DataFrame) -> DataFrame:
@@ -144,5 +164,8 @@ def parse_triplets(rows: DataFrame) -> DataFrame:
     p = F.transform(F.split("line", r"\|"), lambda x: F.trim(x))
     lines = lines.withColumn("p", p).where((F.size("p") == 3) | (F.size("p") >= 5))
     five = F.size("p") >= 5
-    out = lines.select("id", "pos", F.col("p")[0].alias("subject"), F.when(five, F.col("p")[2]).otherwise(F.col("p")[1]).alias("predicate"), F.when(five, F.get(F.col("p"), F.lit(3))).otherwise(F.col("p")[2]).alias("object"))
+    out = lines.select(
+        "id", "pos", F.col("p")[0].alias("subject"), F.when(five, F.col("p")[2]).otherwise(F.col("p")[1]).alias("predicate"),
+        F.when(five, F.get(F.col("p"), F.lit(3))).otherwise(F.col("p")[2]).alias("object")
+    )
     return out.where("subject <> '' and predicate <> '' and object <> ''")

@@ -62,7 +62,9 @@ class KeywordIndex:
         if not self._segments():
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/lengths")
-        newest = rows.where(F.col("segment").isin(self._segments())).groupBy("chunk_id").agg(F.max_by("dl", "segment").alias("dl"), F.max("segment").alias("segment"))
+        newest = rows.where(F.col("segment").isin(self._segments())).groupBy("chunk_id").agg(
+            F.max_by("dl", "segment").alias("dl"), F.max("segment").alias("segment")
+        )
         if self._there("removed"):
             gone = self.spark.read.parquet(f"{self.path}/removed").groupBy("chunk_id").agg(F.max("upto").alias("upto"))
             newest = newest.join(gone, "chunk_id", "left").where("upto is null or upto < segment").drop("upto")

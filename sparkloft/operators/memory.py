@@ -73,5 +73,9 @@ def context(memories: DataFrame, budget: int, most: int = 1000) -> DataFrame:
 
 def parse_markdown(lines: DataFrame) -> DataFrame:
     """(line_no, section, text) of the items of a memory file: (line_no, value). One file, so one ordered window."""
-    section = F.last(F.when(F.col("value").startswith("## "), F.substring("value", 4, 1 << 20)), ignorenulls=True).over(W.Window.orderBy("line_no").rowsBetween(W.Window.unboundedPreceding, 0))
-    return lines.withColumn("section", section).where(F.col("value").startswith("- ")).select("line_no", "section", F.trim(F.regexp_replace(F.substring("value", 3, 1 << 20), r"\s*<!--.*?-->\s*$", "")).alias("text"))
+    section = F.last(
+        F.when(F.col("value").startswith("## "), F.substring("value", 4, 1 << 20)), ignorenulls=True
+    ).over(W.Window.orderBy("line_no").rowsBetween(W.Window.unboundedPreceding, 0))
+    return lines.withColumn("section", section).where(F.col("value").startswith("- ")).select(
+        "line_no", "section", F.trim(F.regexp_replace(F.substring("value", 3, 1 << 20), r"\s*<!--.*?-->\s*$", "")).alias("text")
+    )

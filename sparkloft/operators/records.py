@@ -21,7 +21,10 @@ def visible(include_sensitive: bool = False) -> Column:
     return F.lit(True) if include_sensitive else F.coalesce("sensitivity", F.lit("normal")) == "normal"
 
 
-def matching(metric: str | None = None, *, domain=None, subject=None, since=None, until=None, until_inclusive=True, min_confidence=0.7, exclude_sources=(), include_sensitive=False) -> Column:
+def matching(
+    metric: str | None = None, *, domain=None, subject=None, since=None, until=None, until_inclusive=True, min_confidence=0.7, exclude_sources=(),
+    include_sensitive=False
+) -> Column:
     """The record predicate; times compare as text, and a null source is never excluded."""
     c = (F.col("confidence") >= min_confidence) & visible(include_sensitive)
     if metric is not None:
@@ -39,7 +42,9 @@ def matching(metric: str | None = None, *, domain=None, subject=None, since=None
     return c
 
 
-def aggregate(records: DataFrame, metric: str, op: str, group_by: str | None = None, order: str = "desc", limit: int | None = None, **where) -> DataFrame:
+def aggregate(
+    records: DataFrame, metric: str, op: str, group_by: str | None = None, order: str = "desc", limit: int | None = None, **where
+) -> DataFrame:
     """(label, value, score): one aggregate of a metric, or one for each group, largest first (or smallest), ties by label.
 
     Without groups there is always one row, 0.0 over no records. A week or month group needs a time. score: |value| / max |value|.
@@ -63,7 +68,10 @@ def aggregate(records: DataFrame, metric: str, op: str, group_by: str | None = N
     return out.select("label", "value", F.when(F.col("top") > 0, F.abs("value") / F.col("top")).otherwise(0.0).alias("score")).orderBy(*by)
 
 
-def absent(records: DataFrame, partition: str, present_in: str, absent_from: str, key: str = "subject", metric: str | None = None, limit: int | None = None, **where) -> DataFrame:
+def absent(
+    records: DataFrame, partition: str, present_in: str, absent_from: str, key: str = "subject", metric: str | None = None, limit: int | None = None,
+    **where
+) -> DataFrame:
     """(label): keys found under one value of a column and not under another; both sides see only visible, confident records.
 
     Follows NOT IN: a null key on the absent side leaves nothing.
@@ -98,7 +106,9 @@ def stats(records: DataFrame, min_confidence: float = 0.7) -> DataFrame:
 
 def confidence(metric: Column, unit: Column, value: Column, *extra: Column) -> Column:
     """Best of the validators: known money and count metrics, finite numbers, and ``extra`` scores; unverified if none holds."""
-    known = F.when((metric == "amount") & (unit.isNull() | (unit == "USD")), HIGH).when(metric.isin(*COUNT_METRICS) & (unit == "count"), HIGH).otherwise(0.0)
+    known = F.when(
+        (metric == "amount") & (unit.isNull() | (unit == "USD")), HIGH
+    ).when(metric.isin(*COUNT_METRICS) & (unit == "count"), HIGH).otherwise(0.0)
     finite = F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(PROVISIONAL)
     best = F.greatest(known, finite, *[F.coalesce(e, F.lit(0.0)) for e in extra])
     return F.when(best > 0, best).otherwise(UNVERIFIED)
@@ -111,7 +121,12 @@ def taught(records: DataFrame, rules: DataFrame) -> DataFrame:
     metric first, so the records meet them in an equi-join and no record is multiplied.
     """
     packed = rules.groupBy(F.col("metric").alias("__m")).agg(F.collect_list(F.struct("unit", "value_min", "value_max", "tier")).alias("__rules"))
-    fits = F.filter("__rules", lambda r: (r.unit.isNull() | (r.unit == F.col("unit"))) & (r.value_min.isNull() | (F.col("value") >= r.value_min)) & (r.value_max.isNull() | (F.col("value") <= r.value_max)))
+    fits = F.filter(
+        "__rules",
+        lambda r: (r.unit.isNull() | (r.unit == F.col("unit"))) & (
+            r.value_min.isNull() | (F.col("value") >= r.value_min)
+        ) & (r.value_max.isNull() | (F.col("value") <= r.value_max))
+    )
     tier = F.array_max(F.transform(fits, lambda r: r.tier))
     return records.join(packed, records["metric"] == packed["__m"], "left").withColumn("rule_tier", tier).drop("__m", "__rules")
 
@@ -124,7 +139,10 @@ def salience(ts: Column, as_of: str, half_life_days: float = 90.0, *extra: Colum
 def currency(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, metric, unit, value): every dollar amount of a text."""
     found = F.posexplode(F.regexp_extract_all("text", F.lit(CURRENCY), F.lit(1))).alias("pos", "amount")
-    return texts.select(key, found).select(key, "pos", F.lit("amount").alias("metric"), F.lit("USD").alias("unit"), F.replace("amount", F.lit(","), F.lit("")).cast("double").alias("value"))
+    return texts.select(key, found).select(
+        key, "pos", F.lit("amount").alias("metric"), F.lit("USD").alias("unit"),
+        F.replace("amount", F.lit(","), F.lit("")).cast("double").alias("value")
+    )
 
 
 def revalidated(records: DataFrame, scores: Column, metric: str | None = None, below: float = 2.0) -> DataFrame:
@@ -138,7 +156,9 @@ def revalidated(records: DataFrame, scores: Column, metric: str | None = None, b
 def with_rule(rules: DataFrame, rule: dict, now: str) -> DataFrame:
     """Rule table with one more rule; an active sibling (same owner, metric and unit) is retired and the version goes up."""
     spark = rules.sparkSession
-    new = spark.createDataFrame([(rule["owner"], rule["metric"], rule.get("unit"), rule.get("value_min"), rule.get("value_max"), rule["tier"], 1, now, None)], rules.schema)
+    new = spark.createDataFrame(
+        [(rule["owner"], rule["metric"], rule.get("unit"), rule.get("value_min"), rule.get("value_max"), rule["tier"], 1, now, None)], rules.schema
+    )
     same = (F.col("owner") == rule["owner"]) & (F.col("metric") == rule["metric"]) & F.col("unit").eqNullSafe(F.lit(rule.get("unit")))
     old = rules.withColumn("retired_at", F.when(same & F.col("retired_at").isNull(), F.lit(now)).otherwise(F.col("retired_at")))
     version = rules.where(same).agg(F.coalesce(F.max("version"), F.lit(0)).alias("v"))
@@ -154,13 +174,22 @@ def upsert_records(records: DataFrame, new: DataFrame, order: str | None = None)
     return upsert(records, with_buckets(new), ["id"], order).select(*records.columns)
 
 
-def counts(records: DataFrame, nodes: DataFrame, edges: DataFrame, people: DataFrame, references: DataFrame, min_confidence: float = 0.7) -> DataFrame:
+def counts(
+    records: DataFrame, nodes: DataFrame, edges: DataFrame, people: DataFrame, references: DataFrame, min_confidence: float = 0.7
+) -> DataFrame:
     """(kind, n): sizes of the stores; edges count as open ones and as all."""
     parts = [
-        stats(records, min_confidence).select(F.explode(F.create_map(F.lit("records"), "records", F.lit("unverified"), "unverified")).alias("kind", "n")),
-        edges.agg(F.count("*").alias("a"), F.count_if(F.col("valid_until").isNull()).alias("o")).select(F.explode(F.create_map(F.lit("edges_all"), "a", F.lit("edges"), "o")).alias("kind", "n")),
+        stats(records, min_confidence).select(
+            F.explode(F.create_map(F.lit("records"), "records", F.lit("unverified"), "unverified")).alias("kind", "n")
+        ),
+        edges.agg(F.count("*").alias("a"), F.count_if(F.col("valid_until").isNull()).alias("o")).select(
+            F.explode(F.create_map(F.lit("edges_all"), "a", F.lit("edges"), "o")).alias("kind", "n")
+        ),
+    ]
+    parts += [
+        t.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind,
+        t in (("nodes", nodes), ("people", people), ("references", references))
     ]
-    parts += [t.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, t in (("nodes", nodes), ("people", people), ("references", references))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

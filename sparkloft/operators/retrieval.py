@@ -21,7 +21,9 @@ def top(hits: DataFrame, k: int) -> DataFrame:
     return hits.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-def vector_search(vectors: DataFrame, query: list[float], k: int, threshold: float = 0.0, metric: str = "cosine", where: Column | None = None) -> DataFrame:
+def vector_search(
+    vectors: DataFrame, query: list[float], k: int, threshold: float = 0.0, metric: str = "cosine", where: Column | None = None
+) -> DataFrame:
     """The k nearest, then those of ``threshold`` or more: in that order, as a filter before the cut would find others."""
     rows = vectors if where is None else vectors.where(where)
     hits = rows.withColumn("score", score(F.col("embedding"), literal(query), metric)).drop("embedding")
@@ -31,7 +33,9 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, threshold: flo
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, dl): the keyword index, to be written bucketed by term."""
     words = chunks.select("chunk_id", tokens(F.col("text")).alias("w"))
-    return words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return words.select(
+        "chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")
+    ).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def _equals(term: str) -> Callable[[Column], Column]:
@@ -74,13 +78,17 @@ def bm25_from_postings(index: DataFrame, n: int, mean: float, terms: Iterable[st
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(F.broadcast(df), "term")  # one row a query term
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return scored.groupBy("chunk_id").agg(F.sum(idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))).alias("score"))
+    return scored.groupBy("chunk_id").agg(
+        F.sum(idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))).alias("score")
+    )
 
 
 def normalised(hits: DataFrame) -> DataFrame:
     """Scores over the list's largest. The list is short (a top k), so one window holds it, and it is worked out once only."""
     most = F.max("score").over(W.Window.partitionBy(F.lit(0)))
-    return hits.withColumn("__most", most).withColumn("score", F.when(F.col("__most") > 0, F.col("score") / F.col("__most")).otherwise(F.col("score"))).drop("__most")
+    return hits.withColumn("__most", most).withColumn(
+        "score", F.when(F.col("__most") > 0, F.col("score") / F.col("__most")).otherwise(F.col("score"))
+    ).drop("__most")
 
 
 def keyword_search(chunks: DataFrame, terms: Iterable[str], k: int, where: Column | None = None, exact: bool = False) -> DataFrame:
@@ -118,7 +126,9 @@ def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, alpha: float = 0.5)
     """(chunk_id, vector_score, bm25_score, score): alpha * v / max v + (1 - alpha) * b / max b, a missing side is 0."""
     v = normalised(vector_hits.select("chunk_id", "score")).withColumnRenamed("score", "vector_score")
     b = normalised(keyword_hits.select("chunk_id", "score")).withColumnRenamed("score", "bm25_score")
-    both = v.join(b, "chunk_id", "full_outer").select("chunk_id", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"))
+    both = v.join(b, "chunk_id", "full_outer").select(
+        "chunk_id", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score")
+    )
     return both.withColumn("score", alpha * F.col("vector_score") + (1 - alpha) * F.col("bm25_score"))
 
 
@@ -159,7 +169,9 @@ def stale_penalty(hits: DataFrame, superseded: DataFrame, factor: float = 0.5) -
 
 def source_weights(hits: DataFrame, doc: float = 0.5, reference: float = 0.7) -> DataFrame:
     """Weights by source type and authority; a weight of 0 drops the hit."""
-    weight = F.when(F.coalesce("source_type", F.lit("doc")) == "doc", doc).otherwise(1.0) * F.when(F.col("authority") == "reference", reference).otherwise(1.0)
+    weight = F.when(
+        F.coalesce("source_type", F.lit("doc")) == "doc", doc
+    ).otherwise(1.0) * F.when(F.col("authority") == "reference", reference).otherwise(1.0)
     return hits.withColumn("score", F.col("score") * weight).where(weight > 0)
 
 
@@ -180,7 +192,9 @@ def rerank(hits: DataFrame, scorer: Column, k: int) -> DataFrame:
 def boost(results: DataFrame, memories: DataFrame, k: int, floor: float = 0.35, factor: float = 1.5) -> DataFrame:
     """Merges memory hits (chunk_id, score) of at least ``floor``, times ``factor``, into results that lack them; k remain."""
     extra = memories.where(F.col("score") >= floor).join(results.select("chunk_id"), "chunk_id", "left_anti")
-    merged = results.select("chunk_id", "score", F.lit("chunk").alias("kind")).unionByName(extra.select("chunk_id", (F.col("score") * factor).alias("score"), F.lit("memory").alias("kind")))
+    merged = results.select("chunk_id", "score", F.lit("chunk").alias("kind")).unionByName(
+        extra.select("chunk_id", (F.col("score") * factor).alias("score"), F.lit("memory").alias("kind"))
+    )
     return top(merged, k)
 
 
@@ -209,4 +223,6 @@ def distinct_hits(hits: DataFrame, order: str = "pos") -> DataFrame:
     """The first hit of each chunk, or of each path where there is no chunk; hits with neither all stay."""
     key = F.coalesce("chunk_id", "path")
     w = W.Window.partitionBy(key).orderBy(order)
-    return hits.withColumn("__key", key).withColumn("__n", F.when(F.col("__key").isNull(), 1).otherwise(F.row_number().over(w))).where("__n = 1").drop("__n", "__key")
+    return hits.withColumn("__key", key).withColumn(
+        "__n", F.when(F.col("__key").isNull(), 1).otherwise(F.row_number().over(w))
+    ).where("__n = 1").drop("__n", "__key")

@@ -10,7 +10,10 @@ from sparkloft.functions.text import phrase_count, tokens
 BUCKETS = {"week": "iso_week", "day": "day", "source": "tool", "month": "ym"}
 
 
-def scan(turns: DataFrame, phrase: list[str], group_by: str | None = None, since: str | None = None, until: str | None = None, order: str = "desc", limit: int | None = None, include_sensitive: bool = False) -> DataFrame:
+def scan(
+    turns: DataFrame, phrase: list[str], group_by: str | None = None, since: str | None = None, until: str | None = None, order: str = "desc",
+    limit: int | None = None, include_sensitive: bool = False
+) -> DataFrame:
     """(label, value): counts, ordered by (value, label) in one direction; only buckets with a count. Days outside [since, until) are not read."""
     rows = turns.where("kind in ('text', 'thinking', 'tool_use', 'tool_result')")
     if since:

@@ -92,7 +92,9 @@ def results(hits: DataFrame) -> DataFrame:
     source = F.coalesce(*[F.col(c) for c in ("source", "file_path") if c in hits.columns], F.lit("unknown"))
     language = F.col("language") if "language" in hits.columns else F.lit(None).cast("string")
     kind = F.coalesce(F.col("source_type"), F.lit("doc")) if "source_type" in hits.columns else F.lit("doc")
-    return hits.select("chunk_id", "text", source.alias("source"), "score", kind.alias("source_type"), language.alias("language"), held.alias("metadata"))
+    return hits.select(
+        "chunk_id", "text", source.alias("source"), "score", kind.alias("source_type"), language.alias("language"), held.alias("metadata")
+    )
 
 
 def documents(chunks: DataFrame, contains: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
@@ -125,5 +127,8 @@ def reference_boost(results: DataFrame, references: DataFrame, k: int, floor: fl
     best = references.orderBy(F.desc("score"), "id").limit(recalled).where(F.col("score") >= floor)
     extra = best.join(results.select(F.col("chunk_id").alias("id")), "id", "left_anti")
     mine = results.select("chunk_id", "score", "source", F.lit("chunk").alias("kind"))
-    theirs = extra.select(F.col("id").alias("chunk_id"), (F.col("score") * factor).alias("score"), F.concat(F.lit("reference/"), "id").alias("source"), F.lit("reference").alias("kind"))
+    theirs = extra.select(
+        F.col("id").alias("chunk_id"), (F.col("score") * factor).alias("score"), F.concat(F.lit("reference/"), "id").alias("source"),
+        F.lit("reference").alias("kind")
+    )
     return top(mine.unionByName(theirs), k)

@@ -24,7 +24,10 @@ def usage_totals(usage: DataFrame, since: int = 0) -> DataFrame:
 def usage_series(usage: DataFrame, size: int = 60, since: int = 0, by=("channel",)) -> DataFrame:
     """Counters by bucket of ``size`` minutes and ``by``; error_calls counts the calls of rows with errors."""
     start = (F.floor(F.col("bucket") / size) * size).cast("long").alias("start")
-    return usage.where(F.col("bucket") >= since).groupBy(start, *by).agg(F.sum("calls").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum(F.when(F.col("errors") > 0, F.col("calls")).otherwise(0)).alias("error_calls"))
+    return usage.where(F.col("bucket") >= since).groupBy(start, *by).agg(
+        F.sum("calls").alias("calls"), F.sum("tokens_in").alias("tokens_in"),
+        F.sum(F.when(F.col("errors") > 0, F.col("calls")).otherwise(0)).alias("error_calls")
+    )
 
 
 def accumulate(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -49,7 +52,9 @@ def prune(usage: DataFrame, days: int) -> DataFrame:
     return usage.crossJoin(F.broadcast(oldest)).where(F.floor(F.col("bucket") / 1440) >= F.col("oldest")).drop("oldest")
 
 
-def recent(log: DataFrame, since: float | None = None, mode: str | None = None, contains: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+def recent(
+    log: DataFrame, since: float | None = None, mode: str | None = None, contains: str | None = None, limit: int = 50, offset: int = 0
+) -> DataFrame:
     if since is not None:
         log = log.where(F.col("ts") >= since)
     if mode:
@@ -80,7 +85,10 @@ def latency(log: DataFrame, by: str | None = None) -> DataFrame:
 
 def top_queries(log: DataFrame, n: int = 10, zero_only: bool = False) -> DataFrame:
     rows = log.where("result_count = 0") if zero_only else log
-    out = rows.groupBy("query").agg(F.count("*").alias("n"), F.avg("latency_ms").alias("avg_latency_ms"), F.count_if(F.col("result_count") == 0).alias("zero_results"), F.max("ts").alias("last_ts"), F.max_by("id", F.struct("ts", "id")).alias("last_id"))
+    out = rows.groupBy("query").agg(
+        F.count("*").alias("n"), F.avg("latency_ms").alias("avg_latency_ms"), F.count_if(F.col("result_count") == 0).alias("zero_results"),
+        F.max("ts").alias("last_ts"), F.max_by("id", F.struct("ts", "id")).alias("last_id")
+    )
     return out.orderBy(F.desc("n"), F.desc("last_ts"), "query").limit(n)
 
 
@@ -122,7 +130,9 @@ def trailing_hour(calls: DataFrame, key: str, ts: str, budget: int, seconds: int
 def retrieval_quality(retrieved: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """(mode, cases, recall, mrr). retrieved: (case_id, mode, rank, item); expected: (case_id, mode, item)."""
     hits = expected.join(retrieved.where(F.col("rank") <= k), ["case_id", "mode", "item"], "left")
-    case = hits.groupBy("mode", "case_id").agg((F.count("rank") / F.count("*")).alias("recall"), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("rr"))
+    case = hits.groupBy("mode", "case_id").agg(
+        (F.count("rank") / F.count("*")).alias("recall"), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("rr")
+    )
     return case.groupBy("mode").agg(F.count("*").alias("cases"), F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"))
 
 
@@ -147,7 +157,10 @@ def cache_evict(cache: DataFrame, count: int) -> DataFrame:
 
 def log_rows(queries: DataFrame, most_results: int, snippet: int = 500) -> DataFrame:
     """Query-log rows of (id, ts, mode, query, results array<struct<chunk_id, score, text>>): results cut to so many, texts to a snippet."""
-    kept = F.transform(F.slice("results", 1, most_results), lambda r: F.struct(r["chunk_id"].alias("chunk_id"), r["score"].alias("score"), F.substring(r["text"], 1, snippet).alias("text")))
+    kept = F.transform(
+        F.slice("results", 1, most_results),
+        lambda r: F.struct(r["chunk_id"].alias("chunk_id"), r["score"].alias("score"), F.substring(r["text"], 1, snippet).alias("text"))
+    )
     return queries.withColumn("result_count", F.size("results")).withColumn("results", kept)
 
 
@@ -165,4 +178,7 @@ def cache_economics(cache: DataFrame, prices: DataFrame, avg_tokens: float) -> D
     """Cost of misses and savings of hits by model: cache (model, hits, misses), prices (model, per million tokens); unknown models cost 0."""
     out = cache.groupBy("model").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses")).join(prices, "model", "left")
     rate = F.coalesce("price", F.lit(0.0)) * avg_tokens / 1e6
-    return out.select("model", "hits", "misses", (F.col("hits") * rate).alias("saved"), (F.col("misses") * rate).alias("spent"), (F.col("hits") / (F.col("hits") + F.col("misses"))).alias("hit_rate"))
+    return out.select(
+        "model", "hits", "misses", (F.col("hits") * rate).alias("saved"), (F.col("misses") * rate).alias("spent"),
+        (F.col("hits") / (F.col("hits") + F.col("misses"))).alias("hit_rate")
+    )

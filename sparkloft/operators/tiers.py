@@ -60,7 +60,9 @@ class Registry:
 
 def check(items: DataFrame, registry: Registry) -> DataFrame:
     """Adds problem: why an item (tier, domain, source_id, ...) cannot be ingested, null if it can."""
-    problem = F.when(~F.col("tier").isin(*TIERS), "unknown tier").when(F.coalesce("source_id", F.lit("")) == "", "no provenance").when(~F.col("domain").isin(*sorted(registry.domains)), "unknown domain")
+    problem = F.when(~F.col("tier").isin(*TIERS), "unknown tier").when(F.coalesce("source_id", F.lit("")) == "", "no provenance").when(
+        ~F.col("domain").isin(*sorted(registry.domains)), "unknown domain"
+    )
     return items.withColumn("problem", problem)
 
 

@@ -36,7 +36,9 @@ _FOUND = """hit AS (SELECT a.pos, a.entity, a.low, n.name, row_number() OVER (PA
 def _chunks(t, spark, sf):
     key = F.col("n_nationkey").cast("string")
     source = t("chunks").join(t("nation"), F.col("n_nationkey") == F.col("doc_id") % 25).select(
-        F.concat(F.lit("nation:"), key, F.lit("|in|region:"), F.col("n_regionkey").cast("string")).alias("id"), "chunk_id", (1.0 - (F.col("doc_id") % 10) / 20.0).alias("weight")
+        F.concat(
+            F.lit("nation:"), key, F.lit("|in|region:"), F.col("n_regionkey").cast("string")
+        ).alias("id"), "chunk_id", (1.0 - (F.col("doc_id") % 10) / 20.0).alias("weight")
     )
     edges = t("edges").join(source, "id", "left")
     out = g.graph_chunks(t("nodes"), edges, t("chunks"), "which NATION_1 has ASIA", 10)
@@ -92,7 +94,9 @@ def _by_name(t, spark, sf):
     return g.nodes_by_name(t("nodes"), "NATION_7", ("geo",)).select("id", "label")
 
 
-@query("graph_lookup_label", "SELECT id, name FROM nodes WHERE label = 'File' AND contains(lower(name), 'widget') ORDER BY name, id LIMIT 30", "nodes")
+@query(
+    "graph_lookup_label", "SELECT id, name FROM nodes WHERE label = 'File' AND contains(lower(name), 'widget') ORDER BY name, id LIMIT 30", "nodes"
+)
 def _by_label(t, spark, sf):
     return g.nodes_by_label(t("nodes"), "File", "WIDGET", 30).select("id", "name")
 
@@ -117,14 +121,19 @@ def _folders(t, spark, sf):
     up = name(F.floor(k / 3))
     open_ = (F.lit("in_folder").alias("label"), F.lit(None).cast("string").alias("valid_until"))
     edges = t("part").where("p_partkey > 0").select(name(k).alias("source_id"), up.alias("target_id"), *open_)
-    files = t("part").where("p_partkey > 0 and p_partkey % 17 = 5").select(F.concat(F.lit("file:"), k.cast("string")).alias("source_id"), up.alias("target_id"), *open_)
+    files = t("part").where("p_partkey > 0 and p_partkey % 17 = 5").select(
+        F.concat(F.lit("file:"), k.cast("string")).alias("source_id"), up.alias("target_id"), *open_
+    )
     return g.sweep_empty_folders(nodes, edges.union(files)).where("label = 'Folder'").select("id")
 
 
 _TRIPLES = "SELECT concat('part:', CAST(l_partkey AS STRING)) AS subject, concat('supplier:', CAST(l_suppkey AS STRING)) AS object, concat('f', CAST(l_partkey % 9 AS STRING)) AS source_file FROM lineitem"
 
 
-@query("graph_triple_edges", f"SELECT DISTINCT concat(subject, chr(9247), 'made_by', chr(9247), object) AS id, source_file, 'y' AS kept, CAST(1 AS INT) AS n_properties FROM ({_TRIPLES}) AS t")
+@query(
+    "graph_triple_edges",
+    f"SELECT DISTINCT concat(subject, chr(9247), 'made_by', chr(9247), object) AS id, source_file, 'y' AS kept, CAST(1 AS INT) AS n_properties FROM ({_TRIPLES}) AS t"
+)
 def _triple_edges(t, spark, sf):
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     made = F.create_map(F.lit("id"), F.lit("x"), F.lit("note"), F.lit("y"), F.lit("valid_from"), F.lit("z"))
@@ -136,55 +145,96 @@ def _triple_edges(t, spark, sf):
     return out.select("id", "source_file", F.col("properties")["note"].alias("kept"), F.size("properties").alias("n_properties"))
 
 
-@query("graph_replace_files", "SELECT id, '2001' AS valid_from FROM edges WHERE source_file IN ('log3', 'log4') AND label = 'authored_by' UNION ALL SELECT id, valid_from FROM edges WHERE source_file NOT IN ('log3', 'log4')", "edges")
+@query(
+    "graph_replace_files",
+    "SELECT id, '2001' AS valid_from FROM edges WHERE source_file IN ('log3', 'log4') AND label = 'authored_by' UNION ALL SELECT id, valid_from FROM edges WHERE source_file NOT IN ('log3', 'log4')",
+    "edges"
+)
 def _replace(t, spark, sf):
     e = t("edges")
     new = e.where("source_file in ('log3', 'log4') and label = 'authored_by'").withColumn("valid_from", F.lit(None).cast("string"))
     return g.replace_files(e, new, "2001").select("id", "valid_from")
 
 
-@query("graph_upsert_nodes", "SELECT id, CASE WHEN label = 'Nation' THEN upper(concat(name, '!')) ELSE name END AS name, CASE WHEN label = 'Nation' AND domain = 'geo' THEN 'old' WHEN label = 'Region' THEN 'new' ELSE 'old' END AS note FROM nodes UNION ALL SELECT 'added:1', 'ADDED', 'new'", "nodes")
+@query(
+    "graph_upsert_nodes",
+    "SELECT id, CASE WHEN label = 'Nation' THEN upper(concat(name, '!')) ELSE name END AS name, CASE WHEN label = 'Nation' AND domain = 'geo' THEN 'old' WHEN label = 'Region' THEN 'new' ELSE 'old' END AS note FROM nodes UNION ALL SELECT 'added:1', 'ADDED', 'new'",
+    "nodes"
+)
 def _nodes(t, spark, sf):
     old = t("nodes").withColumn("properties", F.create_map(F.lit("note"), F.lit("old")))
     none = F.create_map().cast("map<string,string>")
-    changed = old.where("label in ('Nation', 'Region')").withColumn("name", F.when(F.col("label") == "Nation", F.upper(F.concat("name", F.lit("!")))).otherwise(F.col("name")))
+    changed = old.where("label in ('Nation', 'Region')").withColumn(
+        "name", F.when(F.col("label") == "Nation", F.upper(F.concat("name", F.lit("!")))).otherwise(F.col("name"))
+    )
     changed = changed.withColumn("properties", F.when(F.col("label") == "Region", F.create_map(F.lit("note"), F.lit("new"))).otherwise(none))
-    added = changed.limit(1).select(F.lit("added:1").alias("id"), F.lit("ADDED").alias("name"), F.lit("Region").alias("label"), "domain", "sensitivity", F.create_map(F.lit("note"), F.lit("new")).alias("properties"))
+    added = changed.limit(1).select(
+        F.lit("added:1").alias("id"), F.lit("ADDED").alias("name"), F.lit("Region").alias("label"), "domain", "sensitivity",
+        F.create_map(F.lit("note"), F.lit("new")).alias("properties")
+    )
     return g.upsert_nodes(old, changed.unionByName(added)).select("id", "name", F.col("properties")["note"].alias("note"))
 
 
-@query("graph_set_properties", "SELECT id, CASE WHEN label = 'Region' THEN 'new' ELSE 'old' END AS note, CASE WHEN label = 'Region' THEN 'more' END AS extra FROM nodes", "nodes")
+@query(
+    "graph_set_properties",
+    "SELECT id, CASE WHEN label = 'Region' THEN 'new' ELSE 'old' END AS note, CASE WHEN label = 'Region' THEN 'more' END AS extra FROM nodes", "nodes"
+)
 def _properties(t, spark, sf):
     nodes = t("nodes").withColumn("properties", F.create_map(F.lit("note"), F.lit("old")))
     both = F.create_map(F.lit("note"), F.lit("new"), F.lit("extra"), F.lit("more"))
     changes = nodes.where("label = 'Region'").select("id").union(spark.sql("SELECT 'nobody' AS id")).withColumn("properties", both)
-    return g.set_properties(nodes, changes).select("id", F.col("properties")["note"].alias("note"), F.try_element_at("properties", F.lit("extra")).alias("extra"))
+    return g.set_properties(nodes, changes).select(
+        "id", F.col("properties")["note"].alias("note"), F.try_element_at("properties", F.lit("extra")).alias("extra")
+    )
 
 
-@query("graph_rehome", "SELECT replace(id, 'part:', 'moved/part:') AS id, CASE WHEN source_file LIKE 'mod%' THEN concat('new/', source_file) ELSE source_file END AS source_file FROM (SELECT concat(source_id, chr(9247), label, chr(9247), target_id) AS id, source_file FROM edges) AS e", "edges")
+@query(
+    "graph_rehome",
+    "SELECT replace(id, 'part:', 'moved/part:') AS id, CASE WHEN source_file LIKE 'mod%' THEN concat('new/', source_file) ELSE source_file END AS source_file FROM (SELECT concat(source_id, chr(9247), label, chr(9247), target_id) AS id, source_file FROM edges) AS e",
+    "edges"
+)
 def _rehome(t, spark, sf):
     placed = lambda c: F.when(F.col(c).startswith("part:"), F.concat(F.lit("old/"), c)).otherwise(F.col(c))
     e = t("edges").withColumns({"source_id": placed("source_id"), "target_id": placed("target_id")})
     moved = g.rehome(t("nodes"), e, "old", "moved")[1]
-    e2 = moved.withColumn("source_file", F.when(F.col("source_file").startswith("mod"), F.concat(F.lit("old/"), "source_file")).otherwise(F.col("source_file")))
+    e2 = moved.withColumn(
+        "source_file", F.when(F.col("source_file").startswith("mod"), F.concat(F.lit("old/"), "source_file")).otherwise(F.col("source_file"))
+    )
     return g.rehome(t("nodes"), e2, "old", "new")[1].select("id", "source_file")
 
 
-@query("graph_commit_edges", "WITH c AS (SELECT o_orderkey AS k, concat('person:', CAST(o_custkey AS STRING)) AS p FROM orders), f AS (SELECT l_orderkey AS k, l_partkey AS f FROM lineitem) SELECT concat('commit:', CAST(k AS STRING)) AS source_id, 'authored_by' AS label, p AS target_id FROM c UNION SELECT concat('commit:', CAST(k AS STRING)), 'modifies', concat('part:', CAST(f AS STRING)) FROM f WHERE f % 2 = 0 AND k IN (SELECT k FROM f GROUP BY k HAVING count(*) <= 4)")
+@query(
+    "graph_commit_edges",
+    "WITH c AS (SELECT o_orderkey AS k, concat('person:', CAST(o_custkey AS STRING)) AS p FROM orders), f AS (SELECT l_orderkey AS k, l_partkey AS f FROM lineitem) SELECT concat('commit:', CAST(k AS STRING)) AS source_id, 'authored_by' AS label, p AS target_id FROM c UNION SELECT concat('commit:', CAST(k AS STRING)), 'modifies', concat('part:', CAST(f AS STRING)) FROM f WHERE f % 2 = 0 AND k IN (SELECT k FROM f GROUP BY k HAVING count(*) <= 4)"
+)
 def _commits(t, spark, sf):
-    changed = t("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("sha")).agg(F.collect_list(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("files_changed"))
-    commits = t("orders").select(F.col("o_orderkey").cast("string").alias("sha"), F.col("o_custkey").cast("string").alias("email")).join(changed, "sha", "left")
+    changed = t("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("sha")).agg(
+        F.collect_list(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("files_changed")
+    )
+    commits = t("orders").select(
+        F.col("o_orderkey").cast("string").alias("sha"), F.col("o_custkey").cast("string").alias("email")
+    ).join(changed, "sha", "left")
     files = t("part").where("p_partkey % 2 = 0").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
     return g.commit_edges(commits, files, 4)
 
 
-@query("graph_people", "SELECT concat('person:', CAST(c_custkey AS STRING)) AS id, coalesce(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END, CAST(c_custkey AS STRING)) AS name, 'Author' AS label FROM customer")
+@query(
+    "graph_people",
+    "SELECT concat('person:', CAST(c_custkey AS STRING)) AS id, coalesce(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END, CAST(c_custkey AS STRING)) AS name, 'Author' AS label FROM customer"
+)
 def _people(t, spark, sf):
-    people = t("customer").select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("name"), F.lit("human").alias("kind"), F.lit("code").alias("domain"), F.lit("normal").alias("sensitivity"))
+    people = t("customer").select(
+        F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("name"),
+        F.lit("human").alias("kind"), F.lit("code").alias("domain"), F.lit("normal").alias("sensitivity")
+    )
     return g.project_people(people).select("id", "name", "label")
 
 
-@query("graph_timeline_entity", f", {_DEG} SELECT name FROM (SELECT n.id, n.name, coalesce(degree, 0) AS degree FROM nodes n LEFT JOIN deg ON deg.node = n.id WHERE contains(lower(name), 'nation_1') AND sensitivity = 'normal' ORDER BY 3 DESC, 2, 1 LIMIT 5) AS x ORDER BY lower(name) = 'nation_1' DESC, degree DESC, name LIMIT 1", "nodes", "edges")
+@query(
+    "graph_timeline_entity",
+    f", {_DEG} SELECT name FROM (SELECT n.id, n.name, coalesce(degree, 0) AS degree FROM nodes n LEFT JOIN deg ON deg.node = n.id WHERE contains(lower(name), 'nation_1') AND sensitivity = 'normal' ORDER BY 3 DESC, 2, 1 LIMIT 5) AS x ORDER BY lower(name) = 'nation_1' DESC, degree DESC, name LIMIT 1",
+    "nodes", "edges"
+)
 def _entity(t, spark, sf):
     return spark.createDataFrame([(g.timeline_entity(t("nodes"), t("edges"), "nation_1"),)], "name string")
 
@@ -201,13 +251,23 @@ def _counts(t, spark, sf):
     return records.counts(t("records"), t("nodes"), t("edges"), t("customer"), t("benchmark"))
 
 
-@query("records_upsert", "SELECT id, CASE WHEN id % 5 = 0 THEN 'changed' ELSE subject END AS subject, CASE WHEN id % 5 = 0 THEN '2026-W53' ELSE iso_week END AS iso_week, CASE WHEN id % 5 = 0 THEN '2027-01' ELSE ym END AS ym FROM records", "records")
+@query(
+    "records_upsert",
+    "SELECT id, CASE WHEN id % 5 = 0 THEN 'changed' ELSE subject END AS subject, CASE WHEN id % 5 = 0 THEN '2026-W53' ELSE iso_week END AS iso_week, CASE WHEN id % 5 = 0 THEN '2027-01' ELSE ym END AS ym FROM records",
+    "records"
+)
 def _upsert(t, spark, sf):
     new = t("records").where("id % 5 = 0").withColumn("ts", F.lit("2027-01-01T00:00:00"))
-    twice = new.withColumn("subject", F.lit("changed")).withColumn("v", F.lit(2)).unionByName(new.withColumn("subject", F.lit("first")).withColumn("v", F.lit(1)))
+    twice = new.withColumn("subject", F.lit("changed")).withColumn("v", F.lit(2)).unionByName(
+        new.withColumn("subject", F.lit("first")).withColumn("v", F.lit(1))
+    )
     return records.upsert_records(t("records"), twice, "v").select("id", "subject", "iso_week", "ym")
 
 
-@query("session_digest", "SELECT session_id, concat('## Session ', CAST(session_id AS STRING), chr(10), string_agg(concat('- ', role), chr(10) ORDER BY role)) AS block FROM (SELECT DISTINCT session_id, role FROM turns) AS x GROUP BY session_id", "turns")
+@query(
+    "session_digest",
+    "SELECT session_id, concat('## Session ', CAST(session_id AS STRING), chr(10), string_agg(concat('- ', role), chr(10) ORDER BY role)) AS block FROM (SELECT DISTINCT session_id, role FROM turns) AS x GROUP BY session_id",
+    "turns"
+)
 def _digest(t, spark, sf):
     return sessions.digest(t("turns").select("session_id", F.col("role").alias("text")))

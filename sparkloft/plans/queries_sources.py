@@ -24,7 +24,10 @@ _PLACE = "concat('s', CAST(session_id AS STRING)) AS source_path"
 _SAID = f"(SELECT session_id, idx, role, {_CUT(_COLLAPSED('text'), 1500)} AS text FROM turns WHERE role <> 'system') AS x"
 
 
-@query("transcript_messages", f"SELECT {_PLACE}, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS idx, role, 'text' AS kind, text FROM {_SAID}", "turns")
+@query(
+    "transcript_messages",
+    f"SELECT {_PLACE}, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS idx, role, 'text' AS kind, text FROM {_SAID}", "turns"
+)
 def _messages(t, spark, sf):
     said = F.struct(F.col("role").alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"))
     plain = F.struct(F.col("role").alias("role"), F.col("text").alias("content"))
@@ -33,28 +36,41 @@ def _messages(t, spark, sf):
     return sessions.message_turns(_lines(t, value)).select("source_path", "idx", "role", "kind", "text")
 
 
-@query("transcript_rollout", f"SELECT {_PLACE}, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS idx, role, text FROM {_SAID}", "turns")
+@query(
+    "transcript_rollout", f"SELECT {_PLACE}, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS idx, role, text FROM {_SAID}", "turns"
+)
 def _rollout(t, spark, sf):
     block = F.array(F.struct(F.lit("input_text").alias("type"), F.col("text").alias("text")))
     role = F.when(F.col("role") == "system", "developer").otherwise(F.col("role"))
     payload = F.struct(F.lit("message").alias("type"), role.alias("role"), block.alias("content"))
-    return sessions.rollout_turns(_lines(t, F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload"))))).select("source_path", "idx", "role", "text")
+    return sessions.rollout_turns(
+        _lines(t, F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload"))))
+    ).select("source_path", "idx", "role", "text")
 
 
 @query(
     "transcript_steps",
-    f"SELECT {_PLACE}, idx, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, {_CUT(_COLLAPSED('text'), 1500)} AS text, idx % 3 <> 2 AS terminal FROM turns",
+    f"SELECT {_PLACE}, idx, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, {
+        _CUT(_COLLAPSED('text'), 1500)
+    } AS text, idx % 3 <> 2 AS terminal FROM turns",
     "turns",
 )
 def _steps(t, spark, sf):
     user = F.col("role") == "user"
     content = F.when(user, F.concat(F.lit("<USER_REQUEST>"), "text", F.lit("</USER_REQUEST> more"))).otherwise(F.col("text"))
     status = F.when(F.col("idx") % 3 == 2, "RUNNING").otherwise("DONE")
-    step = F.struct(F.col("idx").alias("step_index"), F.when(user, "USER_EXPLICIT").otherwise("MODEL").alias("source"), F.lit("TEXT").alias("type"), status.alias("status"), content.alias("content"))
+    step = F.struct(
+        F.col("idx").alias("step_index"), F.when(user, "USER_EXPLICIT").otherwise("MODEL").alias("source"), F.lit("TEXT").alias("type"),
+        status.alias("status"), content.alias("content")
+    )
     return sessions.step_turns(_lines(t, F.to_json(step))).select("source_path", "idx", "role", "text", "terminal")
 
 
-@query("transcript_titles", f"SELECT {_PLACE}, substr(trim(split_part(min_by(text, idx), chr(10), 1)), 1, 80) AS title FROM turns WHERE role = 'user' GROUP BY session_id", "turns")
+@query(
+    "transcript_titles",
+    f"SELECT {_PLACE}, substr(trim(split_part(min_by(text, idx), chr(10), 1)), 1, 80) AS title FROM turns WHERE role = 'user' GROUP BY session_id",
+    "turns"
+)
 def _titles(t, spark, sf):
     return sessions.session_titles(t("turns").withColumn("source_path", F.concat(F.lit("s"), F.col("session_id").cast("string"))))
 
@@ -65,7 +81,11 @@ def _final(t, spark, sf):
     return sessions.final_turns(turns, include_user=False).select("session_id", "idx")
 
 
-@query("archive_stats", "SELECT tool, count(DISTINCT session_id) AS sessions, count(*) AS turns, min(day) AS first_day, max(day) AS last_day FROM turns WHERE session_id % 4 <> 1 GROUP BY 1", "turns")
+@query(
+    "archive_stats",
+    "SELECT tool, count(DISTINCT session_id) AS sessions, count(*) AS turns, min(day) AS first_day, max(day) AS last_day FROM turns WHERE session_id % 4 <> 1 GROUP BY 1",
+    "turns"
+)
 def _archive(t, spark, sf):
     rows = t("turns").withColumn("source_path", F.col("session_id"))
     live = rows.where("session_id % 4 <> 1").select("source_path")
@@ -80,21 +100,40 @@ def _archive(t, spark, sf):
 )
 def _log(t, spark, sf):
     stat = F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))
-    stats = t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_partkey", "l_linenumber", stat.alias("s")))), lambda x: x["s"]), "\n").alias("stats"))
-    head = F.concat_ws("\n", F.col("o_orderkey").cast("string"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.lit("e@x"), F.lit("2024-01-01T00:00:00+00:00"), "o_orderpriority", F.lit(""))
-    logs = t("orders").join(stats, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit(history.COMMIT), head, F.lit(history.END), F.lit("\n"), "stats").alias("value"))
+    stats = t("lineitem").groupBy("l_orderkey").agg(
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct("l_partkey", "l_linenumber", stat.alias("s")))), lambda x: x["s"]), "\n"
+        ).alias("stats")
+    )
+    head = F.concat_ws(
+        "\n", F.col("o_orderkey").cast("string"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.lit("e@x"),
+        F.lit("2024-01-01T00:00:00+00:00"), "o_orderpriority", F.lit("")
+    )
+    logs = t("orders").join(stats, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat(F.lit(history.COMMIT), head, F.lit(history.END), F.lit("\n"), "stats").alias("value")
+    )
     return history.parse_log(logs).select("sha", "author", "subject", F.array_join("files_changed", " ").alias("files"), "lines_added")
 
 
-@query("commit_chunks", "SELECT CAST(o_orderkey AS STRING) AS sha, concat(o_orderpriority, chr(10), chr(10), 'Files:', chr(10), string_agg(f, chr(10) ORDER BY r)) AS text FROM (SELECT l_orderkey, concat('part', CAST(l_partkey AS STRING)) AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS r FROM lineitem) AS x JOIN orders ON o_orderkey = l_orderkey WHERE r <= 3 GROUP BY o_orderkey, o_orderpriority")
+@query(
+    "commit_chunks",
+    "SELECT CAST(o_orderkey AS STRING) AS sha, concat(o_orderpriority, chr(10), chr(10), 'Files:', chr(10), string_agg(f, chr(10) ORDER BY r)) AS text FROM (SELECT l_orderkey, concat('part', CAST(l_partkey AS STRING)) AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS r FROM lineitem) AS x JOIN orders ON o_orderkey = l_orderkey WHERE r <= 3 GROUP BY o_orderkey, o_orderpriority"
+)
 def _commit_chunks(t, spark, sf):
     name = F.concat(F.lit("part"), F.col("l_partkey").cast("string"))
-    changed = t("lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_partkey", "l_linenumber", name.alias("f")))), lambda x: x["f"]).alias("files_changed"))
-    rows = t("orders").join(changed, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").cast("string").alias("sha"), F.col("o_orderpriority").alias("subject"), F.lit("").alias("body"), "files_changed")
+    changed = t("lineitem").groupBy("l_orderkey").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("l_partkey", "l_linenumber", name.alias("f")))), lambda x: x["f"]).alias("files_changed")
+    )
+    rows = t("orders").join(changed, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_orderkey").cast("string").alias("sha"), F.col("o_orderpriority").alias("subject"), F.lit("").alias("body"), "files_changed"
+    )
     return history.commit_chunks(rows, 3)
 
 
-@query("commit_state", "SELECT 'r' AS repository, CAST(max(o_orderkey) AS STRING) AS sha, 7 + count(*) AS indexed FROM orders UNION ALL SELECT 'other', 'x', 5")
+@query(
+    "commit_state",
+    "SELECT 'r' AS repository, CAST(max(o_orderkey) AS STRING) AS sha, 7 + count(*) AS indexed FROM orders UNION ALL SELECT 'other', 'x', 5"
+)
 def _state(t, spark, sf):
     state = spark.createDataFrame([("r", "0", 7), ("other", "x", 5)], "repository string, sha string, indexed long")
     return history.advance(state, t("orders"), "r", str(t("orders").agg(F.max("o_orderkey")).first()[0]))
@@ -112,13 +151,19 @@ def _paths(t):
     return t("documents").select("doc_id", "text", F.get(F.array(*kinds), (F.col("doc_id") % 6).cast("int")).alias("path"))
 
 
-@query("files_ignored", f"SELECT doc_id, (path LIKE '%.log' AND path <> 'docs/keep.log') OR path LIKE 'docs/build/%' OR path LIKE 'sub/w%' AS ignored FROM ({_PATHS}) AS p")
+@query(
+    "files_ignored",
+    f"SELECT doc_id, (path LIKE '%.log' AND path <> 'docs/keep.log') OR path LIKE 'docs/build/%' OR path LIKE 'sub/w%' AS ignored FROM ({_PATHS}) AS p"
+)
 def _ignored(t, spark, sf):
     layers = [("", ["*.log", "# note"]), ("docs", ["!keep.log", "build/"]), ("sub", ["/w*", "/z*"])]
     return _paths(t).select("doc_id", files.layered_ignore(F.col("path"), layers).alias("ignored"))
 
 
-@query("files_language", f"SELECT doc_id, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.rs' THEN 'rust' END AS language FROM ({_PATHS}) AS p")
+@query(
+    "files_language",
+    f"SELECT doc_id, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.rs' THEN 'rust' END AS language FROM ({_PATHS}) AS p"
+)
 def _language(t, spark, sf):
     return _paths(t).select("doc_id", files.detect_language(F.col("path"), F.col("text")).alias("language"))
 
@@ -128,7 +173,10 @@ def _presets(t, spark, sf):
     return spark.createDataFrame([(g,) for g in files.preset_globs(["c", "text", "c"])], "pattern string")
 
 
-@query("files_dependencies", "SELECT concat('p', CAST(s_suppkey AS STRING), '/package.json') AS source, s_name AS package, concat('dep', CAST(s_nationkey AS STRING)) AS dependency FROM supplier")
+@query(
+    "files_dependencies",
+    "SELECT concat('p', CAST(s_suppkey AS STRING), '/package.json') AS source, s_name AS package, concat('dep', CAST(s_nationkey AS STRING)) AS dependency FROM supplier"
+)
 def _dependencies(t, spark, sf):
     name = F.concat(F.lit("dep"), F.col("s_nationkey").cast("string"))
     body = F.to_json(F.struct(F.col("s_name").alias("name"), F.create_map(name, F.lit("1")).alias("dependencies")))
@@ -139,11 +187,21 @@ def _dependencies(t, spark, sf):
 @query("text_chunks", "SELECT doc_id, true AS fits, true AS whole FROM documents WHERE trim(text) <> ''")
 def _text_chunks(t, spark, sf):
     """Every chunk is within its size, and a document's chunks hold all of its words in order."""
-    docs = t("documents").select(F.col("doc_id").cast("string").alias("source"), "text", F.lit("doc").alias("source_type"), F.lit(None).cast("string").alias("language"))
+    docs = t("documents").select(
+        F.col("doc_id").cast("string").alias("source"), "text", F.lit("doc").alias("source_type"), F.lit(None).cast("string").alias("language")
+    )
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    parts = chunking.chunk_files(docs).groupBy("source").agg(F.max(F.length("text")).alias("most"), F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: words(x["text"])))).alias("held"))
+    parts = chunking.chunk_files(docs).groupBy("source").agg(
+        F.max(F.length("text")).alias("most"),
+        F.array_distinct(
+            F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: words(x["text"])))
+        ).alias("held")
+    )
     out = parts.join(docs.select("source", words(F.col("text")).alias("all")), "source")
-    return out.select(F.col("source").cast("long").alias("doc_id"), (F.col("most") <= 4 * chunking.SIZE).alias("fits"), (F.col("held") == F.col("all")).alias("whole"))
+    return out.select(
+        F.col("source").cast("long").alias("doc_id"), (F.col("most") <= 4 * chunking.SIZE).alias("fits"),
+        (F.col("held") == F.col("all")).alias("whole")
+    )
 
 
 @query(
@@ -153,7 +211,9 @@ def _text_chunks(t, spark, sf):
 )
 def _code_chunks(t, spark, sf):
     lines = F.array_join(F.transform(F.sequence(F.lit(1), 1 + F.col("p_size") * 3), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n")
-    rows = t("part").select(F.col("p_partkey").cast("string").alias("source"), lines.alias("text"), F.lit("code").alias("source_type"), F.lit("go").alias("language"))
+    rows = t("part").select(
+        F.col("p_partkey").cast("string").alias("source"), lines.alias("text"), F.lit("code").alias("source_type"), F.lit("go").alias("language")
+    )
     return chunking.chunk_files(rows).select(F.col("source").cast("long").alias("id"), "chunk_index", "start_line", "end_line")
 
 
@@ -161,9 +221,14 @@ def _modules(t):
     """A small Python module for each part: a class with a decorated method that calls a function of the module."""
     key = F.col("p_partkey").cast("string")
     body = F.concat(
-        F.lit("import os\nfrom lib"), (F.col("p_partkey") % 3).cast("string"), F.lit(" import x\n\nclass C"), key, F.lit("(Base):\n    @cached\n    def run(self):\n        return helper(self.stop())\n\n    def stop(self):\n        pass\n\ndef helper(x):\n    return os.getcwd()\n")
+        F.lit("import os\nfrom lib"), (F.col("p_partkey") % 3).cast("string"), F.lit(" import x\n\nclass C"), key, F.lit(
+            "(Base):\n    @cached\n    def run(self):\n        return helper(self.stop())\n\n    def stop(self):\n        pass\n\ndef helper(x):\n    return os.getcwd()\n"
+        )
     )
-    return t("part").select("p_partkey", F.concat(F.lit("m"), key, F.lit(".py")).alias("source"), body.alias("text"), F.lit("python").alias("language"), F.lit("code").alias("source_type"))
+    return t("part").select(
+        "p_partkey", F.concat(F.lit("m"), key, F.lit(".py")).alias("source"), body.alias("text"), F.lit("python").alias("language"),
+        F.lit("code").alias("source_type")
+    )
 
 
 @query(
@@ -182,7 +247,10 @@ def _symbols(t, spark, sf):
     return chunking.chunk_files(_modules(t)).select("source", "symbol_name", "symbol_kind")
 
 
-@query("code_imports", "SELECT source_file, object, CASE WHEN n % 2 = 0 THEN concat('pkg/lib', CAST(n % 3 AS STRING), '.py') ELSE concat('lib', CAST(n % 3 AS STRING), '/__init__.py') END AS target FROM (SELECT p_partkey AS n, concat(CASE WHEN p_partkey % 2 = 0 THEN 'pkg/' ELSE 'other/' END, 'm', CAST(p_partkey AS STRING), '.py') AS source_file, concat('lib', CAST(p_partkey % 3 AS STRING)) AS object FROM part) AS x")
+@query(
+    "code_imports",
+    "SELECT source_file, object, CASE WHEN n % 2 = 0 THEN concat('pkg/lib', CAST(n % 3 AS STRING), '.py') ELSE concat('lib', CAST(n % 3 AS STRING), '/__init__.py') END AS target FROM (SELECT p_partkey AS n, concat(CASE WHEN p_partkey % 2 = 0 THEN 'pkg/' ELSE 'other/' END, 'm', CAST(p_partkey AS STRING), '.py') AS source_file, concat('lib', CAST(p_partkey % 3 AS STRING)) AS object FROM part) AS x"
+)
 def _imports(t, spark, sf):
     moved = _modules(t).withColumn("source", F.concat(F.when(F.col("p_partkey") % 2 == 0, "pkg/").otherwise("other/"), "source"))
     found = code_graph.triples(moved).where("predicate = 'imports' and object like 'lib%'").select("source_file", "object")
@@ -190,21 +258,33 @@ def _imports(t, spark, sf):
     return code_graph.resolve_imports(found, known)
 
 
-@query("code_import_patterns", "SELECT concat('f', CAST(n_nationkey AS STRING)) AS source_file, CASE n_nationkey % 3 WHEN 0 THEN './mod' WHEN 1 THEN 'net/http' ELSE 'a.b.C' END AS object FROM nation")
+@query(
+    "code_import_patterns",
+    "SELECT concat('f', CAST(n_nationkey AS STRING)) AS source_file, CASE n_nationkey % 3 WHEN 0 THEN './mod' WHEN 1 THEN 'net/http' ELSE 'a.b.C' END AS object FROM nation"
+)
 def _patterns(t, spark, sf):
     kinds = F.array(F.lit("import {x} from './mod'\nconst y = 1"), F.lit('import (\n  z "net/http"\n)'), F.lit("import static a.b.C;\nclass D {}"))
     langs = F.array(F.lit("typescript"), F.lit("go"), F.lit("java"))
     at = (F.col("n_nationkey") % 3).cast("int")
-    rows = t("nation").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("source"), F.get(kinds, at).alias("text"), F.get(langs, at).alias("language"))
+    rows = t("nation").select(
+        F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("source"), F.get(kinds, at).alias("text"), F.get(langs, at).alias("language")
+    )
     return code_graph.import_triples(rows).select("source_file", "object")
 
 
-@query("code_types", "SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'README' WHEN 1 THEN 'Class' ELSE 'odd' END AS type, CASE n_nationkey % 3 WHEN 0 THEN 'File' WHEN 1 THEN 'Error' END AS subject_type, CASE n_nationkey % 3 WHEN 1 THEN 'Decision' END AS object_type FROM nation")
+@query(
+    "code_types",
+    "SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'README' WHEN 1 THEN 'Class' ELSE 'odd' END AS type, CASE n_nationkey % 3 WHEN 0 THEN 'File' WHEN 1 THEN 'Error' END AS subject_type, CASE n_nationkey % 3 WHEN 1 THEN 'Decision' END AS object_type FROM nation"
+)
 def _types(t, spark, sf):
     at = (F.col("n_nationkey") % 3).cast("int")
-    raw, relation = F.get(F.array(F.lit("readme"), F.lit("CLASS"), F.lit("odd")), at), F.get(F.array(F.lit("touches"), F.lit("fixed-by"), F.lit("none")), at)
+    raw, relation = F.get(F.array(F.lit("readme"), F.lit("CLASS"), F.lit("odd")), at), F.get(
+        F.array(F.lit("touches"), F.lit("fixed-by"), F.lit("none")), at
+    )
     ends = code_graph.relation_ends(relation)
-    return t("nation").select(F.col("n_nationkey").alias("id"), code_graph.normalize_type(raw).alias("type"), ends[0].alias("subject_type"), ends[1].alias("object_type"))
+    return t("nation").select(
+        F.col("n_nationkey").alias("id"), code_graph.normalize_type(raw).alias("type"), ends[0].alias("subject_type"), ends[1].alias("object_type")
+    )
 
 
 def _items(t, spark):
@@ -212,7 +292,9 @@ def _items(t, spark):
     registry.domain("shop")
     kinds = F.array(*[F.lit(x) for x in ("record", "reference", "document", "entity", "other")])
     emit = lambda rows: rows.select(
-        F.col("event_id").alias("id"), F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("tier"), F.when(F.col("event_id") % 7 == 0, "nowhere").otherwise("shop").alias("domain"),
+        F.col("event_id").alias("id"), F.get(
+            kinds, (F.col("event_id") % 5).cast("int")
+        ).alias("tier"), F.when(F.col("event_id") % 7 == 0, "nowhere").otherwise("shop").alias("domain"),
         F.when(F.col("event_id") % 11 != 0, "s1").otherwise("").alias("source_id"), F.lit("2024-01-08T00:00:00").alias("ts"),
     )
     registry.adapter("events", emit, "shop")
@@ -237,16 +319,25 @@ def _forget(t, spark, sf):
     return tiers.forget({"document": _items(t, spark)["document"]}, "s1")["document"].select("id")
 
 
-@query("tier_inject", "SELECT doc_id, 'base' AS team, CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS STRING) END AS size, CASE WHEN doc_id % 3 = 0 THEN 'own' ELSE 'c' END AS note FROM chunks", "chunks")
+@query(
+    "tier_inject",
+    "SELECT doc_id, 'base' AS team, CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS STRING) END AS size, CASE WHEN doc_id % 3 = 0 THEN 'own' ELSE 'c' END AS note FROM chunks",
+    "chunks"
+)
 def _inject(t, spark, sf):
     own = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("note"), F.lit("own")))
     rows = t("chunks").select("doc_id", "n_chars", own.alias("extra"))
-    out = tiers.inject_by(rows, lambda c: {"size": c["n_chars"], "doc_id": 0, "list": [1]} if c["doc_id"] % 2 == 0 else 1 // 0, {"note": "c", "team": "base"})
+    out = tiers.inject_by(
+        rows, lambda c: {"size": c["n_chars"], "doc_id": 0, "list": [1]} if c["doc_id"] % 2 == 0 else 1 // 0, {"note": "c", "team": "base"}
+    )
     get = lambda k: F.try_element_at("extra", F.lit(k)).alias(k)
     return out.select("doc_id", get("team"), get("size"), get("note"))
 
 
-@query("tier_extract", "SELECT doc_id, 'USD' AS unit, CASE WHEN value > 500 THEN 1.0 ELSE 0.6 END AS confidence FROM (SELECT doc_id, CAST(replace(a, ',', '') AS DOUBLE) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\$\\s?([0-9][0-9,]*(?:\\.[0-9]+)?)', 1)) AS a FROM documents) AS x) AS y")
+@query(
+    "tier_extract",
+    "SELECT doc_id, 'USD' AS unit, CASE WHEN value > 500 THEN 1.0 ELSE 0.6 END AS confidence FROM (SELECT doc_id, CAST(replace(a, ',', '') AS DOUBLE) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\$\\s?([0-9][0-9,]*(?:\\.[0-9]+)?)', 1)) AS a FROM documents) AS x) AS y"
+)
 def _extract(t, spark, sf):
     registry = tiers.Registry()
     registry.extractors.append(lambda rows: records.currency(rows).withColumn("metric", F.lit("price")))
@@ -255,37 +346,60 @@ def _extract(t, spark, sf):
     return found.select("doc_id", "unit", registry.confidence(F.col("metric"), F.col("unit"), F.col("value")).cast("double").alias("confidence"))
 
 
-@query("tier_salience", "SELECT id, round(greatest(power(0.5, greatest(0.0, (epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(CAST(ts AS TIMESTAMP))) / 86400.0) / 30.0), CASE WHEN metric = 'purchase' THEN 0.9 ELSE 0.0 END), 6) AS salience FROM records", "records")
+@query(
+    "tier_salience",
+    "SELECT id, round(greatest(power(0.5, greatest(0.0, (epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(CAST(ts AS TIMESTAMP))) / 86400.0) / 30.0), CASE WHEN metric = 'purchase' THEN 0.9 ELSE 0.0 END), 6) AS salience FROM records",
+    "records"
+)
 def _salience(t, spark, sf):
     registry = tiers.Registry()
     registry.scorers.append(F.when(F.col("metric") == "purchase", 0.9))
     return rounded(t("records").select("id", registry.salience(F.col("ts"), "2024-02-01 00:00:00", 30.0).alias("salience")), "salience")
 
 
-@query("records_add_rule", "SELECT owner, metric, CAST(version AS INT) AS version, retired_at FROM (VALUES ('me', 'click', 1, '2024'), ('me', 'click', 2, NULL), ('you', 'click', 1, NULL)) AS v(owner, metric, version, retired_at)")
+@query(
+    "records_add_rule",
+    "SELECT owner, metric, CAST(version AS INT) AS version, retired_at FROM (VALUES ('me', 'click', 1, '2024'), ('me', 'click', 2, NULL), ('you', 'click', 1, NULL)) AS v(owner, metric, version, retired_at)"
+)
 def _rule(t, spark, sf):
     schema = "owner string, metric string, unit string, value_min double, value_max double, tier double, version int, created_at string, retired_at string"
-    rules = spark.createDataFrame([("me", "click", None, None, None, 0.6, 1, "2023", None), ("you", "click", None, None, None, 0.6, 1, "2023", None)], schema)
+    rules = spark.createDataFrame(
+        [("me", "click", None, None, None, 0.6, 1, "2023", None), ("you", "click", None, None, None, 0.6, 1, "2023", None)], schema
+    )
     return records.with_rule(rules, {"owner": "me", "metric": "click", "tier": 1.0}, "2024").select("owner", "metric", "version", "retired_at")
 
 
-@query("text_times", "SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE strftime(date_trunc('second', ts) - CASE WHEN event_id % 4 = 1 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S') END AS at FROM events")
+@query(
+    "text_times",
+    "SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE strftime(date_trunc('second', ts) - CASE WHEN event_id % 4 = 1 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S') END AS at FROM events"
+)
 def _times(t, spark, sf):
     plain = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     forms = F.array(plain, F.concat(plain, F.lit("+02:00")), F.concat(plain, F.lit("Z")), F.lit("no time"))
-    return t("events").select("event_id", F.date_format(text.parse_time(F.get(forms, (F.col("event_id") % 4).cast("int"))), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return t("events").select(
+        "event_id", F.date_format(text.parse_time(F.get(forms, (F.col("event_id") % 4).cast("int"))), "yyyy-MM-dd HH:mm:ss").alias("at")
+    )
 
 
-@query("text_weeks", "SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN strftime(ts, '%G-W%V') END AS week, CASE WHEN event_id % 9 <> 0 THEN strftime(ts, '%Y-%m') END AS month FROM events")
+@query(
+    "text_weeks",
+    "SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN strftime(ts, '%G-W%V') END AS week, CASE WHEN event_id % 9 <> 0 THEN strftime(ts, '%Y-%m') END AS month FROM events"
+)
 def _weeks(t, spark, sf):
     said = F.when(F.col("event_id") % 9 == 0, "garbage").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:00")))
     rows = t("events").select("event_id", said.alias("said"))
     return rows.select("event_id", text.iso_week(F.col("said")).alias("week"), text.year_month(F.col("said")).alias("month"))
 
 
-@query("text_ids", "SELECT id, concat('rec_', substr(sha1(concat_ws('|', CAST(id AS STRING), metric, coalesce(CASE WHEN id % 2 = 0 THEN source END, ''))), 1, 16)) AS record_id FROM records", "records")
+@query(
+    "text_ids",
+    "SELECT id, concat('rec_', substr(sha1(concat_ws('|', CAST(id AS STRING), metric, coalesce(CASE WHEN id % 2 = 0 THEN source END, ''))), 1, 16)) AS record_id FROM records",
+    "records"
+)
 def _ids(t, spark, sf):
-    return t("records").select("id", records.record_id(F.col("id"), F.col("metric"), F.when(F.col("id") % 2 == 0, F.col("source"))).alias("record_id"))
+    return t("records").select(
+        "id", records.record_id(F.col("id"), F.col("metric"), F.when(F.col("id") % 2 == 0, F.col("source"))).alias("record_id")
+    )
 
 
 @query("text_short", f"SELECT doc_id, {_CUT(_COLLAPSED('text'), 60)} AS short FROM documents")
@@ -293,20 +407,31 @@ def _short(t, spark, sf):
     return t("documents").select("doc_id", text.collapse(F.col("text"), 60).alias("short"))
 
 
-@query("text_turns", "SELECT session_id, idx, CASE idx % 4 WHEN 0 THEN concat(role, ': ', text) WHEN 1 THEN concat(role, ' (thinking): ', text) WHEN 2 THEN concat(role, ' [tool: ', tool, ']') ELSE concat('[result]: ', text) END AS line FROM turns", "turns")
+@query(
+    "text_turns",
+    "SELECT session_id, idx, CASE idx % 4 WHEN 0 THEN concat(role, ': ', text) WHEN 1 THEN concat(role, ' (thinking): ', text) WHEN 2 THEN concat(role, ' [tool: ', tool, ']') ELSE concat('[result]: ', text) END AS line FROM turns",
+    "turns"
+)
 def _turns(t, spark, sf):
     kind = F.get(F.array(F.lit("text"), F.lit("thinking"), F.lit("tool_use"), F.lit("tool_result")), (F.col("idx") % 4).cast("int"))
     return t("turns").select("session_id", "idx", text.rendered_turn(F.col("role"), kind, F.col("text"), F.col("tool")).alias("line"))
 
 
-@query("text_paths", f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'two words' ELSE path END AS path, doc_id % 7 <> 0 AS is_path FROM ({_PATHS}) AS p")
+@query(
+    "text_paths", f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'two words' ELSE path END AS path, doc_id % 7 <> 0 AS is_path FROM ({_PATHS}) AS p"
+)
 def _canonical(t, spark, sf):
-    said = F.when(F.col("doc_id") % 7 == 0, "two words").when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/home/me/"), "path")).otherwise(F.concat(F.lit("./"), "path"))
+    said = F.when(F.col("doc_id") % 7 == 0, "two words").when(
+        F.col("doc_id") % 2 == 0, F.concat(F.lit("/home/me/"), "path")
+    ).otherwise(F.concat(F.lit("./"), "path"))
     rows = _paths(t).withColumn("said", said)
     return rows.select("doc_id", text.canonical_path(F.col("said"), "/home/me").alias("path"), text.path_like(F.col("said")).alias("is_path"))
 
 
-@query("text_display_sources", "SELECT doc_id, concat('d', CAST(doc_id % 3 AS STRING), '://', source, '/', CAST(doc_id AS STRING)) AS shown, CASE WHEN doc_id % 4 <> 0 THEN source END AS source FROM documents")
+@query(
+    "text_display_sources",
+    "SELECT doc_id, concat('d', CAST(doc_id % 3 AS STRING), '://', source, '/', CAST(doc_id AS STRING)) AS shown, CASE WHEN doc_id % 4 <> 0 THEN source END AS source FROM documents"
+)
 def _display(t, spark, sf):
     domain, key = F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")), F.col("doc_id").cast("string")
     shown = text.display_source(domain, F.col("source"), key)
@@ -322,33 +447,53 @@ def _fences(t, spark, sf):
 
 @query("text_doc_comments", "SELECT p_partkey AS id, concat('Makes ', p_name, ' from Foo now. ', p_brand) AS comment FROM part")
 def _comments(t, spark, sf):
-    code = F.concat(F.lit("  /// <summary>Makes "), "p_name", F.lit('\n  /// from <see cref="Foo"/> now.</summary>\n  /// <returns> '), "p_brand", F.lit(" </returns>\n  public void Run() {"))
+    code = F.concat(
+        F.lit("  /// <summary>Makes "), "p_name", F.lit('\n  /// from <see cref="Foo"/> now.</summary>\n  /// <returns> '), "p_brand",
+        F.lit(" </returns>\n  public void Run() {")
+    )
     return t("part").select(F.col("p_partkey").alias("id"), text.doc_comment(code).alias("comment"))
 
 
 @query("text_html", "SELECT p_partkey AS id, concat(p_name, ' & ', p_brand) AS text FROM part")
 def _html(t, spark, sf):
-    page = F.concat(F.lit("<html><head><title>x</title></head><body><!-- c --><script>var a = '<p>';</script><h1>"), "p_name", F.lit("</h1>\n&amp;&nbsp;<b>"), "p_brand", F.lit("</b></body></html>"))
+    page = F.concat(
+        F.lit("<html><head><title>x</title></head><body><!-- c --><script>var a = '<p>';</script><h1>"), "p_name", F.lit("</h1>\n&amp;&nbsp;<b>"),
+        "p_brand", F.lit("</b></body></html>")
+    )
     return t("part").select(F.col("p_partkey").alias("id"), text.html_text(page).alias("text"))
 
 
 @query("text_language", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'fr' ELSE 'en' END AS language FROM documents")
 def _natural(t, spark, sf):
-    said = F.array(F.lit("der Hund und die Katze sind nicht im Haus"), F.lit("le chat est dans la maison avec les enfants"), F.lit("the cat is in the house with the children"), F.lit("zzz"))
-    return t("documents").select("doc_id", language.language_of(F.get(said, (F.col("doc_id") % 4).cast("int")), ("en", "de", "fr", "hr")).alias("language"))
+    said = F.array(
+        F.lit("der Hund und die Katze sind nicht im Haus"), F.lit("le chat est dans la maison avec les enfants"),
+        F.lit("the cat is in the house with the children"), F.lit("zzz")
+    )
+    return t("documents").select(
+        "doc_id", language.language_of(F.get(said, (F.col("doc_id") % 4).cast("int")), ("en", "de", "fr", "hr")).alias("language")
+    )
 
 
-@query("text_stems", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'café close queri' WHEN 1 THEN 'relat happi' ELSE '' END AS terms FROM part")
+@query(
+    "text_stems", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'café close queri' WHEN 1 THEN 'relat happi' ELSE '' END AS terms FROM part"
+)
 def _stems(t, spark, sf):
     said = F.array(F.lit("The cafés are closing the queries"), F.lit("Relational happiness"), F.lit("of the and"))
-    return t("part").select(F.col("p_partkey").alias("id"), F.array_join(language.analyzed(F.get(said, (F.col("p_partkey") % 3).cast("int"))), " ").alias("terms"))
+    return t("part").select(
+        F.col("p_partkey").alias("id"), F.array_join(language.analyzed(F.get(said, (F.col("p_partkey") % 3).cast("int"))), " ").alias("terms")
+    )
 
 
-@query("memory_sections", "SELECT doc_id * 3 + 2 AS line_no, concat('Section ', CAST(doc_id AS STRING)) AS section, split_part(trim(text), chr(10), 1) AS text FROM documents WHERE doc_id < 100 AND length(split_part(trim(text), chr(10), 1)) > 0")
+@query(
+    "memory_sections",
+    "SELECT doc_id * 3 + 2 AS line_no, concat('Section ', CAST(doc_id AS STRING)) AS section, split_part(trim(text), chr(10), 1) AS text FROM documents WHERE doc_id < 100 AND length(split_part(trim(text), chr(10), 1)) > 0"
+)
 def _sections(t, spark, sf):
     """A memory file is a page or two: the first hundred documents make its sections."""
     first = F.split_part(F.trim("text"), F.lit("\n"), F.lit(1))
-    parts = F.posexplode(F.array(F.concat(F.lit("## Section "), F.col("doc_id").cast("string")), F.lit(""), F.concat(F.lit("- "), first, F.lit(" <!-- id -->")))).alias("k", "value")
+    parts = F.posexplode(
+        F.array(F.concat(F.lit("## Section "), F.col("doc_id").cast("string")), F.lit(""), F.concat(F.lit("- "), first, F.lit(" <!-- id -->")))
+    ).alias("k", "value")
     lines = t("documents").where("doc_id < 100").where(F.length(first) > 0).select("doc_id", parts)
     return memory.parse_markdown(lines.select((F.col("doc_id") * 3 + F.col("k")).alias("line_no"), "value"))
 
@@ -359,26 +504,44 @@ def _sections(t, spark, sf):
     coalesce(string_agg(DISTINCT CASE WHEN idx % 2 = 1 THEN concat('f', CAST(idx % 2 AS STRING)) END, ','), '') AS files FROM w GROUP BY 1, 2""", "turns")
 def _tool_windows(t, spark, sf):
     call = F.col("idx") % 2 == 1
-    rows = t("turns").withColumn("kind", F.when(call, "tool_use").otherwise("text")).withColumn("tool_name", F.when(call, F.concat(F.lit("tool"), (F.col("idx") % 3).cast("string"))))
+    rows = t("turns").withColumn("kind", F.when(call, "tool_use").otherwise("text")).withColumn(
+        "tool_name", F.when(call, F.concat(F.lit("tool"), (F.col("idx") % 3).cast("string")))
+    )
     rows = rows.withColumn("tool_inputs", F.when(call, F.create_map(F.lit("file_path"), F.concat(F.lit("f"), (F.col("idx") % 2).cast("string")))))
     out = ingest.session_windows(rows, with_tools=True)
     return out.select("session_id", "window", F.array_join("tools", ",").alias("tools"), F.array_join("files", ",").alias("files"))
 
 
-@query("manifest_deferred", "SELECT path, CASE WHEN doc_id % 7 = 0 THEN CASE WHEN size_bytes >= 1500 AND doc_id % 2 = 0 THEN 'deferred' ELSE 'changed' END ELSE 'unchanged' END AS state FROM disk", "disk")
+@query(
+    "manifest_deferred",
+    "SELECT path, CASE WHEN doc_id % 7 = 0 THEN CASE WHEN size_bytes >= 1500 AND doc_id % 2 = 0 THEN 'deferred' ELSE 'changed' END ELSE 'unchanged' END AS state FROM disk",
+    "disk"
+)
 def _deferred(t, spark, sf):
     disk = t("disk")
-    prior = disk.select("path", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("checksum")).alias("checksum"), (F.col("mtime") - 1).alias("mtime"), F.lit(False).alias("pending_reindex"), F.when(F.col("doc_id") % 2 == 0, 950.0).otherwise(100.0).alias("embedded_at"))
+    prior = disk.select(
+        "path", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("checksum")).alias("checksum"), (F.col("mtime") - 1).alias("mtime"),
+        F.lit(False).alias("pending_reindex"), F.when(F.col("doc_id") % 2 == 0, 950.0).otherwise(100.0).alias("embedded_at")
+    )
     return ingest.manifest_diff(prior, disk, large=1500, now=1000.0, cooldown=300.0)
 
 
-@query("retrieve_distinct_hits", "SELECT pos, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(chunk_id, path) ORDER BY pos) AS n FROM (SELECT event_id AS pos, CASE WHEN event_id % 3 <> 0 THEN concat('c', CAST(user_id AS STRING)) END AS chunk_id, CASE WHEN event_id % 6 <> 0 THEN concat('p', event_type) END AS path FROM events) AS e) AS x WHERE n = 1 OR (chunk_id IS NULL AND path IS NULL)")
+@query(
+    "retrieve_distinct_hits",
+    "SELECT pos, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(chunk_id, path) ORDER BY pos) AS n FROM (SELECT event_id AS pos, CASE WHEN event_id % 3 <> 0 THEN concat('c', CAST(user_id AS STRING)) END AS chunk_id, CASE WHEN event_id % 6 <> 0 THEN concat('p', event_type) END AS path FROM events) AS e) AS x WHERE n = 1 OR (chunk_id IS NULL AND path IS NULL)"
+)
 def _distinct(t, spark, sf):
-    hits = t("events").select(F.col("event_id").alias("pos"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("c"), F.col("user_id").cast("string"))).alias("chunk_id"), F.when(F.col("event_id") % 6 != 0, F.concat(F.lit("p"), "event_type")).alias("path"))
+    hits = t("events").select(
+        F.col("event_id").alias("pos"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("c"), F.col("user_id").cast("string"))).alias("chunk_id"),
+        F.when(F.col("event_id") % 6 != 0, F.concat(F.lit("p"), "event_type")).alias("path")
+    )
     return retrieval.distinct_hits(hits).select("pos", "chunk_id")
 
 
-@query("queue_pause", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 5 >= 100 ELSE n_nationkey * 5 > 80 END AS pause FROM nation")
+@query(
+    "queue_pause",
+    "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 5 >= 100 ELSE n_nationkey * 5 > 80 END AS pause FROM nation"
+)
 def _pause(t, spark, sf):
     rows = t("nation").select("n_nationkey").collect()  # a rule of the driver's, not of rows
     return spark.createDataFrame([(r[0], telemetry.should_pause(r[0] * 5, 100, r[0] % 2 == 0)) for r in rows], "id long, pause boolean")

@@ -35,7 +35,10 @@ def _pairs(t, spark, sf):
     return store.id_source_pairs(t("chunks"), (F.col("language") == "de") & (F.col("source_type") == "doc"))
 
 
-@query("store_insert_only", "SELECT chunk_id, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS state FROM chunks WHERE doc_id % 2 = 0 OR doc_id % 3 = 0", "chunks")
+@query(
+    "store_insert_only",
+    "SELECT chunk_id, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS state FROM chunks WHERE doc_id % 2 = 0 OR doc_id % 3 = 0", "chunks"
+)
 def _insert(t, spark, sf):
     rows = t("chunks").select("chunk_id", "doc_id")
     old = rows.where("doc_id % 2 = 0").withColumn("state", F.lit("old"))
@@ -61,7 +64,10 @@ def _delete(t, spark, sf):
     return rows.select("chunk_id", F.lit(n).cast("long").alias("deleted"))
 
 
-@query("store_swap", "SELECT chunk_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS state FROM chunks WHERE doc_id % 5 = 0 OR doc_id % 3 <> 0", "chunks")
+@query(
+    "store_swap", "SELECT chunk_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS state FROM chunks WHERE doc_id % 5 = 0 OR doc_id % 3 <> 0",
+    "chunks"
+)
 def _swap(t, spark, sf):
     rows = t("chunks").select("chunk_id", "doc_id")
     new = rows.where("doc_id % 5 = 0").withColumn("state", F.lit("new"))
@@ -110,23 +116,33 @@ def _written(t, spark, sf):
     return rounded(_filled(t, spark).search(TERMS, 10), "score")
 
 
-@query("bm25_index_removed", f", {_bm25(10).replace('FROM chunks', 'FROM chunks WHERE doc_id % 6 <> 0', 1)} SELECT chunk_id, round(score, 6) AS score FROM bm", "chunks")
+@query(
+    "bm25_index_removed",
+    f", {_bm25(10).replace('FROM chunks', 'FROM chunks WHERE doc_id % 6 <> 0', 1)} SELECT chunk_id, round(score, 6) AS score FROM bm", "chunks"
+)
 def _removed(t, spark, sf):
     index = _filled(t, spark)
     index.remove(t("chunks").where("doc_id % 6 = 0").select("chunk_id"))
     return rounded(index.compact(folder(spark, "keywords")).search(TERMS, 10), "score")
 
 
-@query("embed_by_cache", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS a, CAST(doc_id % 3 = 0 AS BOOLEAN) AS own FROM documents WHERE text IS NOT NULL")
+@query(
+    "embed_by_cache", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS a, CAST(doc_id % 3 = 0 AS BOOLEAN) AS own FROM documents WHERE text IS NOT NULL"
+)
 def _embed(t, spark, sf):
     d = t("documents").select("doc_id", "text")
-    cache = d.where("doc_id % 3 = 0").select(embedding.content_hash().alias("content_hash"), F.array(F.length("text").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    cache = d.where("doc_id % 3 = 0").select(
+        embedding.content_hash().alias("content_hash"), F.array(F.length("text").cast("float"), F.lit(1.0).cast("float")).alias("embedding")
+    )
     wrong = d.where("doc_id % 3 = 1").select(embedding.content_hash().alias("content_hash"), F.array(F.lit(0.0).cast("float")).alias("embedding"))
     out, _ = embedding.embed(d, cache.union(wrong), lambda texts: [[float(len(x)), 0.0] for x in texts], 2)
     return out.select("doc_id", F.col("embedding")[0].cast("double").alias("a"), (F.col("doc_id") % 3 == 0).alias("own"))
 
 
-@query("embed_recoverable", "SELECT doc_id FROM chunks c WHERE doc_id % 4 = 0 AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)", "chunks")
+@query(
+    "embed_recoverable",
+    "SELECT doc_id FROM chunks c WHERE doc_id % 4 = 0 AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)", "chunks"
+)
 def _recoverable(t, spark, sf):
     d = t("documents").select("doc_id", "text")
     cache = d.where("doc_id % 3 = 0").select(embedding.content_hash().alias("content_hash"), F.array(F.lit(1.0)).alias("embedding"))
@@ -134,7 +150,10 @@ def _recoverable(t, spark, sf):
     return embedding.recoverable(rows.where("doc_id % 4 = 0").select("chunk_id"), rows, cache, 1).select("doc_id")
 
 
-@query("identity_people", "SELECT concat('customer:', CAST(c_custkey AS STRING)) AS id, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 10 <> 0 THEN 'renamed' ELSE c_name END AS name FROM customer")
+@query(
+    "identity_people",
+    "SELECT concat('customer:', CAST(c_custkey AS STRING)) AS id, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 10 <> 0 THEN 'renamed' ELSE c_name END AS name FROM customer"
+)
 def _people(t, spark, sf):
     people = t("customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"))
     key = F.substring("id", 10, 20).cast("int")
@@ -142,9 +161,14 @@ def _people(t, spark, sf):
     return identity.upsert_people(people, new)
 
 
-@query("identity_aliases", "SELECT surface, scope, person_id, valid_from, valid_to FROM alias UNION ALL SELECT 'NEW', NULL, 'customer:1', NULL, NULL", "alias")
+@query(
+    "identity_aliases", "SELECT surface, scope, person_id, valid_from, valid_to FROM alias UNION ALL SELECT 'NEW', NULL, 'customer:1', NULL, NULL",
+    "alias"
+)
 def _aliases(t, spark, sf):
-    new = spark.sql("SELECT 'NEW' AS surface, CAST(NULL AS STRING) AS scope, 'customer:1' AS person_id, CAST(NULL AS STRING) AS valid_from, CAST(NULL AS STRING) AS valid_to")
+    new = spark.sql(
+        "SELECT 'NEW' AS surface, CAST(NULL AS STRING) AS scope, 'customer:1' AS person_id, CAST(NULL AS STRING) AS valid_from, CAST(NULL AS STRING) AS valid_to"
+    )
     once = identity.add_aliases(t("alias"), new.union(new))
     return identity.add_aliases(once, t("alias").union(new))
 
@@ -171,7 +195,9 @@ def _links(t, spark, sf):
 )
 def _backfill(t, spark, sf):
     said = F.when(F.col("id") % 4 == 0, "MACHINERY").otherwise("BUILDING")
-    links = t("link").withColumns({"surface": said, "scope": F.concat(F.lit("scope"), (F.col("id") % 9).cast("string")), "at": F.lit("2024-05-01T00:00:00")})
+    links = t("link").withColumns(
+        {"surface": said, "scope": F.concat(F.lit("scope"), (F.col("id") % 9).cast("string")), "at": F.lit("2024-05-01T00:00:00")}
+    )
     aliases = t("alias").where(F.col("person_id").isin(*[f"customer:{k}" for k in range(1, 10)]))
     return identity.backfill(links, aliases).select("id", "person_id")
 
@@ -196,7 +222,10 @@ def _forget(t, spark, sf):
     "link",
 )
 def _chunks(t, spark, sf):
-    chunks = t("turns").select("session_id", "idx", F.concat(F.lit("session:"), F.col("session_id").cast("string")).alias("source_id"), F.col("idx").cast("int").alias("chunk_index"))
+    chunks = t("turns").select(
+        "session_id", "idx", F.concat(F.lit("session:"), F.col("session_id").cast("string")).alias("source_id"),
+        F.col("idx").cast("int").alias("chunk_index")
+    )
     return identity.chunks_of_person(t("link"), chunks, "customer:5").select("session_id", "idx")
 
 
@@ -214,14 +243,21 @@ def _superseded(t, spark, sf):
     return rounded(memory.superseded(rows, _query_vector(t), "section1", 0.2).select("id", "score"), "score")
 
 
-@query("usage_accumulate", "SELECT bucket, channel, provider, model, source, CAST(2 * sum(calls) AS BIGINT) AS calls, CAST(2 * sum(tokens_in) AS BIGINT) AS tokens_in FROM usage GROUP BY ALL", "usage")
+@query(
+    "usage_accumulate",
+    "SELECT bucket, channel, provider, model, source, CAST(2 * sum(calls) AS BIGINT) AS calls, CAST(2 * sum(tokens_in) AS BIGINT) AS tokens_in FROM usage GROUP BY ALL",
+    "usage"
+)
 def _accumulate(t, spark, sf):
     rows = t("usage").drop("event_id")
     once = telemetry.accumulate(rows.limit(0), rows)
     return telemetry.accumulate(once, rows).select("bucket", *telemetry.KEYS, "calls", "tokens_in")
 
 
-@query("bench_stats", "WITH v AS (SELECT list_sort(list(value)) AS v, count(*) AS n, avg(value) AS mean FROM events) SELECT v[CAST(n * 50 // 100 AS BIGINT) + 1] AS p50, v[CAST(n * 95 // 100 AS BIGINT) + 1] AS p95, v[CAST(n * 99 // 100 AS BIGINT) + 1] AS p99, round(mean, 6) AS mean, round(1000.0 / mean, 6) AS qps FROM v")
+@query(
+    "bench_stats",
+    "WITH v AS (SELECT list_sort(list(value)) AS v, count(*) AS n, avg(value) AS mean FROM events) SELECT v[CAST(n * 50 // 100 AS BIGINT) + 1] AS p50, v[CAST(n * 95 // 100 AS BIGINT) + 1] AS p95, v[CAST(n * 99 // 100 AS BIGINT) + 1] AS p99, round(mean, 6) AS mean, round(1000.0 / mean, 6) AS qps FROM v"
+)
 def _bench(t, spark, sf):
     return rounded(telemetry.bench_stats(t("events").select(F.col("value").alias("latency_ms"))), "mean", "qps")
 
@@ -237,14 +273,24 @@ def _drain(t, spark, sf):
     return rounded(telemetry.drain(items, "channel", "event_id", 40, 20.0).select("event_id", "spent"), "spent")
 
 
-@query("log_retention", "SELECT id FROM query_log WHERE strftime(make_timestamp(CAST(ts * 1000000 AS BIGINT)), '%Y-%m-%d') >= '2024-01-20'", "query_log")
+@query(
+    "log_retention", "SELECT id FROM query_log WHERE strftime(make_timestamp(CAST(ts * 1000000 AS BIGINT)), '%Y-%m-%d') >= '2024-01-20'", "query_log"
+)
 def _retention(t, spark, sf):
     days = t("query_log").select("id", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd").alias("day"))
     return telemetry.retained(days, "day", 10, "2024-01-30").select("id")
 
 
-@query("query_log_rows", ", d AS (SELECT c.doc_id % 40 AS id, c.chunk_id, substr(c.text, 1, 30) AS text, row_number() OVER (PARTITION BY c.doc_id % 40 ORDER BY c.doc_id) AS k FROM chunks c) SELECT id, count(*) AS result_count, string_agg(CASE WHEN k <= 3 THEN text END, '|' ORDER BY k) AS kept FROM d GROUP BY 1", "chunks")
+@query(
+    "query_log_rows",
+    ", d AS (SELECT c.doc_id % 40 AS id, c.chunk_id, substr(c.text, 1, 30) AS text, row_number() OVER (PARTITION BY c.doc_id % 40 ORDER BY c.doc_id) AS k FROM chunks c) SELECT id, count(*) AS result_count, string_agg(CASE WHEN k <= 3 THEN text END, '|' ORDER BY k) AS kept FROM d GROUP BY 1",
+    "chunks"
+)
 def _log(t, spark, sf):
-    hits = t("chunks").groupBy((F.col("doc_id") % 40).alias("id")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "chunk_id", F.lit(1.0).alias("score"), "text"))).alias("results"))
+    hits = t("chunks").groupBy((F.col("doc_id") % 40).alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct("doc_id", "chunk_id", F.lit(1.0).alias("score"), "text"))).alias("results")
+    )
     out = telemetry.log_rows(hits, 3, 30)
-    return out.select("id", F.col("result_count").cast("long").alias("result_count"), F.array_join(F.transform("results", lambda r: r["text"]), "|").alias("kept"))
+    return out.select(
+        "id", F.col("result_count").cast("long").alias("result_count"), F.array_join(F.transform("results", lambda r: r["text"]), "|").alias("kept")
+    )

@@ -11,7 +11,11 @@ _SUMS = "CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tokens_in) AS BIGINT) AS
 _ERR = "CAST(sum(CASE WHEN errors > 0 THEN calls ELSE 0 END) AS BIGINT) AS error_calls"
 
 
-@query("usage_totals", f"SELECT channel, provider, model, source, {_SUMS}, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(errors) AS BIGINT) AS errors FROM usage GROUP BY 1, 2, 3, 4", "usage")
+@query(
+    "usage_totals",
+    f"SELECT channel, provider, model, source, {_SUMS}, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(errors) AS BIGINT) AS errors FROM usage GROUP BY 1, 2, 3, 4",
+    "usage"
+)
 def _totals(t, spark, sf):
     return telemetry.usage_totals(t("usage"))
 
@@ -26,17 +30,28 @@ def _by_source(t, spark, sf):
     return telemetry.usage_series(t("usage"), 1440, by=("channel", "source"))
 
 
-@query("usage_queue_latest", "SELECT source, bucket, event_id FROM usage u WHERE bucket = (SELECT max(bucket) FROM usage v WHERE v.source = u.source)", "usage")
+@query(
+    "usage_queue_latest", "SELECT source, bucket, event_id FROM usage u WHERE bucket = (SELECT max(bucket) FROM usage v WHERE v.source = u.source)",
+    "usage"
+)
 def _latest(t, spark, sf):
     return telemetry.latest(t("usage").select("source", "bucket", "event_id"), "source", "bucket").select("source", "bucket", "event_id")
 
 
-@query("usage_retention", "SELECT bucket // 1440 AS day, count(*) AS n FROM usage WHERE bucket // 1440 IN (SELECT DISTINCT bucket // 1440 FROM usage ORDER BY 1 DESC LIMIT 7) GROUP BY 1", "usage")
+@query(
+    "usage_retention",
+    "SELECT bucket // 1440 AS day, count(*) AS n FROM usage WHERE bucket // 1440 IN (SELECT DISTINCT bucket // 1440 FROM usage ORDER BY 1 DESC LIMIT 7) GROUP BY 1",
+    "usage"
+)
 def _retention(t, spark, sf):
     return telemetry.prune(t("usage"), 7).groupBy(F.floor(F.col("bucket") / 1440).alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("querylog_recent", "SELECT id, ts, mode, query FROM query_log WHERE mode = 'view' AND contains(lower(query), 'q1') ORDER BY ts DESC, id DESC LIMIT 20 OFFSET 5", "query_log")
+@query(
+    "querylog_recent",
+    "SELECT id, ts, mode, query FROM query_log WHERE mode = 'view' AND contains(lower(query), 'q1') ORDER BY ts DESC, id DESC LIMIT 20 OFFSET 5",
+    "query_log"
+)
 def _recent(t, spark, sf):
     return telemetry.recent(t("query_log"), mode="view", contains="Q1", limit=20, offset=5).select("id", "ts", "mode", "query")
 
@@ -49,12 +64,20 @@ def _modes(t, spark, sf):
 _P = "v[CAST(round_even({p} * (n - 1), 0) AS INT) + 1]".format
 
 
-@query("querylog_latency", f", a AS (SELECT count(*) AS n, avg(latency_ms) AS m, list_sort(list(latency_ms)) AS v FROM query_log) SELECT n, round(m, 6) AS avg, round({_P(p=0.5)}, 6) AS p50, round({_P(p=0.95)}, 6) AS p95 FROM a", "query_log")
+@query(
+    "querylog_latency",
+    f", a AS (SELECT count(*) AS n, avg(latency_ms) AS m, list_sort(list(latency_ms)) AS v FROM query_log) SELECT n, round(m, 6) AS avg, round({_P(p=0.5)}, 6) AS p50, round({_P(p=0.95)}, 6) AS p95 FROM a",
+    "query_log"
+)
 def _latency(t, spark, sf):
     return rounded(telemetry.latency(t("query_log")), "avg", "p50", "p95")
 
 
-@query("querylog_trend", f", a AS (SELECT hour, count(*) AS n, avg(latency_ms) AS m, list_sort(list(latency_ms)) AS v FROM query_log GROUP BY 1) SELECT hour, n, round(m, 6) AS avg, round({_P(p=0.5)}, 6) AS p50, round({_P(p=0.95)}, 6) AS p95 FROM a", "query_log")
+@query(
+    "querylog_trend",
+    f", a AS (SELECT hour, count(*) AS n, avg(latency_ms) AS m, list_sort(list(latency_ms)) AS v FROM query_log GROUP BY 1) SELECT hour, n, round(m, 6) AS avg, round({_P(p=0.5)}, 6) AS p50, round({_P(p=0.95)}, 6) AS p95 FROM a",
+    "query_log"
+)
 def _trend(t, spark, sf):
     return rounded(telemetry.latency(t("query_log"), "hour"), "avg", "p50", "p95")
 
@@ -75,25 +98,44 @@ def _zero(t, spark, sf):
 _AT = "2024-03-01T00:00:00"
 
 
-@query("identity_resolve", f"SELECT DISTINCT person_id FROM alias WHERE lower(surface) = 'building' AND (scope IS NULL OR scope = 'scope1') AND valid_from <= '{_AT}' AND (valid_to IS NULL OR valid_to > '{_AT}')", "alias")
+@query(
+    "identity_resolve",
+    f"SELECT DISTINCT person_id FROM alias WHERE lower(surface) = 'building' AND (scope IS NULL OR scope = 'scope1') AND valid_from <= '{_AT}' AND (valid_to IS NULL OR valid_to > '{_AT}')",
+    "alias"
+)
 def _resolve(t, spark, sf):
     return identity.resolve(t("alias"), "BUILDING", "scope1", _AT)
 
 
-@query("identity_resolve_all", f", men AS (SELECT c_custkey AS mention_id, concat(c_mktsegment, CASE WHEN c_custkey % 9 = 0 THEN 'x' ELSE '' END) AS surface, concat('scope', CAST(c_nationkey % 4 AS STRING)) AS scope FROM customer WHERE c_custkey <= 20) SELECT mention_id, CASE WHEN count(DISTINCT a.person_id) = 1 THEN min(a.person_id) END AS person_id, count(DISTINCT a.person_id) AS candidates FROM men m LEFT JOIN alias a ON lower(a.surface) = lower(m.surface) AND (a.scope IS NULL OR a.scope = m.scope) AND a.valid_from <= '{_AT}' AND (a.valid_to IS NULL OR a.valid_to > '{_AT}') GROUP BY 1", "alias")
+@query(
+    "identity_resolve_all",
+    f", men AS (SELECT c_custkey AS mention_id, concat(c_mktsegment, CASE WHEN c_custkey % 9 = 0 THEN 'x' ELSE '' END) AS surface, concat('scope', CAST(c_nationkey % 4 AS STRING)) AS scope FROM customer WHERE c_custkey <= 20) SELECT mention_id, CASE WHEN count(DISTINCT a.person_id) = 1 THEN min(a.person_id) END AS person_id, count(DISTINCT a.person_id) AS candidates FROM men m LEFT JOIN alias a ON lower(a.surface) = lower(m.surface) AND (a.scope IS NULL OR a.scope = m.scope) AND a.valid_from <= '{_AT}' AND (a.valid_to IS NULL OR a.valid_to > '{_AT}') GROUP BY 1",
+    "alias"
+)
 def _resolve_all(t, spark, sf):
     c = t("customer").where("c_custkey <= 20")
-    m = c.select(F.col("c_custkey").alias("mention_id"), F.concat("c_mktsegment", F.when(F.col("c_custkey") % 9 == 0, "x").otherwise("")).alias("surface"), F.concat(F.lit("scope"), (F.col("c_nationkey") % 4).cast("string")).alias("scope"), F.lit(_AT).alias("at"))
+    m = c.select(
+        F.col("c_custkey").alias("mention_id"), F.concat("c_mktsegment", F.when(F.col("c_custkey") % 9 == 0, "x").otherwise("")).alias("surface"),
+        F.concat(F.lit("scope"), (F.col("c_nationkey") % 4).cast("string")).alias("scope"), F.lit(_AT).alias("at")
+    )
     return identity.resolve_all(m, t("alias"))
 
 
-@query("identity_group_results", ", res AS (SELECT DISTINCT ref FROM link WHERE id % 10 = 0 UNION SELECT 'session:none#0'), l AS (SELECT DISTINCT ref, person_id FROM link WHERE person_id IS NOT NULL AND NOT stale) SELECT coalesce(person_id, 'unresolved') AS person, count(*) AS hits, round(max(length(res.ref) / 10.0), 6) AS best FROM res LEFT JOIN l ON l.ref = res.ref GROUP BY 1", "link")
+@query(
+    "identity_group_results",
+    ", res AS (SELECT DISTINCT ref FROM link WHERE id % 10 = 0 UNION SELECT 'session:none#0'), l AS (SELECT DISTINCT ref, person_id FROM link WHERE person_id IS NOT NULL AND NOT stale) SELECT coalesce(person_id, 'unresolved') AS person, count(*) AS hits, round(max(length(res.ref) / 10.0), 6) AS best FROM res LEFT JOIN l ON l.ref = res.ref GROUP BY 1",
+    "link"
+)
 def _group(t, spark, sf):
     refs = t("link").where("id % 10 = 0").select("ref").union(spark.sql("SELECT 'session:none#0' AS ref")).distinct()
     return rounded(identity.group_by_person(refs.withColumn("score", F.length("ref") / 10.0), t("link")), "best")
 
 
-@query("identity_person_refs", "SELECT DISTINCT split_part(ref, '#', 1) AS source_id, CAST(split_part(ref, '#', 2) AS INT) AS chunk_index FROM link WHERE person_id = 'customer:7' AND NOT stale", "link")
+@query(
+    "identity_person_refs",
+    "SELECT DISTINCT split_part(ref, '#', 1) AS source_id, CAST(split_part(ref, '#', 2) AS INT) AS chunk_index FROM link WHERE person_id = 'customer:7' AND NOT stale",
+    "link"
+)
 def _refs(t, spark, sf):
     return identity.refs_of_person(t("link"), "customer:7")
 
@@ -101,22 +143,35 @@ def _refs(t, spark, sf):
 _CAP = 300_000
 
 
-@query("memory_evict", f", x AS (SELECT id, coalesce(last_referenced_at, created_at) AS since, confidence, length(text) AS size FROM memories WHERE active AND origin LIKE 'session:%'), r AS (SELECT id, sum(size) OVER (ORDER BY since, confidence, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x) SELECT id FROM r WHERE (SELECT sum(length(text)) FROM memories) - coalesce(before, 0) > {_CAP}", "memories")
+@query(
+    "memory_evict",
+    f", x AS (SELECT id, coalesce(last_referenced_at, created_at) AS since, confidence, length(text) AS size FROM memories WHERE active AND origin LIKE 'session:%'), r AS (SELECT id, sum(size) OVER (ORDER BY since, confidence, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x) SELECT id FROM r WHERE (SELECT sum(length(text)) FROM memories) - coalesce(before, 0) > {_CAP}",
+    "memories"
+)
 def _evict(t, spark, sf):
     return memory.evict(t("memories"), _CAP)
 
 
-@query("memory_duplicates", r"SELECT id FROM memories WHERE active AND contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'the and')", "memories")
+@query(
+    "memory_duplicates", r"SELECT id FROM memories WHERE active AND contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'the and')",
+    "memories"
+)
 def _duplicates(t, spark, sf):
     return memory.duplicates(t("memories"), "The  AND").select("id")
 
 
-@query("context_pack", ", x AS (SELECT id, row_number() OVER w AS place, sum(length(concat('- (', section, ') ', text)) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM memories WHERE active AND sensitivity = 'normal' WINDOW w AS (ORDER BY confidence DESC, created_at DESC, id DESC)) SELECT id, CAST(place AS INT) AS place FROM x WHERE used <= 20000 OR place = 1", "memories")
+@query(
+    "context_pack",
+    ", x AS (SELECT id, row_number() OVER w AS place, sum(length(concat('- (', section, ') ', text)) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM memories WHERE active AND sensitivity = 'normal' WINDOW w AS (ORDER BY confidence DESC, created_at DESC, id DESC)) SELECT id, CAST(place AS INT) AS place FROM x WHERE used <= 20000 OR place = 1",
+    "memories"
+)
 def _pack(t, spark, sf):
     return memory.context(t("memories"), 20_000)
 
 
-@query("cache_evict", "SELECT doc_id FROM documents ORDER BY (doc_id * 7919) % 10007, doc_id LIMIT (SELECT greatest(1, count(*) // 10) FROM documents)")
+@query(
+    "cache_evict", "SELECT doc_id FROM documents ORDER BY (doc_id * 7919) % 10007, doc_id LIMIT (SELECT greatest(1, count(*) // 10) FROM documents)"
+)
 def _cache(t, spark, sf):
     d = t("documents").select(F.col("doc_id").alias("key"), ((F.col("doc_id") * 7919) % 10007).alias("last_accessed"))
     return telemetry.cache_evict(d, d.count()).select(F.col("key").alias("doc_id"))
@@ -130,28 +185,46 @@ def _cache(t, spark, sf):
 def _eval(t, spark, sf):
     mode = F.when(F.col("user_id") % 2 == 0, "bm25").otherwise("hybrid").alias("mode")
     e = t("events").where("event_id % 7 = 0").select(F.col("user_id").alias("case_id"), mode, F.col("event_type").alias("item")).distinct()
-    r = t("events").where("event_id % 3 = 0").groupBy(F.col("user_id").alias("case_id"), mode, F.col("event_type").alias("item")).agg((F.min(F.col("event_id") % 5) + 1).alias("rank"))
+    r = t("events").where("event_id % 3 = 0").groupBy(
+        F.col("user_id").alias("case_id"), mode, F.col("event_type").alias("item")
+    ).agg((F.min(F.col("event_id") % 5) + 1).alias("rank"))
     return rounded(telemetry.retrieval_quality(r, e, 3), "recall", "mrr")
 
 
-@query("queue_pending", ", q AS (SELECT CAST(user_id AS STRING) AS chunk_id, max_by(event_type, event_id) AS content_hash, max(event_id) AS created_at FROM events GROUP BY 1) SELECT chunk_id, content_hash, created_at FROM q WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id % 4 = 0 AND CAST(s.user_id AS STRING) = q.chunk_id AND s.event_type = q.content_hash)".removeprefix(",").replace(" q AS", "WITH q AS", 1))
+@query(
+    "queue_pending",
+    ", q AS (SELECT CAST(user_id AS STRING) AS chunk_id, max_by(event_type, event_id) AS content_hash, max(event_id) AS created_at FROM events GROUP BY 1) SELECT chunk_id, content_hash, created_at FROM q WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id % 4 = 0 AND CAST(s.user_id AS STRING) = q.chunk_id AND s.event_type = q.content_hash)".removeprefix(",").replace(
+        " q AS", "WITH q AS", 1
+    )
+)
 def _pending(t, spark, sf):
-    e = t("events").select(F.col("user_id").cast("string").alias("chunk_id"), F.col("event_type").alias("content_hash"), F.col("event_id").alias("created_at"))
+    e = t("events").select(
+        F.col("user_id").cast("string").alias("chunk_id"), F.col("event_type").alias("content_hash"), F.col("event_id").alias("created_at")
+    )
     return telemetry.pending(e, e.where("created_at % 4 = 0"))
 
 
-@query("queue_round_robin", "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn FROM events) AS x ORDER BY turn, event_type LIMIT 23")
+@query(
+    "queue_round_robin",
+    "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn FROM events) AS x ORDER BY turn, event_type LIMIT 23"
+)
 def _robin(t, spark, sf):
     return telemetry.round_robin(t("events").select("event_type", "event_id"), "event_type", "event_id", 23).select("event_type", "event_id")
 
 
-@query("budget_trailing_hour", "SELECT event_id, in_hour, in_hour <= 3 AS allowed FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_hour FROM events) AS x")
+@query(
+    "budget_trailing_hour",
+    "SELECT event_id, in_hour, in_hour <= 3 AS allowed FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_hour FROM events) AS x"
+)
 def _budget(t, spark, sf):
     e = t("events").select("event_id", "user_id", F.unix_timestamp("ts").alias("s"))
     return telemetry.trailing_hour(e, "user_id", "s", 3).select("event_id", "in_hour", "allowed")
 
 
-@query("stream_minute_counts", "SELECT CAST(floor(epoch(ts) / 60) AS BIGINT) AS minute, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+@query(
+    "stream_minute_counts",
+    "SELECT CAST(floor(epoch(ts) / 60) AS BIGINT) AS minute, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
+)
 def _stream(t, spark, sf):
     from sparkloft.streaming.feeds import minute_counts
 

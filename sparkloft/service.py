@@ -87,7 +87,9 @@ class Engine:
     def _scored(self, r: Request, scores: DataFrame) -> DataFrame:
         """Chunk columns for a short list of (chunk_id, score), then filters, decay, weights, rerank and the cut."""
         hits = self.table("chunks").join(F.broadcast(scores.select("chunk_id", "score")), "chunk_id")
-        hits = hits.where(retrieval.request_filter(r.source_types, r.languages, r.file_paths, r.domains, r.metadata, r.include_sensitive, self.hidden))
+        hits = hits.where(
+            retrieval.request_filter(r.source_types, r.languages, r.file_paths, r.domains, r.metadata, r.include_sensitive, self.hidden)
+        )
         if r.time_decay:
             hits = retrieval.time_decay(hits, r.as_of, r.half_life_days)
         if r.rerank and self.scorer is not None:
@@ -97,7 +99,9 @@ class Engine:
     def _graph(self, r: Request, k: int) -> DataFrame:
         """(chunk_id, score) of the chunks behind the edges that the question's names match; an edge stands for the chunks it came from."""
         edges = self.table("edges").join(self.table("edge_sources"), "id", "left")
-        hits = graph.graph_chunks(self.table("nodes"), edges, self.table("chunks"), r.query, k, r.include_sensitive, r.entity_types, r.relationship_types)
+        hits = graph.graph_chunks(
+            self.table("nodes"), edges, self.table("chunks"), r.query, k, r.include_sensitive, r.entity_types, r.relationship_types
+        )
         return hits.select("chunk_id", "score")
 
     def execute(self, r: Request) -> DataFrame:
@@ -118,15 +122,26 @@ class Engine:
         if plan is None:
             return self.spark.createDataFrame([], "label string, value double")
         if isinstance(plan, compilers.ComputePlan):
-            return records.aggregate(self.table("records"), plan.metric, plan.op, plan.group_by, plan.order, plan.limit or r.top_k, since=plan.since, until=plan.until, include_sensitive=r.include_sensitive)
+            return records.aggregate(
+                self.table("records"), plan.metric, plan.op, plan.group_by, plan.order, plan.limit or r.top_k, since=plan.since, until=plan.until,
+                include_sensitive=r.include_sensitive
+            )
         if isinstance(plan, compilers.ScanPlan):
-            return scan.scan(self.table("turns"), self._terms(plan.term), plan.group_by, plan.since, plan.until, plan.order, plan.limit or r.top_k, r.include_sensitive)
+            return scan.scan(
+                self.table("turns"), self._terms(plan.term), plan.group_by, plan.since, plan.until, plan.order, plan.limit or r.top_k,
+                r.include_sensitive
+            )
         if isinstance(plan, compilers.AbsencePlan):
-            return records.absent(self.table("records"), plan.partition, plan.present_in, plan.absent_from, plan.key, plan.metric, r.top_k, since=plan.since, until=plan.until, include_sensitive=r.include_sensitive)
+            return records.absent(
+                self.table("records"), plan.partition, plan.present_in, plan.absent_from, plan.key, plan.metric, r.top_k, since=plan.since,
+                until=plan.until, include_sensitive=r.include_sensitive
+            )
         nodes, edges = self.table("nodes"), self.table("edges")
         name = graph.timeline_entity(nodes, edges, plan.entity, r.include_sensitive)
         if name is None:
-            return self.spark.createDataFrame([], "subject string, predicate string, object string, valid_from string, valid_until string, valid boolean")
+            return self.spark.createDataFrame(
+                [], "subject string, predicate string, object string, valid_from string, valid_until string, valid boolean"
+            )
         return graph.timeline(nodes, edges, name, r.include_sensitive)
 
     def plan(self, r: Request):

@@ -89,7 +89,12 @@ def detect_language(path: Column, text: Column) -> Column:
     by_name = F.try_element_at(F.create_map(*chain.from_iterable(pairs)), extension(path))
     lines = F.greatest(F.regexp_count(text, F.lit(r"(?m)^.*\S")), F.lit(1))
     order = {lang: -k for k, lang in enumerate(TELLING_LINES)}
-    told = [F.struct(F.regexp_count(text, F.lit(rf"(?m)^[ \t]*(?:{look})")).alias("n"), F.lit(order[lang]).alias("k"), F.lit(lang).alias("lang")) for lang, look in TELLING_LINES.items()]
+    told = [
+        F.struct(
+            F.regexp_count(text, F.lit(rf"(?m)^[ \t]*(?:{look})")).alias("n"), F.lit(order[lang]).alias("k"), F.lit(lang).alias("lang")
+        ) for lang,
+        look in TELLING_LINES.items()
+    ]
     best = F.array_max(F.array(*told))
     return F.coalesce(by_name, F.when(best["n"] > TELLING_SHARE * lines, best["lang"]))
 
@@ -145,7 +150,10 @@ def landmarks(spark: SparkSession, folder: str, ignore_name: str = ".gitignore",
             reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(held[ignore_name].getPath()), "UTF-8"))
             ignore.append((prefix, tuple(str(x) for x in reader.lines().toArray())))
             reader.close()
-        todo += [(f"{prefix}/{name}".strip("/"), f.getPath()) for name, f in held.items() if f.isDirectory() and name not in PRUNED and name != project_mark]
+        todo += [
+            (f"{prefix}/{name}".strip("/"), f.getPath()) for name,
+            f in held.items() if f.isDirectory() and name not in PRUNED and name != project_mark
+        ]
     outer_first = sorted(ignore, key=lambda x: (x[0].count("/") + bool(x[0]), x[0]))
     return Landmarks(tuple(outer_first), tuple(sorted(skipped)))
 
@@ -186,7 +194,10 @@ def _texts(files: DataFrame) -> DataFrame:
     plain = F.col("content").cast("string")
     text = F.when(kind == "docx", docx_text(F.col("content"))).when(kind.isin("html", "htm"), html_text(plain)).otherwise(plain)
     name = F.regexp_extract(path, "[^/]+$", 0)
-    rows = files.where(kind != "pdf").select(path.alias("source"), name.alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), text.alias("text"))
+    rows = files.where(kind != "pdf").select(
+        path.alias("source"), name.alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"),
+        text.alias("text")
+    )
     rows = rows.where(F.col("text").isNotNull() & ~minified(F.col("file_name"), F.col("text")))
     tier = F.when(extension(F.col("source")).isin(*DOCUMENT_EXTENSIONS, "docx", "htm"), "doc").otherwise("code")
     lang = detect_language(F.col("source"), F.col("text"))

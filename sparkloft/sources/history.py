@@ -22,9 +22,16 @@ def parse_log(logs: DataFrame) -> DataFrame:
     rows = logs.select(chunk).select(F.split(parts[0], "\n").alias("h"), F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "\n").alias("t"))
     stat = F.filter(F.transform("t", lambda x: F.split(F.trim(x), "\t")), lambda p: (F.size(p) == 3) & (p[2] != ""))
     rows = rows.where(F.size("h") >= 5).withColumn("stat", stat)
-    count = lambda i: F.aggregate("stat", F.lit(0).cast("long"), lambda s, p: s + F.coalesce(F.try_cast(p[i], "long") if hasattr(F, "try_cast") else p[i].try_cast("long"), F.lit(0)))
+    count = lambda i: F.aggregate(
+        "stat", F.lit(0).cast("long"),
+        lambda s, p: s + F.coalesce(F.try_cast(p[i], "long") if hasattr(F, "try_cast") else p[i].try_cast("long"), F.lit(0))
+    )
     h = F.col("h")
-    return rows.select(F.trim(h[0]).alias("sha"), F.trim(h[1]).alias("author"), F.trim(h[2]).alias("email"), F.trim(h[3]).alias("committed_at"), F.trim(h[4]).alias("subject"), F.btrim(F.array_join(F.slice("h", 6, 1 << 20), "\n"), F.lit(" \r\n\t")).alias("body"), F.transform("stat", lambda p: p[2]).alias("files_changed"), count(0).alias("lines_added"), count(1).alias("lines_deleted"))
+    return rows.select(
+        F.trim(h[0]).alias("sha"), F.trim(h[1]).alias("author"), F.trim(h[2]).alias("email"), F.trim(h[3]).alias("committed_at"),
+        F.trim(h[4]).alias("subject"), F.btrim(F.array_join(F.slice("h", 6, 1 << 20), "\n"), F.lit(" \r\n\t")).alias("body"),
+        F.transform("stat", lambda p: p[2]).alias("files_changed"), count(0).alias("lines_added"), count(1).alias("lines_deleted")
+    )
 
 
 class LogSource(DataSource):
@@ -60,7 +67,9 @@ class _Reader(DataSourceReader):
             self.args += ["--", *paths]
 
     def read(self, partition):
-        with tempfile.TemporaryFile() as said, subprocess.Popen(self.args, stdout=subprocess.PIPE, stderr=said, encoding="utf-8", errors="replace") as git:
+        with tempfile.TemporaryFile() as said, subprocess.Popen(
+            self.args, stdout=subprocess.PIPE, stderr=said, encoding="utf-8", errors="replace"
+        ) as git:
             record: list[str] = []
             for line in git.stdout:
                 if line.startswith(COMMIT) and record:
@@ -95,11 +104,18 @@ def advance(state: DataFrame, new: DataFrame, repository: str, head: str) -> Dat
     """State (repository, sha, indexed) after an incremental run: the last commit, and how many commits were indexed in all."""
     n = new.agg(F.count("*").alias("n"))
     mine = state.where(F.col("repository") == repository).agg(F.coalesce(F.sum("indexed"), F.lit(0)).alias("before"))
-    row = mine.crossJoin(n).select(F.lit(repository).alias("repository"), F.lit(head).alias("sha"), (F.col("before") + F.col("n")).alias("indexed"))  # one row each
+    row = mine.crossJoin(n).select(
+        F.lit(repository).alias("repository"), F.lit(head).alias("sha"), (F.col("before") + F.col("n")).alias("indexed")
+    )  # one row each
     return state.where(~F.col("repository").eqNullSafe(repository)).select("repository", "sha", "indexed").unionByName(row)
 
 
 def commit_chunks(rows: DataFrame, most_files: int = 50) -> DataFrame:
     """(sha, text): message and the first files of each commit."""
     files = F.array_join(F.slice("files_changed", 1, most_files), "\n")
-    return rows.select("sha", F.concat_ws("\n\n", F.nullif("subject", F.lit("")), F.nullif("body", F.lit("")), F.nullif(F.concat(F.lit("Files:\n"), files), F.lit("Files:\n"))).alias("text"))
+    return rows.select(
+        "sha",
+        F.concat_ws(
+            "\n\n", F.nullif("subject", F.lit("")), F.nullif("body", F.lit("")), F.nullif(F.concat(F.lit("Files:\n"), files), F.lit("Files:\n"))
+        ).alias("text")
+    )

@@ -21,14 +21,18 @@ TURN = "source_path string, idx long, role string, kind string, text string, too
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(source_path, line_no, value) of JSON-lines files; blank lines go. One file is one task's rows in file order."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source_path"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("source_path"), F.posexplode(F.split("value", "\n")).alias("line_no", "value")
+    )
     return rows.where(F.trim("value") != "")
 
 
 def _text(v: Column) -> Column:
     """Plain text of a string or of a list of text blocks."""
     blocks = F.try_variant_get(v, "$", "array<struct<type:string,text:string,thinking:string>>")
-    return F.coalesce(F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), "\n"), F.try_variant_get(v, "$", "string"), F.lit(""))
+    return F.coalesce(
+        F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), "\n"), F.try_variant_get(v, "$", "string"), F.lit("")
+    )
 
 
 def _indexed(rows: DataFrame) -> DataFrame:
@@ -41,13 +45,27 @@ def message_turns(rows: DataFrame) -> DataFrame:
     j = rows.select("source_path", "line_no", F.from_json("value", _MESSAGE).alias("j")).where(F.col("j.type").isin("user", "assistant"))
     content = F.col("j.message.content")
     block = "struct<type:string,text:string,thinking:string,name:string,input:map<string,string>,content:variant>"
-    blocks = F.coalesce(F.try_variant_get(content, "$", f"array<{block}>"), F.from_json(F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.try_variant_get(content, "$", "string").alias("text")))), f"array<{block}>"))
-    b = j.select("source_path", "line_no", F.coalesce("j.message.role", "j.type").alias("role"), F.col("j.timestamp").alias("ts"), F.posexplode(blocks).alias("block", "b"))
+    blocks = F.coalesce(
+        F.try_variant_get(content, "$", f"array<{block}>"),
+        F.from_json(
+            F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.try_variant_get(content, "$", "string").alias("text")))), f"array<{block}>"
+        )
+    )
+    b = j.select(
+        "source_path", "line_no", F.coalesce("j.message.role", "j.type").alias("role"), F.col("j.timestamp").alias("ts"),
+        F.posexplode(blocks).alias("block", "b")
+    )
     kind = F.col("b.type")
-    text = F.when(kind == "text", collapse(F.col("b.text"), TEXT)).when(kind == "thinking", collapse(F.col("b.thinking"), THINKING)).when(kind == "tool_result", collapse(_text(F.col("b.content")), RESULT)).otherwise("")
-    out = b.withColumn("kind", kind).withColumn("text", text).where(kind.isin("tool_use", "tool_result") | kind.isin("text", "thinking") & (F.col("text") != ""))
+    text = F.when(kind == "text", collapse(F.col("b.text"), TEXT)).when(kind == "thinking", collapse(F.col("b.thinking"), THINKING)).when(
+        kind == "tool_result", collapse(_text(F.col("b.content")), RESULT)
+    ).otherwise("")
+    out = b.withColumn("kind", kind).withColumn("text", text).where(
+        kind.isin("tool_use", "tool_result") | kind.isin("text", "thinking") & (F.col("text") != "")
+    )
     inputs = F.transform_values(F.map_filter(F.col("b.input"), lambda k, v: v.isNotNull() & (v != "")), lambda k, v: collapse(v, INPUT))
-    out = out.withColumn("tool_name", F.when(kind == "tool_use", F.coalesce("b.name", F.lit("?")))).withColumn("tool_inputs", F.when(kind == "tool_use", inputs))
+    out = out.withColumn(
+        "tool_name", F.when(kind == "tool_use", F.coalesce("b.name", F.lit("?")))
+    ).withColumn("tool_inputs", F.when(kind == "tool_use", inputs))
     return _indexed(out).select("source_path", "idx", "role", "kind", "text", "tool_name", "tool_inputs", "ts", F.lit(True).alias("terminal"))
 
 
@@ -55,20 +73,33 @@ def rollout_turns(rows: DataFrame) -> DataFrame:
     """Turns of the rollout format: response items only, as event messages mirror them; developer messages are machinery."""
     j = rows.select("source_path", "line_no", F.lit(0).alias("block"), F.from_json("value", _ROLLOUT).alias("j")).where("j.type = 'response_item'")
     p, kind = F.col("j.payload"), F.col("j.payload.type")
-    out = j.withColumn("kind", F.when(kind == "message", "text").when(kind == "reasoning", "thinking").when(kind.isin("function_call", "custom_tool_call"), "tool_use").when(kind.isin("function_call_output", "custom_tool_call_output"), "tool_result"))
-    text = F.when(F.col("kind") == "text", collapse(_text(p["content"]), TEXT)).when(F.col("kind") == "thinking", collapse(_text(p["summary"]), THINKING)).when(F.col("kind") == "tool_result", collapse(_text(p["output"]), RESULT)).otherwise("")
+    out = j.withColumn(
+        "kind",
+        F.when(kind == "message", "text").when(kind == "reasoning", "thinking").when(kind.isin("function_call", "custom_tool_call"), "tool_use").when(
+            kind.isin("function_call_output", "custom_tool_call_output"), "tool_result"
+        )
+    )
+    text = F.when(F.col("kind") == "text", collapse(_text(p["content"]), TEXT)).when(
+        F.col("kind") == "thinking", collapse(_text(p["summary"]), THINKING)
+    ).when(F.col("kind") == "tool_result", collapse(_text(p["output"]), RESULT)).otherwise("")
     out = out.withColumn("role", F.when(kind == "message", F.coalesce(p["role"], F.lit("assistant"))).otherwise("assistant")).withColumn("text", text)
     out = out.where("kind is not null and role <> 'developer'").where(F.col("kind").isin("tool_use", "tool_result") | (F.col("text") != ""))
     inputs = F.from_json(F.try_variant_get(p["arguments"], "$", "string"), "map<string,string>")
-    out = out.withColumn("tool_name", F.when(F.col("kind") == "tool_use", F.coalesce(p["name"], F.lit("?")))).withColumn("tool_inputs", F.when(F.col("kind") == "tool_use", F.transform_values(inputs, lambda k, v: collapse(v, INPUT))))
-    return _indexed(out).select("source_path", "idx", "role", "kind", "text", "tool_name", "tool_inputs", F.col("j.timestamp").alias("ts"), F.lit(True).alias("terminal"))
+    out = out.withColumn("tool_name", F.when(F.col("kind") == "tool_use", F.coalesce(p["name"], F.lit("?")))).withColumn(
+        "tool_inputs", F.when(F.col("kind") == "tool_use", F.transform_values(inputs, lambda k, v: collapse(v, INPUT)))
+    )
+    return _indexed(out).select(
+        "source_path", "idx", "role", "kind", "text", "tool_name", "tool_inputs", F.col("j.timestamp").alias("ts"), F.lit(True).alias("terminal")
+    )
 
 
 def _step_inputs(args: Column) -> Column:
     """Non-empty arguments, and the first path among them as file_path too."""
     kept = F.transform_values(F.map_filter(args, lambda k, v: F.coalesce(v != "", F.lit(False))), lambda k, v: collapse(v, INPUT))
     path = F.coalesce(*[F.try_element_at(kept, F.lit(k)) for k in STEP_PATHS])
-    return F.when(path.isNotNull() & ~F.map_contains_key(kept, F.lit("file_path")), F.map_concat(kept, F.create_map(F.lit("file_path"), path))).otherwise(kept)
+    return F.when(
+        path.isNotNull() & ~F.map_contains_key(kept, F.lit("file_path")), F.map_concat(kept, F.create_map(F.lit("file_path"), path))
+    ).otherwise(kept)
 
 
 def step_turns(rows: DataFrame) -> DataFrame:
@@ -89,10 +120,24 @@ def step_turns(rows: DataFrame) -> DataFrame:
         return F.struct(kind.alias("kind"), text.alias("text"), name.alias("tool_name"), inputs.alias("tool_inputs"))
 
     null = F.lit(None).cast("string")
-    calls = F.transform(F.coalesce("j.tool_calls", F.from_json(F.lit("[]"), "array<struct<name:string,args:map<string,string>>>")), lambda c: part(F.lit("tool_use"), F.lit(""), F.coalesce(c["name"], F.lower(F.col("j.type"))), _step_inputs(c["args"])))
-    parts = F.concat(F.array(part(F.lit("thinking"), collapse(F.coalesce("j.thinking", F.lit("")), THINKING), null, none), part(F.when(result, "tool_result").otherwise("text"), collapse(content, TEXT), null, none)), calls)
-    out = j.select("source_path", F.col("j.step_index").alias("idx"), role.alias("role"), F.col("j.created_at").alias("ts"), F.coalesce(F.col("j.status").isin(*TERMINAL), F.lit(False)).alias("terminal"), F.explode(parts).alias("p"))
-    return out.where("p.kind = 'tool_use' or p.text <> ''").select("source_path", "idx", "role", "p.kind", "p.text", "p.tool_name", "p.tool_inputs", "ts", "terminal")
+    calls = F.transform(
+        F.coalesce("j.tool_calls", F.from_json(F.lit("[]"), "array<struct<name:string,args:map<string,string>>>")),
+        lambda c: part(F.lit("tool_use"), F.lit(""), F.coalesce(c["name"], F.lower(F.col("j.type"))), _step_inputs(c["args"]))
+    )
+    parts = F.concat(
+        F.array(
+            part(F.lit("thinking"), collapse(F.coalesce("j.thinking", F.lit("")), THINKING), null, none),
+            part(F.when(result, "tool_result").otherwise("text"), collapse(content, TEXT), null, none)
+        ),
+        calls
+    )
+    out = j.select(
+        "source_path", F.col("j.step_index").alias("idx"), role.alias("role"), F.col("j.created_at").alias("ts"),
+        F.coalesce(F.col("j.status").isin(*TERMINAL), F.lit(False)).alias("terminal"), F.explode(parts).alias("p")
+    )
+    return out.where("p.kind = 'tool_use' or p.text <> ''").select(
+        "source_path", "idx", "role", "p.kind", "p.text", "p.tool_name", "p.tool_inputs", "ts", "terminal"
+    )
 
 
 PARSERS = {"message": message_turns, "rollout": rollout_turns, "step": step_turns}
@@ -105,7 +150,9 @@ def parse_archive(spark: SparkSession, folder: str, formats: dict[str, str], sin
     """
     rows = lines(spark, folder)
     at = F.regexp_extract("source_path", r"/(\d{4}-\d{2}-\d{2})-([^/]+)/[^/]+$", 1)
-    rows = rows.withColumn("day", at).withColumn("tool", F.regexp_extract("source_path", r"/(\d{4}-\d{2}-\d{2})-([^/]+)/[^/]+$", 2)).where("day <> ''")
+    rows = rows.withColumn("day", at).withColumn(
+        "tool", F.regexp_extract("source_path", r"/(\d{4}-\d{2}-\d{2})-([^/]+)/[^/]+$", 2)
+    ).where("day <> ''")
     if since:
         rows = rows.where(F.col("day") >= since)
     if until:
@@ -114,7 +161,9 @@ def parse_archive(spark: SparkSession, folder: str, formats: dict[str, str], sin
     for name, parse in PARSERS.items():
         mine = [t for t, f in formats.items() if f == name]
         others = [t for t, f in formats.items() if f != name]
-        part = rows.where(F.col("tool").isin(*mine) if name != "message" else ~F.col("tool").isin(*others) if others else F.lit(True)) if mine or name == "message" else None
+        part = rows.where(
+            F.col("tool").isin(*mine) if name != "message" else ~F.col("tool").isin(*others) if others else F.lit(True)
+        ) if mine or name == "message" else None
         if part is not None:
             turns = parse(part)
             out = turns if out is None else out.unionByName(turns)
@@ -145,7 +194,9 @@ def final_turns(turns: DataFrame, include_user: bool = True) -> DataFrame:
 
 def archive_stats(archive: DataFrame) -> DataFrame:
     """(tool, sessions, turns, first_day, last_day) of an archive."""
-    return archive.groupBy("tool").agg(F.countDistinct("source_path").alias("sessions"), F.count("*").alias("turns"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    return archive.groupBy("tool").agg(
+        F.countDistinct("source_path").alias("sessions"), F.count("*").alias("turns"), F.min("day").alias("first_day"), F.max("day").alias("last_day")
+    )
 
 
 def tombstones(archive: DataFrame, live: DataFrame, known: DataFrame, at: str) -> DataFrame:
@@ -154,7 +205,9 @@ def tombstones(archive: DataFrame, live: DataFrame, known: DataFrame, at: str) -
     live: (source_path); known: (source_path, deleted_at).
     """
     here = live.select("source_path").distinct()
-    gone = archive.select("source_path").distinct().join(here, "source_path", "left_anti").join(known.select("source_path"), "source_path", "left_anti")
+    gone = archive.select("source_path").distinct().join(here, "source_path", "left_anti").join(
+        known.select("source_path"), "source_path", "left_anti"
+    )
     return known.select("source_path", "deleted_at").join(here, "source_path", "left_anti").unionByName(gone.withColumn("deleted_at", F.lit(at)))
 
 

@@ -108,12 +108,17 @@ def _views(d: Dialect) -> dict[str, str]:
                CAST((doc_id % 10) AS DOUBLE) / 10 AS confidence, {d.day_zero('doc_id % 300')} AS created_at, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE {d.day_zero('doc_id % 350')} END AS last_referenced_at,
                (doc_id % 8 <> 0) AS active, {_SENSITIVE('doc_id')} AS sensitivity, doc_id FROM documents"""
     checksum = "md5(text)"
-    disk = f"SELECT concat('docs/', source, '/', {_S('doc_id')}) AS path, {checksum} AS checksum, doc_id AS mtime, source AS folder, doc_id, CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents".replace("strlen(text)", "octet_length(text)" if d.spark else "strlen(text)")
+    disk = f"SELECT concat('docs/', source, '/', {_S('doc_id')}) AS path, {checksum} AS checksum, doc_id AS mtime, source AS folder, doc_id, CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents".replace(
+        "strlen(text)", "octet_length(text)" if d.spark else "strlen(text)"
+    )
     prior = f"""
         SELECT concat('docs/', source, '/', {_S('doc_id')}) AS path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE {checksum} END AS checksum, CASE WHEN doc_id % 7 = 0 OR doc_id % 9 = 0 THEN doc_id - 1 ELSE doc_id END AS mtime,
                source AS folder, concat('chunk_', substr(md5(concat(source, '_', {_S('doc_id')})), 1, 16)) AS chunk_id, (doc_id % 31 = 0) AS pending_reindex, doc_id FROM documents WHERE doc_id % 10 <> 0
         UNION ALL SELECT concat('gone/', {_S('doc_id')}), 'gone', doc_id, source, concat('chunk_gone_', {_S('doc_id')}), false, doc_id FROM documents WHERE doc_id % 40 = 3"""
-    files = {"records": records, "chunks": chunks, "vectors": vectors, "turns": turns, "nodes": nodes, "edges": edges, "edge_sources": edge_sources, "query_log": query_log, "usage": usage, "alias": alias, "link": link, "memories": memories, "disk": disk, "manifest_prior": prior}
+    files = {
+        "records": records, "chunks": chunks, "vectors": vectors, "turns": turns, "nodes": nodes, "edges": edges, "edge_sources": edge_sources,
+        "query_log": query_log, "usage": usage, "alias": alias, "link": link, "memories": memories, "disk": disk, "manifest_prior": prior
+    }
     return files
 
 
@@ -134,4 +139,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """Oracle SQL over engine tables: their projections become common table expressions."""
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({ORACLE_VIEWS[n]})" for n in names) + ("," if sql.lstrip().startswith(",") else "") + "\n" + sql.lstrip().removeprefix(",")
+    return "WITH RECURSIVE " + ",\n".join(
+        f"{n} AS ({ORACLE_VIEWS[n]})" for n in names
+    ) + ("," if sql.lstrip().startswith(",") else "") + "\n" + sql.lstrip().removeprefix(",")

@@ -42,7 +42,9 @@ def compare(spark, connection, f, sql: str, sf_dir: str) -> str | None:
     if len(a[1]) != len(b[1]):
         return f"{len(a[1])} and {len(b[1])} rows; {a[1][:2]} and {b[1][:2]}"
     for x, y in zip(a[1], b[1], strict=True):
-        if x != y and not all(p == q or isinstance(p, (int, float)) and isinstance(q, (int, float)) and abs(p - q) < 2e-5 for p, q in zip(x, y, strict=True)):
+        if x != y and not all(
+            p == q or isinstance(p, (int, float)) and isinstance(q, (int, float)) and abs(p - q) < 2e-5 for p, q in zip(x, y, strict=True)
+        ):
             return f"{x} and {y}"
     return None
 
@@ -53,7 +55,9 @@ if __name__ == "__main__":
 
     from sparkloft.plans import catalog
 
-    spark = SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").config(
+        "spark.ui.showConsoleProgress", "false"
+    ).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     sf = sys.argv[1]
     c = connect(sf)

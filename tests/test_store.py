@@ -58,7 +58,9 @@ def test_running_totals(spark):
     assert got == want
     assert ordered.running_total(rows.limit(0), ("day", "id"), "size").count() == 0
     logs = spark.createDataFrame([("a", 10.0), ("a", 20.0), ("b", 5.0)], "mode string, latency_ms double")
-    assert {r["mode"]: (r["n"], r["avg"], r["p50"], r["p95"]) for r in telemetry.latency(logs, "mode").collect()} == {"a": (2, 15.0, 10.0, 20.0), "b": (1, 5.0, 5.0, 5.0)}
+    assert {
+        r["mode"]: (r["n"], r["avg"], r["p50"], r["p95"]) for r in telemetry.latency(logs, "mode").collect()
+    } == {"a": (2, 15.0, 10.0, 20.0), "b": (1, 5.0, 5.0, 5.0)}
     assert telemetry.latency(logs.limit(0)).first()["p50"] is None
 
 
@@ -66,7 +68,10 @@ MEMORY = "id string, text string, section string, origin string, confidence doub
 
 
 def test_memory_add(spark):
-    rows = [("m1", "Use tabs", "Style", "user", 0.9, "2024-01-01", None, True, "normal", [1.0, 0.0]), ("m2", "old note of a session", "Style", "session:1", 0.1, "2023-01-01", None, True, "normal", [0.0, 1.0])]
+    rows = [
+        ("m1", "Use tabs", "Style", "user", 0.9, "2024-01-01", None, True, "normal", [1.0, 0.0]),
+        ("m2", "old note of a session", "Style", "session:1", 0.1, "2023-01-01", None, True, "normal", [0.0, 1.0])
+    ]
     table = spark.createDataFrame(rows, MEMORY)
     new = lambda i, text, v: spark.createDataFrame([(i, text, "Style", "user", 0.9, "2024-02-01", None, True, "normal", v)], MEMORY)
     assert memory.add(table, new("m3", "  use   TABS ", [0.5, 0.5]), [0.5, 0.5]).count() == 2
@@ -140,4 +145,6 @@ def test_service_graph(spark):
     assert hits and {r["source_type"] for r in hits} <= {"doc", "session_decision"} and all(0.5 <= r["score"] <= 1 for r in hits)
     assert engine.execute(Request("the AFRICA", "multi", top_k=3)).count() <= 3
     assert engine.execute(Request("zzz qqq", "graph")).count() == 0
-    assert engine._vocabulary(Request("purchases in d1"))["metric"] == ["purchase"] and engine._vocabulary(Request("purchases in d1"))["domain"] == ["d1"]
+    assert engine._vocabulary(
+        Request("purchases in d1")
+    )["metric"] == ["purchase"] and engine._vocabulary(Request("purchases in d1"))["domain"] == ["d1"]

@@ -19,7 +19,12 @@ def recs(spark, *rows):
 
 
 def test_week_buckets_and_unknown_times(spark):
-    df = recs(spark, ("a", "sales", 100.0, "USD", "2026-01-05T00:00:00", 1.0, "s", "1", "d", "normal"), ("a", "sales", 9.0, "USD", "garbage", 1.0, None, "1", "d", "normal"), ("b", "sales", 400.0, "USD", "2026-01-12T00:00:00", 1.0, "s", "1", "d", None), ("c", "sales", 7.0, "USD", "2026-01-12T00:00:00", 0.3, "s", "1", "d", "normal"))
+    df = recs(
+        spark, ("a", "sales", 100.0, "USD", "2026-01-05T00:00:00", 1.0, "s", "1", "d", "normal"),
+        ("a", "sales", 9.0, "USD", "garbage", 1.0, None, "1", "d", "normal"),
+        ("b", "sales", 400.0, "USD", "2026-01-12T00:00:00", 1.0, "s", "1", "d", None),
+        ("c", "sales", 7.0, "USD", "2026-01-12T00:00:00", 0.3, "s", "1", "d", "normal")
+    )
     assert [(r["label"], r["value"]) for r in records.aggregate(df, "sales", "sum", "week").collect()] == [("2026-W03", 400.0), ("2026-W02", 100.0)]
     assert records.aggregate(df, "sales", "sum").first()["value"] == 509.0
     assert records.aggregate(df, "none", "sum").first()["value"] == 0.0
@@ -28,20 +33,32 @@ def test_week_buckets_and_unknown_times(spark):
 
 
 def test_absence_is_not_in(spark):
-    df = recs(spark, ("run", "distance", 1.0, None, "t", 1.0, "s", "1", "d", "normal"), ("run", "duration", 1.0, None, "t", 1.0, "s", None, "d", "normal"), ("walk", "distance", 1.0, None, "t", 1.0, "s", "2", "d", "normal"), ("walk", "duration", 1.0, None, "t", 0.3, "s", "2", "d", "normal"))
+    df = recs(
+        spark, ("run", "distance", 1.0, None, "t", 1.0, "s", "1", "d", "normal"), ("run", "duration", 1.0, None, "t", 1.0, "s", None, "d", "normal"),
+        ("walk", "distance", 1.0, None, "t", 1.0, "s", "2", "d", "normal"), ("walk", "duration", 1.0, None, "t", 0.3, "s", "2", "d", "normal")
+    )
     assert [r[0] for r in records.absent(df, "metric", "distance", "duration").collect()] == ["walk"]
     assert records.absent(df, "metric", "distance", "duration", "source_id").count() == 0  # a null on the absent side
 
 
 def test_confidence_and_rules(spark):
-    df = recs(spark, ("a", "amount", 1.0, "USD", None, 1.0, None, None, "d", None), ("a", "amount", float("nan"), "EUR", None, 1.0, None, None, "d", None), ("a", "decisions", 2.0, "count", None, 1.0, None, None, "d", None))
+    df = recs(
+        spark, ("a", "amount", 1.0, "USD", None, 1.0, None, None, "d", None), ("a", "amount", float("nan"), "EUR", None, 1.0, None, None, "d", None),
+        ("a", "decisions", 2.0, "count", None, 1.0, None, None, "d", None)
+    )
     assert [r[0] for r in df.select(records.confidence(F.col("metric"), F.col("unit"), F.col("value"))).collect()] == [1.0, 0.3, 1.0]
-    rules = spark.createDataFrame([("amount", None, 0.0, 5.0, 0.6), ("amount", "USD", None, None, 1.0)], "metric string, unit string, value_min double, value_max double, tier double")
+    rules = spark.createDataFrame(
+        [("amount", None, 0.0, 5.0, 0.6), ("amount", "USD", None, None, 1.0)],
+        "metric string, unit string, value_min double, value_max double, tier double"
+    )
     assert [r["rule_tier"] for r in records.taught(df, rules).orderBy("id").collect()] == [1.0, None, None]
 
 
 def test_scan_phrase_does_not_overlap(spark):
-    turns = spark.createDataFrame([("s", 0, "user", "text", "a a a. A b a", "2026-01-05", "2026-W02", "x", "normal")], "session_id string, idx int, role string, kind string, text string, day string, iso_week string, tool string, sensitivity string")
+    turns = spark.createDataFrame(
+        [("s", 0, "user", "text", "a a a. A b a", "2026-01-05", "2026-W02", "x", "normal")],
+        "session_id string, idx int, role string, kind string, text string, day string, iso_week string, tool string, sensitivity string"
+    )
     assert scan.scan(turns, ["a", "a"]).first()["value"] == 2  # a a | a a
     assert scan.scan(turns, ["a"], "week").first()["value"] == 5
     assert scan.scan(turns, ["a"], since="2026-01-06T00:00:00").count() == 0
@@ -55,7 +72,9 @@ def test_vector_functions(spark):
 
 
 def test_keyword_limit_comes_before_filter(spark):
-    chunks = spark.createDataFrame([(f"c{i:02d}", "x " * (10 - i) + "y", "code" if i < 6 else "doc") for i in range(9)], "chunk_id string, text string, source_type string")
+    chunks = spark.createDataFrame(
+        [(f"c{i:02d}", "x " * (10 - i) + "y", "code" if i < 6 else "doc") for i in range(9)], "chunk_id string, text string, source_type string"
+    )
     where = F.col("source_type") == "doc"
     assert retrieval.keyword_search(chunks, ["x"], 2, where).count() == 0
     assert retrieval.keyword_search(chunks, ["x"], 2, where, exact=True).count() == 2
@@ -70,7 +89,9 @@ def test_fusion(spark):
     v = spark.createDataFrame([("a", 0.8), ("b", 0.4)], "chunk_id string, score double")
     b = spark.createDataFrame([("b", 2.0), ("c", 1.0)], "chunk_id string, score double")
     assert {r["chunk_id"]: r["score"] for r in retrieval.hybrid(v, b).collect()} == {"a": 0.5, "b": 0.75, "c": 0.25}
-    assert {r["chunk_id"]: round(r["score"], 9) for r in retrieval.rrf(v, b).collect()} == {"a": round(1 / 61, 9), "b": round(1 / 62 + 1 / 61, 9), "c": round(1 / 62, 9)}
+    assert {r["chunk_id"]: round(r["score"], 9) for r in retrieval.rrf(v, b).collect()} == {
+        "a": round(1 / 61, 9), "b": round(1 / 62 + 1 / 61, 9), "c": round(1 / 62, 9)
+    }
     assert max(r["score"] for r in retrieval.weighted_rrf([0.5, 0.5], v, b).collect()) == 1.0
 
 
@@ -78,7 +99,14 @@ EDGE = "id string, source_id string, target_id string, label string, source_file
 
 
 def test_graph(spark):
-    e = spark.createDataFrame([("1", "h", "help", "calls", "f", "2020", None), ("2", "api", "lib", "imports", "f", "2020", None), ("3", "help", "lib", "references", "f", "2020", None), ("4", "commit", "lib", "modifies", "f", "2020", None), ("5", "x", "h", "calls", "f", "2020", "2021"), ("6", "lib", "lib", "calls", "f", "2020", None)], EDGE)
+    e = spark.createDataFrame(
+        [
+            ("1", "h", "help", "calls", "f", "2020", None), ("2", "api", "lib", "imports", "f", "2020", None),
+            ("3", "help", "lib", "references", "f", "2020", None), ("4", "commit", "lib", "modifies", "f", "2020", None),
+            ("5", "x", "h", "calls", "f", "2020", "2021"), ("6", "lib", "lib", "calls", "f", "2020", None)
+        ],
+        EDGE
+    )
     assert [(r["id"], r["depth"]) for r in graph.impact(e, "lib").collect() if r["id"] != "lib"] == [("api", 1), ("help", 1), ("h", 2)]
     assert graph.shortest_path_length(e, "h", "api") == 3
     assert graph.shortest_path_length(e, "h", "x") is None
@@ -100,9 +128,14 @@ def test_windows_drop_the_tail(spark):
 
 
 def test_manifest_and_upsert(spark):
-    prior = spark.createDataFrame([("a", "1", 1, False), ("b", "1", 1, False), ("c", "1", 1, True), ("d", "1", 1, False)], "path string, checksum string, mtime int, pending_reindex boolean")
+    prior = spark.createDataFrame(
+        [("a", "1", 1, False), ("b", "1", 1, False), ("c", "1", 1, True), ("d", "1", 1, False)],
+        "path string, checksum string, mtime int, pending_reindex boolean"
+    )
     disk = spark.createDataFrame([("a", "1", 2), ("b", "2", 2), ("c", "1", 1), ("e", "1", 1)], "path string, checksum string, mtime int")
-    assert {r["path"]: r["state"] for r in ingest.manifest_diff(prior, disk).collect()} == {"a": "unchanged", "b": "changed", "c": "changed", "d": "deleted", "e": "added"}
+    assert {r["path"]: r["state"] for r in ingest.manifest_diff(prior, disk).collect()} == {
+        "a": "unchanged", "b": "changed", "c": "changed", "d": "deleted", "e": "added"
+    }
     old = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     new = spark.createDataFrame([(2, "p", 1), (2, "q", 2), (3, "z", 1)], "k int, v string, n int")
     assert sorted((r["k"], r["v"]) for r in ingest.upsert(old, new, ["k"], "n").collect()) == [(1, "x"), (2, "q"), (3, "z")]
@@ -117,7 +150,10 @@ def test_telemetry(spark):
 
 
 def test_identity_and_memory(spark):
-    a = spark.createDataFrame([("Bo", None, "p1", None, None), ("bo", "team", "p2", "2024", "2025")], "surface string, scope string, person_id string, valid_from string, valid_to string")
+    a = spark.createDataFrame(
+        [("Bo", None, "p1", None, None), ("bo", "team", "p2", "2024", "2025")],
+        "surface string, scope string, person_id string, valid_from string, valid_to string"
+    )
     assert {r[0] for r in identity.resolve(a, "BO", "team", "2024-06").collect()} == {"p1", "p2"}
     assert {r[0] for r in identity.resolve(a, "bo", "team", "2025").collect()} == {"p1"}
     lines = spark.createDataFrame([(0, "# m"), (1, "## Facts"), (2, "- one <!-- id -->"), (3, "## Rules"), (4, "- two")], "line_no int, value string")
@@ -130,7 +166,9 @@ METRICS = ["sales", "files_touched", "duration"]
 def test_compilers():
     assert c.compile_compute("which week had the highest sales", METRICS) == c.ComputePlan("sales", "sum", "week", "desc", 1)
     assert c.compile_compute("how many sales entries", METRICS) == c.ComputePlan("sales", "count")
-    assert c.compile_compute("total files in december 2025", METRICS) == c.ComputePlan("files_touched", "sum", None, "desc", None, "2025-12-01T00:00:00", "2026-01-01T00:00:00")
+    assert c.compile_compute("total files in december 2025", METRICS) == c.ComputePlan(
+        "files_touched", "sum", None, "desc", None, "2025-12-01T00:00:00", "2026-01-01T00:00:00"
+    )
     assert c.compile_compute("how are you", METRICS) is None
     assert c.compile_scan("which week did I mention retries most?") == c.ScanPlan("retries", "week", "desc", 1)
     assert c.compile_scan("profile") is None and c.compile_scan("profile", explicit=True) == c.ScanPlan("profile")
@@ -157,7 +195,10 @@ def test_service(spark):
 
 def test_text_functions(spark):
     row = spark.createDataFrame([("src/a/b.py", "x  y\n z", "2027-01-01T00:00:00")], "p string, t string, ts string")
-    out = row.select(ft.prefix_swap(F.col("p"), "src", "lib"), ft.collapse(F.col("t"), 4), ft.iso_week(F.col("ts")), F.col("p").rlike(ft.glob_to_regex("src/**/*.py"))).first()
+    out = row.select(
+        ft.prefix_swap(F.col("p"), "src", "lib"), ft.collapse(F.col("t"), 4), ft.iso_week(F.col("ts")),
+        F.col("p").rlike(ft.glob_to_regex("src/**/*.py"))
+    ).first()
     assert tuple(out) == ("lib/a/b.py", "x y…", "2026-W53", True)
 
 
@@ -195,7 +236,12 @@ def test_late_rows_are_dropped(spark, tmp_path):
     from sparkloft.streaming.feeds import minute_counts
 
     src = str(tmp_path / "events")
-    for k, stamps in enumerate([["2024-01-01 00:00:10", "2024-01-01 00:00:20"], ["2024-01-01 01:00:00"], ["2024-01-01 01:00:10"], ["2024-01-01 00:00:30", "2024-01-01 01:00:40"]]):
+    for k, stamps in enumerate(
+        [
+            ["2024-01-01 00:00:10", "2024-01-01 00:00:20"], ["2024-01-01 01:00:00"], ["2024-01-01 01:00:10"],
+            ["2024-01-01 00:00:30", "2024-01-01 01:00:40"]
+        ]
+    ):
         rows = [(datetime.fromisoformat(x), "view", 1.0) for x in stamps]
         spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(src)
         time.sleep(1.1)  # files are taken in the order of their times
@@ -220,8 +266,15 @@ def test_language():
 def test_analysis(spark):
     from sparkloft.functions import language
 
-    rows = spark.createDataFrame([(0, "The cafe\u0301s were closing the queries"), (1, None), (2, "der Hund und die Katze sind nicht im Haus"), (3, "xyzzy")], "id int, t string")
-    got = {r["id"]: (r["w"], r["l"]) for r in rows.select("id", language.analyzed(F.col("t")).alias("w"), language.language_of(F.col("t"), ("en", "de", "xx")).alias("l")).collect()}
+    rows = spark.createDataFrame(
+        [(0, "The cafe\u0301s were closing the queries"), (1, None), (2, "der Hund und die Katze sind nicht im Haus"), (3, "xyzzy")],
+        "id int, t string"
+    )
+    got = {
+        r["id"]: (r["w"], r["l"]) for r in rows.select(
+            "id", language.analyzed(F.col("t")).alias("w"), language.language_of(F.col("t"), ("en", "de", "xx")).alias("l")
+        ).collect()
+    }
     assert got[0] == (["café", "close", "queri"], "en") and got[1] == ([], "en") and got[2][1] == "de" and got[3][1] == "en"
     plain = rows.where("id = 2").select(language.analyzed(F.col("t"), "de")).first()[0]
     assert plain == ["hund", "katze", "haus"]
