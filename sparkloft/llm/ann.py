@@ -31,7 +31,9 @@ _SIDE = 2 * REACH + 1
 def hash_functions(dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Normal (2-stable) directions and offsets of all tables for vectors of ``dim`` components and the one that is added."""
     rng = np.random.default_rng(1000 + dim)
-    a = np.linalg.qr(rng.normal(size=(dim + 1, dim + 1)))[0] if dim + 1 >= TABLES * FUNCTIONS else rng.normal(size=(dim + 1, dim + 1)) / math.sqrt(dim + 1)
+    a = np.linalg.qr(
+        rng.normal(size=(dim + 1, dim + 1))
+    )[0] if dim + 1 >= TABLES * FUNCTIONS else rng.normal(size=(dim + 1, dim + 1)) / math.sqrt(dim + 1)
     a = np.resize(a.T, (TABLES * FUNCTIONS, dim + 1)).T * math.sqrt(dim + 1)
     return a, rng.uniform(0, 1, TABLES * FUNCTIONS)
 
@@ -143,15 +145,23 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     hashed once and listed by id. Rows that repeat a vec_id count once. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("embedding")
+    )
     rows = rows.dropDuplicates(["vec_id"])
     # of equal vectors only the k + 1 smallest ids can be among the k nearest: each task cuts to them before the shuffle
     first = W.Window.partitionBy("embedding").orderBy("vec_id")
     ids = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
-    base = written(ids.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("embedding")), "ann-base")
+    base = written(
+        ids.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("embedding")), "ann-base"
+    )
     queries = rows.where(is_query).select("vec_id", "embedding", F.size("embedding").alias("dim"))
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    about = {r["dim"]: (math.sqrt(r["longest"]), r["n"]) for r in base.groupBy("dim").agg(F.max(squares).alias("longest"), F.count("*").alias("n")).collect()}
+    about = {
+        r["dim"]: (math.sqrt(r["longest"]), r["n"]) for r in base.groupBy("dim").agg(
+            F.max(squares).alias("longest"), F.count("*").alias("n")
+        ).collect()
+    }
     schema = "query_id long, rank int, vec_id long, score double"
     if not about:
         return spark.createDataFrame([], schema)
@@ -168,7 +178,10 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                 part = b.take(pa.array(np.flatnonzero(dims == dim)))
                 code = buckets(lift(matrix(part.column("embedding")), about[int(dim)][0]))
                 for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([part.column("dim"), pa.array(code[:, t]), part.column("ids"), part.column("embedding")], names=["dim", "code", "ids", "embedding"])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("dim"), pa.array(code[:, t]), part.column("ids"), part.column("embedding")],
+                        names=["dim", "code", "ids", "embedding"]
+                    )
 
     codes = base.mapInArrow(hashed, "dim int, code long, ids array<long>, embedding array<double>")
     # as many counts as the tables have buckets, at most TABLES * _SIDE ** FUNCTIONS for each vector length
@@ -183,10 +196,18 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     def deal(batches):
         for b in batches:
             shard = np.zeros(b.num_rows, np.int64)
-            for i, (dim, code, ids) in enumerate(zip(b.column("dim").to_pylist(), b.column("code").to_pylist(), b.column("ids").to_pylist(), strict=True)):
+            for i, (dim, code, ids) in enumerate(
+                zip(b.column("dim").to_pylist(), b.column("code").to_pylist(), b.column("ids").to_pylist(), strict=True)
+            ):
                 layout = sent.value[dim]
                 shard[i] = layout.first[code] + ids[0] * 2654435761 % (1 << 32) % layout.pieces[code]
-            yield pa.RecordBatch.from_arrays([b.column("dim"), pa.array(shard), pa.nulls(b.num_rows, pa.int64()), b.column("ids"), b.column("embedding"), pa.array([[c] for c in b.column("code").to_pylist()], pa.list_(pa.int64()))], names=["dim", "shard", "query_id", "ids", "embedding", "codes"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("dim"), pa.array(shard), pa.nulls(b.num_rows, pa.int64()), b.column("ids"), b.column("embedding"),
+                    pa.array([[c] for c in b.column("code").to_pylist()], pa.list_(pa.int64()))
+                ],
+                names=["dim", "shard", "query_id", "ids", "embedding", "codes"]
+            )
 
     def ask(batches):
         for b in batches:
@@ -206,7 +227,13 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                     shards += by.keys()
                     visited += by.values()
             at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("dim").take(at), pa.array(shards, pa.int64()), b.column("vec_id").take(at), pa.nulls(len(take), pa.list_(pa.int64())), b.column("embedding").take(at), pa.array(visited, pa.list_(pa.int64()))], names=["dim", "shard", "query_id", "ids", "embedding", "codes"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("dim").take(at), pa.array(shards, pa.int64()), b.column("vec_id").take(at), pa.nulls(len(take), pa.list_(pa.int64())),
+                    b.column("embedding").take(at), pa.array(visited, pa.list_(pa.int64()))
+                ],
+                names=["dim", "shard", "query_id", "ids", "embedding", "codes"]
+            )
 
     dealt = "dim int, shard long, query_id long, ids array<long>, embedding array<double>, codes array<long>"
     both = codes.mapInArrow(deal, dealt).unionByName(queries.mapInArrow(ask, dealt))
@@ -238,7 +265,12 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                     out["query_id"].append(me)
                     out["vec_id"].append([j for _, j in seen])
                     out["score"].append([-v for v, _ in seen])
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.list_(pa.int64())), "score": pa.array(out["score"], pa.list_(pa.float64()))})
+        return pa.table(
+            {
+                "query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.list_(pa.int64())),
+                "score": pa.array(out["score"], pa.list_(pa.float64()))
+            }
+        )
 
     lists = both.groupBy("dim", "shard").applyInArrow(search, "query_id long, vec_id array<long>, score array<double>")
     pairs = lists.select("query_id", F.explode(F.arrays_zip("vec_id", "score")).alias("x")).select("query_id", "x.vec_id", "x.score")

@@ -222,7 +222,10 @@ def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join(map(t.decimals.__getitem__, ids)).encode()).hexdigest())
                 of_text.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

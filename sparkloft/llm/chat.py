@@ -65,7 +65,10 @@ def features(text: str, first: bool) -> list[tuple[int, ...]]:
         role, at = marks[a]
         size = sum(map(len, lines[a:b])) + b - a - 1 - at
         place = INSIDE if a else (CONVERSATION if first else ROW)
-        out[a] = (0 if role is None else 1 + ROLES.index(role), min(1 + size.bit_length(), 16), min(b - a, 9), min((len(lines[a]) - at).bit_length(), 11), int("?" in lines[a]), place)
+        out[a] = (
+            0 if role is None else 1 + ROLES.index(role), min(1 + size.bit_length(), 16), min(b - a, 9), min((len(lines[a]) - at).bit_length(), 11),
+            int("?" in lines[a]), place
+        )
     return out
 
 
@@ -177,8 +180,12 @@ def train(turns: DataFrame) -> list[Model]:
             flat = pa.array([[v for line in x for v in line] for x in f], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), flat], names=["conv_id", "turn", "role", "f"])
 
-    rows = known.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").join(F.broadcast(chosen), "conv_id")  # bounded by the limit
-    rows = rows.dropDuplicates(["conv_id", "turn"]).mapInArrow(describe, "conv_id long, turn long, role string, f array<int>").orderBy("conv_id", "turn").collect()
+    rows = known.select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), "role", "text"
+    ).join(F.broadcast(chosen), "conv_id")  # bounded by the limit
+    rows = rows.dropDuplicates(["conv_id", "turn"]).mapInArrow(
+        describe, "conv_id long, turn long, role string, f array<int>"
+    ).orderBy("conv_id", "turn").collect()
     by: dict[int, list] = {}
     for r in rows:
         lines = [tuple(r["f"][k : k + len(SIZES)]) for k in range(0, len(r["f"]), len(SIZES))]
@@ -298,7 +305,9 @@ def format_turns(turns: DataFrame, models: Sequence[Model]) -> DataFrame:
                     rendered.append(render(role, said))
                 at += size
             held = now.select(["conv_id", "turn"]).take(pa.array(take, pa.int64()))
-            yield from pa.table({"conv_id": held.column(0), "turn": held.column(1), "part": pa.array(parts, pa.int32()), "role": roles, "rendered": rendered}).to_batches()
+            yield from pa.table(
+                {"conv_id": held.column(0), "turn": held.column(1), "part": pa.array(parts, pa.int32()), "role": roles, "rendered": rendered}
+            ).to_batches()
             now, first = after, False
 
     kinds = {c: turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}

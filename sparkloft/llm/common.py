@@ -1,26 +1,17 @@
-"""What the corpus operators share: the shared folder, written tables and connected components."""
+"""What the corpus operators share: written tables, memory and connected components."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloft.storage import checkpointed, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="sparkloft-")
-        sc.setCheckpointDir(named)
-    return named
+__all__ = ["BATCH_ROWS", "checkpointed", "connected_components", "small_batches", "trim", "written"]
 
 
 BATCH_ROWS = 1000
@@ -40,34 +31,6 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back, so that later readers prune columns.
-
-    The folder goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            if jvm is not None:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM has gone already
-            pass
-
-    atexit.register(drop)
-    return spark.read.parquet(path)
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node that has a link.
 

@@ -11,21 +11,34 @@ from pyspark.sql import DataFrame
 from sparkloft.llm.common import small_batches
 
 # Fixed values of HTML: elements that begin a block, have no content, hold no text for readers, or end an open paragraph or item.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
 VOID = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object noembed noframes xmp canvas audio video select datalist".split())
+RAW = frozenset(
+    "script style noscript template textarea title svg math iframe object noembed noframes xmp canvas audio video select datalist".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre blockquote li dd dt td th figcaption caption h1 h2 h3 h4 h5 h6".split())
-IMPLIED_END = {"li": ("li", ("ul", "ol", "menu", "dir")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+IMPLIED_END = {
+    "li": ("li", ("ul", "ol", "menu", "dir")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)),
+    "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
+    "option": ("option", ("select",))
+}
 # Elements, roles and class words of what is not the article.
 ASIDE_TAGS = frozenset("nav aside footer form button dialog menu search fieldset label header".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
-ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert disclaimer newsletter subscribe subscription signup login sidebar aside comment comments commentlist disqus respond reply replies discussion menu nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended recommendations popular trending footer header masthead toolbar widget popup modal overlay paywall outbrain taboola skip tags byline".split())
+ASIDE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert disclaimer newsletter subscribe subscription signup login sidebar aside comment comments commentlist disqus respond reply replies discussion menu nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended recommendations popular trending footer header masthead toolbar widget popup modal overlay paywall outbrain taboola skip tags byline".split()
+)
 SAYS_WHETHER = frozenset("has no not with without is show hide".split())  # class has-sidebar tells of a sidebar elsewhere
 LOWERED = 0.25  # what the points of text count under an element whose class or id has one of ASIDE_WORDS
 KEEP_TAGS = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
+    re.S
+)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -274,7 +287,9 @@ def main_text(page: str | None) -> str:
         if isinstance(x, Run):
             if x.size:
                 out.append(x.text)
-        elif not x.out and not (x.doubt and not like(x)) and not (x.tag in ("ul", "ol", "div", "table", "section", "dl") and _density(x) > 0.6):  # a list of links is a menu
+        elif not x.out and not (x.doubt and not like(x)) and not (
+            x.tag in ("ul", "ol", "div", "table", "section", "dl") and _density(x) > 0.6
+        ):  # a list of links is a menu
             todo += x.children[::-1]
     return " ".join(out)
 
@@ -289,7 +304,10 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = [main_text(x.as_py()) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"]
+            )
 
     small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

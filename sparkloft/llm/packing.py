@@ -62,7 +62,9 @@ class Plan:
     def served(self, k: int) -> dict[str, int]:
         if not self.phases:
             return dict.fromkeys(self.names, 0)
-        return self._served(max(0, bisect.bisect_right(self.first, min(k, self.windows)) - 1), min(k, self.windows)) if k < self.windows else dict(self.totals)
+        return self._served(
+            max(0, bisect.bisect_right(self.first, min(k, self.windows)) - 1), min(k, self.windows)
+        ) if k < self.windows else dict(self.totals)
 
     def row(self, k: int) -> dict[str, tuple[int, int, int]]:
         """Of window k, by queue: first and last token of the queue's row of tokens, and where its part begins in the output."""
@@ -127,12 +129,21 @@ def _spread(rows: DataFrame, totals: DataFrame, length: int, window: int) -> Dat
                         cols[c].append(v)
                     done += m
             at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(cols[c], pa.int64()) for c in ("k", "a", "done", "m", "n")), pa.array(cols["ids"], pa.binary())], names=["doc_id", "queue", "k", "a", "done", "m", "n", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).take(at), b.column(1).take(at), *(pa.array(cols[c], pa.int64()) for c in ("k", "a", "done", "m", "n")),
+                    pa.array(cols["ids"], pa.binary())
+                ],
+                names=["doc_id", "queue", "k", "a", "done", "m", "n", "ids"]
+            )
 
     schema = T.StructType().add("doc_id", rows.schema["doc_id"].dataType).add("queue", "string")
     for c in ("k", "a", "done", "m", "n"):
         schema = schema.add(c, "long")
-    pieces = written(rows.join(totals, "queue").select("doc_id", "queue", "base", "before", "n", "ids", "total").mapInArrow(cut, schema.add("ids", "binary")), "packing-pieces")
+    pieces = written(
+        rows.join(totals, "queue").select("doc_id", "queue", "base", "before", "n", "ids", "total").mapInArrow(cut, schema.add("ids", "binary")),
+        "packing-pieces"
+    )
     block = F.floor(F.col("k") / BLOCK)
     sizes = pieces.groupBy("k").agg(F.sum("m").alias("size")).withColumn("block", block)
     earlier = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
@@ -146,7 +157,9 @@ def _spread(rows: DataFrame, totals: DataFrame, length: int, window: int) -> Dat
 
 
 def _schema(docs: DataFrame) -> T.StructType:
-    return T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("part", "long").add("queue", "string").add("before", "long").add("n", "long").add("ids", "binary")
+    return T.StructType().add(
+        "doc_id", docs.schema["doc_id"].dataType
+    ).add("part", "long").add("queue", "string").add("before", "long").add("n", "long").add("ids", "binary")
 
 
 def pack(docs: DataFrame, target: Mapping[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, name: str = VOCABULARY) -> DataFrame:
@@ -177,7 +190,13 @@ def pack(docs: DataFrame, target: Mapping[str, float] | None = None, length: int
             for q, r in zip(names, rows, strict=True):
                 starts.append(before[q])
                 before[q] += len(r)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * len(rows), pa.int64()), b.column(2), pa.array(starts, pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "part", "queue", "before", "n", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array([part] * len(rows), pa.int64()), b.column(2), pa.array(starts, pa.int64()),
+                    pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())
+                ],
+                names=["doc_id", "part", "queue", "before", "n", "ids"]
+            )
 
     rows = written(docs.select("doc_id", "text", queue.alias("queue")).mapInArrow(encode, _schema(docs)), "packing")
     # each task's tokens by queue, and how many earlier tasks have before it
@@ -202,10 +221,19 @@ def pack(docs: DataFrame, target: Mapping[str, float] | None = None, length: int
             while m:  # sequences end inside a window
                 k = min(m, length - at % length)
                 take.append(i)
-                for c, v in zip(("start", "length", "crc", "n", "seq", "off"), (start, k, zlib.crc32(ids[off : off + k]), n, at // length, at % length), strict=True):
+                for c, v in zip(
+                    ("start", "length", "crc", "n", "seq", "off"), (start, k, zlib.crc32(ids[off : off + k]), n, at // length, at % length),
+                    strict=True
+                ):
                     cols[c].append(v)
                 off, start, m, at = off + k, start + k, m - k, at + k
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *(pa.array(cols[c], pa.int64()) for c in ("start", "length", "crc", "n", "seq", "off")), queues.take(pa.array(take, pa.int64()))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+        return pa.RecordBatch.from_arrays(
+            [
+                b.column(0).take(pa.array(take, pa.int64())), *(pa.array(cols[c], pa.int64()) for c in ("start", "length", "crc", "n", "seq", "off")),
+                queues.take(pa.array(take, pa.int64()))
+            ],
+            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+        )
 
     def numbers(ids, n):
         return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")

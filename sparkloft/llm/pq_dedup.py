@@ -51,7 +51,13 @@ class Index:
         return codes.astype(np.uint8), np.sqrt(((rest - shown) ** 2).sum(1))
 
     def tables(self, rest: np.ndarray) -> np.ndarray:
-        return np.stack([np.pad(squared(rest[:, a:b], book), ((0, 0), (0, CODES - len(book)))) for book, a, b in zip(self.books, self.cuts, self.cuts[1:], strict=False)], 1)
+        return np.stack(
+            [
+                np.pad(squared(rest[:, a:b], book), ((0, 0), (0, CODES - len(book)))) for book, a,
+                b in zip(self.books, self.cuts, self.cuts[1:], strict=False)
+            ],
+            1
+        )
 
     def lists(self, unit: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
         """Each vector's list, and the lower-numbered lists that can hold a vector within ``radius``.
@@ -88,7 +94,10 @@ def fit_index(unit: np.ndarray, rows: float) -> Index:
     return best
 
 
-def _search(index: Index, home: tuple, ask: tuple | None, links: np.ndarray, label: np.ndarray, at_home: np.ndarray, at_ask: np.ndarray, weight: np.ndarray, radius: float) -> None:
+def _search(
+    index: Index, home: tuple, ask: tuple | None, links: np.ndarray, label: np.ndarray, at_home: np.ndarray, at_ask: np.ndarray, weight: np.ndarray,
+    radius: float
+) -> None:
     """Links between the vectors of a block (or of a block and those that look into it), added to ``links`` and ``label``."""
     vec, unit, codes, err, centre = home
     vec2, unit2 = (vec, unit) if ask is None else ask
@@ -122,7 +131,10 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "label", "embedding").withColumn("ok", usable("embedding") & F.col("label").isNotNull())
-    classes = written(rows.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null"), "vectors")
+    classes = written(
+        rows.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null"),
+        "vectors"
+    )
     n = classes.count()
     radius = math.sqrt(2 - 2 * COSINE)
     if n:
@@ -152,11 +164,19 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
                     cell = np.concatenate([home, *probes]).astype(np.int64)
                     at = pa.array(take)
                     guest = np.arange(len(take)) >= len(x)
-                    yield pa.RecordBatch.from_arrays([part.column("label").take(at), pa.array(np.full(len(take), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(guest), part.column("rep").take(at), part.column("copies").take(at), part.column("embedding").take(at)], names=["label", "dim", "cell", "guest", "rep", "copies", "embedding"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("label").take(at), pa.array(np.full(len(take), d, np.int32)), pa.array(cell.astype(np.int32)),
+                            pa.array(guest), part.column("rep").take(at), part.column("copies").take(at), part.column("embedding").take(at)
+                        ],
+                        names=["label", "dim", "cell", "guest", "rep", "copies", "embedding"]
+                    )
 
         kind = classes.schema["label"].dataType.simpleString()
         vector = classes.schema["embedding"].dataType.simpleString()
-        placed = written(classes.mapInArrow(place, f"label {kind}, dim int, cell int, guest boolean, rep long, copies long, embedding {vector}"), "vector-lists")
+        placed = written(
+            classes.mapInArrow(place, f"label {kind}, dim int, cell int, guest boolean, rep long, copies long, embedding {vector}"), "vector-lists"
+        )
         key = ["label", "dim", "cell"]
         counts = placed.groupBy(*key).agg(F.count_if(~F.col("guest")).alias("h"), F.count_if("guest").alias("g")).where("h > 0")
         blocks = {b: F.ceil(F.col(c) / BLOCK).cast("int") for b, c in (("homes", "h"), ("guests", "g"))}
@@ -170,7 +190,9 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
 
         def units(first, last, unit):
             """A unit of work for each number from first to last, none if there is none."""
-            return F.when(last >= first, F.transform(F.sequence(first, last), unit)).otherwise(F.array().cast("array<struct<a:int,b:int,cross:boolean,asks:boolean>>"))
+            return F.when(last >= first, F.transform(F.sequence(first, last), unit)).otherwise(
+                F.array().cast("array<struct<a:int,b:int,cross:boolean,asks:boolean>>")
+            )
 
         def unit(a, b, cross: bool, asks: bool):
             return F.struct(a.alias("a"), b.alias("b"), F.lit(cross).alias("cross"), F.lit(asks).alias("asks"))
@@ -221,10 +243,16 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
         parts = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
         counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
         result = classes.join(counted, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-        result = result.select(F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        result = result.select(
+            F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+        )
         rows = rows.withColumn("k_label", F.when(F.col("ok"), F.col("label"))).withColumn("k_embedding", F.when(F.col("ok"), F.col("embedding")))
         rows = rows.join(result, (F.col("k_label") == F.col("c_label")) & (F.col("k_embedding") == F.col("c_embedding")), "left")
     else:
         rows = rows.withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("vec_id"))
     component = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return rows.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")
+    )

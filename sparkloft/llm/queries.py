@@ -83,7 +83,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_line_dedup, op2_embedding_pq, op3_chat_format, op4_ann_multiprobe, op5_html_extract, op6_mixture_packing, op7_simhash_vptree, op8_toxicity_crf, op9_suffix_array, op10_bpe_tree, pipeline]
+    found = [
+        op1_line_dedup, op2_embedding_pq, op3_chat_format, op4_ann_multiprobe, op5_html_extract, op6_mixture_packing, op7_simhash_vptree,
+        op8_toxicity_crf, op9_suffix_array, op10_bpe_tree, pipeline
+    ]
     return {f.__name__: f for f in found}
 
 

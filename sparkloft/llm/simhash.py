@@ -42,7 +42,9 @@ def fingerprint(text: str | None) -> int:
     digest, left = xxhash.xxh64_intdigest, n
     while left:
         m = min(left, BLOCK)
-        h = np.fromiter((digest(s, 42) for s, _ in zip(shingles, range(m), strict=False)) if m < left else (digest(s, 42) for s in shingles), np.uint64, m)
+        h = np.fromiter(
+            (digest(s, 42) for s, _ in zip(shingles, range(m), strict=False)) if m < left else (digest(s, 42) for s in shingles), np.uint64, m
+        )
         octets = h.astype("<u8").view(np.uint8).reshape(m, 8)
         for i in range(8):
             counts[i] += np.bincount(octets[:, i], minlength=256) @ _BITS
@@ -105,7 +107,9 @@ def route(fp: np.ndarray, levels: int, known: dict[int, int]):
         t = np.array([known.get(int(i), 30) for i in ids])[at]
         home, far, guests, marks = split(fp[row], vantage(node), t, visits, np.uint64(1 << level))
         near = np.concatenate([home, guests])
-        row, visits, node = np.concatenate([row[near], row[far]]), np.concatenate([marks, visits[far]]), np.concatenate([2 * node[near] + 1, 2 * node[far] + 2])
+        row, visits, node = np.concatenate([row[near], row[far]]), np.concatenate([marks, visits[far]]), np.concatenate(
+            [2 * node[near] + 1, 2 * node[far] + 2]
+        )
     return row, node, visits
 
 
@@ -163,7 +167,9 @@ def _blocks(shards: DataFrame) -> DataFrame:
     if not n:
         return shards.withColumns({"low": F.lit(0), "high": F.lit(0)})
     dealt = shards.join(F.broadcast(full) if n <= BROADCAST_ROWS else full, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
     return dealt.select("shard", "fp", "rep", "visits", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
 
 

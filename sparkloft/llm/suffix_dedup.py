@@ -253,7 +253,10 @@ def _least_ids(texts: list[bytes], ids: np.ndarray):
 
 def first_holders(texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     """For each window of each text the least id among the texts that hold it. ids: one for each text."""
-    return [least[s : s + n - SPAN + 1] for _, starts, lens, _, least, _ in _least_ids(texts, ids) for s, n in zip(starts.tolist(), lens.tolist(), strict=True)]
+    return [
+        least[s : s + n - SPAN + 1] for _, starts, lens, _, least, _ in _least_ids(texts, ids) for s,
+        n in zip(starts.tolist(), lens.tolist(), strict=True)
+    ]
 
 
 def lost_spans(texts: list[bytes], ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
@@ -300,10 +303,15 @@ def _get(blobs: list[bytes | None], kind: str = "<i4") -> np.ndarray:
 
 
 def _row(bucket: int, shard: int, done: bool, lens, ids, rows, offs, data: bytes) -> dict:
-    return {"bucket": bucket, "shard": shard, "done": done, "lens": _put(lens), "ids": _put(ids, "<i8"), "rows": _put(rows), "offs": _put(offs), "data": data}
+    return {
+        "bucket": bucket, "shard": shard, "done": done, "lens": _put(lens), "ids": _put(ids, "<i8"), "rows": _put(rows), "offs": _put(offs),
+        "data": data
+    }
 
 
-_FOUND_ARROW = pa.schema([("bucket", pa.int64()), ("shard", pa.int32()), ("done", pa.bool_()), *((c, pa.binary()) for c in ("lens", "ids", "rows", "offs", "data"))])
+_FOUND_ARROW = pa.schema(
+    [("bucket", pa.int64()), ("shard", pa.int32()), ("done", pa.bool_()), *((c, pa.binary()) for c in ("lens", "ids", "rows", "offs", "data"))]
+)
 _SPANS_ARROW = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("rows", "offs", "lens"))])
 _VALUES_ARROW = pa.schema([("bucket", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
 
@@ -318,7 +326,9 @@ def _by_bucket(value: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
 
 
 def _values_table(found: list[tuple[int, int, np.ndarray]]) -> pa.Table:
-    return pa.Table.from_pydict({"bucket": [b for b, _, _ in found], "shard": [s for _, s, _ in found], "data": [_packed(v) for _, _, v in found]}, _VALUES_ARROW)
+    return pa.Table.from_pydict(
+        {"bucket": [b for b, _, _ in found], "shard": [s for _, s, _ in found], "data": [_packed(v) for _, _, v in found]}, _VALUES_ARROW
+    )
 
 
 def _minimisers(bits: int):
@@ -404,7 +414,12 @@ def _candidates(bits: int):
             done.append((row_now, from_now - base[row_now], to_now - base[row_now]))
         out = [_row(shard, shard, True, [e - s for _, s, e in done], [], [r for r, _, _ in done], [s for _, s, _ in done], b"")] if done else []
         for k, x in sent.items():
-            out.append(_row(k, shard, False, [len(c) for c, *_ in x], [i for _, i, _, _ in x], [r for _, _, r, _ in x], [o for *_, o in x], b"".join(c for c, *_ in x)))
+            out.append(
+                _row(
+                    k, shard, False, [len(c) for c, *_ in x], [i for _, i, _, _ in x], [r for _, _, r, _ in x], [o for *_, o in x],
+                    b"".join(c for c, *_ in x)
+                )
+            )
         found = pa.Table.from_pylist(out, _FOUND_ARROW)
         del out, sent, seen, text
         trim()
@@ -434,7 +449,9 @@ def _runs(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[tuple[int, int
     return texts, np.array(least, np.int64), places
 
 
-def _spans(texts: list[bytes], least: np.ndarray, places: list, lost_by_least: dict[int, list[tuple[int, int]]]) -> dict[int, list[tuple[int, int, int]]]:
+def _spans(
+    texts: list[bytes], least: np.ndarray, places: list, lost_by_least: dict[int, list[tuple[int, int]]]
+) -> dict[int, list[tuple[int, int, int]]]:
     """By shard the (row, start, end) that go: all other holders of a run lose the whole of it, the least one what others have."""
     spans: dict[int, list] = {}
     for s, k, i, r, o in places:
@@ -510,7 +527,11 @@ def _digest(docs: pa.Table, spans: pa.Table) -> pa.Table:
     if not docs.num_rows:
         return pa.schema(list(cols.items())).empty_table()
     text, lost = _lost(docs, spans)
-    out = {"doc_id": docs.column("doc_id").take(pa.array(text.order, pa.int64())), "n_bytes": [len(x) for x in text.texts], "n_removed": [sum(b - a for a, b in x) for x in lost], "n_spans": [len(x) for x in lost], "kept_sha256": [hashlib.sha256(_kept(t, x)).hexdigest() for t, x in zip(text.texts, lost, strict=True)]}
+    out = {
+        "doc_id": docs.column("doc_id").take(pa.array(text.order, pa.int64())), "n_bytes": [len(x) for x in text.texts],
+        "n_removed": [sum(b - a for a, b in x) for x in lost], "n_spans": [len(x) for x in lost],
+        "kept_sha256": [hashlib.sha256(_kept(t, x)).hexdigest() for t, x in zip(text.texts, lost, strict=True)]
+    }
     return pa.Table.from_pydict(out, pa.schema(list(cols.items())))
 
 
@@ -555,7 +576,9 @@ def _removed(docs: DataFrame):
     found = whole.groupBy("__shard").cogroup(shared.groupBy("shard")).applyInArrow(_candidates(bits), _FOUND)
     if shards > GROUP:
         found = written(found.select("*", group), "runs")
-        across = found.where("not done").groupBy("bucket", "group").applyInArrow(_gather, _FOUND).groupBy("bucket").applyInArrow(_decide_between, f"bucket long, {_SPANS}")
+        across = found.where("not done").groupBy("bucket", "group").applyInArrow(_gather, _FOUND).groupBy("bucket").applyInArrow(
+            _decide_between, f"bucket long, {_SPANS}"
+        )
         spans = found.groupBy("bucket", "group").cogroup(across.groupBy("bucket", "shard")).applyInArrow(_hand_out, _SPANS)
     else:
         spans = found.groupBy("bucket").applyInArrow(_decide, _SPANS)
@@ -570,7 +593,9 @@ def passage_digests(docs: DataFrame) -> DataFrame:
     that repeat a doc_id are not smaller than each other, so they do not cut one another. An empty table gives an empty result.
     """
     whole, spans = _removed(docs.select("doc_id", "text"))
-    return whole.groupBy("__shard").cogroup(spans.groupBy("shard")).applyInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return whole.groupBy("__shard").cogroup(spans.groupBy("shard")).applyInArrow(
+        _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    )
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

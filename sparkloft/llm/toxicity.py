@@ -205,7 +205,12 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         post, expected, _, first = marginals(emit.reshape(n, CHAIN), length, trans, start, full=True)
         flat = post.ravel()
         grad_w = 0.6 * grad_w + (gold - np.bincount(cols, weights=flat[rows], minlength=k) - 0.01 * w) / np.sqrt(seen) / 4
-        other = np.concatenate([[(tags.sum() - flat.sum()) / math.sqrt(total)], ((gold_trans - expected) / math.sqrt(total)).ravel(), (gold_start - first) / math.sqrt(n)]) / 8
+        other = np.concatenate(
+            [
+                [(tags.sum() - flat.sum()) / math.sqrt(total)], ((gold_trans - expected) / math.sqrt(total)).ravel(),
+                (gold_start - first) / math.sqrt(n)
+            ]
+        ) / 8
         grad_o = 0.6 * grad_o + other
         w = np.clip(w + rate * np.clip(grad_w, -2, 2), -12, 12)
         move = np.clip(rate * grad_o, -0.5, 0.5)
@@ -303,9 +308,14 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             scores, found = score_texts(sent.value, b.column(1).to_pylist(), cache, spans=True)
             held = pa.array([None if i is None else fold(i) == HELD_OUT for i in ids], pa.bool_())
             spans = pa.array([[{"start": s, "end": e, "marginal": p} for s, e, p in x] for x in found], kind)
-            yield pa.RecordBatch.from_arrays([b.column(0), held, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), spans], names=["doc_id", "held_out", "score", "predicted", "spans"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), held, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), spans],
+                names=["doc_id", "held_out", "score", "predicted", "spans"]
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>"
+    )
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

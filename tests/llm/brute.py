@@ -73,7 +73,9 @@ def cosine_links(rows, least=0.98):
     vec = [np.array(y, float) if k else None for k, (_, _, y) in zip(ok, rows, strict=True)]
 
     def linked(a, b):
-        return ok[a] and ok[b] and rows[a][1] == rows[b][1] and len(vec[a]) == len(vec[b]) and vec[a] @ vec[b] / np.sqrt((vec[a] @ vec[a]) * (vec[b] @ vec[b])) >= least
+        return ok[a] and ok[b] and rows[a][1] == rows[b][1] and len(vec[a]) == len(vec[b]) and vec[a] @ vec[b] / np.sqrt(
+            (vec[a] @ vec[a]) * (vec[b] @ vec[b])
+        ) >= least
 
     n = defaultdict(int)
     for a in range(len(rows)):

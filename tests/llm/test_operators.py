@@ -28,7 +28,10 @@ def odd(spark):
     body = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(30)]
     rows = [(i, f"s{i % 2}", t) for i, t in enumerate(body)]
     rows += [(100 + i, "s0", f"common line\n{t}\n  common line\n") for i, t in enumerate(body[:8])]
-    rows += [(200, None, None), (201, None, ""), (202, "s1", "   \n\t"), (203, "s1", body[0]), (204, "s1", body[0]), (205, "s0", body[1] + " tail"), (206, "s0", " ".join(body) * 3), (207, "s1", "x" * 3000), (208, "s1", "y" + "x" * 2000)]
+    rows += [
+        (200, None, None), (201, None, ""), (202, "s1", "   \n\t"), (203, "s1", body[0]), (204, "s1", body[0]), (205, "s0", body[1] + " tail"),
+        (206, "s0", " ".join(body) * 3), (207, "s1", "x" * 3000), (208, "s1", "y" + "x" * 2000)
+    ]
     return rows
 
 
@@ -104,7 +107,14 @@ def test_suffix_dedup(spark, odd, monkeypatch):
     rng = random.Random(9)
     rows = [(i, s, t) for i, s, t in odd]
     passage = "The same passage of more than fifty bytes, été et là, stands in several documents."
-    rows += [(300 + i, "s", "".join(rng.choice("ab ") for _ in range(rng.randint(0, 80))) + passage[rng.randint(0, 20) :] + "".join(rng.choice("ab ") for _ in range(80))) for i in range(25)]
+    rows += [
+        (
+            300 + i, "s",
+            "".join(
+                rng.choice("ab ") for _ in range(rng.randint(0, 80))
+            ) + passage[rng.randint(0, 20) :] + "".join(rng.choice("ab ") for _ in range(80))
+        ) for i in range(25)
+    ]
     want = brute.passages([(i, t) for i, _, t in rows])
     texts = {i: (t or "").encode() for i, _, t in rows}
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)  # several shards of documents
@@ -112,7 +122,9 @@ def test_suffix_dedup(spark, odd, monkeypatch):
     for i, m in want.items():
         kept = np.frombuffer(texts[i], np.uint8)[~m].tobytes()
         runs = int((np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum())
-        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(m), int(m.sum()), runs, hashlib.sha256(kept).hexdigest()), i
+        assert (
+            got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]
+        ) == (len(m), int(m.sum()), runs, hashlib.sha256(kept).hexdigest()), i
     monkeypatch.setattr(suffix_dedup, "GROUP", 2)  # buckets are decided between groups of shards
     again = {r["doc_id"]: r for r in suffix_dedup.passage_digests(table(spark, rows)).collect()}
     assert again == got
@@ -167,7 +179,9 @@ def test_packing(spark, odd, monkeypatch):
 
 def test_packing_is_a_round_robin(spark, odd):
     """Every token's place against queues that are served in turn, window by window, with their deficits carried on."""
-    rows = [(i, f"s{i % 3}" if i % 4 else None, t) for i, _, t in odd] + [(0, None, "repeated row"), (0, None, "repeated row"), (900, "s1", "very long " * 3000)]
+    rows = [(i, f"s{i % 3}" if i % 4 else None, t) for i, _, t in odd] + [
+        (0, None, "repeated row"), (0, None, "repeated row"), (900, "s1", "very long " * 3000)
+    ]
     t, length, window = bpe.tokenizer(), 64, 4
     queues: dict[str, list] = {}
     for row, (_, source, text) in enumerate(rows):
@@ -222,7 +236,10 @@ def test_bpe(spark, odd, monkeypatch):
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t = bpe.Tokenizer()
     rng = random.Random(4)
-    texts = [x for _, _, x in odd] + ["<|endoftext|>x<|endoftext|>", "½² \u0085\x1c a", "日本語" * 900, "\U0001f600" * 700, " " * 2000 + "x", "".join(rng.choice("thequickbrown") for _ in range(5000)), "don't've"]
+    texts = [x for _, _, x in odd] + [
+        "<|endoftext|>x<|endoftext|>", "½² \u0085\x1c a", "日本語" * 900, "\U0001f600" * 700, " " * 2000 + "x",
+        "".join(rng.choice("thequickbrown") for _ in range(5000)), "don't've"
+    ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in bpe.round_trip(df).collect()}
     for i, x in enumerate(texts):
@@ -239,8 +256,12 @@ def test_bpe(spark, odd, monkeypatch):
         assert halves.encode(x).tolist() == t_library(library, x), x
     for x in [x for x in texts if x]:
         assert halves.encode(x).tolist() == t_library(library, x)
-    twice = spark.createDataFrame([(1, "a b", 1, "x"), (1, "a b", 2, "y"), (None, None, 3, "z")], "doc_id long, text string, ids int, n_tokens string")
-    assert sorted(tuple(r)[:2] for r in bpe.round_trip(twice).where("doc_id = 1").collect()) == [(1, 2), (1, 2)] and bpe.round_trip(twice).count() == 3
+    twice = spark.createDataFrame(
+        [(1, "a b", 1, "x"), (1, "a b", 2, "y"), (None, None, 3, "z")], "doc_id long, text string, ids int, n_tokens string"
+    )
+    assert sorted(
+        tuple(r)[:2] for r in bpe.round_trip(twice).where("doc_id = 1").collect()
+    ) == [(1, 2), (1, 2)] and bpe.round_trip(twice).count() == 3
     small = bpe.Tokenizer(leaf=5)  # every word goes through the tree
     for x in texts[-2:] + [x for x in texts if x][:10]:
         for w in x.split():
@@ -260,7 +281,10 @@ def test_embedding_links(spark, monkeypatch):
             rows.append((3 * i + 1, int(i % 2), (v + rng.normal(size=8) * rng.choice([0.05, 0.2])).tolist()))
         if i % 10 == 0:
             rows += [(1000 + i, int(i % 2), (2 * v).tolist()), (2000 + i, int(i % 2), v.tolist())]
-    rows += [(5000, None, [1.0] * 8), (5001, 1, None), (5002, 1, [0.0] * 8), (5003, 1, [float("nan")] * 8), (5004, 1, [None] + [1.0] * 7), (5005, 1, [float("inf")] * 8), (5006, 0, [1.0, 2.0])]
+    rows += [
+        (5000, None, [1.0] * 8), (5001, 1, None), (5002, 1, [0.0] * 8), (5003, 1, [float("nan")] * 8), (5004, 1, [None] + [1.0] * 7),
+        (5005, 1, [float("inf")] * 8), (5006, 0, [1.0, 2.0])
+    ]
     monkeypatch.setattr(pq_dedup, "BLOCK", 16)  # long lists are split
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, label int, embedding array<double>, rep string, cell int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_dedup.embedding_links(df).collect()}
@@ -277,7 +301,9 @@ def test_nearest_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 12)) * rng.uniform(0.5, 2, size=(400, 1))
     x[50:60] = x[40]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (920, [0.0] * 12), (940, [float("nan")] * 12), (None, [1.0] * 12), (3, x[3].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [
+        (900, None), (920, [0.0] * 12), (940, [float("nan")] * 12), (None, [1.0] * 12), (3, x[3].tolist())
+    ]
     df = spark.createDataFrame([(*r, 0, 0.0) for r in rows], "vec_id long, embedding array<double>, rank int, score double")
     got = ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0)
     by: dict = {}
@@ -344,7 +370,9 @@ def test_chat(spark):
         found.setdefault(r["conv_id"], []).append(r["rendered"])
     assert found == {i: [chat.render(r, t) for r, t in x] for i, x in said.items()}
     text = "System: be brief\nUser: hi\nhow are you?\nAssistant: fine\n### Human: and now\n**Bot:** bye\n<|im_start|>user\nlast<|im_end|>"
-    rows = chat.parse_transcripts(spark.createDataFrame([(1, text), (2, None), (3, "")], "conv_id long, text string"), models).orderBy("conv_id", "turn").collect()
+    rows = chat.parse_transcripts(
+        spark.createDataFrame([(1, text), (2, None), (3, "")], "conv_id long, text string"), models
+    ).orderBy("conv_id", "turn").collect()
     assert [r["role"] for r in rows if r["conv_id"] == 1] == ["system", "user", "assistant", "user", "assistant", "user"]
     assert rows[1]["rendered"] == "<|user|>\nhi\nhow are you?\n<|end|>" and rows[5]["rendered"] == "<|user|>\nlast\n<|end|>"
     assert [(r["conv_id"], r["turn"]) for r in rows[6:]] == [(2, 0), (3, 0)] and rows[6]["rendered"].endswith("|>\n\n<|end|>")
@@ -359,7 +387,9 @@ def test_chat_viterbi():
     model = chat.Model.fit([[(1, chat.features("abc?\nx", True)), (2, chat.features("a" * 300, False))] * 4])
     f = np.array([line for i, t in enumerate(["hi?", "User: a\nBot: b"]) for line in chat.features(t, i == 0)])
     scores = model.scores(f)
-    value = lambda p: model.start[p[0]] + sum(model.step[a, b] for a, b in zip(p, p[1:], strict=False)) + sum(scores[i, s] for i, s in enumerate(p))
+    value = lambda p: model.start[p[0]] + sum(
+        model.step[a, b] for a, b in zip(p, p[1:], strict=False)
+    ) + sum(scores[i, s] for i, s in enumerate(p))
     want = max(itertools.product(range(chat.STATES), repeat=len(f)), key=value)
     assert np.isclose(value(chat.viterbi(model, scores, True)), value(want))
     assert np.isclose(chat.product(model, scores, True)[0].max(), value(want))
@@ -368,7 +398,9 @@ def test_chat_viterbi():
 def test_chat_borders(spark, monkeypatch):
     """A conversation that many tasks share is decoded as if one task had it."""
     rng = np.random.default_rng(8)
-    rows = [(1, i, "".join(rng.choice(list("ab ?\n"), rng.integers(1, 400)))) for i in range(200)] + [(2, None, None), (2, 0, "q"), (2, 0, "q"), (None, 1, "n")]
+    rows = [
+        (1, i, "".join(rng.choice(list("ab ?\n"), rng.integers(1, 400)))) for i in range(200)
+    ] + [(2, None, None), (2, 0, "q"), (2, 0, "q"), (None, 1, "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(4)
     model = chat.Model.fit([[(1, chat.features("abc?", True)), (2, chat.features("a" * 300, False))] * 4])
     monkeypatch.setattr(chat, "ROWS_A_TASK", 13)
@@ -385,7 +417,10 @@ PAGE = """<html><body class="has-sidebar"><div class="menu"><a href=x>Home</a> <
 
 def test_html(spark):
     body = "<div id=content><h2>Head</h2><p>First paragraph, with commas &amp; more, long enough to be one.<p>Second&nbsp;one <em>ends</em>\n here.<ul><li>item</ul></div>"
-    pages = {0: PAGE.format(body), 1: None, 2: "", 3: "just text", 4: "<p>a<p>b", 5: "<div>" * 2000 + "deep" + "</div>" * 2000, 6: PAGE.format("<article><h1>T</h1><p>Short.</p><br>tail</article>"), 7: "<p>" + "long, " * 20000 + "</p>", 8: "<nav>only</nav>"}
+    pages = {
+        0: PAGE.format(body), 1: None, 2: "", 3: "just text", 4: "<p>a<p>b", 5: "<div>" * 2000 + "deep" + "</div>" * 2000,
+        6: PAGE.format("<article><h1>T</h1><p>Short.</p><br>tail</article>"), 7: "<p>" + "long, " * 20000 + "</p>", 8: "<nav>only</nav>"
+    }
     df = spark.createDataFrame([(i, f"u{i}", h, "x") for i, h in pages.items()], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r for r in html_extract.extract(df).collect()}
     assert got[0]["text"] == "Head First paragraph, with commas & more, long enough to be one. Second one ends here. item"
@@ -417,19 +452,25 @@ def test_html_class_words_only_lower():
     text = "The first paragraph of the story has commas, and it is long enough to count as one of them."
     more = "The second paragraph goes on, with more commas, so that the container gets its points."
     for links in ('<a href="/hidden-gems">gems</a>', '<a title="Hidden figures" data-hidden>gems</a>', "<em class=popular>gems</em>"):
-        assert html_extract.main_text(f"<article><p title='not hidden'>{text}</p><p data-id=hidden>{more} {links}</p></article>") == f"{text} {more} gems"
+        assert html_extract.main_text(
+            f"<article><p title='not hidden'>{text}</p><p data-id=hidden>{more} {links}</p></article>"
+        ) == f"{text} {more} gems"
     ad = "<div class=ad><p>Buy now.</p></div>"
     for name in ("content has-sidebar", "site no-comments", "layout with-header", "sidebar-layout", "newsletter"):
         page = f"<body><div class='{name}'><article><h1>T</h1><p>{text}</p>{ad}<p>{more}</p></article></div><div class=footer>About us</div></body>"
         assert html_extract.main_text(page) == f"T {text} {more}"
         assert html_extract.main_text(page.replace("article", "div")) == f"T {text} {more}"
-    assert html_extract.main_text(f"<article><p>{text}</p><div hidden>x</div><div style='display: none'>y</div><div class=share>Share</div></article>") == text
+    assert html_extract.main_text(
+        f"<article><p>{text}</p><div hidden>x</div><div style='display: none'>y</div><div class=share>Share</div></article>"
+    ) == text
 
 
 def test_html_siblings_of_an_article():
     text = "The first paragraph of the story has commas, and it is long enough to count as one of them."
     parts = [" ".join([text] * n) for n in (6, 3)]
-    page = "<body><main>" + "".join(f"<article>{f'<p>{p}</p>' * n}</article>" for p, n in zip(parts, (4, 2), strict=True)) + "<article><a href=x>Read next</a></article></main></body>"
+    page = "<body><main>" + "".join(
+        f"<article>{f'<p>{p}</p>' * n}</article>" for p, n in zip(parts, (4, 2), strict=True)
+    ) + "<article><a href=x>Read next</a></article></main></body>"
     assert html_extract.main_text(page) == " ".join([parts[0]] * 4 + [parts[1]] * 2)
 
 
@@ -441,7 +482,9 @@ def test_toxicity(spark):
     right = [r for r in got if r["predicted"] == r["toxic"]]
     assert len(right) >= 0.95 * len(got) and not any(r["predicted"] and not r["toxic"] for r in got)
     texts = [None, "", "you stupid idiot, you worthless scum", "a calm sentence", "calm " * 50_000 + "idiot"]
-    odd = spark.createDataFrame([(i, t, 0.5, 1) for i, t in enumerate(texts)] + [(None, "x", 0.0, 0)], "doc_id long, text string, score double, toxic int")
+    odd = spark.createDataFrame(
+        [(i, t, 0.5, 1) for i, t in enumerate(texts)] + [(None, "x", 0.0, 0)], "doc_id long, text string, score double, toxic int"
+    )
     rows = {r["doc_id"]: r for r in toxicity.score_documents(odd, model).collect()}
     assert rows[0]["score"] == rows[1]["score"] and rows[None]["held_out"] is None and all(0 <= r["score"] <= 1 for r in rows.values())
     assert rows[2]["predicted"] == 1 and rows[3]["predicted"] == 0

@@ -38,7 +38,9 @@ def test_stages(spark):
     gone = brute.passages([(i, text[i]) for i in kept])
     got = {r["doc_id"]: r["text"] for r in four.collect()}
     assert four.columns == docs.columns
-    assert got == {i: text[i] if not gone[i].any() else np.frombuffer(text[i].encode(), np.uint8)[~gone[i]].tobytes().decode("utf-8", "ignore") for i in kept}
+    assert got == {
+        i: text[i] if not gone[i].any() else np.frombuffer(text[i].encode(), np.uint8)[~gone[i]].tobytes().decode("utf-8", "ignore") for i in kept
+    }
 
     five = by["packing"](spark, four, SF).collect()
     assert {r["doc_id"] for r in five} == set(kept)
@@ -54,4 +56,6 @@ def test_line_dedup_sql(spark):
 
 
 def test_names():
-    assert os.path.exists(corpus_pipeline.__file__) and sorted(n.split("_")[0] for n in q.queries()) == sorted([*(f"op{k}" for k in range(1, 11)), "pipeline"])
+    assert os.path.exists(corpus_pipeline.__file__) and sorted(n.split("_")[0] for n in q.queries()) == sorted(
+        [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+    )
