@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloft.functions.text import tokens
+from sparkloft.functions.text import token_estimate, tokens
 
 # Function words by language. They are dropped before indexing, and tell a language.
 STOPWORDS = {
@@ -156,3 +156,26 @@ def language_of(text: Column, allowed: Iterable[str] = tuple(STOPWORDS), default
 
 def _among(words: set[str]):
     return lambda w: w.isin(*sorted(words))
+
+
+def token_count(text: Column, vocabulary: str | None = None) -> Column:
+    """Tokens of a text by a tokenizer file, run in Arrow batches; without one, a quarter of its characters, rounded up."""
+    if vocabulary is None:
+        return F.coalesce(token_estimate(text), F.lit(0)).cast("long")
+
+    @F.pandas_udf(T.LongType())
+    def count(texts: pd.Series) -> pd.Series:
+        found = _tokenizer(vocabulary).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
+        return pd.Series([len(e.ids) for e in found])
+
+    return count(text)
+
+
+@functools.cache
+def _tokenizer(vocabulary: str):
+    import tokenizers
+
+    out = tokenizers.Tokenizer.from_file(vocabulary)
+    out.no_truncation()
+    out.no_padding()
+    return out

@@ -36,6 +36,46 @@ def relation_ends(relation: Column) -> tuple[Column, Column]:
     return end(0), end(1)
 
 
+ROUTE_METHODS = {"get", "post", "put", "patch", "delete", "head", "options", "route", "websocket"}
+
+
+def _endpoint(decorator: ast.expr) -> str | None:
+    """METHOD /path of a web route's decorator, as @app.get("/path"); None for other decorators."""
+    if not isinstance(decorator, ast.Call) or not isinstance(decorator.func, ast.Attribute) or decorator.func.attr not in ROUTE_METHODS:
+        return None
+    first = decorator.args[0] if decorator.args else None
+    if not isinstance(first, ast.Constant) or not isinstance(first.value, str) or not first.value.startswith("/"):
+        return None
+    return f"{decorator.func.attr.upper()} {first.value}"
+
+
+def folder_triples(files: DataFrame) -> DataFrame:
+    """(source_file, subject, subject_type, predicate, object, object_type): each file in its folder, each folder in the one above."""
+    parts = F.split("source", "/")
+    at = F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("n")
+    rows = files.where(F.col("source").contains("/")).select("source", parts.alias("p"), at)
+    name = lambda n: F.array_join(F.slice("p", 1, n), "/")
+    inner = F.when(F.col("n") == F.size("p") - 1, F.col("source")).otherwise(name(F.col("n") + 1))
+    kind = F.when(F.col("n") == F.size("p") - 1, "File").otherwise("Folder")
+    out = rows.select(inner.alias("subject"), kind.alias("subject_type"), F.lit("in_folder").alias("predicate"), name(F.col("n")).alias("object"))
+    out = out.distinct().select(F.when(F.col("subject_type") == "File", F.col("subject")).alias("source_file"), "*", F.lit("Folder").alias("object_type"))
+    return out.where("object <> ''")
+
+
+def reference_triples(references: DataFrame) -> DataFrame:
+    """Triples of cross references that a language server has resolved elsewhere.
+
+    references: (source_file, caller, target_file, target, kind): kind call or reference; rows without a resolved end are dropped.
+    """
+    rows = references.where("target is not null and target_file is not null and source_file is not null")
+    subject = F.when(F.col("caller").isNull(), F.col("source_file")).otherwise(F.concat("source_file", F.lit(":"), "caller"))
+    made = (
+        "source_file", subject.alias("subject"), F.when(F.col("caller").isNull(), "File").otherwise("Function").alias("subject_type"),
+        F.when(F.col("kind") == "call", "calls").otherwise("references").alias("predicate"), F.concat("target_file", F.lit(":"), "target").alias("object"), F.lit("Function").alias("object_type"),
+    )
+    return rows.select(*made).where("subject <> object").distinct()
+
+
 def python_triples(path: str, text: str) -> list[tuple]:
     """contains, defined_in, calls, decorated_by, extends and imports edges of one file; a file that does not parse gives none."""
     try:
@@ -57,6 +97,7 @@ def python_triples(path: str, text: str) -> list[tuple]:
         for x in ast.iter_child_nodes(node):
             if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 is_class = isinstance(x, ast.ClassDef)
+                routes = [r for r in map(_endpoint, x.decorator_list) if r]
                 me = f"{path}:{owner + '.' if owner else ''}{x.name}"
                 kind = "Class" if is_class else "Method" if cls else "Function"
                 out.append((path, me, kind, "defined_in", path, "File"))
@@ -65,6 +106,7 @@ def python_triples(path: str, text: str) -> list[tuple]:
                 out.extend((path, me, kind, "decorated_by", d, "Function") for d in map(name_of, x.decorator_list) if d)
                 if is_class:
                     out.extend((path, me, kind, "extends", b, "Class") for b in map(name_of, x.bases) if b)
+                out.extend((path, r, "Endpoint", "handled_by", me, kind) for r in routes)
                 inner = f"{owner + '.' if owner else ''}{x.name}"
                 visit(x, inner, kind, inner if is_class else cls)
                 continue
@@ -137,13 +179,18 @@ def to_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(source_file, object, target): dotted modules to files, the nearest ancestor folder first.
 
-    Candidate paths are few for each import and meet the files in an equi-join.
+    Leading dots name the file's own folder (one dot) or one above it (two), and so on; such a module is looked for there only. Candidate
+    paths are few for each import and meet the files in an equi-join.
     """
-    dotted = F.replace("object", F.lit("."), F.lit("/"))
-    folders = F.split(F.regexp_replace("source_file", r"/?[^/]*$", ""), "/")
-    up = imports.withColumn("k", F.explode(F.sequence(F.lit(0), F.size(folders))))
-    base = F.array_join(F.slice(folders, 1, F.size(folders) - F.col("k")), "/")
-    prefix = F.when(base == "", "").otherwise(F.concat(base, F.lit("/")))
-    up = up.withColumn("target", F.explode(F.array(F.concat(prefix, dotted, F.lit(".py")), F.concat(prefix, dotted, F.lit("/__init__.py")))))
+    dots = F.length(F.regexp_extract("object", r"^\.*", 0))
+    folders = F.filter(F.split(F.regexp_replace("source_file", r"/?[^/]*$", ""), "/"), lambda x: x != "")
+    last = F.size(folders)
+    rows = imports.withColumns({"dots": dots, "dotted": F.replace(F.ltrim(F.col("object"), F.lit(".")), F.lit("."), F.lit("/")), "folders": folders})
+    steps = F.when(F.col("dots") > 0, F.array(F.col("dots") - 1)).otherwise(F.sequence(F.lit(0), last))
+    up = rows.withColumn("k", F.explode(steps)).where(F.col("k") <= F.size("folders"))
+    base = F.array_join(F.slice("folders", 1, F.size("folders") - F.col("k")), "/")
+    stem = F.concat_ws("/", F.nullif(base, F.lit("")), F.nullif("dotted", F.lit("")))
+    candidates = F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")))
+    up = up.withColumn("target", F.explode(candidates))
     hit = up.join(files.select(F.col("source").alias("target")).distinct(), "target")
     return hit.groupBy("source_file", "object").agg(F.min_by("target", F.struct("k", "target")).alias("target"))

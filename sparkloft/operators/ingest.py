@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from sparkloft.functions.text import rendered_turn, token_estimate
@@ -169,3 +173,53 @@ def parse_triplets(rows: DataFrame) -> DataFrame:
         F.when(five, F.get(F.col("p"), F.lit(3))).otherwise(F.col("p")[2]).alias("object")
     )
     return out.where("subject <> '' and predicate <> '' and object <> ''")
+
+
+def extraction_prompt(text: str, most: int) -> str:
+    """What a language model is asked for a text's triplets; parse_triplets reads the answer."""
+    return (
+        f"List at most {most} facts of the text below, one a line, as\nsubject | subject type | relation | object | object type\n"
+        f"Use short names. Write nothing else.\n\n{text}"
+    )
+
+
+def extract_triplets(chunks: DataFrame, provider: Callable[[list[str]], list[str]], most: int = 10, chars: int = 4000) -> DataFrame:
+    """(id, pos, subject, predicate, object) that a provider (prompts to answers, called with batches) finds in chunks (chunk_id, text).
+
+    Only the first ``chars`` characters are shown to it, as its context is bounded; ``most`` triplets of a chunk are kept.
+    """
+
+    def ask(batches):
+        for pdf in batches:
+            answers = provider([extraction_prompt((t or "")[:chars], most) for t in pdf["text"]]) if len(pdf) else []
+            yield pd.DataFrame({"id": pdf["chunk_id"], "response": list(answers)})
+
+    said = chunks.where("trim(text) <> ''").select("chunk_id", "text").mapInPandas(ask, "id string, response string")
+    w = W.Window.partitionBy("id").orderBy("pos")
+    return parse_triplets(said).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+
+
+def summarised(texts: DataFrame, provider: Callable[[list[str]], list[str]], out: str = "summary") -> DataFrame:
+    """Texts with what a summarisation provider, called with batches, makes of them; null texts have none."""
+    schema = T.StructType([*texts.schema.fields, T.StructField(out, T.StringType())])
+
+    def ask(batches):
+        for pdf in batches:
+            pdf[out] = None
+            known = pdf["text"].notna()
+            if known.any():
+                pdf.loc[known, out] = list(provider(pdf.loc[known, "text"].tolist()))
+            yield pdf
+
+    return texts.mapInPandas(ask, schema)
+
+
+def unseen_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
+    """Chunks of sessions whose content-based id the store lacks, each once: what was indexed before is not indexed again."""
+    return chunks.dropDuplicates(["chunk_id"]).join(store.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def due_folders(changes: DataFrame, queued: DataFrame, now: float, cooldown: float = 10.0) -> DataFrame:
+    """(folder, files): folders with changed files (path, folder) that were not queued within the cooldown. queued: (folder, at)."""
+    recent = queued.groupBy("folder").agg(F.max("at").alias("at")).where(F.lit(now) - F.col("at") < cooldown)
+    return changes.join(recent, "folder", "left_anti").groupBy("folder").agg(F.countDistinct("path").alias("files"))

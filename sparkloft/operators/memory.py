@@ -33,21 +33,23 @@ def superseded(memories: DataFrame, embedding: list[float], section: str | None
     return near.orderBy(F.desc("score"), "id").limit(1).where(F.col("score") >= least)
 
 
-def add(memories: DataFrame, new: DataFrame, embedding: list[float], cap: int | None = None) -> DataFrame:
+def add(memories: DataFrame, new: DataFrame, embedding: list[float], cap: int | None = None, supersedes: str | None = None) -> DataFrame:
     """The table after one more memory (a row of its columns).
 
-    A text that an active memory equals or holds adds nothing. One that supersedes another makes that one inactive. With ``cap``, old
-    auto-promoted memories make room for it first.
+    A text that an active memory equals or holds adds nothing. A memory that the new one supersedes goes: the nearest one from
+    SUPERSEDES on, and the one whose id or text is ``supersedes``. With ``cap``, old auto-promoted memories make room first.
     """
     row = new.select("text", "section").first()
     if not duplicates(memories, row["text"]).isEmpty():
         return memories
-    gone = superseded(memories, embedding, row["section"]).select(F.col("id").alias("__gone"))
-    kept = memories.join(F.broadcast(gone), memories["id"] == F.col("__gone"), "left")  # one row at most
-    kept = kept.withColumn("active", F.col("active") & F.col("__gone").isNull()).drop("__gone")
+    gone = superseded(memories, embedding, row["section"]).select("id")
+    if supersedes is not None:
+        told = " ".join(supersedes.lower().split())
+        gone = gone.union(memories.where((F.col("id") == supersedes) | (normal("text") == told)).select("id"))
+    kept = memories.join(gone.distinct(), "id", "left_anti")
     if cap is not None:
-        kept = kept.join(evict(kept, cap - len(row["text"])), "id", "left_anti").select(*memories.columns)
-    return kept.unionByName(new, allowMissingColumns=True)
+        kept = kept.join(evict(kept, cap - len(row["text"])), "id", "left_anti")
+    return kept.select(*memories.columns).unionByName(new, allowMissingColumns=True)
 
 
 def evict(memories: DataFrame, cap: int) -> DataFrame:

@@ -122,6 +122,31 @@ def request_filter(source_types=(), languages=(), globs=(), domains=(), metadata
     return c
 
 
+def contains_metadata(column: str, wanted: dict[str, str]) -> Column:
+    """Whether a map column holds all the wanted pairs; a null map holds none."""
+    c = F.lit(True)
+    for k, v in wanted.items():
+        c &= F.coalesce(F.try_element_at(F.col(column), F.lit(k)) == str(v), F.lit(False))
+    return c
+
+
+def weighted_terms(chunks: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(chunk_id, term, weight): the written form of a search over weighted fields: each term's sum of weight * tf / (tf + 1) over fields."""
+    fields = [F.struct(F.lit(float(w)).alias("weight"), tokens(F.col(f)).alias("words")) for f, w in weights.items()]
+    rows = chunks.select("chunk_id", F.posexplode(F.array(*fields)).alias("field", "x"))
+    counts = rows.select("chunk_id", "field", "x.weight", F.explode("x.words").alias("term")).groupBy("chunk_id", "term", "field").agg(
+        F.count("*").alias("tf"), F.first("weight").alias("weight")
+    )
+    return counts.groupBy("chunk_id", "term").agg(F.sum(F.col("weight") * F.col("tf") / (F.col("tf") + 1.0)).alias("weight"))
+
+
+def weighted_search(index: DataFrame, terms: Iterable[str], k: int) -> DataFrame:
+    """(chunk_id, score): chunks that have all the terms, by the sum of their weights over the largest."""
+    terms = list(dict.fromkeys(terms))
+    hits = index.where(F.col("term").isin(*terms)).groupBy("chunk_id").agg(F.count("*").alias("n"), F.sum("weight").alias("score"))
+    return normalised(top(hits.where(F.col("n") == len(terms)).drop("n"), k))
+
+
 def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, alpha: float = 0.5) -> DataFrame:
     """(chunk_id, vector_score, bm25_score, score): alpha * v / max v + (1 - alpha) * b / max b, a missing side is 0."""
     v = normalised(vector_hits.select("chunk_id", "score")).withColumnRenamed("score", "vector_score")

@@ -575,3 +575,92 @@ def _plans(t, spark, sf):
 @query("question_entities", "SELECT * FROM (VALUES (0, 'HttpClient'), (1, 'my_func'), (2, 'MAX_SIZE'), (3, 'calls')) AS v(pos, entity)")
 def _question_entities(t, spark, sf):
     return spark.createDataFrame(list(enumerate(graph.query_entities("what calls HttpClient and my_func with MAX_SIZE?"))), "pos int, entity string")
+
+
+@query(
+    "code_endpoints",
+    "SELECT concat('GET /part/', CAST(p_partkey AS STRING)) AS subject, 'handled_by' AS predicate, concat('r', CAST(p_partkey AS STRING), '.py:show') AS object FROM part",
+)
+def _endpoints(t, spark, sf):
+    key = F.col("p_partkey").cast("string")
+    code = F.concat(F.lit('@app.get("/part/'), key, F.lit('")\n@app.event("/no")\ndef show():\n    pass\n'))
+    rows = t("part").select(F.concat(F.lit("r"), key, F.lit(".py")).alias("source"), code.alias("text"), F.lit("python").alias("language"))
+    return code_graph.triples(rows).where("predicate = 'handled_by'").select("subject", "predicate", "object")
+
+
+@query(
+    "code_folders",
+    "SELECT DISTINCT concat('src/m', CAST(p_size % 5 AS STRING), '/f', CAST(p_partkey AS STRING), '.py') AS subject, concat('src/m', CAST(p_size % 5 AS STRING)) AS object FROM part "
+    "UNION SELECT concat('src/m', CAST(p_size % 5 AS STRING)), 'src' FROM part",
+)
+def _in_folders(t, spark, sf):
+    name = F.concat(F.lit("src/m"), (F.col("p_size") % 5).cast("string"), F.lit("/f"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    return code_graph.folder_triples(t("part").select(name.alias("source"))).select("subject", "object")
+
+
+@query(
+    "code_references",
+    "SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN concat('f', CAST(l_suppkey AS STRING)) ELSE concat('f', CAST(l_suppkey AS STRING), ':g', CAST(l_linenumber AS STRING)) END AS subject, "
+    "CASE WHEN l_linenumber % 2 = 0 THEN 'calls' ELSE 'references' END AS predicate, concat('f', CAST(l_partkey AS STRING), ':h') AS object FROM lineitem WHERE l_partkey % 3 <> 0",
+)
+def _cross_references(t, spark, sf):
+    line = F.col("l_linenumber")
+    rows = t("lineitem").select(
+        F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("source_file"), F.when(line != 1, F.concat(F.lit("g"), line.cast("string"))).alias("caller"),
+        F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("target_file"), F.when(F.col("l_partkey") % 3 != 0, "h").alias("target"),
+        F.when(line % 2 == 0, "call").otherwise("use").alias("kind"),
+    )
+    return code_graph.reference_triples(rows).select("subject", "predicate", "object")
+
+
+@query("triplets_by_provider", "SELECT chunk_id AS id, substr(split_part(trim(text), ' ', 1), 1, 20) AS subject, 'starts' AS predicate, 'chunk' AS object FROM chunks WHERE trim(text) <> '' AND length(trim(split_part(trim(text), ' ', 1))) > 0 AND NOT contains(split_part(trim(text), ' ', 1), '|') AND NOT contains(split_part(trim(text), ' ', 1), chr(10))", "chunks")
+def _by_provider(t, spark, sf):
+    def provider(prompts):
+        return [f"{p.split(chr(10) * 2, 1)[1].strip(' ').split(' ')[0][:20]} | Word | starts | chunk | Thing\nnot a fact" for p in prompts]
+
+    plain = t("chunks").where(~F.split_part(F.trim("text"), F.lit(" "), F.lit(1)).rlike(r"[|\n]"))
+    return ingest.extract_triplets(plain, provider).select("id", "subject", "predicate", "object")
+
+
+@query("session_unseen_chunks", "SELECT DISTINCT chunk_id FROM chunks WHERE doc_id % 4 <> 0", "chunks")
+def _unseen(t, spark, sf):
+    rows = t("chunks").select("chunk_id", "doc_id")
+    return ingest.unseen_chunks(rows.union(rows), rows.where("doc_id % 4 = 0")).select("chunk_id")
+
+
+@query("folders_due", "SELECT folder, count(DISTINCT path) AS files FROM disk WHERE folder NOT IN ('src1', 'src2') GROUP BY 1", "disk")
+def _due(t, spark, sf):
+    queued = spark.createDataFrame([("src1", 95.0), ("src2", 50.0), ("src2", 99.0), ("src3", 80.0)], "folder string, at double")
+    return ingest.due_folders(t("disk").union(t("disk")), queued, 100.0)
+
+
+@query("retrieve_metadata", "SELECT chunk_id FROM chunks WHERE language = 'fr' AND domain = 'd1'", "chunks")
+def _contains(t, spark, sf):
+    held = F.when(F.col("doc_id") >= 0, F.create_map(F.lit("lang"), "language", F.lit("domain"), "domain"))
+    return t("chunks").withColumn("metadata", held).where(retrieval.contains_metadata("metadata", {"lang": "fr", "domain": "d1"})).select("chunk_id")
+
+
+_TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')".format
+
+
+@query(
+    "retrieve_weighted_index",
+    f", w AS (SELECT chunk_id, {_TOKENS('folder')} AS a, {_TOKENS('text')} AS b FROM chunks), n AS (SELECT chunk_id, " + ", ".join(f"len(list_filter({f}, lambda x: x = '{v}')) AS {f}{i}" for f in "ab" for i, v in enumerate(("the", "of"))) + " FROM w), "
+    "s AS (SELECT chunk_id, 1.0 * a0 / (a0 + 1.0) + 0.2 * b0 / (b0 + 1.0) + 1.0 * a1 / (a1 + 1.0) + 0.2 * b1 / (b1 + 1.0) AS raw FROM n WHERE a0 + b0 > 0 AND a1 + b1 > 0 ORDER BY 2 DESC, 1 LIMIT 12) SELECT chunk_id, round(raw / (SELECT max(raw) FROM s), 6) AS score FROM s",
+    "chunks",
+)
+def _weighted_index(t, spark, sf):
+    return rounded(retrieval.weighted_search(retrieval.weighted_terms(t("chunks"), {"folder": 1.0, "text": 0.2}), ("the", "of"), 12), "score")
+
+
+@query("request_fetch_sizes", "SELECT k, CAST(least(100, k * 10) AS BIGINT) AS reranked, CAST(least(100, k * 5) AS BIGINT) AS filtered, k AS plain FROM (SELECT unnest([1, 5, 15, 30]) AS k) AS x")
+def _sizes(t, spark, sf):
+    from sparkloft.service import Request
+
+    rows = [(k, Request("x", top_k=k, rerank=True).stage_one(), Request("x", top_k=k, languages=("en",)).stage_one(), Request("x", top_k=k).stage_one()) for k in (1, 5, 15, 30)]
+    return spark.createDataFrame(rows, "k int, reranked long, filtered long, plain int")
+
+
+@query("text_token_counts", "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+def _token_counts(t, spark, sf):
+    return t("documents").select("doc_id", language.token_count(F.col("text")).alias("tokens"))

@@ -223,6 +223,10 @@ def test_chunks_and_code(spark):
     imports = spark.createDataFrame([("p/q/m.py", "u.v")], "source_file string, object string")
     known = spark.createDataFrame([("p/u/v.py",), ("u/v/__init__.py",)], "source string")
     assert code_graph.resolve_imports(imports, known).first()["target"] == "p/u/v.py"
+    near = spark.createDataFrame([("p/q/m.py", ".v"), ("p/q/m.py", "..u.v"), ("p/q/m.py", "....v"), ("m.py", "u.v")], "source_file string, object string")
+    known = spark.createDataFrame([("p/q/v.py",), ("p/u/v.py",), ("v.py",), ("u/v.py",)], "source string")
+    got = {(r["source_file"], r["object"]): r["target"] for r in code_graph.resolve_imports(near, known).collect()}
+    assert got == {("p/q/m.py", ".v"): "p/q/v.py", ("p/q/m.py", "..u.v"): "p/u/v.py", ("m.py", "u.v"): "u/v.py"}
     assert spark.range(1).select(
         code_graph.normalize_type(F.lit("readme")), code_graph.relation_ends(F.lit("touches"))[0]
     ).first()[:] == ("README", "File")

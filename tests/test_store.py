@@ -76,7 +76,9 @@ def test_memory_add(spark):
     new = lambda i, text, v: spark.createDataFrame([(i, text, "Style", "user", 0.9, "2024-02-01", None, True, "normal", v)], MEMORY)
     assert memory.add(table, new("m3", "  use   TABS ", [0.5, 0.5]), [0.5, 0.5]).count() == 2
     out = {r["id"]: r["active"] for r in memory.add(table, new("m4", "Use spaces", [0.99, 0.05]), [0.99, 0.05]).collect()}
-    assert out == {"m1": False, "m2": True, "m4": True}
+    assert out == {"m2": True, "m4": True}
+    told = memory.add(table, new("m6", "Tabs are eight wide", [0.1, -1.0]), [0.1, -1.0], supersedes="use TABS")
+    assert {r["id"] for r in told.collect()} == {"m2", "m6"}
     full = memory.add(table, new("m5", "Name files in lower case", [-1.0, 0.0]), [-1.0, 0.0], cap=40)
     assert {r["id"] for r in full.collect()} == {"m1", "m5"}
 
