@@ -47,8 +47,40 @@ def test_stages(spark):
     assert sum(r["length"] for r in five) == sum({r["doc_id"]: r["doc_tokens"] for r in five}.values())
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and ids, extra columns, and no rows at all."""
+    line = "a line of a page that many pages have"
+    rows = [(i, f"{line}\nown words {i} " + " ".join(f"w{i}x{k}" for k in range(40)), "en", "s0") for i in range(30)]
+    rows += [(100, None, None, None), (101, "", "en", "s0"), (None, "no id", "en", "s1"), (102, "x " * 50_000, "en", "s1")]
+    rows += [(103, "the same text twice, the same text twice", "en", "s1")] * 2 + [(104, rows[0][1], "en", "s2")]
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 1.0, "z") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, component_id string")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        kept[name] = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns
+    ids = sorted(str(r[0]) for r in rows)
+    same = lambda name: sorted(str(r["doc_id"]) for r in kept[name])
+    assert same("toxicity") == same("line_dedup") == same("suffix_array_dedup") == ids
+    assert all(line not in (r["text"] or "") for r in kept["line_dedup"] if r["source"] == "s0")
+    gone = sorted(set(ids) - set(same("simhash_near_dedup")))
+    assert gone == ["101", "104"] and same("simhash_near_dedup").count("103") == 2  # empty texts link, as do copies; repeated ids stay
+    assert next(r["text"] for r in kept["suffix_array_dedup"] if r["doc_id"] == 104) == "" and sum(r["length"] for r in kept["packing"]) > 50_000
+
+
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    """The stages one after the other give what run() gives, piece by piece."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    pieces = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in df.collect())
+    run = corpus_pipeline.run(spark, SF)
+    tokens = lambda found: {i: n for i, _, _, _, n in found}
+    a, b = pieces(docs), pieces(run)
+    assert tokens(a) == tokens(b) and sum(x[2] for x in a) == sum(x[2] for x in b) == sum(tokens(a).values())
+    assert {r["sequence_id"] for r in run.collect()} == set(range(-(-sum(tokens(b).values()) // 1024)))
 
 
 def test_line_dedup_sql(spark):
