@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloft.functions.text import tokens
-from sparkloft.operators.retrieval import B, K1, normalised, top
+from sparkloft.operators.retrieval import B, K1, idf, normalised, top
 
 BUCKETS = 64
 
@@ -56,47 +56,65 @@ class KeywordIndex:
         last = max(self._segments(), default=0)
         ids.select("chunk_id", F.lit(last).alias("upto")).write.mode("append").parquet(f"{self.path}/removed")
 
+    def _plain(self) -> bool:
+        """Whether there is one segment and nothing was removed: then every row is live."""
+        return len(self._segments()) == 1 and not self._there("removed")
+
     def live(self) -> DataFrame:
         """(chunk_id, segment, dl): the newest version of every chunk that was not removed since."""
         schema = "chunk_id string, dl int, segment int"
-        if not self._segments():
+        segments = self._segments()
+        if not segments:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/lengths")
-        newest = rows.where(F.col("segment").isin(self._segments())).groupBy("chunk_id").agg(
-            F.max_by("dl", "segment").alias("dl"), F.max("segment").alias("segment")
-        )
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/lengths").where(F.col("segment").isin(segments))
+        if self._plain():
+            return rows.select("chunk_id", "segment", "dl")
+        newest = rows.groupBy("chunk_id").agg(F.max_by("dl", "segment").alias("dl"), F.max("segment").alias("segment"))
         if self._there("removed"):
             gone = self.spark.read.parquet(f"{self.path}/removed").groupBy("chunk_id").agg(F.max("upto").alias("upto"))
             newest = newest.join(gone, "chunk_id", "left").where("upto is null or upto < segment").drop("upto")
-        return newest
+        return newest.select("chunk_id", "segment", "dl")
 
     def postings(self, terms: Iterable[str] | None = None) -> DataFrame:
         """(term, chunk_id, tf, dl) of the live chunks; of some terms only their buckets and row groups are read."""
         schema = "term string, chunk_id string, tf int, dl int, segment int, bucket int"
-        if not self._segments():
+        segments = self._segments()
+        if not segments:
             return self.spark.createDataFrame([], schema).drop("segment", "bucket")
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/postings")
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/postings").where(F.col("segment").isin(segments))
         if terms is not None:
             terms = list(dict.fromkeys(terms))
-            buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"))).distinct().collect()]
-            rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-        return rows.join(self.live().select("chunk_id", "segment"), ["chunk_id", "segment"]).select("term", "chunk_id", "tf", "dl")
+            rows = rows.where(F.col("bucket").isin(self._buckets(terms)) & F.col("term").isin(terms))
+        if not self._plain():
+            rows = rows.join(self.live().select("chunk_id", "segment"), ["chunk_id", "segment"])
+        return rows.select("term", "chunk_id", "tf", "dl")
+
+    def _buckets(self, terms: list[str]) -> list[int]:
+        row = self.spark.range(1).select(F.array(*[_bucket(F.lit(t)) for t in terms]).alias("b"))
+        return row.first()["b"] if terms else []
 
     def scores(self, terms: Iterable[str]) -> DataFrame:
         """(chunk_id, score): BM25 of the chunks that hold any of the terms."""
         terms = list(dict.fromkeys(terms))
+        none = self.spark.createDataFrame([], "chunk_id string, score double")
+        if not terms:
+            return none
         n, mean = self.live().agg(F.count("*"), F.avg("dl")).first()
-        if not terms or not n or not mean:
-            return self.spark.createDataFrame([], "chunk_id string, score double")
         hits = self.postings(terms)
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))
-        return hits.join(F.broadcast(df), "term").groupBy("chunk_id").agg(F.sum(part).alias("score"))  # a row of df for each query term
-
-    def search(self, terms: Iterable[str], k: int) -> DataFrame:
-        """Top k over the largest score."""
-        return normalised(top(self.scores(terms), k))
+        df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each query term
+        if not n or not mean or not df:
+            return none
+        weight = F.create_map(*[x for t, d in df.items() for x in (F.lit(t), F.lit(float(idf(n, d))))])[F.col("term")]
+        part = weight * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))
+        return hits.groupBy("chunk_id").agg(F.sum(part).alias("score"))
+
+    def search(self, terms: Iterable[str], k: int, chunks: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+        """(chunk_id, score): top k over the largest score. A filter on chunks (``where``) comes after the cut to 3 k and the division."""
+        if where is None:
+            return normalised(top(self.scores(terms), k))
+        hits = normalised(top(self.scores(terms), 3 * k))
+        kept = chunks.where(where).join(F.broadcast(hits), "chunk_id").select("chunk_id", "score")  # at most 3 k rows
+        return top(kept, k)
 
     def compact(self, path: str) -> KeywordIndex:
         """The live postings as one segment of a new index."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloft.operators import retrieval as r
 from sparkloft.plans.catalog import query, rounded
+from sparkloft.views import keyword_index
 
 AS_OF = "2025-06-01 00:00:00"
 TERMS = ("the", "and", "of")
@@ -64,7 +65,7 @@ def _ip(t, spark, sf):
 
 @query("bm25_topk", f", {_bm25(30)} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY score DESC, chunk_id LIMIT 10", "chunks")
 def _bm25_topk(t, spark, sf):
-    return rounded(r.keyword_search(t("chunks"), TERMS, 10).select("chunk_id", "score"), "score")
+    return rounded(keyword_index(spark, sf).search(TERMS, 10), "score")
 
 
 @query(
@@ -74,7 +75,13 @@ def _bm25_topk(t, spark, sf):
 )
 def _bm25_filtered(t, spark, sf):
     where = (F.col("source_type") == "doc") & F.col("source").rlike(r.glob_to_regex("docs/src1*.md"))
-    return rounded(r.keyword_search(t("chunks"), TERMS, 30, where).select("chunk_id", "score"), "score")
+    return rounded(keyword_index(spark, sf).search(TERMS, 30, t("chunks"), where), "score")
+
+
+@query("bm25_scan_topk", f", {_bm25(30)} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY score DESC, chunk_id LIMIT 10", "chunks")
+def _scan_topk(t, spark, sf):
+    """The same without an index: one pass over the texts."""
+    return rounded(r.keyword_search(t("chunks"), TERMS, 10), "score")
 
 
 @query(
@@ -86,8 +93,8 @@ def _index(t, spark, sf):
     return r.postings(t("chunks")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").alias("longest"))
 
 
-def _both(t):
-    return r.vector_search(t("vectors"), _query_vector(t), 30), r.keyword_search(t("chunks"), TERMS, 30)
+def _both(t, spark, sf):
+    return r.vector_search(t("vectors"), _query_vector(t), 30), keyword_index(spark, sf).search(TERMS, 30)
 
 
 _LISTS = f", {_bm25(90)}, v AS ({_vec(30)}), b AS (SELECT chunk_id, score FROM bm ORDER BY score DESC, chunk_id LIMIT 30)"
@@ -99,7 +106,7 @@ _LISTS = f", {_bm25(90)}, v AS ({_vec(30)}), b AS (SELECT chunk_id, score FROM b
     "chunks", "vectors"
 )
 def _hybrid(t, spark, sf):
-    return rounded(r.top(r.hybrid(*_both(t)), 15), "vector_score", "bm25_score", "score")
+    return rounded(r.top(r.hybrid(*_both(t, spark, sf)), 15), "vector_score", "bm25_score", "score")
 
 
 _RANKED = ", rv AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS k FROM v), rb AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS k FROM b)"
@@ -111,7 +118,7 @@ _RANKED = ", rv AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chu
     "chunks", "vectors"
 )
 def _rrf(t, spark, sf):
-    return rounded(r.rrf(*_both(t)), "score")
+    return rounded(r.rrf(*_both(t, spark, sf)), "score")
 
 
 @query(
@@ -120,7 +127,7 @@ def _rrf(t, spark, sf):
     "chunks", "vectors"
 )
 def _weighted(t, spark, sf):
-    return rounded(r.weighted_rrf([0.7, 0.3], *_both(t)), "score")
+    return rounded(r.weighted_rrf([0.7, 0.3], *_both(t, spark, sf)), "score")
 
 
 @query(

@@ -82,7 +82,7 @@ class Engine:
         return retrieval.vector_search(self.table("vectors"), self.embed(r.query), k, r.similarity_threshold)
 
     def _bm25(self, r: Request, k: int) -> DataFrame:
-        return retrieval.keyword_search(self.table("chunks"), self._terms(r.query), k)
+        return views.keyword_index(self.spark, self.sf_dir).search(self._terms(r.query), k)
 
     def _scored(self, r: Request, scores: DataFrame) -> DataFrame:
         """Chunk columns for a short list of (chunk_id, score), then filters, decay, weights, rerank and the cut."""

@@ -142,3 +142,22 @@ def with_views(sql: str, *names: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(
         f"{n} AS ({ORACLE_VIEWS[n]})" for n in names
     ) + ("," if sql.lstrip().startswith(",") else "") + "\n" + sql.lstrip().removeprefix(",")
+
+
+_INDEXES: dict[tuple, object] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str):
+    """The written keyword index of the chunks of a folder: built at the first call in a session, and again if the documents change."""
+    from sparkloft.operators.keyword_index import KeywordIndex
+    from sparkloft.storage import folder
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+    key = (spark.sparkContext.applicationId, sf_dir, state)
+    if key not in _INDEXES:
+        index = KeywordIndex(spark, folder(spark, "keyword-index"))
+        index.add(view(spark, sf_dir, "chunks"))
+        _INDEXES[key] = index
+    return _INDEXES[key]
