@@ -23,7 +23,7 @@ def fan_out(extractions: DataFrame) -> dict[str, DataFrame]:
         "triplets": extractions.select("session_id", F.explode("triplets").alias("t")).select(
             "session_id", "t.subject", "t.relation", "t.object"
         ).distinct(),
-        "superseded": decisions.where("supersedes is not null").select(F.col("supersedes").alias("old"), F.col("text").alias("new")),
+        "superseded": decisions.where("supersedes is not null").select("session_id", F.col("supersedes").alias("old"), F.col("text").alias("new")),
     }
 
 
