@@ -9,26 +9,29 @@ from sparkloft.operators import records, sessions
 from sparkloft.plans.catalog import query, rounded
 from sparkloft.plans.queries_graph import _DEG
 
-_ASKED = "asked AS (SELECT 0 AS pos, 'NATION_1' AS entity, 'nation_1' AS low UNION ALL SELECT 1, 'ASIA', 'asia')"
-_FOUND = """hit AS (SELECT a.pos, a.entity, a.low, n.name, row_number() OVER (PARTITION BY a.pos ORDER BY coalesce(deg.degree, 0) DESC, n.name, n.id) AS rk
-        FROM nodes n JOIN asked a ON contains(lower(n.name), a.low) LEFT JOIN deg ON deg.node = n.id WHERE n.sensitivity = 'normal'),
-    found AS (SELECT DISTINCT pos, entity, low, name FROM hit WHERE rk <= 25)"""
+_LOW = "CASE {}.pos WHEN 0 THEN 'nation_1' ELSE 'asia' END".format
 
 
 @query(
     "graph_chunks",
-    f""", {_DEG}, {_ASKED}, {_FOUND},
-    src AS (SELECT concat('nation:', CAST(n_nationkey AS STRING), '|in|region:', CAST(n_regionkey AS STRING)) AS id, c.chunk_id, CAST(1.0 - (c.doc_id % 10) / 20.0 AS DOUBLE) AS weight
+    f""", {_DEG}, asked AS (SELECT unnest([0, 1]) AS pos),
+    hit AS (SELECT a.pos, n.id, n.name, row_number() OVER (PARTITION BY a.pos ORDER BY coalesce(deg.degree, 0) DESC, n.name, n.id) AS rk
+        FROM nodes n JOIN asked a ON contains(lower(n.name), {_LOW('a')}) LEFT JOIN deg ON deg.node = n.id WHERE n.sensitivity = 'normal'),
+    names AS (SELECT pos, name FROM hit WHERE rk <= 25 GROUP BY 1, 2),
+    src AS (SELECT concat('nation:', CAST(n_nationkey AS STRING), '|in|region:', CAST(n_regionkey AS STRING)) AS id, c.chunk_id,
+            CAST(1.0 - (c.doc_id % 10) / 20.0 AS DOUBLE) AS weight
         FROM chunks c JOIN nation ON n_nationkey = c.doc_id % 25),
-    ew AS MATERIALIZED (SELECT e.*, s.chunk_id, coalesce(s.weight, 1.0) AS weight FROM edges e LEFT JOIN src s ON s.id = e.id WHERE e.valid_until IS NULL),
-    rws AS MATERIALIZED (SELECT DISTINCT f.pos, f.entity, a.name AS subject, e.label AS predicate, b.name AS object, e.chunk_id, e.weight
-        FROM ew e JOIN nodes a ON a.id = e.source_id JOIN nodes b ON b.id = e.target_id JOIN found f ON f.name = a.name OR f.name = b.name
-        WHERE a.sensitivity = 'normal' AND b.sensitivity = 'normal' AND (contains(lower(a.name), f.low) OR contains(lower(b.name), f.low))),
-    one AS (SELECT *, row_number() OVER (PARTITION BY pos, subject, predicate, object ORDER BY weight DESC, chunk_id) AS r1 FROM rws),
+    open_edges AS (SELECT e.id, e.source_id, e.target_id, e.label FROM edges e WHERE e.valid_until IS NULL),
+    ends AS (SELECT f.pos, e.id, a.name AS subject, b.name AS object, e.label AS predicate
+        FROM open_edges e JOIN nodes a ON a.id = e.source_id JOIN nodes b ON b.id = e.target_id JOIN names f ON f.name = a.name OR f.name = b.name
+        WHERE a.sensitivity = 'normal' AND b.sensitivity = 'normal' AND (contains(lower(a.name), {_LOW('f')}) OR contains(lower(b.name), {_LOW('f')}))),
+    weighed AS (SELECT n.pos, n.subject, n.predicate, n.object, s.chunk_id, coalesce(s.weight, 1.0) AS weight FROM ends n LEFT JOIN src s ON s.id = n.id),
+    one AS (SELECT *, row_number() OVER (PARTITION BY pos, subject, predicate, object ORDER BY weight DESC, chunk_id) AS r1 FROM weighed),
     per AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY weight DESC, subject, predicate, object, chunk_id) AS n FROM one WHERE r1 = 1),
     fst AS (SELECT *, row_number() OVER (PARTITION BY coalesce(chunk_id, concat_ws(' -> ', subject, predicate, object)) ORDER BY pos, n) AS f FROM per WHERE n <= 10),
     best AS (SELECT * FROM fst WHERE f = 1 ORDER BY weight DESC, pos, n LIMIT 10)
-    SELECT c.chunk_id, round(b.weight, 6) AS score, b.entity, b.subject, b.predicate, b.object FROM best b JOIN chunks c ON c.chunk_id = b.chunk_id""",
+    SELECT c.chunk_id, round(b.weight, 6) AS score, CASE b.pos WHEN 0 THEN 'NATION_1' ELSE 'ASIA' END AS entity, b.subject, b.predicate, b.object
+    FROM best b JOIN chunks c ON c.chunk_id = b.chunk_id""",
     "nodes",
     "edges",
     "chunks",
