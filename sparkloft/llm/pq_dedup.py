@@ -21,10 +21,12 @@ from sparkloft.llm.vectors import k_means, matrix, squared, usable
 COSINE = 0.98
 SAMPLE = 20_000  # vectors that the lists and codes are fitted on at most
 A_LIST = 16  # and so many of them at least for each list
+BOOK_SAMPLE = 5000  # of those the codes are fitted on
 SUBSPACES = 8
 CODES = 64
 BLOCK = 4096  # vectors of a list, or of those who look into it, that a unit of work holds
-COPY_COST, PAIR_COST = 10.0, 0.02  # microseconds that a copy of a vector and a looked-up pair take, about
+TABLE_SLACK = 1e-4  # for rounding of distances summed up in single precision
+COPY_COST, PAIR_COST = 10.0, 0.04  # microseconds that a copy of a vector and a looked-up pair take, about
 SLACK = 1e-6  # for rounding of distances between unit vectors
 BROADCAST_ROWS = 200_000  # list sizes (20 bytes each) that are broadcast at most
 
@@ -36,9 +38,10 @@ class Index:
     cuts: list[int]
 
     @classmethod
-    def fit(cls, unit: np.ndarray, lists: int) -> Index:
-        centres = k_means(unit, lists)
-        rest = unit - centres[squared(unit, centres).argmin(1)]
+    def fit(cls, unit: np.ndarray, centres: np.ndarray) -> Index:
+        """Codes for what is left of the sample's vectors beside the centre of their list."""
+        part = unit[:BOOK_SAMPLE]
+        rest = part - centres[squared(part, centres).argmin(1)]
         cuts = [round(i * unit.shape[1] / SUBSPACES) for i in range(SUBSPACES + 1)]
         cuts = sorted(set(cuts))
         books = [k_means(rest[:, a:b], CODES, 8) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -79,45 +82,51 @@ def fit_index(unit: np.ndarray, rows: float) -> Index:
 
     A vector is compared with half of its own list and with the lists that it looks into, and is copied to each of those.
     """
+    lists = fewest = min(4, max(1, len(unit) // A_LIST))
     best, least = None, math.inf
-    lists = 1
-    while lists == 1 or lists <= min(len(unit) // A_LIST, rows / 4):
-        index = Index.fit(unit, lists)
-        home, probes = index.lists(unit, math.sqrt(2 - 2 * COSINE))
-        share = np.bincount(home, minlength=len(index.centres)) / len(unit)
+    while lists == fewest or lists <= min(len(unit) // A_LIST, rows / 4):
+        centres = k_means(unit, lists)
+        home, probes = Index(centres, [], []).lists(unit[:BOOK_SAMPLE], math.sqrt(2 - 2 * COSINE))
+        share = np.bincount(home, minlength=len(centres)) / len(home)
         looked = np.mean([len(p) for p in probes])
         compared = share[home].mean() / 2 + np.mean([share[p].sum() for p in probes])
         cost = (1 + looked) * COPY_COST + compared * rows * PAIR_COST
         if cost >= least:  # more lists would only be dearer
             break
-        best, least, lists = index, cost, lists * 4
-    return best
+        best, least, lists = centres, cost, lists * 4
+    return Index.fit(unit, best)
 
 
 def _search(
-    index: Index, home: tuple, ask: tuple | None, links: np.ndarray, label: np.ndarray, at_home: np.ndarray, at_ask: np.ndarray, weight: np.ndarray,
-    radius: float
+    index: Index, home: tuple, ask: tuple | None, links: np.ndarray, label: np.ndarray, at_home: np.ndarray, at_ask: np.ndarray, weight: np.ndarray, radius: float
 ) -> None:
-    """Links between the vectors of a block (or of a block and those that look into it), added to ``links`` and ``label``."""
+    """Links between the vectors of a block (or of a block and those that look into it), added to ``links`` and ``label``.
+
+    Distances are summed up from the tables in single precision, for some columns at a time, so that they stay in a core's cache.
+    """
     vec, unit, codes, err, centre = home
     vec2, unit2 = (vec, unit) if ask is None else ask
     norm, norm2 = np.sqrt((vec * vec).sum(1)), np.sqrt((vec2 * vec2).sum(1))
+    codes, reach = codes.astype(np.intp), ((radius + err + TABLE_SLACK) ** 2).astype(np.float32)
     for k in range(0, len(unit2), 256):
-        table = index.tables(unit2[k : k + 256] - centre)
-        guess = np.zeros((table.shape[0], len(codes)))
-        for m in range(table.shape[1]):
-            guess += table[:, m][:, codes[:, m]]
-        i, j = np.nonzero(np.sqrt(guess) <= radius + err[None] + SLACK)  # by the triangle inequality nothing nearer is lost
-        if ask is None:
-            later = j > i + k
-            i, j = i[later], j[later]
-        for p in range(0, len(i), 1 << 16):
-            a, b = i[p : p + (1 << 16)] + k, j[p : p + (1 << 16)]
-            ok = (vec2[a] * vec[b]).sum(1) / (norm2[a] * norm[b]) >= COSINE
-            a, b = at_ask[a[ok]], at_home[b[ok]]
-            np.add.at(links, a, weight[b])
-            np.add.at(links, b, weight[a])
-            _merge(label, a, b)
+        table = index.tables(unit2[k : k + 256] - centre).astype(np.float32)
+        for c in range(0 if ask is not None else k, len(codes), 2048):
+            part = codes[c : c + 2048]
+            guess = np.take(table[:, 0], part[:, 0], axis=1)
+            for m in range(1, table.shape[1]):
+                guess += np.take(table[:, m], part[:, m], axis=1)
+            i, j = np.nonzero(guess <= reach[c : c + 2048])  # by the triangle inequality nothing nearer is lost
+            i, j = i + k, j + c
+            if ask is None:
+                later = j > i
+                i, j = i[later], j[later]
+            for p in range(0, len(i), 1 << 16):
+                a, b = i[p : p + (1 << 16)], j[p : p + (1 << 16)]
+                ok = (vec2[a] * vec[b]).sum(1) / (norm2[a] * norm[b]) >= COSINE
+                a, b = at_ask[a[ok]], at_home[b[ok]]
+                np.add.at(links, a, weight[b])
+                np.add.at(links, b, weight[a])
+                _merge(label, a, b)
 
 
 def embedding_links(vectors: DataFrame) -> DataFrame:
