@@ -76,6 +76,12 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloft.llm.merkle import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = [
         op1_line_dedup, op2_embedding_pq, op3_chat_format, op4_ann_multiprobe, op5_html_extract, op6_mixture_packing, op7_simhash_vptree,
-        op8_toxicity_crf, op9_suffix_array, op10_bpe_tree, pipeline
+        op8_toxicity_crf, op9_suffix_array, op10_bpe_tree, op12_merkle_trie, pipeline
     ]
     return {f.__name__: f for f in found}
 
