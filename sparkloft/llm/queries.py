@@ -76,6 +76,12 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloft.llm.threshold_search import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloft.llm.merkle import manifest
 
@@ -91,12 +97,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = [
         op1_line_dedup, op2_embedding_pq, op3_chat_format, op4_ann_multiprobe, op5_html_extract, op6_mixture_packing, op7_simhash_vptree,
-        op8_toxicity_crf, op9_suffix_array, op10_bpe_tree, op12_merkle_trie, pipeline
+        op8_toxicity_crf, op9_suffix_array, op10_bpe_tree, op11_threshold_search, op12_merkle_trie, pipeline
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from sparkloft.llm import line_dedup
+    from sparkloft.llm import line_dedup, threshold_search
 
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op11_threshold_search": threshold_search.ORACLE_SQL}
