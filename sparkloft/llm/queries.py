@@ -88,6 +88,12 @@ def op12_merkle_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloft.llm.pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +103,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = [
         op1_line_dedup, op2_embedding_pq, op3_chat_format, op4_ann_multiprobe, op5_html_extract, op6_mixture_packing, op7_simhash_vptree,
-        op8_toxicity_crf, op9_suffix_array, op10_bpe_tree, op11_threshold_search, op12_merkle_trie, pipeline
+        op8_toxicity_crf, op9_suffix_array, op10_bpe_tree, op11_threshold_search, op12_merkle_trie, op13_weak_pii,
+        pipeline
     ]
     return {f.__name__: f for f in found}
 
