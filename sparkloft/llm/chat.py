@@ -82,8 +82,8 @@ class Model:
     def fit(cls, conversations: Sequence[Sequence[tuple[int, Sequence[Sequence[int]]]]]) -> Model:
         """Smoothed counts of conversations: rows of (role, observations of its lines).
 
-        What a marker means is fixed, whatever the sample holds: where a turn begins it names its role in 9998 of 10000 cases, and inside a
-        turn there is hardly one. So is that a row begins a turn.
+        What a marker means is fixed, whatever the sample holds: where a turn begins it names its role, however rare that role is there, and
+        inside a turn there is hardly one. So is that a row begins a turn. Who opens a conversation is told by ``start`` alone.
         """
         n = len(ROLES)
         start, step = np.ones(n), np.full((n, n), 0.5)
@@ -101,11 +101,11 @@ class Model:
         for k in (1, 2):  # how much follows says whose turn begins, not whether one does
             p[k][n:] = p[k][:n].mean(0)
         for r in range(n):
-            p[0][r] = [60, *(50 if r == j else 0.005 for j in range(n))]
-            p[0][r] /= p[0][r].sum()
+            p[0][r] = [60 / 110, *(50 / 110 if r == j else 0 for j in range(n))]
             p[0][r + n] = [1 - 3e-5, 1e-5, 1e-5, 1e-5]
-            p[5][r] = [0.02, *(0.98 * emit[5][r, 1:] / emit[5][r, 1:].sum())]
+            p[5][r] = [0.02, 0.98, 0.98]
         emit = [np.log(np.maximum(x, 1e-12)) for x in p]
+        emit[0][:n, 1:][~np.eye(n, dtype=bool)] = NEVER
         emit[5][n:] = [0.0, NEVER, NEVER]
         turn = np.log(step / step.sum(1, keepdims=True))
         trans = np.full((STATES, STATES), NEVER)
