@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +32,10 @@ ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dial
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert disclaimer newsletter subscribe subscription signup login sidebar aside comment comments commentlist disqus respond reply replies discussion menu nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended recommendations popular trending footer header masthead toolbar widget popup modal overlay paywall outbrain taboola skip tags byline".split()
 )
+# Of these, the words of what is never the article, however much text it has: reader comments, notices and adverts.
+NEVER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice notices disclaimer newsletter comment comments commentlist disqus respond reply replies outbrain taboola".split())
+LEAST_APART = 80  # characters of the page that must be elsewhere for an element of NEVER_WORDS to go
+MENU_LINK = 25  # characters of a link, on average, below which a list of links is a menu
 SAYS_WHETHER = frozenset("has no not with without is show hide".split())  # class has-sidebar tells of a sidebar elsewhere
 LOWERED = 0.25  # what the points of text count under an element whose class or id has one of ASIDE_WORDS
 KEEP_TAGS = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
@@ -45,15 +50,17 @@ _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "doubt", "named", "links", "size", "whole", "points")
+    __slots__ = ("tag", "parent", "children", "out", "doubt", "never", "named", "links", "size", "whole", "runs", "points", "inside")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, named: bool = False):
+    def __init__(self, tag: str, parent: Node | None, out: bool, said: frozenset[str] | set[str] = frozenset()):
         self.tag, self.parent, self.out = tag, parent, out
-        self.named = named  # class or id has one of ASIDE_WORDS
+        self.named = named = bool(said)  # class or id has some of ASIDE_WORDS
+        self.never = tag not in KEEP_TAGS and not NEVER_WORDS.isdisjoint(said)  # its text is not the article's at any length
         self.doubt = named and tag not in KEEP_TAGS  # its text counts less, and it stays only with many points
         self.children: list[Node | Run] = []
         self.points = 0.0
-        self.links = self.size = self.whole = 0
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.links = self.size = self.whole = self.runs = 0
         if parent is not None:
             parent.children.append(self)
 
@@ -70,23 +77,26 @@ class Run:
         self.size = 0
 
 
-def _aside(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
-    """Whether an element is a menu, header, footer, sidebar, form or the like by tag or role, or invisible; and whether its class or id says so."""
+_NOTHING: frozenset[str] = frozenset()
+
+
+def _aside(tag: str, attributes: str, article: bool) -> tuple[bool, frozenset[str] | set[str]]:
+    """Whether an element is a menu, header, footer, sidebar, form or the like by tag or role, or invisible; and the words of its class or id that say so."""
     if tag in ASIDE_TAGS and not (article and tag == "header"):
-        return True, False
+        return True, _NOTHING
     if not attributes:
-        return False, False
+        return False, _NOTHING
     words: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.strip().lower() in ASIDE_ROLES or name == "hidden" and tag not in ("html", "body") or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _INVISIBLE.search(value):
-            return True, False
+            return True, _NOTHING
         if name in ("class", "id"):
             for label in value.split():
                 found = [w.lower() for w in _WORDS.findall(label)]
                 if found and found[0] not in SAYS_WHETHER:
                     words.update(found)
-    return False, not words.isdisjoint(ASIDE_WORDS)
+    return False, words & ASIDE_WORDS
 
 
 def parse(page: str) -> Node:
@@ -94,18 +104,31 @@ def parse(page: str) -> Node:
     root = Node("#root", None, False)
     here, run, link, articles = root, None, 0, 0
     stack: list[tuple[str, Node]] = []  # open elements, and the block that was current before each
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where in it each tag is; "" for blocks, so that no end tag looks through it
     at, end = 0, len(page)
     token = _TOKEN.match
 
     def close(k: int) -> None:
         nonlocal here, run, link, articles
         for tag, before in reversed(stack[k:]):
+            places[tag].pop()
             if tag in BLOCKS:
                 here, run = before, None
+                places[""].pop()
             link -= tag == "a"
             articles -= tag in ("article", "main")
         del stack[k:]
 
+    def push(tag: str) -> None:
+        places[tag].append(len(stack))
+        if tag in BLOCKS:
+            places[""].append(len(stack))
+        stack.append((tag, here))
+
+    def last(*tags: str) -> int:
+        """The innermost open element of these tags, -1 if there is none."""
+        return max(places[t][-1] if places[t] else -1 for t in tags)
+
     while at < end:
         m = token(page, at)
         at = m.end()
@@ -127,15 +150,11 @@ def parse(page: str) -> Node:
         if m[1] or m[4]:
             if tag == "br" and run is not None:
                 run.raw.append(" ")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in ("table", "article", "main", "body") and tag not in BLOCKS:
-                    break
-            else:
-                if tag in BLOCKS:
-                    run = None
+            k = last(tag)
+            if k >= 0 and (tag in BLOCKS or k > last("table", "article", "main", "body")):
+                close(k)
+            elif k < 0 and tag in BLOCKS:
+                run = None
             continue
         attributes = m[3] or m[6] or ""
         if tag in RAW:
@@ -144,24 +163,16 @@ def parse(page: str) -> Node:
                 at = stop.end() if stop else end
             continue
         if tag in BLOCKS:
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph and what is open in it
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+            if (k := last("p")) >= 0 and k == last(""):  # a block ends an open paragraph and what is open in it
+                close(k)
             if tag in IMPLIED_END:
                 ended, scope = IMPLIED_END[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in scope:
-                        break
-                    if stack[k][0] in ended.split():
-                        close(k)
-                        break
+                if (k := last(*ended.split())) > last(*scope):
+                    close(k)
             run = None
             if tag in VOID:
                 continue
-            stack.append((tag, here))
+            push(tag)
             articles += tag in ("article", "main")
             out, named = _aside(tag, attributes, articles > 0)
             here = Node(tag, here, here.out or out, named)
@@ -171,11 +182,10 @@ def parse(page: str) -> Node:
         elif not attributes.endswith("/"):
             out, named = _aside(tag, attributes, articles > 0)
             if out or named and here.tag not in PARAGRAPHS:  # an inline element that may be no part of the article
-                stack.append((tag, here))
+                push("div")
                 here, run = Node(tag, here, here.out or out, named), None
-                stack[-1] = ("div", stack[-1][1]) if tag not in BLOCKS else stack[-1]
             else:
-                stack.append((tag, here))
+                push(tag)
                 link += tag == "a"
     return root
 
@@ -197,19 +207,22 @@ def _measure(node: Node) -> None:
                 c.text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
                 c.size = len(c.text)
                 x.whole += c.size
+                x.runs += c.size > 0
             elif not c.out:
                 x.whole += c.whole
+                x.runs += c.runs
     articles = [x for x in order if x.tag in ("article", "main") and x.whole and not x.named]
+    holding: set[int] = set()
     for x in articles:
         up = x.parent
-        while up is not None:
-            up.doubt, up = False, up.parent
+        while up is not None and id(up) not in holding:
+            holding.add(id(up))
+            up.doubt = up.never = False
+            up = up.parent
     for x in order:
-        if x.doubt and x.whole * 2 > node.whole:
-            up = x
-            while articles and up is not None and up.tag not in ("article", "main"):
-                up = up.parent
-            x.doubt = up is None  # the article is elsewhere
+        x.never = x.never and node.whole - x.whole >= LEAST_APART
+        if x.doubt and not x.never and x.whole * 2 > node.whole:
+            x.doubt = bool(articles) and not x.inside  # the article is elsewhere
     for x in reversed(order):
         for c in x.children:
             if isinstance(c, Run):
@@ -229,7 +242,7 @@ def _score(node: Node) -> list[Node]:
     order, todo = [], [(node, 1.0)]
     while todo:
         x, weight = todo.pop()
-        weight = LOWERED if x.doubt else weight
+        weight = 0.0 if x.never or not weight else LOWERED if x.doubt else weight
         order.append((x, weight))
         todo += [(c, weight) for c in reversed(x.children) if isinstance(c, Node) and not c.out]
     for x, weight in order:
@@ -246,6 +259,13 @@ def _score(node: Node) -> list[Node]:
     return [x for x, _ in order]
 
 
+def _menu(node: Node) -> bool:
+    """Whether an element is a list of links: in the article only if they are short, as its references are not."""
+    if node.tag not in ("ul", "ol", "div", "table", "section", "dl") or _density(node) <= 0.6:
+        return False
+    return not node.inside or node.links < MENU_LINK * node.runs
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, white space made single, joined by one space. Empty if there is none."""
     if not page:
@@ -258,7 +278,8 @@ def main_text(page: str | None) -> str:
         return ""
     up = best
     while up is not None:
-        up.doubt, up = False, up.parent
+        up.doubt = up.never = False
+        up = up.parent
     article = best
     while article is not None and article.tag not in ("article", "main"):
         article = article.parent
@@ -287,9 +308,7 @@ def main_text(page: str | None) -> str:
         if isinstance(x, Run):
             if x.size:
                 out.append(x.text)
-        elif not x.out and not (x.doubt and not like(x)) and not (
-            x.tag in ("ul", "ol", "div", "table", "section", "dl") and _density(x) > 0.6
-        ):  # a list of links is a menu
+        elif not x.out and not x.never and (like(x) or not x.doubt) and not _menu(x):
             todo += x.children[::-1]
     return " ".join(out)
 
