@@ -141,7 +141,8 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "label", "embedding").withColumn("ok", usable("embedding") & F.col("label").isNotNull())
     classes = written(
-        rows.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null"),
+        rows.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+        .where("rep is not null").withColumn("cls", F.monotonically_increasing_id()),
         "vectors"
     )
     n = classes.count()
@@ -176,15 +177,15 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("label").take(at), pa.array(np.full(len(take), d, np.int32)), pa.array(cell.astype(np.int32)),
-                            pa.array(guest), part.column("rep").take(at), part.column("copies").take(at), part.column("embedding").take(at)
+                            pa.array(guest), part.column("cls").take(at), part.column("copies").take(at), part.column("embedding").take(at)
                         ],
-                        names=["label", "dim", "cell", "guest", "rep", "copies", "embedding"]
+                        names=["label", "dim", "cell", "guest", "cls", "copies", "embedding"]
                     )
 
         kind = classes.schema["label"].dataType.simpleString()
         vector = classes.schema["embedding"].dataType.simpleString()
         placed = written(
-            classes.mapInArrow(place, f"label {kind}, dim int, cell int, guest boolean, rep long, copies long, embedding {vector}"), "vector-lists"
+            classes.mapInArrow(place, f"label {kind}, dim int, cell int, guest boolean, cls long, copies long, embedding {vector}"), "vector-lists"
         )
         key = ["label", "dim", "cell"]
         counts = placed.groupBy(*key).agg(F.count_if(~F.col("guest")).alias("h"), F.count_if("guest").alias("g")).where("h > 0")
@@ -194,7 +195,7 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
         sizes = sizes.select(*key, "homes", "guests")
         if cells <= BROADCAST_ROWS:
             sizes = F.broadcast(sizes)
-        own = F.pmod(F.xxhash64("rep"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))).cast("int")
+        own = F.pmod(F.xxhash64("cls"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))).cast("int")
         dealt = placed.join(sizes, key).withColumn("own", own)
 
         def units(first, last, unit):
@@ -215,16 +216,16 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
         )
         visiting = units(zero, F.col("homes") - 1, lambda i: unit(i, mine, True, True))
         dealt = dealt.withColumn("unit", F.explode(F.when(F.col("guest"), visiting).otherwise(at_home)))
-        dealt = dealt.select(*key, "unit.a", "unit.b", "unit.cross", "unit.asks", "rep", "copies", "embedding")
+        dealt = dealt.select(*key, "unit.a", "unit.b", "unit.cross", "unit.asks", "cls", "copies", "embedding")
         tasks = copies // (2 * BLOCK) + 8
         dealt = dealt.withColumn("task", F.pmod(F.xxhash64(*key, "a", "b", "cross"), F.lit(tasks).cast("long")))
 
         def search(table: pa.Table) -> pa.Table:
-            table = table.sort_by("rep")  # the label of a component is then its smallest id
+            table = table.sort_by("cls")
             label_of = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
             numbers = [table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dim", "cell", "a", "b", "cross")]
             keys = np.stack([label_of, *numbers], 1)
-            reps, at = np.unique(table.column("rep").to_numpy(), return_inverse=True)
+            reps, at = np.unique(table.column("cls").to_numpy(), return_inverse=True)
             weight, links, label = np.zeros(len(reps), np.int64), np.zeros(len(reps), np.int64), np.arange(len(reps))
             weight[at] = table.column("copies").to_numpy()
             asks = table.column("asks").to_numpy(zero_copy_only=False)
@@ -246,15 +247,17 @@ def embedding_links(vectors: DataFrame) -> DataFrame:
                 else:
                     _search(index, home, (x[~h], unit_[~h]), links, label, at[where[h]], at[where[~h]], weight, radius)
             hit = links > 0
-            return pa.table({"rep": pa.array(reps[hit]), "links": pa.array(links[hit]), "root": pa.array(reps[label[hit]])})
+            return pa.table({"cls": pa.array(reps[hit]), "links": pa.array(links[hit]), "root": pa.array(reps[label[hit]])})
 
-        found = written(dealt.groupBy("task").applyInArrow(search, "rep long, links long, root long"), "vector-links")
-        parts = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-        counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-        result = classes.join(counted, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+        found = written(dealt.groupBy("task").applyInArrow(search, "cls long, links long, root long"), "vector-links")
+        parts = connected_components(found.select(F.col("cls").alias("src"), F.col("root").alias("dst")))
+        counted = found.groupBy("cls").agg(F.sum("links").alias("links"))
+        parts = parts.withColumnRenamed("id", "cls")
+        least = classes.join(parts, "cls").groupBy("component").agg(F.min("rep").alias("least"))
+        result = classes.join(counted, "cls", "left").join(parts, "cls", "left").join(least, "component", "left")
         result = result.select(
             F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"),
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("least", "rep").alias("component_id")
         )
         rows = rows.withColumn("k_label", F.when(F.col("ok"), F.col("label"))).withColumn("k_embedding", F.when(F.col("ok"), F.col("embedding")))
         rows = rows.join(result, (F.col("k_label") == F.col("c_label")) & (F.col("k_embedding") == F.col("c_embedding")), "left")
