@@ -1,6 +1,7 @@
-"""A keyword index on storage: segments of postings by bucket of terms, lengths of chunks, and tombstones.
+"""A keyword index on storage: segments of postings in blocks of chunks, lengths of chunks, and tombstones.
 
-A search reads the postings of its terms only. Adding writes a segment, removing writes tombstones; neither rewrites what is there.
+A search reads the postings of its terms only, and of those the blocks whose best possible score reaches the k-th. Adding writes a segment,
+removing writes tombstones; neither rewrites what is there.
 """
 
 from __future__ import annotations
@@ -12,12 +13,25 @@ from pyspark.sql import functions as F
 
 from sparkloft.functions.text import tokens
 from sparkloft.operators.retrieval import B, K1, idf, normalised, top
+from sparkloft.storage import checkpointed
 
-BUCKETS = 64
+BUCKETS = (16, 4096)  # folders of terms in a segment, at least and at most
+TOKENS_A_BUCKET = 20_000_000
+TOKENS_A_FILE = 5_000_000  # a bucket of more is several files, dealt by block, so a term that all chunks have is nobody's alone
+BLOCK_BITS = 6  # chunks in a block: 64
+FIRST_BLOCKS = 16  # blocks with the best bounds, scored first: their k-th score rules out others
+BROADCAST_BLOCKS = 200_000  # block numbers (8 bytes each) that are broadcast at most
 
+_POSTINGS = "term string, blk long, n int, most double, docs array<struct<chunk_id: string, tf: int, dl: int>>, segment int, bucket int"
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _share(tf: str, dl: str, mean: float) -> Column:
+    """What of a term's weight a chunk gets, from its count there and the chunk's length."""
+    return F.col(tf) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / F.lit(float(mean))))
 
 
 class KeywordIndex:
@@ -29,26 +43,51 @@ class KeywordIndex:
     def __init__(self, spark: SparkSession, path: str, words=tokens):
         self.spark, self.path, self.words = spark, path.rstrip("/"), words
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.read = (0, 0)
         self._path, self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _there(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.path}/{name}"))
 
     def _segments(self) -> list[int]:
-        """Segments that are whole: their lengths are written last."""
-        found = self._fs.globStatus(self._path(f"{self.path}/lengths/segment=*/_SUCCESS"))
+        """Segments that are whole: what they hold in all is written last."""
+        found = self._fs.globStatus(self._path(f"{self.path}/totals/segment=*/_SUCCESS"))
         return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
 
+    def _totals(self) -> dict[int, tuple[int, int, int]]:
+        """Of each segment: its chunks, their terms, its buckets."""
+        segments = self._segments()
+        if not segments:
+            return {}
+        rows = self.spark.read.option("basePath", f"{self.path}/totals").parquet(*[f"{self.path}/totals/segment={s}" for s in segments]).collect()
+        return {r["segment"]: (r["chunks"], r["terms"], r["buckets"]) for r in rows}
+
     def add(self, chunks: DataFrame) -> int:
         """A new segment of chunks (chunk_id, text); ids that are indexed already are replaced. Returns its number."""
+        rows = chunks.select("chunk_id", self.words(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
+        # blocks of chunks of like length bound their scores well; every task numbers its own
+        numbered = rows.sortWithinPartitions("dl", "chunk_id").withColumn("blk", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+        terms = numbered.select("chunk_id", "blk", "dl", F.explode("w").alias("term"))
+        counts = terms.groupBy("term", "blk", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
+        return self._write(counts, rows.groupBy("chunk_id").agg(F.max("dl").alias("dl")))
+
+    def _write(self, counts: DataFrame, lengths: DataFrame) -> int:
+        """A segment of counts (term, blk, chunk_id, tf, dl) and lengths (chunk_id, dl)."""
         segment = max(self._segments(), default=0) + 1
-        rows = chunks.select("chunk_id", self.words(F.col("text")).alias("w"))
-        terms = rows.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-        counts = terms.groupBy("term", "chunk_id").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
-        placed = counts.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term")
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
-        lengths = rows.groupBy("chunk_id").agg(F.max(F.size("w")).alias("dl"))
         lengths.write.mode("overwrite").parquet(f"{self.path}/lengths/segment={segment}")
+        done = self.spark.read.schema("chunk_id string, dl int").parquet(f"{self.path}/lengths/segment={segment}")
+        n, size = done.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        buckets = max(BUCKETS[0], min(BUCKETS[1], size // TOKENS_A_BUCKET))
+        files = size // (buckets * TOKENS_A_FILE) + 1
+        blocks = counts.groupBy("term", "blk").agg(
+            F.count("*").cast("int").alias("n"), F.max(_share("tf", "dl", size / n if size else 1.0)).alias("most"),
+            F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("docs")
+        )
+        placed = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("blk"), F.lit(files)))
+        placed = placed.sortWithinPartitions("bucket", "term")
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+        totals = self.spark.createDataFrame([(n, size, buckets)], "chunks long, terms long, buckets int").coalesce(1)
+        totals.write.mode("overwrite").parquet(f"{self.path}/totals/segment={segment}")
         return segment
 
     def remove(self, ids: DataFrame) -> None:
@@ -75,51 +114,104 @@ class KeywordIndex:
             newest = newest.join(gone, "chunk_id", "left").where("upto is null or upto < segment").drop("upto")
         return newest.select("chunk_id", "segment", "dl")
 
+    def _blocks(self, terms: Iterable[str] | None = None) -> DataFrame:
+        """Blocks of postings of the whole segments; of some terms only their buckets and row groups are read."""
+        totals = self._totals()
+        rows = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings") if totals else self.spark.createDataFrame([], _POSTINGS)
+        if terms is None:
+            return rows.where(F.col("segment").isin(list(totals)))
+        terms = list(dict.fromkeys(terms))
+        places = self.spark.range(1).select(*[F.array(*[_bucket(F.lit(t), n) for t in terms]).alias(f"s{s}") for s, (_, _, n) in totals.items()]).first() if terms else ()
+        here = F.lit(False)
+        for s, found in zip(totals, places, strict=False):
+            here |= (F.col("segment") == s) & F.col("bucket").isin(sorted(set(found)))
+        return rows.where(here & F.col("term").isin(terms))
+
     def postings(self, terms: Iterable[str] | None = None) -> DataFrame:
-        """(term, chunk_id, tf, dl) of the live chunks; of some terms only their buckets and row groups are read."""
-        schema = "term string, chunk_id string, tf int, dl int, segment int, bucket int"
-        segments = self._segments()
-        if not segments:
-            return self.spark.createDataFrame([], schema).drop("segment", "bucket")
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/postings").where(F.col("segment").isin(segments))
-        if terms is not None:
-            terms = list(dict.fromkeys(terms))
-            rows = rows.where(F.col("bucket").isin(self._buckets(terms)) & F.col("term").isin(terms))
+        """(term, chunk_id, tf, dl, blk) of the live chunks."""
+        rows = self._blocks(terms).select("term", "segment", "blk", F.inline("docs"))
         if not self._plain():
             rows = rows.join(self.live().select("chunk_id", "segment"), ["chunk_id", "segment"])
-        return rows.select("term", "chunk_id", "tf", "dl")
+        return rows.select("term", "chunk_id", "tf", "dl", "blk")
 
-    def _buckets(self, terms: list[str]) -> list[int]:
-        row = self.spark.range(1).select(F.array(*[_bucket(F.lit(t)) for t in terms]).alias("b"))
-        return row.first()["b"] if terms else []
+    def _statistics(self) -> tuple[int, float | None]:
+        """Live chunks and their mean length: of a single segment from what it wrote, else from the lengths."""
+        if self._plain():
+            ((n, size, _),) = self._totals().values()
+            return n, size / n if n else None
+        return tuple(self.live().agg(F.count("*"), F.avg("dl")).first())
+
+    @staticmethod
+    def _weight(df: dict[str, int], n: int) -> Column:
+        return F.create_map(*[x for t, d in df.items() for x in (F.lit(t), F.lit(float(idf(n, d))))])[F.col("term")]
 
     def scores(self, terms: Iterable[str]) -> DataFrame:
         """(chunk_id, score): BM25 of the chunks that hold any of the terms."""
         terms = list(dict.fromkeys(terms))
-        none = self.spark.createDataFrame([], "chunk_id string, score double")
-        if not terms:
-            return none
-        n, mean = self.live().agg(F.count("*"), F.avg("dl")).first()
+        n, mean = self._statistics() if terms and self._segments() else (0, None)
         hits = self.postings(terms)
-        df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each query term
+        df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()} if n else {}  # a row for each query term
         if not n or not mean or not df:
-            return none
-        weight = F.create_map(*[x for t, d in df.items() for x in (F.lit(t), F.lit(float(idf(n, d))))])[F.col("term")]
-        part = weight * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))
-        return hits.groupBy("chunk_id").agg(F.sum(part).alias("score"))
+            return self.spark.createDataFrame([], "chunk_id string, score double")
+        return hits.groupBy("chunk_id").agg(F.sum(self._weight(df, n) * _share("tf", "dl", mean)).alias("score"))
+
+    def best(self, terms: Iterable[str], k: int) -> DataFrame:
+        """(chunk_id, score): the k best of ``scores``, from few blocks.
+
+        A block's bound is the sum of the most that each term gives to any of its chunks, which is written with the block. The blocks with the
+        best bounds are scored first; no chunk of a block whose bound is below their k-th score can be among the best, so such blocks
+        are not read but for their bounds. These hold for one segment without removals; until ``compact``, others are scored whole.
+        ``read`` tells how many blocks of how many the last call read.
+        """
+        terms = list(dict.fromkeys(terms))
+        if not terms or not self._segments() or not self._plain():
+            return top(self.scores(terms), k)
+        n, mean = self._statistics()
+        heads = self._blocks(terms).select("term", "blk", "n", "most")
+        df = {r["term"]: r["df"] for r in heads.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # a row for each query term
+        if not n or not mean or not df:
+            return top(self.scores(terms), k)
+        bounds = heads.groupBy("blk").agg(F.sum(self._weight(df, n) * F.col("most")).alias("bound"), F.max("n").alias("n"))
+        first = bounds.orderBy(F.desc("bound"), "blk").limit(max(FIRST_BLOCKS, 4 * k >> BLOCK_BITS)).collect()
+        blocks = self._blocks(terms).select("term", "blk", "docs")
+
+        def scored(rows: DataFrame) -> DataFrame:
+            hits = rows.select("term", F.inline("docs"))
+            return top(hits.groupBy("chunk_id").agg(F.sum(self._weight(df, n) * _share("tf", "dl", mean)).alias("score")), k)
+
+        hits = scored(blocks.where(F.col("blk").isin([r["blk"] for r in first]))).collect()  # k rows
+        found = self.spark.createDataFrame(hits, "chunk_id string, score double")
+        floor = hits[-1]["score"] * (1 - 1e-12) if len(hits) == k else 0.0
+        rest = bounds.where((F.col("bound") >= floor) & ~F.col("blk").isin([r["blk"] for r in first])).select("blk")
+        more, every = bounds.agg(F.count_if((F.col("bound") >= floor) & ~F.col("blk").isin([r["blk"] for r in first])), F.count("*")).first()
+        self.read = len(first) + more, every
+        if not more:
+            return found
+        rest = blocks.join(F.broadcast(rest) if more <= BROADCAST_BLOCKS else rest, "blk", "left_semi")
+        return top(found.unionByName(scored(rest)), k)
 
     def search(self, terms: Iterable[str], k: int, chunks: DataFrame | None = None, where: Column | None = None) -> DataFrame:
         """(chunk_id, score): top k over the largest score. A filter on chunks (``where``) comes after the cut to 3 k and the division."""
         if where is None:
-            return normalised(top(self.scores(terms), k))
-        hits = normalised(top(self.scores(terms), 3 * k))
+            return normalised(self.best(terms, k))
+        hits = normalised(self.best(terms, 3 * k))
         kept = chunks.where(where).join(F.broadcast(hits), "chunk_id").select("chunk_id", "score")  # at most 3 k rows
         return top(kept, k)
 
     def compact(self, path: str) -> KeywordIndex:
         """The live postings as one segment of a new index."""
         new = KeywordIndex(self.spark, path, self.words)
-        rows = self.postings().withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{new.path}/postings/segment=1")
-        self.live().select("chunk_id", "dl").write.mode("overwrite").parquet(f"{new.path}/lengths/segment=1")
+        lengths = self.live().select("chunk_id", "dl")
+        # chunks are dealt anew to blocks: those of like length together
+        numbered = lengths.repartitionByRange("dl", "chunk_id").sortWithinPartitions("dl", "chunk_id")
+        numbered = checkpointed(numbered.withColumn("number", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
+        counts = self.postings().drop("blk").join(numbered.select("chunk_id", F.col("number").alias("blk")), "chunk_id")
+        new._write(counts, lengths)
         return new
+
+    def rehome(self, old: str, new: str, path: str) -> KeywordIndex:
+        """A new index whose chunk ids that begin with ``old`` begin with ``new``: what a move of a project asks for. No text is read."""
+        moved = KeywordIndex(self.spark, path, self.words)
+        renamed = F.when(F.col("chunk_id").startswith(old), F.concat(F.lit(new), F.substr("chunk_id", F.lit(len(old) + 1)))).otherwise(F.col("chunk_id"))
+        moved._write(self.postings().withColumn("chunk_id", renamed), self.live().select(renamed.alias("chunk_id"), "dl"))
+        return moved

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloft.operators import retrieval as r
+from sparkloft.operators.vector_index import VectorIndex
 from sparkloft.plans.catalog import query, rounded
-from sparkloft.views import keyword_index
+from sparkloft.storage import folder
+from sparkloft.views import keyword_index, vector_index
 
 AS_OF = "2025-06-01 00:00:00"
 TERMS = ("the", "and", "of")
@@ -63,6 +65,56 @@ def _ip(t, spark, sf):
     return rounded(r.vector_search(t("vectors"), _query_vector(t), 20, metric="inner_product").select("chunk_id", "score"), "score")
 
 
+@query("vector_indexed_topk", f"SELECT chunk_id, round(score, 6) AS score FROM ({_vec(20, 0.05)}) AS x", "vectors")
+def _indexed(t, spark, sf):
+    return rounded(vector_index(spark, sf).search(_query_vector(t), 20, 0.05).select("chunk_id", "score"), "score")
+
+
+@query("vector_indexed_near", f"SELECT chunk_id, round(score, 6) AS score FROM ({_vec(50, 0.6)}) AS x", "vectors")
+def _indexed_near(t, spark, sf):
+    """A threshold above the k-th score: it rules out lists by itself."""
+    return rounded(vector_index(spark, sf).search(_query_vector(t), 50, 0.6).select("chunk_id", "score"), "score")
+
+
+@query(
+    "vector_indexed_filtered",
+    f"SELECT chunk_id, round(score, 6) AS score FROM ({_vec(20, 0.05, where="WHERE source_type = 'doc' AND language IN ('en', 'de')")}) AS x",
+    "vectors"
+)
+def _indexed_filtered(t, spark, sf):
+    where = (F.col("source_type") == "doc") & F.col("language").isin("en", "de")
+    return rounded(vector_index(spark, sf).search(_query_vector(t), 20, 0.05, where=where).select("chunk_id", "score"), "score")
+
+
+@query(
+    "vector_indexed_l2",
+    f"SELECT chunk_id, round(score, 6) AS score FROM ({_vec(20, score=f'1.0 / (1.0 + list_distance({_V}, {_QV}))')}) AS x", "vectors"
+)
+def _indexed_l2(t, spark, sf):
+    return rounded(vector_index(spark, sf).search(_query_vector(t), 20, metric="l2").select("chunk_id", "score"), "score")
+
+
+@query(
+    "vector_indexed_ip",
+    f"SELECT chunk_id, round(score, 6) AS score FROM ({_vec(20, score=f'greatest(0.0, list_dot_product({_V}, {_QV}))')}) AS x", "vectors"
+)
+def _indexed_ip(t, spark, sf):
+    return rounded(vector_index(spark, sf).search(_query_vector(t), 20, metric="inner_product").select("chunk_id", "score"), "score")
+
+
+@query(
+    "vector_index_changed",
+    f"SELECT chunk_id, round(score, 6) AS score FROM ({_vec(20, where='WHERE vec_id % 5 <> 2')}) AS x", "vectors"
+)
+def _changed(t, spark, sf):
+    """An index that got its rows in two segments, some of them wrong at first, and lost others."""
+    rows = t("vectors")
+    index = VectorIndex(spark, folder(spark, "vectors")).build(rows.where("vec_id % 2 = 0").withColumn("embedding", F.reverse("embedding")))
+    index.add(rows)
+    index.remove(rows.where("vec_id % 5 = 2").select("chunk_id"))
+    return rounded(index.search(_query_vector(t), 20).select("chunk_id", "score"), "score")
+
+
 @query("bm25_topk", f", {_bm25(30)} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY score DESC, chunk_id LIMIT 10", "chunks")
 def _bm25_topk(t, spark, sf):
     return rounded(keyword_index(spark, sf).search(TERMS, 10), "score")

@@ -25,19 +25,21 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new folder of the shared one; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            if jvm is not None:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM has gone already
-            pass
-
-    atexit.register(drop)
+    atexit.register(drop, spark, path)
     return path
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if the session still can."""
+    try:
+        jvm = spark.sparkContext._jvm
+        if jvm is not None:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM has gone already
+        pass
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

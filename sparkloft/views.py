@@ -144,20 +144,38 @@ def with_views(sql: str, *names: str) -> str:
     ) + ("," if sql.lstrip().startswith(",") else "") + "\n" + sql.lstrip().removeprefix(",")
 
 
-_INDEXES: dict[tuple, object] = {}
+_INDEXES: dict[tuple, tuple] = {}
 
 
-def keyword_index(spark: SparkSession, sf_dir: str):
-    """The written keyword index of the chunks of a folder: built at the first call in a session, and again if the documents change."""
-    from sparkloft.operators.keyword_index import KeywordIndex
-    from sparkloft.storage import folder
+def _built(spark: SparkSession, sf_dir: str, table: str, kind: str, make):
+    """An index of a folder's table: built at the first call in a session, and again, in place of the old one, if the table changes."""
+    from sparkloft.storage import drop, folder
 
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
-    key = (spark.sparkContext.applicationId, sf_dir, state)
-    if key not in _INDEXES:
-        index = KeywordIndex(spark, folder(spark, "keyword-index"))
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _INDEXES or _INDEXES[key][0] != state:
+        if key in _INDEXES:
+            drop(spark, _INDEXES[key][1].path)
+        _INDEXES[key] = (state, make(folder(spark, kind)))
+    return _INDEXES[key][1]
+
+
+def keyword_index(spark: SparkSession, sf_dir: str):
+    """The written keyword index of the chunks of a folder."""
+    from sparkloft.operators.keyword_index import KeywordIndex
+
+    def make(path: str) -> KeywordIndex:
+        index = KeywordIndex(spark, path)
         index.add(view(spark, sf_dir, "chunks"))
-        _INDEXES[key] = index
-    return _INDEXES[key]
+        return index
+
+    return _built(spark, sf_dir, "documents", "keyword-index", make)
+
+
+def vector_index(spark: SparkSession, sf_dir: str):
+    """The written vector index of the embeddings of a folder."""
+    from sparkloft.operators.vector_index import VectorIndex
+
+    return _built(spark, sf_dir, "embeddings", "vector-index", lambda path: VectorIndex(spark, path).build(view(spark, sf_dir, "vectors")))
