@@ -8,7 +8,7 @@ from sparkloft.operators import retrieval as r
 from sparkloft.operators.vector_index import VectorIndex
 from sparkloft.plans.catalog import query, rounded
 from sparkloft.storage import folder
-from sparkloft.views import keyword_index, vector_index
+from sparkloft.views import fulltext_index, keyword_index, vector_index
 
 AS_OF = "2025-06-01 00:00:00"
 TERMS = ("the", "and", "of")
@@ -265,3 +265,44 @@ def _boost(t, spark, sf):
 def _reference(t, spark, sf):
     where = (F.col("authority") == "reference") & (F.col("domain") == "d0") & (F.col("sensitivity") == "normal")
     return rounded(r.vector_search(t("vectors"), _query_vector(t), 10, where=where).select("chunk_id", "score"), "score")
+
+
+_FIELDS = {"folder": 1.0, "text": 0.2}
+
+
+def _fulltext_sql(fits: str, words: tuple[str, ...], k: int) -> str:
+    """Chunks that fit, by the weighted counts of the words; a and b are the words of both fields."""
+    count = "len(list_filter({}, lambda x: x = '{}'))"
+    parts = " + ".join(f"{w} * {count.format(f, v)} / ({count.format(f, v)} + 1.0)" for f, w in zip("ab", _FIELDS.values(), strict=True) for v in words) or "0.0"
+    return (
+        f", w AS (SELECT chunk_id, {_TOK.replace('text', 'folder')} AS a, {_TOK} AS b FROM chunks), s AS (SELECT chunk_id, {parts} AS raw FROM w WHERE {fits} ORDER BY 2 DESC, 1 LIMIT {k}), "
+        "m AS (SELECT max(raw) AS most FROM s) SELECT chunk_id, round(CASE WHEN most > 0 THEN raw / most ELSE raw END, 6) AS score FROM s, m"
+    )
+
+
+def _phrase_sql(*words: str) -> str:
+    each = lambda f: " AND ".join(f"{f}[i + {j}] = '{w}'" for j, w in enumerate(words))
+    return "(" + " OR ".join(f"len(list_filter(range(1, len({f}) + 1), lambda i: {each(f)})) > 0" for f in "ab") + ")"
+
+
+def _holds_sql(word: str) -> str:
+    return f"(list_contains(a, '{word}') OR list_contains(b, '{word}'))"
+
+
+@query("fulltext_phrase", _fulltext_sql(_phrase_sql("of", "the"), ("of", "the"), 40), "chunks")
+def _phrase(t, spark, sf):
+    return rounded(fulltext_index(spark, sf, _FIELDS).search('"of the"', 40), "score")
+
+
+@query(
+    "fulltext_boolean",
+    _fulltext_sql(f"({_holds_sql('the')} AND {_holds_sql('and')} AND NOT {_phrase_sql('of', 'the')}) OR ({_holds_sql('der')} AND NOT {_holds_sql('und')})", ("the", "and", "der"), 40),
+    "chunks"
+)
+def _boolean(t, spark, sf):
+    return rounded(fulltext_index(spark, sf, _FIELDS).search('the and -"of the" OR der -und', 40), "score")
+
+
+@query("fulltext_exclusion", _fulltext_sql(f"NOT {_holds_sql('the')} AND NOT {_holds_sql('de')}", (), 30), "chunks")
+def _exclusion(t, spark, sf):
+    return rounded(fulltext_index(spark, sf, _FIELDS).search("-the -de", 30), "score")

@@ -179,3 +179,10 @@ def vector_index(spark: SparkSession, sf_dir: str):
     from sparkloft.operators.vector_index import VectorIndex
 
     return _built(spark, sf_dir, "embeddings", "vector-index", lambda path: VectorIndex(spark, path).build(view(spark, sf_dir, "vectors")))
+
+
+def fulltext_index(spark: SparkSession, sf_dir: str, fields: dict[str, float]):
+    """The written positional index of the chunks of a folder."""
+    from sparkloft.operators.fulltext import FulltextIndex
+
+    return _built(spark, sf_dir, "documents", f"fulltext-index-{'-'.join(fields)}", lambda path: FulltextIndex(spark, path, fields).build(view(spark, sf_dir, "chunks")))
