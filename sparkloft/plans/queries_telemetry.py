@@ -229,3 +229,27 @@ def _stream(t, spark, sf):
     from sparkloft.streaming.feeds import minute_counts
 
     return rounded(minute_counts(spark, f"{sf}/events.parquet"), "total")
+
+
+@query(
+    "folders_debounced",
+    """
+    WITH c AS (SELECT concat('f', CAST(user_id % 20 AS STRING)) AS folder, concat('p', CAST(event_id % 50 AS STRING)) AS path, epoch_us(ts) AS us,
+                      CASE WHEN user_id % 4 = 0 THEN 3600 ELSE 1800 END * 1000000 AS wait FROM events),
+    g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY folder ORDER BY us, path) < wait THEN 0 ELSE 1 END AS opens FROM c),
+    b AS (SELECT *, sum(opens) OVER (PARTITION BY folder ORDER BY us, path ROWS UNBOUNDED PRECEDING) AS burst FROM g),
+    f AS (SELECT folder, min(us) AS first, max(us) AS last, count(DISTINCT path) AS files, max(wait) AS wait FROM b GROUP BY folder, burst)
+    SELECT folder, first, last, files, CAST(wait > 0 AS BOOLEAN) AS queued FROM f WHERE last + wait <= (SELECT max(us) // 1000 * 1000 FROM c)
+    """,
+)
+def _debounced(t, spark, sf):
+    """Events as changes of twenty folders, five of which wait longer; a stream, each folder on its own timer."""
+    from sparkloft.streaming.watch import watched
+
+    def changes(events):
+        wait = F.when(F.col("user_id") % 4 == 0, 3600.0)
+        folder, path = F.concat(F.lit("f"), F.col("user_id") % 20), F.concat(F.lit("p"), F.col("event_id") % 50)
+        return events.select(folder.alias("folder"), path.alias("path"), F.col("ts").cast("timestamp").alias("ts"), wait.alias("debounce"))
+
+    out = watched(spark, f"{sf}/events.parquet", changes, debounce=1800.0)
+    return out.select("folder", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "files", "queued")
