@@ -1,4 +1,4 @@
-"""Natural-language analysis: composed form, stop words, the English stemmer, and telling a text's language.
+"""Natural-language analysis: composed form, stop words, stemmers, and telling a text's language.
 
 Stemming is a small function a word, run in Arrow batches; everything else is Column expressions.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloft.functions import stemmers
 from sparkloft.functions.text import token_estimate, tokens
 
 # Function words by language. They are dropped before indexing, and tell a language.
@@ -123,20 +124,28 @@ def stem_english(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(words: pd.Series) -> pd.Series:
-    """English stems of arrays of words."""
-    return words.map(lambda ws: None if ws is None else [stem_english(w) for w in ws])
+STEMMERS = {"en": stem_english, "de": stemmers.stem_german, "fr": stemmers.stem_french, "es": stemmers.stem_spanish}
 
 
-def analyzed(text: Column, language: str = "en", stem: bool = True) -> Column:
-    """Index terms of a text: composed, lower-cased words without stop words, stemmed where the language has a stemmer here.
+def stems(words: Column, language: str = "en") -> Column:
+    """Stems of arrays of words in a language that has a stemmer."""
+    stem = STEMMERS[language]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+
+    return run(words)
+
+
+def analyzed(text: Column, language: str = "en", stem: bool | None = None) -> Column:
+    """Index terms of a text: composed, lower-cased words without stop words; stemmed if ``stem``, which unless given holds for English.
 
     An unknown language counts as English. Code is not analysed: it keeps its plain tokens.
     """
     known = language if language in STOPWORDS else "en"
     words = F.filter(tokens(composed(text)), lambda w: ~w.isin(*sorted(STOPWORDS[known])))
-    return stems(words) if stem and known == "en" else words
+    return stems(words, known) if (known == "en" if stem is None else stem and known in STEMMERS) else words
 
 
 def language_of(text: Column, allowed: Iterable[str] = tuple(STOPWORDS), default: str = "en", confidence: float = 0.6) -> Column:

@@ -484,6 +484,26 @@ def _stems(t, spark, sf):
     )
 
 
+_SAID = {  # texts of each language and their stems, from the algorithms' published examples
+    "de": ("Die aufeinanderfolgenden Kategorien und Katzen der Häuser", "aufeinanderfolg kategori katz haus"),
+    "fr": ("La continuation maintenaient majestueusement les contorsions", "continu mainten majestu contors"),
+    "es": ("Los trabajadores rápidamente con torres y chicas", "trabaj rapid torr chic"),
+    "en": ("The cafés are closing the queries", "café close queri"),
+}
+
+
+@query(
+    "text_stems_languages",
+    "SELECT doc_id, lang, CASE lang " + " ".join(f"WHEN '{x}' THEN '{stems}'" for x, (_, stems) in _SAID.items()) + " END AS terms FROM documents WHERE lang IN ('de', 'fr', 'es', 'en')"
+)
+def _stems_languages(t, spark, sf):
+    out = F.lit(None).cast("string")
+    for x, (said, _) in _SAID.items():
+        text = F.concat(F.lit(said), F.when(F.col("doc_id") < 0, F.lit("x")).otherwise(F.lit("")))  # a column: the row's own text
+        out = F.when(F.col("lang") == x, F.array_join(language.analyzed(text, x, stem=True), " ")).otherwise(out)
+    return t("documents").where(F.col("lang").isin(*_SAID)).select("doc_id", "lang", out.alias("terms"))
+
+
 @query(
     "memory_sections",
     "SELECT doc_id * 3 + 2 AS line_no, concat('Section ', CAST(doc_id AS STRING)) AS section, split_part(trim(text), chr(10), 1) AS text FROM documents WHERE doc_id < 100 AND length(split_part(trim(text), chr(10), 1)) > 0"

@@ -235,7 +235,7 @@ def _stream(t, spark, sf):
     "folders_debounced",
     """
     WITH c AS (SELECT concat('f', CAST(user_id % 20 AS STRING)) AS folder, concat('p', CAST(event_id % 50 AS STRING)) AS path, epoch_us(ts) AS us,
-                      CASE WHEN user_id % 4 = 0 THEN 3600 ELSE 1800 END * 1000000 AS wait FROM events),
+                      CAST(CASE WHEN user_id % 4 = 0 THEN 3600 ELSE 1800 END AS BIGINT) * 1000000 AS wait FROM events),
     g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY folder ORDER BY us, path) < wait THEN 0 ELSE 1 END AS opens FROM c),
     b AS (SELECT *, sum(opens) OVER (PARTITION BY folder ORDER BY us, path ROWS UNBOUNDED PRECEDING) AS burst FROM g),
     f AS (SELECT folder, min(us) AS first, max(us) AS last, count(DISTINCT path) AS files, max(wait) AS wait FROM b GROUP BY folder, burst)

@@ -278,3 +278,26 @@ def test_analysis(spark):
     assert got[0] == (["café", "close", "queri"], "en") and got[1] == ([], "en") and got[2][1] == "de" and got[3][1] == "en"
     plain = rows.where("id = 2").select(language.analyzed(F.col("t"), "de")).first()[0]
     assert plain == ["hund", "katze", "haus"]
+
+
+STEMS = {  # pairs of the algorithms' published examples
+    "de": "aufeinander aufeinand aufeinanderbiss aufeinanderbiss aufeinanderfolge aufeinanderfolg aufeinanderfolgend aufeinanderfolg aufeinanderschlügen aufeinanderschlug "
+    "kategorie kategori kategorien kategori kategorisch kategor kategorische kategor kater kat katers kat katze katz katzen katz kätzchen katzch freundlichkeit freundlich",
+    "fr": "continu continu continua continu continuait continu continuant continu continuation continu continué continu continuel continuel continuelle continuel "
+    "continuellement continuel continuera continu continuité continu continuons continuon contorsions contors contour contour contraction contract contradictoirement contradictoir "
+    "contraignit contraign contraindre contraindr mains main maintenaient mainten maintenant mainten maintenir mainten maintenue maintenu maintien maintien majesté majest "
+    "majestueusement majestu majestueux majestu majeur majeur malheureusement malheur",
+    "es": "chicana chican chicas chic chicos chic chicuela chicuel chihuahua chihuahu chileno chilen chimenea chimene tonta tont torbellino torbellin torcido torc torear tor "
+    "torero torer tormenta torment toronto toront torpedearon torped torrealba torrealb torres torr trabajadores trabaj rápidamente rapid cheques chequ",
+}
+
+
+@pytest.mark.parametrize("language", sorted(STEMS))
+def test_published_stems(language):
+    from sparkloft.functions.language import STEMMERS
+
+    words = STEMS[language].split()
+    for word, stem in zip(words[::2], words[1::2], strict=True):
+        assert STEMMERS[language](word) == stem, word
+    for odd in ("", "a", "é", "ß", "y", "qu", "ss", "1", "ñ"):
+        assert isinstance(STEMMERS[language](odd), str)
