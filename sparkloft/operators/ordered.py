@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from sparkloft.storage import checkpointed
 
 RANGES = 64
+PLAIN = 100_000  # rows up to which one task sorts them all
 
 
 def running_total(rows: DataFrame, order: tuple[str, ...], size: str, ranges: int = RANGES) -> DataFrame:
@@ -17,6 +18,9 @@ def running_total(rows: DataFrame, order: tuple[str, ...], size: str, ranges: in
     Rows are dealt out by ranges of the order; each range is summed up, and the sums of the earlier ranges, ``ranges`` at most, are
     added to its own running total. So no task sorts more than its range.
     """
+    if rows.limit(PLAIN + 1).count() <= PLAIN:  # a bounded number of rows: one window holds them, with the same result
+        every = W.Window.orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)
+        return rows.withColumn("before", F.coalesce(F.sum(size).over(every), F.lit(0)))
     placed = checkpointed(rows.repartitionByRange(ranges, *order).withColumn("__part", F.spark_partition_id()))  # fixes the ranges
     sums = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).collect())
     earlier, total = [], 0

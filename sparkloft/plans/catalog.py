@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloft import views
 
-_FAMILIES = ("records", "retrieval", "graph", "ingest", "telemetry", "more", "store", "knowledge", "sources")
+_FAMILIES = ("records", "retrieval", "graph", "ingest", "telemetry", "more", "store", "knowledge", "sources", "cases")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

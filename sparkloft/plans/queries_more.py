@@ -126,7 +126,7 @@ def _invalidate(t, spark, sf):
 
 @query(
     "graph_upsert_edges",
-    ", n AS (SELECT id FROM edges WHERE label = 'in') SELECT e.id, CASE WHEN n.id IS NULL THEN e.valid_from ELSE '2000' END AS valid_from, CASE WHEN n.id IS NULL THEN e.valid_until END AS valid_until FROM edges e LEFT JOIN n ON n.id = e.id",
+    ", n AS (SELECT id FROM edges WHERE label = 'in') SELECT e.id, CASE WHEN n.id IS NULL THEN e.valid_from ELSE substr(concat('2000', n.id), 1, 4) END AS valid_from, CASE WHEN n.id IS NULL THEN e.valid_until END AS valid_until FROM edges e LEFT JOIN n ON n.id = e.id",
     "edges"
 )
 def _upsert(t, spark, sf):
