@@ -16,7 +16,7 @@ from sparkloft.llm.common import small_batches, written
 
 K = 50
 SCALE = 1_000_000_000
-ITEMS = 512  # items that are searched in one pass; more are searched in blocks of so many
+ITEMS = 512  # items that are searched in one pass; more are searched in blocks of half as many
 CELLS = 1 << 22  # of a shard's forward index: documents times terms, 4 bytes each
 STEP = 64  # places of each list that are read before the threshold is looked at first; twice as many each time
 FLOOR_SHARE = 8  # one document in so many sets the floor below which no document can be among the best
@@ -226,22 +226,23 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     are one item with the terms of all; a null id is an item too. Repeated rows of documents are documents of their own; a null
     doc_id comes first among equal scores. Empty tables give no row.
 
-    Items are taken 512 at a time, as queries are. The texts are read once a block: a forward index of the items' terms is written, and
+    Up to 512 items are taken at once, more in blocks by a hash. The texts are read once a block: a forward index of the items' terms is written, and
     statistics come from all of it. A task searches its shards one after another, each by the threshold algorithm; a shard is so
     small that its forward index has four million cells. The k-th best score of an eighth of the documents is a floor for all:
     k documents reach it, so what scores less is not among the best, and shards stop early and send little. No document is left out.
     """
     spark = docs.sparkSession
-    cell = W.Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(ITEMS))).orderBy("id")
-    ids = items.select(F.col("item_id").alias("id")).distinct().withColumn("block", F.row_number().over(cell) - 1)
-    # the k-th id of each of 512 cells goes to block k: a block has at most 512 items, and no window holds them all
+    ids = items.select(F.col("item_id").alias("id")).distinct()
+    n = ids.count()
+    blocks = 1 if n <= ITEMS else -(-2 * n // ITEMS)  # by a hash, half full on average
+    ids = ids.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     placed = written(items.select("item_id", "text").join(ids, F.col("item_id").eqNullSafe(F.col("id"))).select("item_id", "text", "block"), "items")
     of_item = items.schema["item_id"].dataType.simpleString()
     out = spark.createDataFrame([], f"item_id {of_item}, rank int, doc_id long, score long")
-    for block in range((placed.agg(F.max("block")).first()[0] or 0) + 1):
+    for block in range(blocks):
         rows = placed.where(F.col("block") == block)
         texts, known = {}, {}
-        for item_id, text in rows.select("item_id", "text").collect():  # at most 512 items
+        for item_id, text in rows.select("item_id", "text").collect():  # a block of items
             texts.setdefault(known.setdefault(item_id, len(known)), []).append(text)
         if not texts:
             continue
