@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from sparkloft.functions.text import prefix_swap
-from sparkloft.storage import checkpointed
+from sparkloft.storage import checkpointed, written
 
 # Fixed vocabulary: the predicates along which a change has an impact.
 IMPACT_PREDICATES = ("calls", "imports", "references", "depends_on", "handled_by", "extends", "implements", "decorated_by", "defined_in")
@@ -170,7 +170,7 @@ def co_changed(edges: DataFrame, file_id: str, min_shared: int = 2, limit: int =
 def impact(edges: DataFrame, node_id: str, max_depth: int = 3, predicates=IMPACT_PREDICATES, limit: int = 200) -> DataFrame:
     """(id, depth, via): what depends on a node, at the depth it is first reached; via is the least predicate of that step.
 
-    One join for each level; the levels are few and the frontier alone is joined.
+    One join for each level; the levels are few and the frontier alone is joined. Each is checkpointed, so that none repeats the ones before.
     """
     e = edges.where(valid() & F.col("label").isin(*predicates)).select("source_id", "target_id", "label")
     seen = edges.sparkSession.createDataFrame([(node_id, 0, None)], "id string, depth int, via string")
@@ -179,52 +179,75 @@ def impact(edges: DataFrame, node_id: str, max_depth: int = 3, predicates=IMPACT
         step = e.join(
             frontier.select(F.col("id").alias("target_id")), "target_id"
         ).groupBy(F.col("source_id").alias("id")).agg(F.min("label").alias("via"))
-        frontier = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via")
+        frontier = checkpointed(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via"))
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0").orderBy("depth", "id").limit(limit)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    """(a, b, edge): open edges, walked either way."""
-    e = edges.where(valid())
+    """(a, b, edge): open edges, walked either way. They are written once, as every level reads them."""
+    e = written(edges.where(valid()).select("id", "source_id", "target_id"), "open-edges")
     there = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("id").alias("edge"))
     return there.unionByName(e.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), F.col("id").alias("edge"))).where("a <> b")
 
 
-def _walk(edges: DataFrame, src: str, dst: str, max_depth: int) -> list[DataFrame] | None:
-    """By level, the steps (a, b, edge) that reach nodes for the first time, up to the level that reaches ``dst``; None if none does.
+def _walk(edges: DataFrame, src: str, dst: str, max_depth: int, guard: int | None = None) -> tuple[list[DataFrame] | None, list[int]]:
+    """(by level from ``src``, the steps (a, b, edge) of shortest paths; sizes of the frontiers). No steps if ``dst`` is not within reach.
 
-    A level is one join of the frontier with the edges. Each is checkpointed, so that the next one neither repeats nor depends on it.
+    Both ends grow, whichever frontier has fewer edges to follow, until one comes upon a node of the other's: a hub on one side is not walked through
+    where the other side gets there first. A level is one join of a frontier with the edges, and is checkpointed, so that the next one
+    neither repeats nor depends on it. The search gives up when it has visited more than ``guard`` nodes.
     """
     both = _both_ways(edges)
-    frontier = edges.sparkSession.createDataFrame([(src,)], "id string")
-    seen, steps = frontier, []
+    sides = []
+    for end in (src, dst):
+        start = edges.sparkSession.createDataFrame([(end,)], "id string")
+        sides.append({"frontier": start, "seen": start, "steps": [], "ways": None})
+    sizes: list[int] = []
     for _ in range(max_depth):
-        step = both.join(frontier.select(F.col("id").alias("a")), "a").join(seen.select(F.col("id").alias("b")), "b", "left_anti")
-        steps.append(checkpointed(step.select("a", "b", "edge")))
-        frontier = steps[-1].select(F.col("b").alias("id")).distinct()
-        if not frontier.where(F.col("id") == dst).isEmpty():
-            return steps
-        if frontier.isEmpty():
-            return None
-        seen = seen.unionByName(frontier)
-    return None
-
-
-def shortest_path_length(edges: DataFrame, src: str, dst: str, max_depth: int = 6) -> int | None:
-    """Hops between two nodes over open edges, either way; stops at the level that reaches the target."""
+        if guard is not None and sum(sizes) > guard:
+            return None, sizes
+        for side in sides:
+            if side["ways"] is None:  # edges to follow: a hub is one node
+                side["ways"] = both.join(side["frontier"].select(F.col("id").alias("a")), "a", "left_semi").count()
+        near, far = sorted(sides, key=lambda x: x["ways"])
+        step = both.join(near["frontier"].select(F.col("id").alias("a")), "a").join(near["seen"].select(F.col("id").alias("b")), "b", "left_anti")
+        near["steps"].append(checkpointed(step.select("a", "b", "edge")))
+        near["frontier"] = near["steps"][-1].select(F.col("b").alias("id")).distinct()
+        near["ways"] = None
+        sizes.append(near["frontier"].count())
+        if not sizes[-1]:
+            return None, sizes
+        near["seen"] = near["seen"].unionByName(near["frontier"])
+        met = near["frontier"].join(far["frontier"], "id", "left_semi")
+        if not met.isEmpty():
+            break
+    else:
+        return None, sizes
+    steps = list(sides[0]["steps"])
+    for step in reversed(sides[1]["steps"]):  # of the far side only what leads from where they met to the target
+        used = step.join(met.select(F.col("id").alias("b")), "b", "left_semi")
+        steps.append(checkpointed(used.select(F.col("b").alias("a"), F.col("a").alias("b"), "edge")))
+        met = steps[-1].select(F.col("b").alias("id")).distinct()
+    return steps, sizes
+
+
+def shortest_path_length(edges: DataFrame, src: str, dst: str, max_depth: int = 6, guard: int | None = None) -> int | None:
+    """Hops between two nodes over open edges, either way; stops where the two ends meet."""
     if src == dst:
         return 0
-    steps = _walk(edges, src, dst, max_depth)
+    steps, _ = _walk(edges, src, dst, max_depth, guard)
     return None if steps is None else len(steps)
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, src: str, dst: str, max_depth: int = 6, limit: int = 5, domains=()) -> DataFrame:
+def shortest_paths(
+    nodes: DataFrame, edges: DataFrame, src: str, dst: str, max_depth: int = 6, limit: int = 5, domains=(), guard: int | None = None
+) -> DataFrame:
     """(path, nodes, edges, length): up to ``limit`` shortest paths between two nodes over open edges, either way.
 
     nodes and edges list ids from ``src`` on. Parallel edges make paths of their own. Which paths stay, and their numbers, go by the
     ids of nodes and edges, read from the target back. With ``domains`` both ends of an edge must lie in one of them. No path, or an
-    end that is no node: no rows.
+    end that is no node, or more than ``guard`` nodes on the way: no rows.
     """
     spark = edges.sparkSession
     none = "path int, nodes array<string>, edges array<string>, length int"
@@ -237,11 +260,11 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, src: str, dst: str, max_d
         inside = nodes.where(F.col("domain").isin(*domains)).select("id")
         for end in ("source_id", "target_id"):
             edges = edges.join(inside.withColumnRenamed("id", end), end, "left_semi")
-    steps = _walk(edges, src, dst, max_depth)
+    steps, _ = _walk(edges, src, dst, max_depth, guard)
     if steps is None:
         return spark.createDataFrame([], none)
     back = spark.createDataFrame([(dst, [dst], [])], "at string, back array<string>, over array<string>")
-    for step in reversed(steps):  # every node of a level leads back to the source, so a cut to ``limit`` loses none of the first ones
+    for step in reversed(steps):  # every node that is come by leads back to the source, so a cut to ``limit`` loses none of the first ones
         back = back.join(step, back["at"] == step["b"]).select(
             F.col("a").alias("at"), F.concat("back", F.array("a")).alias("back"), F.concat("over", F.array("edge")).alias("over")
         )
@@ -258,7 +281,7 @@ def levels(edges: DataFrame, src: str, max_depth: int = 3) -> DataFrame:
     frontier = seen
     for depth in range(1, max_depth + 1):
         step = both.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        frontier = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"))
+        frontier = checkpointed(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth")))
         seen = seen.unionByName(frontier)
     return seen
 
