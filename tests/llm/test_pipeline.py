@@ -87,7 +87,11 @@ def test_line_dedup_sql(spark):
     assert compare(spark, connect(SF), q.queries()["op1_line_dedup"], q.oracle_sql()["op1_line_dedup"], SF) is None
 
 
+def test_threshold_search_sql(spark):
+    assert compare(spark, connect(SF), q.queries()["op11_threshold_search"], q.oracle_sql()["op11_threshold_search"], SF) is None
+
+
 def test_names():
     assert os.path.exists(corpus_pipeline.__file__) and sorted(n.split("_")[0] for n in q.queries()) == sorted(
-        [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+        [*(f"op{k}" for k in range(1, 14)), "pipeline"]
     )
