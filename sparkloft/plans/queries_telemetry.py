@@ -253,3 +253,21 @@ def _debounced(t, spark, sf):
 
     out = watched(spark, f"{sf}/events.parquet", changes, debounce=1800.0)
     return out.select("folder", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "files", "queued")
+
+
+@query(
+    "stream_call_budget",
+    """
+    WITH c AS (SELECT event_id AS id, concat('u', CAST(user_id AS STRING)) AS key, epoch_us(ts) AS us FROM events),
+    n AS (SELECT key, id, us, count(*) OVER (PARTITION BY key ORDER BY us RANGE BETWEEN 43200000000 PRECEDING AND CURRENT ROW) AS in_hour FROM c)
+    SELECT key, id, in_hour, in_hour <= 2 AS allowed FROM n WHERE us <= (SELECT max(us) // 1000 * 1000 FROM c)
+    """,
+)
+def _call_budget(t, spark, sf):
+    """Events as calls of users: two in twelve hours fit."""
+    from sparkloft.streaming.budget import judged
+
+    def calls(events):
+        return events.select(F.concat(F.lit("u"), F.col("user_id")).alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+
+    return judged(spark, f"{sf}/events.parquet", calls, budget=2, seconds=43200.0).select("key", "id", "in_hour", "allowed")

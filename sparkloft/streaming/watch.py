@@ -81,7 +81,7 @@ class _Bursts(StatefulProcessor):
 
 
 @contextlib.contextmanager
-def _state_store(spark: SparkSession):
+def state_store(spark: SparkSession):
     """The state store that keyed timers need, for queries that start meanwhile; the session's setting comes back."""
     old = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, _ROCKS)
@@ -109,7 +109,7 @@ def watch(changes: DataFrame, out: str, state: str, once: bool = False, **rules)
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    with _state_store(spark):
+    with state_store(spark):
         w = quiet_folders(changes, **rules).writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", state)
         return (w.trigger(availableNow=True) if once else w.trigger(processingTime="5 seconds")).start()
 
