@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from sparkloft.operators.ordered import running_total
 
 
 def alias_valid(at: str) -> Column:
@@ -17,22 +20,61 @@ def resolve(aliases: DataFrame, surface: str, scope: str | None, at: str) -> Dat
     return aliases.where(where).select("person_id").distinct()
 
 
+_NAME = ("k", "timeless")  # mentions without a time see only aliases that are always valid: they are names of their own
+_LAST = "\U0010ffff"  # after every time
+_BASE = "10000000000000000000000"  # one person counts as this, plus the person's number
+
+
+def _spans(aliases: DataFrame) -> DataFrame:
+    """(k, timeless, scope, person, lo, hi): when a person has a name in a scope, in spans that neither touch nor overlap."""
+    open_ended = F.col("valid_from").isNull() & F.col("valid_to").isNull()
+    rows = aliases.where("surface IS NOT NULL AND person IS NOT NULL").select(
+        F.lower("surface").alias("k"), "scope", "person", F.coalesce("valid_from", F.lit("")).alias("lo"), F.coalesce("valid_to", F.lit(_LAST)).alias("hi"),
+        F.explode(F.when(open_ended, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("timeless")
+    ).where("lo < hi").distinct()
+    one = W.Window.partitionBy(*_NAME, "scope", "person").orderBy("lo", "hi")
+    begins = F.coalesce(F.col("lo") > F.max("hi").over(one.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(True))
+    rows = rows.withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(one.rowsBetween(W.Window.unboundedPreceding, 0)))
+    return rows.groupBy(*_NAME, "scope", "person", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+
+
 def resolve_all(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """(mention_id, person_id, candidates) of (mention_id, surface, scope, at): the person if there is just one candidate.
 
-    An equi-join on the name carries the scope and validity as residual conditions.
+    A sweep instead of a join on the name: each person's validity becomes a step up and a step down on the line of (name, scope, time),
+    a mention is a point on it, and the running total of the steps before it holds how many people the name means there and the sum
+    of their numbers, which is the person's own number if there is one. Steps of a name add up to zero, so a total over
+    all rows, by ranges, is a total in each name: no name, however common, meets in one task, and no pair of a mention and an alias is made.
+    A mention reads two lines, of the aliases of any scope and of its own; who is on both counts once.
+    Null names have no candidate; a null time meets only aliases that are always valid. Equal mentions count once.
     """
-    a = aliases.select(F.lower("surface").alias("k"), F.col("scope").alias("a_scope"), "person_id", "valid_from", "valid_to")
-    m = mentions.withColumn("k", F.lower("surface"))
-    hit = m.join(
-        a,
-        (m["k"] == a["k"]) & (
-            F.col("a_scope").isNull() | F.col("a_scope").eqNullSafe(F.col("scope"))
-        ) & (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("at"))) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("at"))),
-        "left"
+    people = aliases.where("person_id IS NOT NULL").select("person_id").distinct()
+    people = running_total(people.withColumn("one", F.lit(1)), ("person_id",), "one").select(F.col("before").cast("decimal(38,0)").alias("person"), "person_id")
+    spans = _spans(aliases.join(people, "person_id"))
+    wide = spans.where("scope IS NULL").select(*_NAME, "person", F.col("lo").alias("w_lo"), F.col("hi").alias("w_hi"))
+    both = spans.where("scope IS NOT NULL").join(wide, [*_NAME, "person"]).where("lo < w_hi AND w_lo < hi").select(
+        *_NAME, "scope", "person", F.greatest("lo", "w_lo").alias("lo"), F.least("hi", "w_hi").alias("hi")
+    )
+    worth = (F.lit(_BASE).cast("decimal(38,0)") + F.col("person")).cast("decimal(38,0)")
+    steps = spans.withColumn("step", worth).unionByName(both.withColumn("step", (-worth).cast("decimal(38,0)"))).select(
+        *_NAME, "scope", F.inline(F.array(F.struct(F.col("lo").alias("at"), "step"), F.struct(F.col("hi").alias("at"), (-F.col("step")).alias("step"))))
+    )
+    nothing = F.lit(None)
+    steps = steps.select(*_NAME, "scope", "at", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"), "step", *(nothing.alias(f"m_{c}") for c in ("id", "scope", "at")))
+    asked = mentions.select("mention_id", F.lower("surface").alias("k"), "scope", "at").distinct().select(
+        "k", F.col("at").isNull().alias("timeless"), F.explode(F.array_distinct(F.array(nothing.cast("string"), "scope"))).alias("line"),
+        F.coalesce("at", F.lit("")).alias("at"), F.lit(1).alias("kind"), F.xxhash64("mention_id").alias("tie"), F.lit(0).cast("decimal(38,0)").alias("step"),
+        F.col("mention_id").alias("m_id"), F.col("scope").alias("m_scope"), F.col("at").alias("m_at")
+    ).withColumnRenamed("line", "scope")
+    swept = running_total(steps.unionByName(asked), (*_NAME, "scope", "at", "kind", "tie"), "step").where("kind = 1")
+    found = swept.groupBy("m_id", "k", "m_scope", "m_at").agg(F.sum("before").cast("decimal(38,0)").alias("total"))
+    found = found.select(
+        F.col("m_id").alias("mention_id"), F.expr(f"total div CAST({_BASE} AS DECIMAL(38,0))").alias("candidates"),
+        F.expr(f"total % CAST({_BASE} AS DECIMAL(38,0))").cast("decimal(38,0)").alias("person")
     )
-    out = hit.groupBy("mention_id").agg(F.countDistinct("person_id").alias("candidates"), F.min("person_id").alias("p"))
-    return out.select("mention_id", F.when(F.col("candidates") == 1, F.col("p")).alias("person_id"), "candidates")
+    nobody = F.xxhash64("mention_id").cast("decimal(38,0)") - F.lit("18446744073709551616").cast("decimal(38,0)")  # below every number; not null, so such rows spread in the join
+    number = F.when(F.col("candidates") == 1, F.col("person")).otherwise(nobody).cast("decimal(38,0)")
+    return found.withColumn("person", number).join(people, "person", "left").select("mention_id", "person_id", "candidates")
 
 
 def persons_for_ref(links: DataFrame, ref: str) -> DataFrame:

@@ -12,22 +12,25 @@ RANGES = 64
 PLAIN = 100_000  # rows up to which one task sorts them all
 
 
-def running_total(rows: DataFrame, order: tuple[str, ...], size: str, ranges: int = RANGES) -> DataFrame:
+def running_total(rows: DataFrame, order: tuple[str, ...], size: str, ranges: int | None = None) -> DataFrame:
     """Adds before: the sum of ``size`` over all rows that come earlier in the order (which should be total).
 
     Rows are dealt out by ranges of the order; each range is summed up, and the sums of the earlier ranges, ``ranges`` at most, are
-    added to its own running total. So no task sorts more than its range.
+    added to its own running total. So no task sorts more than its range. There are as many ranges as the session has shuffle
+    partitions, 64 at least.
     """
+    ranges = ranges or max(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if rows.limit(PLAIN + 1).count() <= PLAIN:  # a bounded number of rows: one window holds them, with the same result
         every = W.Window.orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)
         return rows.withColumn("before", F.coalesce(F.sum(size).over(every), F.lit(0)))
     placed = checkpointed(rows.repartitionByRange(ranges, *order).withColumn("__part", F.spark_partition_id()))  # fixes the ranges
-    sums = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).collect())
-    earlier, total = [], 0
+    totals = placed.groupBy("__part").agg(F.coalesce(F.sum(size), F.lit(0)).alias("n"))
+    sums = sorted((r["__part"], r["n"]) for r in totals.collect())
+    earlier, total = [], sums[0][1] * 0 if sums else 0  # zero of the sum's own type
     for part, n in sums:
         earlier.append((part, total))
         total += n
-    kind = "double" if isinstance(total, float) else "long"
+    kind = totals.schema["n"].dataType.simpleString()
     starts = rows.sparkSession.createDataFrame(earlier, f"__part int, __earlier {kind}")
     run = F.sum(size).over(W.Window.partitionBy("__part").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1))
     out = placed.withColumn("__run", F.coalesce(run, F.lit(0))).join(F.broadcast(starts), "__part")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloft.operators import graph, language_profiles, records, tiers
+from sparkloft.operators import graph, identity, language_profiles, records, tiers
 from sparkloft.plans import compilers, queries_knowledge  # noqa: F401 (registers graph_chunks, whose SQL is read below)
 from sparkloft.plans.catalog import _SQL, query, rounded
 from sparkloft.sources import files
@@ -212,3 +212,33 @@ def _detected(t, spark, sf):
     """Every document's language by profiles of all documents."""
     profiles = language_profiles.Profiles.of(language_profiles.counts(t("documents")))
     return t("documents").select("doc_id", language_profiles.detected(F.col("text"), profiles).alias("language"))
+
+
+@query(
+    "identity_resolve_history",
+    "WITH a AS (SELECT concat('n', CAST(c_custkey % 300 AS STRING)) AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('s', CAST(c_nationkey % 4 AS STRING)) END AS scope, c_custkey AS person_id, lpad(CAST(c_custkey % 200 AS STRING), 4, '0') AS f, lpad(CAST(c_custkey % 200 + 60 AS STRING), 4, '0') AS u FROM customer "
+    "UNION ALL SELECT concat('n', CAST(c_custkey % 300 AS STRING)), concat('s', CAST(c_custkey % 4 AS STRING)), c_custkey, lpad(CAST(c_custkey % 200 + 30 AS STRING), 4, '0'), NULL FROM customer), "
+    "m AS (SELECT o_orderkey AS mention_id, concat('n', CAST(o_orderkey % 310 AS STRING)) AS k, CASE WHEN o_custkey % 5 = 4 THEN NULL ELSE concat('s', CAST(o_custkey % 5 AS STRING)) END AS scope, lpad(CAST(o_orderkey % 290 AS STRING), 4, '0') AS t FROM orders) "
+    "SELECT mention_id, CASE WHEN count(DISTINCT person_id) = 1 THEN min(person_id) END AS person_id, count(DISTINCT person_id) AS candidates FROM m LEFT JOIN a ON a.k = m.k AND (a.scope IS NULL OR a.scope = m.scope) AND f <= t AND (u IS NULL OR u > t) GROUP BY 1",
+)
+def _resolve_history(t, spark, sf):
+    """Every order as a mention of a name that many share over time, each person with two aliases that overlap."""
+
+    def at(n):
+        return F.lpad(n.cast("string"), 4, "0")
+
+    key, name = F.col("c_custkey"), F.concat(F.lit("N"), (F.col("c_custkey") % 300).cast("string")).alias("surface")
+    first = t("customer").select(
+        name, F.when(key % 3 != 0, F.concat(F.lit("s"), (F.col("c_nationkey") % 4).cast("string"))).alias("scope"), key.alias("person_id"),
+        at(key % 200).alias("valid_from"), at(key % 200 + 60).alias("valid_to")
+    )
+    second = t("customer").select(
+        name, F.concat(F.lit("s"), (key % 4).cast("string")).alias("scope"), key.alias("person_id"), at(key % 200 + 30).alias("valid_from"),
+        F.lit(None).cast("string").alias("valid_to")
+    )
+    o = F.col("o_orderkey")
+    asked = t("orders").select(
+        o.alias("mention_id"), F.concat(F.lit("n"), (o % 310).cast("string")).alias("surface"),
+        F.when(F.col("o_custkey") % 5 != 4, F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string"))).alias("scope"), at(o % 290).alias("at")
+    )
+    return identity.resolve_all(asked, first.unionByName(second))
