@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloft.functions.text import chunk_id
+from sparkloft.operators import code_blocks
 
 SIZE, OVERLAP = 512, 50  # tokens of about four characters
 LINES, LINE_OVERLAP, CHARS = 40, 15, 1500
@@ -95,15 +96,20 @@ def symbol_of(symbols: list[tuple[str, str, int, int]], first: int, last: int):
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """(source, chunk_index, total_chunks, text, start_line, end_line, symbol_name, symbol_kind, chunk_id) of files (source, text, source_type, language)."""
+    """(source, chunk_index, total_chunks, text, start_line, end_line, symbol_name, symbol_kind, chunk_id) of files (source, text, source_type, language).
+
+    Code of brace languages is cut at block borders, other code and code without a block in windows of lines.
+    """
 
     def run(batches):
         for pdf in batches:
             out = []
             for source, text, kind, lang in zip(pdf["source"], pdf["text"], pdf["source_type"], pdf["language"], strict=True):
                 if kind == "code":
-                    symbols = python_symbols(text or "") if lang == "python" else []
-                    parts = [(t, a, b, symbol_of(symbols, a, b)) for a, b, t in split_code(text or "")]
+                    parts, symbols = [], python_symbols(text or "") if lang == "python" else []
+                    if lang in code_blocks.BRACES:
+                        parts, symbols = code_blocks.split_blocks(text or "", lang, LINES, CHARS), code_blocks.symbols(text or "", lang)
+                    parts = [(t, a, b, symbol_of(symbols, a, b)) for a, b, t in parts or split_code(text or "")]
                 else:
                     parts = [(t, None, None, None) for t in split_text(text or "")]
                 out += [(source, i, len(parts), t, a, b, s and s[0], s and s[1]) for i, (t, a, b, s) in enumerate(parts)]

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloft.operators import graph, identity, language_profiles, records, tiers
+from sparkloft.operators import chunking, graph, identity, language_profiles, records, tiers
 from sparkloft.plans import compilers, queries_knowledge  # noqa: F401 (registers graph_chunks, whose SQL is read below)
 from sparkloft.plans.catalog import _SQL, query, rounded
 from sparkloft.sources import files
@@ -242,3 +242,42 @@ def _resolve_history(t, spark, sf):
         F.when(F.col("o_custkey") % 5 != 4, F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string"))).alias("scope"), at(o % 290).alias("at")
     )
     return identity.resolve_all(asked, first.unionByName(second))
+
+
+_BLOCKS = "SELECT p_partkey AS id, p_partkey % 4 AS lang, 25 + p_size % 10 AS h, 1 + p_size % 4 AS n FROM part"
+
+
+@query(
+    "code_chunks_blocks",
+    f"WITH p AS ({_BLOCKS}) SELECT id, CAST(j AS INT) AS chunk_index, CAST(1 + j * h AS INT) AS start_line, CAST((j + 1) * h AS INT) AS end_line, concat('F', CAST(j AS STRING)) AS symbol_name, 'function' AS symbol_kind "
+    "FROM p, (SELECT unnest(range(0, 4)) AS j) AS s WHERE j < n UNION ALL "
+    "SELECT id, CAST(n + j AS INT), CAST(n * h + 1 + j * (h + 1) AS INT), CAST(n * h + (j + 1) * (h + 1) AS INT), concat('M', CAST(j AS STRING)), 'method' FROM p, (SELECT unnest(range(0, 2)) AS j) AS s WHERE lang IN (1, 2)",
+)
+def _chunks_blocks(t, spark, sf):
+    """Chunks of a file in Go, Java, TypeScript or Rust for each part: functions, and a class that is larger than a chunk; braces also in comments and strings."""
+    lang, size = F.col("p_partkey") % 4, F.col("p_size") % 10
+
+    def block(head, inner: str, j):
+        body = F.array_repeat(F.lit(inner + '  call("}"); // {'), (size + 22).cast("int"))
+        return F.array_join(F.concat(F.array(F.concat(F.lit(inner + "// {"), j), head), body, F.array(F.lit(inner + "}"))), "\n")
+
+    def pick(go: str, java: str, ts: str, rust: str, j):
+        one = F.when(lang == 0, go).when(lang == 1, java).when(lang == 2, ts).otherwise(rust)
+        return F.replace(one, F.lit("#"), j)
+
+    def function(j):
+        j = j.cast("string")
+        heads = ("func F#(x int) int {", "public static int F#(int x) {", "export function F#(x: number): number {", "pub fn F#<'a>(x: &'a str) -> i64 {")
+        return block(pick(*heads, j), "", j)
+
+    def method(j: str):
+        return block(pick("", "  private int M#(int x) {", "  M#(x: number): number {", "", F.lit(j)), "  ", F.lit(j))
+
+    functions = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), function), "\n")
+    body = F.when(lang.isin(1, 2), F.concat_ws("\n", functions, F.lit("class T {"), method("0"), method("1"), F.lit("}"))).otherwise(functions)
+    rows = t("part").select(
+        F.col("p_partkey").cast("string").alias("source"), body.alias("text"), F.lit("code").alias("source_type"),
+        F.when(lang == 0, "go").when(lang == 1, "java").when(lang == 2, "typescript").otherwise("rust").alias("language")
+    )
+    out = chunking.chunk_files(rows)
+    return out.select(F.col("source").cast("long").alias("id"), "chunk_index", "start_line", "end_line", "symbol_name", "symbol_kind")
