@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from sparkloft.functions.text import prefix_swap
+from sparkloft.operators.ordered import newest
 from sparkloft.storage import checkpointed, written
 
 # Fixed vocabulary: the predicates along which a change has an impact.
@@ -384,10 +385,9 @@ def link_entities(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("mention", F.coalesce("m1", "m2", "m3").alias("node_id"))
 
 
-def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New nodes replace old ones of their id; empty incoming properties keep the old ones."""
-    w = W.Window.partitionBy("id").orderBy(F.desc("pos"))
-    last = new.withColumn("pos", F.monotonically_increasing_id()).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "pos")
+def upsert_nodes(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """New nodes replace old ones of their id; empty incoming properties keep the old ones. Of new rows with one id the last in the order counts."""
+    last = newest(new, ("id",), order)
     names = old.columns
     merged = old.alias("o").join(last.alias("n"), "id", "full_outer")
     cols = []
@@ -405,9 +405,9 @@ def edge_id(source: Column, label: Column, target: Column) -> Column:
     return F.concat_ws("␟", source, label, target)
 
 
-def upsert_edges(old: DataFrame, new: DataFrame, now: str) -> DataFrame:
-    """Writing an edge again opens it: valid_from is ``now`` unless given, valid_until is null unless given."""
-    fresh = new.withColumn("valid_from", F.coalesce("valid_from", F.lit(now))).dropDuplicates(["id"])
+def upsert_edges(old: DataFrame, new: DataFrame, now: str, order: str | None = None) -> DataFrame:
+    """Writing an edge again opens it: valid_from is ``now`` unless given, valid_until is null unless given. Of new rows with one id the last in the order counts."""
+    fresh = newest(new.withColumn("valid_from", F.coalesce("valid_from", F.lit(now))), ("id",), order)
     return old.join(fresh.select("id"), "id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
@@ -468,9 +468,9 @@ def metadata_triples(chunks: DataFrame) -> DataFrame:
     )
 
 
-def set_properties(nodes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Merges properties (id, properties) into nodes that exist; the new value of a key wins."""
-    new = changes.groupBy("id").agg(F.last("properties").alias("__new"))
+def set_properties(nodes: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """Merges properties (id, properties) into nodes that exist; the new value of a key wins. Of changes to one id the last in the order counts."""
+    new = newest(changes, ("id",), order).select("id", F.col("properties").alias("__new"))
     old = F.coalesce("properties", F.create_map().cast("map<string,string>"))
     fresh = F.coalesce("__new", F.create_map().cast("map<string,string>"))
     return nodes.join(new, "id", "left").withColumn(

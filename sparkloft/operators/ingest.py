@@ -11,13 +11,12 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from sparkloft.functions.text import rendered_turn, token_estimate
+from sparkloft.operators.ordered import newest
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
     """Merge emulation: the last of ``new`` for each key replaces the old row."""
-    pos = F.col(order) if order else F.monotonically_increasing_id()
-    w = W.Window.partitionBy(*key).orderBy(F.desc("__pos"))
-    last = new.withColumn("__pos", pos).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__pos")
+    last = newest(new, tuple(key), order)
     return old.join(last.select(*key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 

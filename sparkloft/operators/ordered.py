@@ -1,8 +1,8 @@
-"""Running totals over a whole table without a window in one task."""
+"""Order over whole tables without a window in one task: running totals, values at ranks, the newest row of a key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -37,6 +37,22 @@ def running_total(rows: DataFrame, order: tuple[str, ...], size: str, ranges: in
     return out.withColumn("before", F.col("__earlier") + F.col("__run")).drop("__part", "__run", "__earlier")
 
 
+def place(rows: DataFrame, order: str | None) -> Column:
+    """What ``newest`` compares: the order column, equal ones by what the row holds; without an order, the place in the input.
+
+    The place is well defined only for rows straight from a list or file; rows out of a shuffle need an order column.
+    """
+    if order is None:
+        return F.monotonically_increasing_id()
+    return F.struct(F.col(order), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
+
+
+def newest(rows: DataFrame, key: tuple[str, ...], order: str | None = None) -> DataFrame:
+    """Of each key the row that is last in the order (null comes first). An aggregate, so a hot key is cut in each task before the shuffle."""
+    placed = rows.select(*key, F.struct(*rows.columns).alias("__row"), place(rows, order).alias("__at"))
+    return placed.groupBy(*key).agg(F.max_by("__row", "__at").alias("__row")).select("__row.*")
+
+
 def at_ranks(values: DataFrame, column: str, ranks: dict[str, int]) -> dict[str, float | None]:
     """The values at given ranks (from 0) of a sorted column; its different values are counted first. None where a rank is beyond the rows."""
     counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("m"))

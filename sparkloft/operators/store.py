@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloft.operators.ordered import newest, place
 from sparkloft.operators.retrieval import top
 
 # Keys of a hit that its metadata does not repeat.
@@ -38,19 +39,20 @@ def metadata(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     return chunks.select(*columns).join(wanted.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
-def insert_only(chunks: DataFrame, new: DataFrame) -> DataFrame:
-    """Adds the chunks whose ids are not there yet; those that are stay as they are. Of rows with one id in ``new`` one is added."""
-    fresh = new.dropDuplicates(["chunk_id"]).join(chunks.select("chunk_id"), "chunk_id", "left_anti")
+def insert_only(chunks: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Adds the chunks whose ids are not there yet; those that are stay as they are. Of rows with one id in ``new`` the last in the order is added."""
+    fresh = newest(new, ("chunk_id",), order).join(chunks.select("chunk_id"), "chunk_id", "left_anti")
     return chunks.unionByName(fresh, allowMissingColumns=True)
 
 
-def update(chunks: DataFrame, changes: DataFrame) -> DataFrame:
+def update(chunks: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
     """Sets columns of chunks that exist: of changes (chunk_id, ...) the columns that are not null. Unknown ids change nothing.
 
-    Metadata and embeddings are updated this way without the text being touched.
+    Metadata and embeddings are updated this way without the text being touched. Of changes to one column of a chunk the last in the order counts.
     """
     columns = [c for c in changes.columns if c != "chunk_id" and c in chunks.columns]
-    new = changes.groupBy("chunk_id").agg(*[F.last(c, ignorenulls=True).alias(f"__{c}") for c in columns])
+    placed = changes.withColumn("__at", place(changes, order))
+    new = placed.groupBy("chunk_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__at"))).alias(f"__{c}") for c in columns])
     joined = chunks.join(new, "chunk_id", "left")
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in chunks.columns])
 
@@ -67,10 +69,10 @@ def delete_ids(chunks: DataFrame, gone: DataFrame) -> DataFrame:
     return chunks.join(gone.select("chunk_id").distinct(), "chunk_id", "left_anti")
 
 
-def swap(chunks: DataFrame, new: DataFrame, deferred: DataFrame) -> DataFrame:
+def swap(chunks: DataFrame, new: DataFrame, deferred: DataFrame, order: str | None = None) -> DataFrame:
     """Add, then take away: a file's new chunks replace those of their ids, then the ids whose removal was put off go, but for those
     that the new chunks brought back. deferred: (chunk_id)."""
-    added = delete_ids(chunks, new).unionByName(new.dropDuplicates(["chunk_id"]), allowMissingColumns=True)
+    added = delete_ids(chunks, new).unionByName(newest(new, ("chunk_id",), order), allowMissingColumns=True)
     return delete_ids(added, deferred.select("chunk_id").join(new.select("chunk_id"), "chunk_id", "left_anti"))
 
 

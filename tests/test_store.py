@@ -150,3 +150,26 @@ def test_service_graph(spark):
     assert engine._vocabulary(
         Request("purchases in d1")
     )["metric"] == ["purchase"] and engine._vocabulary(Request("purchases in d1"))["domain"] == ["d1"]
+
+
+def test_the_last_in_the_order_wins_wherever_it_lies(spark):
+    from sparkloft.operators import graph, ingest, store
+
+    rows = [(f"k{k}", v, f"t{(v * 7) % 10}", {"a": str(v)}) for k in range(20) for v in range(10)] + [("k0", 3, None, {"a": "x"})]
+    want = {f"k{k}": max((r for r in rows if r[0] == f"k{k}"), key=lambda r: (r[2] is not None, r[2] or "")) for k in range(20)}
+    new = spark.createDataFrame(rows, "id string, v long, at string, properties map<string,string>")
+    old = spark.createDataFrame([("k1", -1, "t", {"b": "1"}), ("zz", -2, "t", {"b": "2"})], new.schema)
+    plain = [c for c in new.columns if c != "properties"]
+    for dealt in (new.repartition(7), new.orderBy("v").coalesce(1), new.orderBy(new["v"].desc()).repartition(3, "at")):
+        nodes = {r["id"]: (r["v"], r["properties"]["a"]) for r in graph.upsert_nodes(old, dealt, "at").where("id <> 'zz'").collect()}
+        assert nodes == {k: (r[1], r[3]["a"]) for k, r in want.items()}
+        edges = graph.upsert_edges(old.select("id", "v").selectExpr("*", "'s' AS valid_from"), dealt.selectExpr("id", "v", "at", "CAST(NULL AS STRING) AS valid_from"), "now", "at")
+        assert {r["id"]: r["v"] for r in edges.collect()} == {k: r[1] for k, r in want.items()} | {"zz": -2}
+        props = graph.set_properties(old, dealt.select("id", "at", "properties"), "at")
+        assert {r["id"]: r["properties"] for r in props.collect()} == {"k1": {"b": "1", "a": want["k1"][3]["a"]}, "zz": {"b": "2"}}
+        chunks, some = old.select(*plain).withColumnRenamed("id", "chunk_id"), dealt.select(*plain).withColumnRenamed("id", "chunk_id")
+        assert {r["chunk_id"]: r["v"] for r in store.insert_only(chunks, some, "at").collect()} == {k: r[1] for k, r in want.items()} | {"zz": -2, "k1": -1}
+        assert {r["chunk_id"]: r["v"] for r in store.update(chunks, some, "at").collect()} == {"k1": want["k1"][1], "zz": -2}
+        gone = some.where("false").select("chunk_id")
+        assert {r["chunk_id"]: r["v"] for r in store.swap(chunks, some, gone, "at").collect()} == {k: r[1] for k, r in want.items()} | {"zz": -2}
+        assert {r["id"]: r["v"] for r in ingest.upsert(old.select(*plain), dealt.select(*plain), ["id"], "at").collect()} == {k: r[1] for k, r in want.items()} | {"zz": -2}
