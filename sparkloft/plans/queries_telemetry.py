@@ -271,3 +271,22 @@ def _call_budget(t, spark, sf):
         return events.select(F.concat(F.lit("u"), F.col("user_id")).alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
 
     return judged(spark, f"{sf}/events.parquet", calls, budget=2, seconds=43200.0).select("key", "id", "in_hour", "allowed")
+
+
+@query(
+    "stream_unseen_chunks",
+    """
+    WITH e AS (SELECT concat('c', CAST(user_id AS STRING)) AS chunk_id, event_type AS content_hash, epoch_us(ts) AS us FROM events),
+    n AS (SELECT *, lag(content_hash) OVER w AS was, lag(us) OVER w AS before FROM e WINDOW w AS (PARTITION BY chunk_id ORDER BY us, content_hash))
+    SELECT chunk_id, content_hash, us FROM n WHERE (was IS NULL OR was <> content_hash OR us - before > 86400000000) AND us <= (SELECT max(us) // 1000 * 1000 FROM e)
+    """,
+)
+def _unseen(t, spark, sf):
+    """Events as new contents of chunks: those that differ from what their chunk was queued with in the last day."""
+    from sparkloft.streaming import pending
+
+    def rows(events):
+        made = events.select(F.concat(F.lit("c"), F.col("user_id")).alias("chunk_id"), F.col("event_type").alias("content_hash"), F.col("ts").cast("timestamp").alias("ts"))
+        return pending.unseen(made, keep=86400.0)
+
+    return pending.of_folder(spark, f"{sf}/events.parquet", rows).select("chunk_id", "content_hash", F.unix_micros("ts").alias("us"))
