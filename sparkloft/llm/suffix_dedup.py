@@ -2,8 +2,12 @@
 
 A 50-byte window is named by its minimiser, the least hash of the 20-byte strings in it, so equal windows have equal
 minimisers. Minimisers that only one document has are set aside first: windows under them cannot repeat. What
-remains goes to shards by minimiser, in runs of windows that share one, each different run once a document shard. There a suffix array and
+remains goes to buckets by minimiser, in runs of windows that share one, each different run once a document shard. There a suffix array and
 common prefixes decide exactly which windows an earlier document has. Hashes only route; two strings are equal only if their bytes are.
+
+A footer's edges stand beside other bytes in each document, so one minimiser may have as many different runs as there are documents. Such a
+minimiser is hot: its windows are named one by one, by a hash of all their bytes, so they spread over the buckets, and those that occur once
+are set aside like other names.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ SHARD_BYTES = 4 << 20  # text aimed at in a shard of documents
 SUFFIX_BYTES = 512 << 10  # text under one suffix array; sorting it takes some sixty times as much memory
 SEGMENT = 1 << 16  # window starts hashed at once: their arrays stay in a core's cache
 RUN = 256  # most windows in a run
+HOT = 64  # different runs of a minimiser in a shard, and different sets of runs among shards, from which on it is hot
 GROUP = 4096  # document shards from which on a bucket's text is put together by groups of so many shards first
 NO_ID = np.iinfo(np.int64).max  # a null doc_id counts as larger than any other
 
-_VALUES = "bucket long, shard int, data binary"
+_VALUES = "bucket long, shard int, data binary, hot binary"
 _SPANS = "shard int, rows binary, offs binary, lens binary"
 _FOUND = "bucket long, shard int, done boolean, lens binary, ids binary, rows binary, offs binary, data binary"
 
@@ -71,13 +76,15 @@ class Text:
         self.data = b"".join(self.texts)
 
     def runs(self):
-        """(first window, last window, minimiser of 48 bits, row), in the order of the text."""
+        """(first window, last window, minimiser of 48 bits, row, mark of 16 bits that equal runs share), in the order of the text."""
         t, ends = np.frombuffer(self.data, np.uint8), self.bounds[1:]
         out = []
         for a in range(0, len(t) - SPAN + 1, SEGMENT):
             part = t[a : a + SEGMENT + SPAN - 1]
             # minima crowd at low values: an odd factor spreads them over the buckets again, and keeps different ones different
-            m = ((_minima(_hashes(part), SPAN - GRAM + 1) >> np.uint64(16)) * np.uint64(0x9E3779B97F4B)) & np.uint64((1 << 48) - 1)
+            grams = _hashes(part)
+            m = ((_minima(grams, SPAN - GRAM + 1) >> np.uint64(16)) * np.uint64(0x9E3779B97F4B)) & np.uint64((1 << 48) - 1)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams)])
             lo, hi = np.searchsorted(ends, [a, a + len(part)], "left")
             near = ends[lo : hi + 1] - a  # windows over the end of a document are none
             ok = np.ones(len(m), bool)
@@ -95,29 +102,56 @@ class Text:
                 k = (last - first) // RUN + 1
                 at = np.repeat(first, k) + RUN * (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
                 last, first = np.minimum(np.repeat(last, k), at + RUN - 1), at
-            out.append((first + a, last + a, m[first]))
+            mark = ((total[last + SPAN - GRAM + 1] - total[first]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+            out.append((first + a, last + a, m[first], mark))
         if not out:
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        first, last, value = (np.concatenate(x) for x in zip(*out, strict=True))
-        return first, last, value, np.searchsorted(self.bounds, first, "right") - 1
-
-    def values(self, value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The shard's different minimisers, and those of them that two of its documents have."""
-        if len(self.texts) < 1 << 16:
-            both = np.sort((value << np.uint64(16)) | row.astype(np.uint64))
-            keep = np.ones(len(both), bool)
-            keep[1:] = both[1:] != both[:-1]
-            v = both[keep] >> np.uint64(16)
-        else:
-            order = np.lexsort((row, value))
-            v, r = value[order], row[order]
-            keep = np.ones(len(v), bool)
-            keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
-            v = v[keep]
-        again = v[1:] == v[:-1]
-        first = np.ones(len(v), bool)
-        first[1:] = ~again
-        return v[first], np.unique(v[1:][again])
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        first, last, value, mark = (np.concatenate(x) for x in zip(*out, strict=True))
+        return first, last, value, np.searchsorted(self.bounds, first, "right") - 1, mark
+
+    def windows(self, first: np.ndarray, last: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of runs one by one: (place, hash of 48 bits of all their bytes, row)."""
+        n = last - first + 1
+        at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        t = np.frombuffer(self.data, np.uint8)
+        h = np.zeros(len(at), np.uint64)
+        if len(at):
+            words = np.ndarray((len(t) - 7,), "<u8", t, strides=(1,))
+            for o in (*range(0, SPAN - 8, 8), SPAN - 8):
+                h = (h ^ words[at + o]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        return at, h >> np.uint64(16), np.repeat(row, n)
+
+
+def _of_two_rows(value: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The different values that two rows have."""
+    order = np.lexsort((row, value))
+    v, r = value[order], row[order]
+    return np.unique(v[1:][(v[1:] == v[:-1]) & (r[1:] != r[:-1])])
+
+
+def _within(values: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are among the sorted ``names``."""
+    if not len(names):
+        return np.zeros(len(values), bool)
+    return names[np.minimum(np.searchsorted(names, values), len(names) - 1)] == values
+
+
+def _counted(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of sorted values, and where each begins."""
+    begin = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+    return sorted_values[begin], begin
+
+
+def _sets_of_runs(value: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's different minimisers, each with 16 bits that tell its set of different runs, and those of more than HOT different runs."""
+    both = np.unique((value << np.uint64(16)) | mark)
+    names, begin = _counted(both >> np.uint64(16))
+    if not len(names):
+        return names, names
+    mixed = (both * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)
+    sets = np.add.reduceat(mixed, begin) & np.uint64(0xFFFF)
+    return (names << np.uint64(16)) | sets, names[np.diff(begin, append=len(both)) > HOT]
 
 
 def _packed(v: np.ndarray) -> bytes:
@@ -313,74 +347,105 @@ _FOUND_ARROW = pa.schema(
     [("bucket", pa.int64()), ("shard", pa.int32()), ("done", pa.bool_()), *((c, pa.binary()) for c in ("lens", "ids", "rows", "offs", "data"))]
 )
 _SPANS_ARROW = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("rows", "offs", "lens"))])
-_VALUES_ARROW = pa.schema([("bucket", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
+_VALUES_ARROW = pa.schema([("bucket", pa.int64()), ("shard", pa.int32()), ("data", pa.binary()), ("hot", pa.binary())])
 
 
-def _by_bucket(value: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
-    """Sorted minimisers by their highest bits."""
-    if not len(value):
-        return []
-    bucket = (value >> np.uint64(48 - bits)).astype(np.int64)
-    cut = np.flatnonzero(np.diff(bucket)) + 1
-    return list(zip(bucket[np.concatenate([[0], cut])].tolist(), np.split(value, cut), strict=True))
+def _by_bucket(value: np.ndarray, bits: int) -> dict[int, np.ndarray]:
+    """Sorted names by the highest ``bits`` of their ``48``."""
+    bucket, begin = _counted((value >> np.uint64(48 - bits)).astype(np.int64))
+    return dict(zip(bucket.tolist(), np.split(value, begin[1:]), strict=True)) if len(bucket) else {}
 
 
-def _values_table(found: list[tuple[int, int, np.ndarray]]) -> pa.Table:
-    return pa.Table.from_pydict(
-        {"bucket": [b for b, _, _ in found], "shard": [s for _, s, _ in found], "data": [_packed(v) for _, _, v in found]}, _VALUES_ARROW
-    )
+def _values_table(found: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
+    return pa.Table.from_pydict(dict(zip(_VALUES_ARROW.names, map(list, zip(*found, strict=True)), strict=True)) if found else
+                                {c: [] for c in _VALUES_ARROW.names}, _VALUES_ARROW)
+
+
+def _asked(shard: int, names: np.ndarray, hot: np.ndarray, bits: int) -> pa.Table:
+    """What a shard asks of the buckets: its names with 16 bits each, and the hot ones among them."""
+    by_name, hot_by = _by_bucket(names >> np.uint64(16), bits), _by_bucket(hot, bits)
+    cut = np.cumsum([len(v) for v in by_name.values()])
+    parts = np.split(names, cut[:-1]) if len(cut) else []
+    return _values_table([(b, shard, v.tobytes(), _packed(hot_by.get(b, hot[:0]))) for b, v in zip(by_name, parts, strict=True)])
 
 
 def _minimisers(bits: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("__shard")[0].as_py()
         text = Text(table)
-        _, _, value, row = text.runs()
-        value, _ = text.values(value, row)
-        del text, row
+        _, _, value, _, mark = text.runs()
+        names, hot = _sets_of_runs(value, mark)
+        del text, mark, value
+        trim()
+        return _asked(shard, names, hot, bits)
+
+    return run
+
+
+def _windows(bits: int):
+    """What a shard asks about the windows of its hot minimisers."""
+
+    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        hot = np.sort(_unpacked([x for x in shared.column("hot").to_pylist() if x]))
+        if not docs.num_rows or not len(hot):
+            return _VALUES_ARROW.empty_table()
+        shard, text = docs.column("__shard")[0].as_py(), Text(docs)
+        first, last, value, row, _ = text.runs()
+        hit = _within(value, hot)
+        _, names, _ = text.windows(first[hit], last[hit], row[hit])
+        names = np.unique(names)
+        del text, first, last, value, row
         trim()
-        return _values_table([(b, shard, v) for b, v in _by_bucket(value, bits)])
+        return _asked(shard, names << np.uint64(16), names[:0], bits)
 
     return run
 
 
-def _twice(blobs: list[bytes]) -> list[np.ndarray]:
-    """Of several sets of minimisers, those of each that another one has too."""
-    sizes = np.cumsum([len(b) // 6 for b in blobs])
-    value = _unpacked(blobs)
-    order = np.argsort(value, kind="stable")
-    v = value[order]
-    same = v[1:] == v[:-1]
-    twice = np.zeros(len(v), bool)
-    if len(v):
-        twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    return [value[a:b][twice[a:b]] for a, b in zip([0, *sizes[:-1]], sizes, strict=True)]
+def _names(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The names of each row of a bucket, those that two rows have, those that are hot, and all with their 16 bits; sorted, once each."""
+    asked = [np.frombuffer(b, "<u8") for b in table.column("data").to_pylist()]
+    names = [_counted(v >> np.uint64(16))[0] for v in asked]
+    every = np.sort(np.concatenate(names)) if names else np.zeros(0, np.uint64)
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    sets = np.unique(np.concatenate(asked)) if asked else every
+    name, begin = _counted(sets >> np.uint64(16))
+    hot = np.union1d(name[np.diff(begin, append=len(sets)) > HOT], _unpacked(table.column("hot").to_pylist()))
+    return names, twice, hot, sets
+
+
+def _answers(bucket: int, shards: list[int], names: list[np.ndarray], shared: np.ndarray, hot: np.ndarray) -> pa.Table:
+    """For each shard those of its names that others have or that are hot."""
+    out = []
+    for s, v in zip(shards, names, strict=True):
+        heat = _within(v, hot)
+        cold = _packed(v[_within(v, shared) & ~heat])
+        if cold or heat.any():
+            out.append((bucket, s, cold, _packed(v[heat])))
+    return _values_table(out)
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of the minimisers of a bucket, those that two shards have, for each shard."""
-    bucket, shards = table.column("bucket")[0].as_py(), table.column("shard").to_pylist()
-    return _values_table([(bucket, s, v) for s, v in zip(shards, _twice(table.column("data").to_pylist()), strict=True) if len(v)])
+    """Of the names in a bucket, those that two shards have, and the hot ones, for each shard."""
+    names, twice, hot, _ = _names(table)
+    return _answers(table.column("bucket")[0].as_py(), table.column("shard").to_pylist(), names, twice, hot)
 
 
 def _together(table: pa.Table) -> pa.Table:
-    """The different minimisers of a bucket in a group of shards, as if the group were a shard."""
-    value = np.unique(_unpacked(table.column("data").to_pylist()))
-    return _values_table([(table.column("bucket")[0].as_py(), table.column("group")[0].as_py(), value)])
+    """The different names of a bucket in a group of shards, as if the group were a shard; of a hot one, one set of runs stands for all."""
+    _, _, hot, sets = _names(table)
+    name, begin = _counted(sets >> np.uint64(16))
+    keep = ~_within(sets >> np.uint64(16), hot)
+    keep[begin] = True
+    return _values_table([(table.column("bucket")[0].as_py(), table.column("group")[0].as_py(), sets[keep].tobytes(), _packed(hot))])
 
 
 def _shared_within(table: pa.Table, across: pa.Table) -> pa.Table:
-    """Of the minimisers of a bucket, those that another shard of the group or another group has, for each shard of the group."""
+    """Of the names in a bucket, those that another shard of the group or another group has, and the hot ones, for each shard of the group."""
     if not table.num_rows:
         return _VALUES_ARROW.empty_table()
-    blobs, other = table.column("data").to_pylist(), np.sort(_unpacked(across.column("data").to_pylist()))
-    out = []
-    for s, blob, here in zip(table.column("shard").to_pylist(), blobs, _twice(blobs), strict=True):
-        v = _unpacked([blob])
-        there = v[other[np.minimum(np.searchsorted(other, v), len(other) - 1)] == v] if len(other) else v[:0]
-        if len(v := np.union1d(here, there)):
-            out.append((table.column("bucket")[0].as_py(), s, v))
-    return _values_table(out)
+    names, twice, _, _ = _names(table)
+    there, hot = (np.sort(_unpacked([x or b"" for x in across.column(c).to_pylist()])) for c in ("data", "hot"))
+    return _answers(table.column("bucket")[0].as_py(), table.column("shard").to_pylist(), names, np.union1d(twice, there), hot)
 
 
 def _candidates(bits: int):
@@ -388,10 +453,16 @@ def _candidates(bits: int):
         if not docs.num_rows:
             return _FOUND_ARROW.empty_table()
         shard, text = docs.column("__shard")[0].as_py(), Text(docs)
-        first, last, value, row = text.runs()
-        _, local = text.values(value, row)
-        wanted = np.union1d(_unpacked(shared.column("data").to_pylist()), local)
-        hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value) if len(wanted) else np.zeros(0, np.int64)
+        first, last, value, row, _ = text.runs()
+        named, hot, alone = (np.unique(_unpacked([x or b"" for x in shared.column(c).to_pylist()])) for c in ("data", "hot", "windows"))
+        heat = _within(value, hot)
+        at, window, of = text.windows(first[heat], last[heat], row[heat])
+        again = _within(window, np.union1d(alone, _of_two_rows(window, of)))
+        cold = _within(value, np.union1d(named, _of_two_rows(value, row))) & ~heat
+        first, last, value, row = (
+            np.concatenate([a[cold], b[again]]) for a, b in ((first, at), (last, at), (value, window), (row, of))
+        )
+        hit = np.lexsort((last, first))
         seen: dict[bytes, int] = {}
         done: list[tuple[int, int, int]] = []
         sent: dict[int, list] = {}
@@ -556,7 +627,8 @@ def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
 def _removed(docs: DataFrame):
     """``docs`` dealt into shards of documents, and the spans that each shard loses.
 
-    Shards and buckets grow in number with the text, so what one task holds does not. A string that very many shards have, as
+    Shards and buckets grow in number with the text, so what one task holds does not. The runs of one minimiser are at most HOT sets of HOT
+    different runs; a minimiser of more is hot, and its windows go to buckets of their own. A string that very many shards have, as
     boilerplate does, meets in two steps where there are more than GROUP shards: each group of shards puts its own together first, the
     bucket decides between groups, and each group hands the answer to its shards.
     """
@@ -565,14 +637,21 @@ def _removed(docs: DataFrame):
     bits = min(48, max(4, math.ceil(math.log2(shards)) + 2))  # buckets of about as much candidate text as one suffix array takes
     small_batches(docs.sparkSession)
     whole = docs.withColumn("__shard", F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(shards)).cast("int"))
-    values = whole.groupBy("__shard").applyInArrow(_minimisers(bits), _VALUES)
     group = F.floor(F.col("shard") / GROUP).cast("int").alias("group")
-    if shards > GROUP:
-        values = written(values.select("*", group), "minimisers")
-        across = values.groupBy("bucket", "group").applyInArrow(_together, _VALUES).groupBy("bucket").applyInArrow(_shared, _VALUES)
-        shared = values.groupBy("bucket", "group").cogroup(across.groupBy("bucket", "shard")).applyInArrow(_shared_within, _VALUES)
-    else:
-        shared = values.groupBy("bucket").applyInArrow(_shared, _VALUES)
+
+    def answered(asked: DataFrame, name: str) -> DataFrame:
+        if shards <= GROUP:
+            return asked.groupBy("bucket").applyInArrow(_shared, _VALUES)
+        asked = written(asked.select("*", group), name)
+        across = asked.groupBy("bucket", "group").applyInArrow(_together, _VALUES).groupBy("bucket").applyInArrow(_shared, _VALUES)
+        return asked.groupBy("bucket", "group").cogroup(across.groupBy("bucket", "shard")).applyInArrow(_shared_within, _VALUES)
+
+    shared = answered(whole.groupBy("__shard").applyInArrow(_minimisers(bits), _VALUES), "minimisers")
+    hot = shared.where(F.octet_length("hot") > 0).select("shard", "hot")
+    windows = answered(whole.groupBy("__shard").cogroup(hot.groupBy("shard")).applyInArrow(_windows(bits), _VALUES), "windows")
+    shared = shared.select("shard", "data", "hot", F.lit(None).cast("binary").alias("windows")).unionByName(
+        windows.select("shard", F.lit(None).cast("binary").alias("data"), F.lit(None).cast("binary").alias("hot"), F.col("data").alias("windows"))
+    )
     found = whole.groupBy("__shard").cogroup(shared.groupBy("shard")).applyInArrow(_candidates(bits), _FOUND)
     if shards > GROUP:
         found = written(found.select("*", group), "runs")

@@ -6,6 +6,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,34 @@ def test_suffix_dedup(spark, odd, monkeypatch):
     assert suffix_dedup.passage_digests(nulls.limit(0)).count() == 0
 
 
+def test_suffix_dedup_spreads_hot_footers(spark, monkeypatch):
+    """A footer between other words in each document: its edges make as many runs as there are documents, and no bucket gets them all."""
+    rng = random.Random(5)
+    footer = "All rights reserved by the publisher of this page, whoever it may be and wherever they are read today."
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = [(i, noise(120) + footer + noise(120), 0) for i in range(400)]
+    want = brute.passages([(i, t) for i, t, _ in rows])
+    texts = pa.table({"doc_id": [i for i, _, _ in rows], "text": [t for _, t, _ in rows]})
+    for shard_bytes, group in ((4 << 20, 4096), (20_000, 4096), (20_000, 2)):
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
+        monkeypatch.setattr(suffix_dedup, "GROUP", group)
+        docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+        got = {r["doc_id"]: r for r in suffix_dedup.passage_digests(docs).collect()}
+        for i, t, _ in rows:
+            kept = np.frombuffer(t.encode(), np.uint8)[~want[i]].tobytes()
+            assert (got[i]["kept_sha256"], got[i]["n_removed"]) == (hashlib.sha256(kept).hexdigest(), int(want[i].sum()))
+    first, last, value, row, mark = suffix_dedup.Text(texts).runs()
+    _, hot = suffix_dedup._sets_of_runs(value, mark)
+    assert 2 <= len(hot) < 12  # the minimisers of the edges; those of the middle have one run
+    _, asked, _ = suffix_dedup.Text(texts).windows(*(x[np.isin(value, hot)] for x in (first, last, row)))
+    assert len(asked) > 10_000
+    found = suffix_dedup._candidates(4)(
+        texts.append_column("__shard", pa.array([0] * 400, pa.int32())),
+        pa.table({"data": [b""], "hot": [suffix_dedup._packed(hot)], "windows": [suffix_dedup._packed(hot[:0])]})
+    )
+    assert max(len(x) for x in found.column("data").to_pylist()) < 10_000  # 400 edges of 81 bytes were 32,000 in one bucket
+
+
 def test_suffix_arrays_merge_across_shards(monkeypatch):
     rng = random.Random(2)
     texts = list({bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 70))) for _ in range(60)}) + [b"a" * 90, b"b" + b"a" * 80]
