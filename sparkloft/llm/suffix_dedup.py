@@ -6,8 +6,8 @@ remains goes to buckets by minimiser, in runs of windows that share one, each di
 common prefixes decide exactly which windows an earlier document has. Hashes only route; two strings are equal only if their bytes are.
 
 A footer's edges stand beside other bytes in each document, so one minimiser may have as many different runs as there are documents. Such a
-minimiser is hot: its windows are named one by one, by a hash of all their bytes, so they spread over the buckets, and those that occur once
-are set aside like other names.
+minimiser is hot: its windows are named one by one, by a hash of all their bytes, and those that occur once are set aside. The others go on in
+runs of a second minimiser, of WIDE bytes: then few bytes of a window can be a document's own, and such windows that two documents have are few.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ SHARD_BYTES = 4 << 20  # text aimed at in a shard of documents
 SUFFIX_BYTES = 512 << 10  # text under one suffix array; sorting it takes some sixty times as much memory
 SEGMENT = 1 << 16  # window starts hashed at once: their arrays stay in a core's cache
 RUN = 256  # most windows in a run
-HOT = 64  # different runs of a minimiser in a shard, and different sets of runs among shards, from which on it is hot
+HOT = 256  # different runs of a minimiser in a shard, and different sets of runs among shards, beyond which it is hot: about a shard's text
+WIDE = 44  # bytes of the strings that a hot window's second minimiser is the least hash of
 GROUP = 4096  # document shards from which on a bucket's text is put together by groups of so many shards first
 NO_ID = np.iinfo(np.int64).max  # a null doc_id counts as larger than any other
 
@@ -109,18 +110,32 @@ class Text:
         first, last, value, mark = (np.concatenate(x) for x in zip(*out, strict=True))
         return first, last, value, np.searchsorted(self.bounds, first, "right") - 1, mark
 
-    def windows(self, first: np.ndarray, last: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The windows of runs one by one: (place, hash of 48 bits of all their bytes, row)."""
-        n = last - first + 1
-        at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    def names(self, at: np.ndarray, size: int) -> np.ndarray:
+        """A hash of 48 bits of the ``size`` bytes from each place."""
         t = np.frombuffer(self.data, np.uint8)
         h = np.zeros(len(at), np.uint64)
         if len(at):
             words = np.ndarray((len(t) - 7,), "<u8", t, strides=(1,))
-            for o in (*range(0, SPAN - 8, 8), SPAN - 8):
+            for o in (*range(0, size - 8, 8), size - 8):
                 h = (h ^ words[at + o]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-        return at, h >> np.uint64(16), np.repeat(row, n)
+        return h >> np.uint64(16)
+
+    def wide_runs(self, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows at sorted places as runs of one second minimiser: (first window, last window, minimiser, row)."""
+        value = self.names(at, WIDE)
+        for o in range(1, SPAN - WIDE + 1):
+            value = np.minimum(value, self.names(at + o, WIDE))
+        value = (value * np.uint64(0x9E3779B97F4B)) & np.uint64((1 << 48) - 1)  # minima crowd at low values
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) > 1) | (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+        return at[new], at[np.append(new[1:], True)[: len(at)]], value[new], row[new]
+
+
+def _each(first: np.ndarray, last: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of runs one by one: (place, row)."""
+    n = last - first + 1
+    return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(row, n)
 
 
 def _of_two_rows(value: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -143,15 +158,15 @@ def _counted(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_values[begin], begin
 
 
-def _sets_of_runs(value: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A shard's different minimisers, each with 16 bits that tell its set of different runs, and those of more than HOT different runs."""
+def _sets_of_runs(value: np.ndarray, mark: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's different minimisers, each with 16 bits that tell its set of different runs, and those of more than ``most`` different runs."""
     both = np.unique((value << np.uint64(16)) | mark)
     names, begin = _counted(both >> np.uint64(16))
     if not len(names):
         return names, names
     mixed = (both * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)
     sets = np.add.reduceat(mixed, begin) & np.uint64(0xFFFF)
-    return (names << np.uint64(16)) | sets, names[np.diff(begin, append=len(both)) > HOT]
+    return (names << np.uint64(16)) | sets, names[np.diff(begin, append=len(both)) > most]
 
 
 def _packed(v: np.ndarray) -> bytes:
@@ -351,7 +366,7 @@ _VALUES_ARROW = pa.schema([("bucket", pa.int64()), ("shard", pa.int32()), ("data
 
 
 def _by_bucket(value: np.ndarray, bits: int) -> dict[int, np.ndarray]:
-    """Sorted names by the highest ``bits`` of their ``48``."""
+    """Sorted names by the highest ``bits`` of their 48."""
     bucket, begin = _counted((value >> np.uint64(48 - bits)).astype(np.int64))
     return dict(zip(bucket.tolist(), np.split(value, begin[1:]), strict=True)) if len(bucket) else {}
 
@@ -369,12 +384,12 @@ def _asked(shard: int, names: np.ndarray, hot: np.ndarray, bits: int) -> pa.Tabl
     return _values_table([(b, shard, v.tobytes(), _packed(hot_by.get(b, hot[:0]))) for b, v in zip(by_name, parts, strict=True)])
 
 
-def _minimisers(bits: int):
+def _minimisers(bits: int, most: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("__shard")[0].as_py()
         text = Text(table)
         _, _, value, _, mark = text.runs()
-        names, hot = _sets_of_runs(value, mark)
+        names, hot = _sets_of_runs(value, mark, most)
         del text, mark, value
         trim()
         return _asked(shard, names, hot, bits)
@@ -392,8 +407,7 @@ def _windows(bits: int):
         shard, text = docs.column("__shard")[0].as_py(), Text(docs)
         first, last, value, row, _ = text.runs()
         hit = _within(value, hot)
-        _, names, _ = text.windows(first[hit], last[hit], row[hit])
-        names = np.unique(names)
+        names = np.unique(text.names(_each(first[hit], last[hit], row[hit])[0], SPAN))
         del text, first, last, value, row
         trim()
         return _asked(shard, names << np.uint64(16), names[:0], bits)
@@ -401,7 +415,7 @@ def _windows(bits: int):
     return run
 
 
-def _names(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def _names(table: pa.Table, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """The names of each row of a bucket, those that two rows have, those that are hot, and all with their 16 bits; sorted, once each."""
     asked = [np.frombuffer(b, "<u8") for b in table.column("data").to_pylist()]
     names = [_counted(v >> np.uint64(16))[0] for v in asked]
@@ -409,7 +423,7 @@ def _names(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, n
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     sets = np.unique(np.concatenate(asked)) if asked else every
     name, begin = _counted(sets >> np.uint64(16))
-    hot = np.union1d(name[np.diff(begin, append=len(sets)) > HOT], _unpacked(table.column("hot").to_pylist()))
+    hot = np.union1d(name[np.diff(begin, append=len(sets)) > most], _unpacked(table.column("hot").to_pylist()))
     return names, twice, hot, sets
 
 
@@ -424,26 +438,34 @@ def _answers(bucket: int, shards: list[int], names: list[np.ndarray], shared: np
     return _values_table(out)
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _shared(most: int):
     """Of the names in a bucket, those that two shards have, and the hot ones, for each shard."""
-    names, twice, hot, _ = _names(table)
-    return _answers(table.column("bucket")[0].as_py(), table.column("shard").to_pylist(), names, twice, hot)
+
+    def run(table: pa.Table) -> pa.Table:
+        names, twice, hot, _ = _names(table, most)
+        return _answers(table.column("bucket")[0].as_py(), table.column("shard").to_pylist(), names, twice, hot)
+
+    return run
 
 
-def _together(table: pa.Table) -> pa.Table:
+def _together(most: int):
     """The different names of a bucket in a group of shards, as if the group were a shard; of a hot one, one set of runs stands for all."""
-    _, _, hot, sets = _names(table)
-    name, begin = _counted(sets >> np.uint64(16))
-    keep = ~_within(sets >> np.uint64(16), hot)
-    keep[begin] = True
-    return _values_table([(table.column("bucket")[0].as_py(), table.column("group")[0].as_py(), sets[keep].tobytes(), _packed(hot))])
+
+    def run(table: pa.Table) -> pa.Table:
+        _, _, hot, sets = _names(table, most)
+        name, begin = _counted(sets >> np.uint64(16))
+        keep = ~_within(sets >> np.uint64(16), hot)
+        keep[begin] = True
+        return _values_table([(table.column("bucket")[0].as_py(), table.column("group")[0].as_py(), sets[keep].tobytes(), _packed(hot))])
+
+    return run
 
 
 def _shared_within(table: pa.Table, across: pa.Table) -> pa.Table:
     """Of the names in a bucket, those that another shard of the group or another group has, and the hot ones, for each shard of the group."""
     if not table.num_rows:
         return _VALUES_ARROW.empty_table()
-    names, twice, _, _ = _names(table)
+    names, twice, _, _ = _names(table, HOT)
     there, hot = (np.sort(_unpacked([x or b"" for x in across.column(c).to_pylist()])) for c in ("data", "hot"))
     return _answers(table.column("bucket")[0].as_py(), table.column("shard").to_pylist(), names, np.union1d(twice, there), hot)
 
@@ -456,11 +478,12 @@ def _candidates(bits: int):
         first, last, value, row, _ = text.runs()
         named, hot, alone = (np.unique(_unpacked([x or b"" for x in shared.column(c).to_pylist()])) for c in ("data", "hot", "windows"))
         heat = _within(value, hot)
-        at, window, of = text.windows(first[heat], last[heat], row[heat])
+        at, of = _each(first[heat], last[heat], row[heat])
+        window = text.names(at, SPAN)
         again = _within(window, np.union1d(alone, _of_two_rows(window, of)))
         cold = _within(value, np.union1d(named, _of_two_rows(value, row))) & ~heat
         first, last, value, row = (
-            np.concatenate([a[cold], b[again]]) for a, b in ((first, at), (last, at), (value, window), (row, of))
+            np.concatenate([a[cold], b]) for a, b in zip((first, last, value, row), text.wide_runs(at[again], of[again]), strict=True)
         )
         hit = np.lexsort((last, first))
         seen: dict[bytes, int] = {}
@@ -628,7 +651,7 @@ def _removed(docs: DataFrame):
     """``docs`` dealt into shards of documents, and the spans that each shard loses.
 
     Shards and buckets grow in number with the text, so what one task holds does not. The runs of one minimiser are at most HOT sets of HOT
-    different runs; a minimiser of more is hot, and its windows go to buckets of their own. A string that very many shards have, as
+    different runs; of a minimiser of more only windows that two documents have go on, by second minimisers. A string that very many shards have, as
     boilerplate does, meets in two steps where there are more than GROUP shards: each group of shards puts its own together first, the
     bucket decides between groups, and each group hands the answer to its shards.
     """
@@ -641,12 +664,12 @@ def _removed(docs: DataFrame):
 
     def answered(asked: DataFrame, name: str) -> DataFrame:
         if shards <= GROUP:
-            return asked.groupBy("bucket").applyInArrow(_shared, _VALUES)
+            return asked.groupBy("bucket").applyInArrow(_shared(HOT), _VALUES)
         asked = written(asked.select("*", group), name)
-        across = asked.groupBy("bucket", "group").applyInArrow(_together, _VALUES).groupBy("bucket").applyInArrow(_shared, _VALUES)
+        across = asked.groupBy("bucket", "group").applyInArrow(_together(HOT), _VALUES).groupBy("bucket").applyInArrow(_shared(HOT), _VALUES)
         return asked.groupBy("bucket", "group").cogroup(across.groupBy("bucket", "shard")).applyInArrow(_shared_within, _VALUES)
 
-    shared = answered(whole.groupBy("__shard").applyInArrow(_minimisers(bits), _VALUES), "minimisers")
+    shared = answered(whole.groupBy("__shard").applyInArrow(_minimisers(bits, HOT), _VALUES), "minimisers")
     hot = shared.where(F.octet_length("hot") > 0).select("shard", "hot")
     windows = answered(whole.groupBy("__shard").cogroup(hot.groupBy("shard")).applyInArrow(_windows(bits), _VALUES), "windows")
     shared = shared.select("shard", "data", "hot", F.lit(None).cast("binary").alias("windows")).unionByName(
