@@ -1,4 +1,4 @@
-"""Order over whole tables without a window in one task: running totals, values at ranks, the newest row of a key."""
+"""Order over whole tables without a window in one task: running totals, values at ranks, the newest row of a key, rows dealt out."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from sparkloft.storage import checkpointed
 
 RANGES = 64
 PLAIN = 100_000  # rows up to which one task sorts them all
+A_TASK = 4000  # rows of a task that makes a text of each row and takes it apart
 
 
 def running_total(rows: DataFrame, order: tuple[str, ...], size: str, ranges: int | None = None) -> DataFrame:
@@ -37,6 +38,11 @@ def running_total(rows: DataFrame, order: tuple[str, ...], size: str, ranges: in
     return out.withColumn("before", F.col("__earlier") + F.col("__run")).drop("__part", "__run", "__earlier")
 
 
+def spread(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows dealt out by a key, A_TASK to a task: for small rows that much work follows from, as a file of many such rows is one task."""
+    return rows.repartition(-(-rows.count() // A_TASK) or 1, *key)
+
+
 def place(rows: DataFrame, order: str | None) -> Column:
     """What ``newest`` compares: the order column, equal ones by what the row holds; without an order, the place in the input.
 

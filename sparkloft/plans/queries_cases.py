@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloft.operators import chunking, graph, identity, language_profiles, records, tiers
+from sparkloft.operators.ordered import spread
 from sparkloft.plans import compilers, queries_knowledge  # noqa: F401 (registers graph_chunks, whose SQL is read below)
 from sparkloft.plans.catalog import _SQL, query, rounded
 from sparkloft.sources import files
@@ -275,7 +276,7 @@ def _chunks_blocks(t, spark, sf):
 
     functions = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), function), "\n")
     body = F.when(lang.isin(1, 2), F.concat_ws("\n", functions, F.lit("class T {"), method("0"), method("1"), F.lit("}"))).otherwise(functions)
-    rows = t("part").select(
+    rows = spread(t("part").select("p_partkey", "p_size"), "p_partkey").select(
         F.col("p_partkey").cast("string").alias("source"), body.alias("text"), F.lit("code").alias("source_type"),
         F.when(lang == 0, "go").when(lang == 1, "java").when(lang == 2, "typescript").otherwise("rust").alias("language")
     )
