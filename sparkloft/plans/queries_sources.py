@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloft.functions import language, text
 from sparkloft.operators import chunking, code_graph, graph, ingest, memory, records, retrieval, telemetry, tiers
+from sparkloft.operators.ordered import spread
 from sparkloft.plans import compilers
 from sparkloft.plans.catalog import query, rounded
 from sparkloft.sources import files, history, sessions
@@ -211,7 +212,7 @@ def _text_chunks(t, spark, sf):
 )
 def _code_chunks(t, spark, sf):
     lines = F.array_join(F.transform(F.sequence(F.lit(1), 1 + F.col("p_size") * 3), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n")
-    rows = t("part").select(
+    rows = spread(t("part").select("p_partkey", "p_size"), "p_partkey").select(
         F.col("p_partkey").cast("string").alias("source"), lines.alias("text"), F.lit("code").alias("source_type"), F.lit("go").alias("language")
     )
     return chunking.chunk_files(rows).select(F.col("source").cast("long").alias("id"), "chunk_index", "start_line", "end_line")
@@ -225,7 +226,7 @@ def _modules(t):
             "(Base):\n    @cached\n    def run(self):\n        return helper(self.stop())\n\n    def stop(self):\n        pass\n\ndef helper(x):\n    return os.getcwd()\n"
         )
     )
-    return t("part").select(
+    return spread(t("part").select("p_partkey"), "p_partkey").select(
         "p_partkey", F.concat(F.lit("m"), key, F.lit(".py")).alias("source"), body.alias("text"), F.lit("python").alias("language"),
         F.lit("code").alias("source_type")
     )
