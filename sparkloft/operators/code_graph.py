@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloft.operators.ordered import parts
+
 # Names of entity types, and the ends of session relations.
 ENTITY_TYPES = "Package Module Class Method Function Interface Enum Folder Decorator DesignDoc UserDoc PRD Runbook README APIDoc Service Endpoint Database ConfigFile Decision Error Session Tool File Task Commit Author".split()
 PREDICATES = "calls extends implements references depends_on imports contains defined_in decorated_by handled_by modifies authored_by".split()
@@ -16,6 +18,7 @@ RELATION_TYPES = {
     "touches": ("File", None), "fixed-by": ("Error", "Decision"), "superseded-by": ("Decision", "Decision"), "ran-in": ("Tool", "Session"),
     "depends-on": ("Task", "Task"), "decided": ("Session", "Decision")
 }
+BROADCAST_FILES = 200_000  # paths that are broadcast at most
 _SCHEMA = "source_file string, subject string, subject_type string, predicate string, object string, object_type string"
 
 
@@ -192,5 +195,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     stem = F.concat_ws("/", F.nullif(base, F.lit("")), F.nullif("dotted", F.lit("")))
     candidates = F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")))
     up = up.withColumn("target", F.explode(candidates))
-    hit = up.join(files.select(F.col("source").alias("target")).distinct(), "target")
+    known = files.select(F.col("source").alias("target")).distinct()
+    few = known.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    hit = up.join(F.broadcast(known) if few else known, "target")
+    # a fixed number of parts: paths shrink so well in a shuffle that parts dealt by their bytes hold millions of rows, which a task then sorts
+    hit = hit.repartition(parts(imports.sparkSession), "source_file", "object")
     return hit.groupBy("source_file", "object").agg(F.min_by("target", F.struct("k", "target")).alias("target"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -20,7 +20,7 @@ def running_total(rows: DataFrame, order: tuple[str, ...], size: str, ranges: in
     added to its own running total. So no task sorts more than its range. There are as many ranges as the session has shuffle
     partitions, 64 at least.
     """
-    ranges = ranges or max(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or parts(rows.sparkSession)
     if rows.limit(PLAIN + 1).count() <= PLAIN:  # a bounded number of rows: one window holds them, with the same result
         every = W.Window.orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)
         return rows.withColumn("before", F.coalesce(F.sum(size).over(every), F.lit(0)))
@@ -38,6 +38,11 @@ def running_total(rows: DataFrame, order: tuple[str, ...], size: str, ranges: in
     return out.withColumn("before", F.col("__earlier") + F.col("__run")).drop("__part", "__run", "__earlier")
 
 
+def parts(spark: SparkSession) -> int:
+    """As many as the session has shuffle partitions, 64 at least."""
+    return max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(rows: DataFrame, *key: str) -> DataFrame:
     """The rows dealt out by a key, A_TASK to a task: for small rows that much work follows from, as a file of many such rows is one task."""
     return rows.repartition(-(-rows.count() // A_TASK) or 1, *key)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkloft.operators import code_blocks, ordered
+from sparkloft.operators import code_blocks, code_graph, ordered
 from sparkloft.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -25,3 +25,14 @@ def test_declarations_are_found_the_same_from_masked_code():
     assert len(code) == len(text) and code.count("\n") == text.count("\n") and "call(   )" in code
     assert code_blocks.symbols(text, "rust", code) == code_blocks.symbols(text, "rust")
     assert code_blocks.split_blocks(text, "rust", 2, 40, code) == code_blocks.split_blocks(text, "rust", 2, 40)
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_imports_meet_files_in_parts_of_a_fixed_number(spark, monkeypatch, few):
+    monkeypatch.setattr(code_graph, "BROADCAST_FILES", few)
+    imports = spark.range(300).selectExpr("concat('pkg/m', id, '.py') AS source_file", "concat('lib', id % 2) AS object")
+    files = spark.createDataFrame([("pkg/lib0.py",), ("lib1/__init__.py",), ("lib0.py",)], "source string")
+    found = code_graph.resolve_imports(imports, files)
+    assert {(r["object"], r["target"]) for r in found.collect()} == {("lib0", "pkg/lib0.py"), ("lib1", "lib1/__init__.py")} and found.count() == 300
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # parts dealt by bytes held all rows, as these shrink well
