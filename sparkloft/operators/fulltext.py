@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloft.functions.text import tokens
+from sparkloft.operators import inverted
 from sparkloft.operators.retrieval import normalised, top
 
 BUCKETS = (16, 4096)
@@ -36,7 +37,7 @@ def clauses(query: str) -> list[list[tuple[str, bool]]]:
 
 
 class FulltextIndex:
-    """Positional postings of weighted fields in a folder that driver and executors share.
+    """Positional postings of weighted fields in a folder that driver and executors share. A row is what one row of chunks has of a word.
 
     ``fields``: the weight of each text column. A search reads the buckets of its words; the places of the words of a phrase are
     intersected after each has been moved back by its place in the phrase, within one field.
@@ -49,8 +50,7 @@ class FulltextIndex:
         """Writes the postings of chunks (chunk_id, fields ...). An id that repeats counts with all its rows."""
         parts = [F.struct(F.lit(i).alias("field"), self.words(F.col(f)).alias("w")) for i, f in enumerate(self.fields)]
         rows = chunks.select("chunk_id", F.inline(F.array(*parts)))
-        places = rows.select("chunk_id", "field", F.posexplode("w").alias("at", "term"))
-        found = places.groupBy("term", "chunk_id", "field").agg(F.sort_array(F.collect_list("at")).alias("places"))
+        found = inverted.places(rows)
         chunks.select("chunk_id").distinct().write.mode("overwrite").parquet(f"{self.path}/chunks")
         n = rows.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
         buckets = max(BUCKETS[0], min(BUCKETS[1], n // POSTINGS_A_BUCKET))
@@ -104,13 +104,12 @@ class FulltextIndex:
             for c in g:
                 all_of &= ~self._has(c.words) if c.excluded else self._has(c.words)
             fits |= all_of
-        weights = F.array(*[F.lit(float(w)) for w in self.fields.values()])
-
-        def part(x: Column) -> Column:
-            n = F.size(x["places"])
-            return F.when(x["term"].isin(wanted), F.get(weights, x["field"]) * n / (n + 1.0)).otherwise(0.0)
-
-        scored = hits.where(fits).select("chunk_id", F.aggregate(F.transform("hits", part), F.lit(0.0), lambda a, b: a + b).alias("score"))
+        score = F.lit(0.0)
+        for w in wanted:
+            for field, weight in enumerate(self.fields.values()):
+                n = F.aggregate(F.filter("hits", self._of(w, field)), F.lit(0), lambda a, x: a + F.size(x["places"]))
+                score += F.lit(float(weight)) * n / (n + 1.0)
+        scored = hits.where(fits).select("chunk_id", score.alias("score"))
         return normalised(top(scored, k))
 
     def _has(self, words: tuple[str, ...]) -> Column:
