@@ -6,12 +6,13 @@ removing writes tombstones; neither rewrites what is there.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloft.functions.text import tokens
+from sparkloft.operators import inverted
 from sparkloft.operators.retrieval import B, K1, idf, normalised, top
 from sparkloft.storage import checkpointed
 
@@ -29,9 +30,13 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _share(tf: str, dl: str, mean: float) -> Column:
+def _shared(tf: Column, dl: Column, mean: float) -> Column:
     """What of a term's weight a chunk gets, from its count there and the chunk's length."""
-    return F.col(tf) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / F.lit(float(mean))))
+    return tf / (tf + K1 * (1 - B + B * dl / F.lit(float(mean))))
+
+
+def _share(tf: str, dl: str, mean: float) -> Column:
+    return _shared(F.col(tf), F.col(dl), mean)
 
 
 class KeywordIndex:
@@ -64,32 +69,39 @@ class KeywordIndex:
 
     def add(self, chunks: DataFrame) -> int:
         """A new segment of chunks (chunk_id, text); ids that are indexed already are replaced. Returns its number."""
-        rows = chunks.select("chunk_id", self.words(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-        # blocks of chunks of like length bound their scores well; every task numbers its own
+        rows = chunks.select("chunk_id", "text", F.size(self.words(F.col("text"))).alias("dl"))
+        # blocks of chunks of like length bound their scores well; every task numbers its own, so it makes the postings of its blocks
         numbered = rows.sortWithinPartitions("dl", "chunk_id").withColumn("blk", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
-        terms = numbered.select("chunk_id", "blk", "dl", F.explode("w").alias("term"))
-        counts = terms.groupBy("term", "blk", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-        return self._write(counts, rows.groupBy("chunk_id").agg(F.max("dl").alias("dl")))
+        made = inverted.blocks(numbered.select("chunk_id", "blk", "dl", self.words(F.col("text")).alias("w")))
+        return self._write(lambda dealt: dealt(made), rows.groupBy("chunk_id").agg(F.max("dl").alias("dl")))
 
-    def _write(self, counts: DataFrame, lengths: DataFrame) -> int:
-        """A segment of counts (term, blk, chunk_id, tf, dl) and lengths (chunk_id, dl)."""
+    def _write(self, blocks: Callable[[Callable[[DataFrame], DataFrame]], DataFrame], lengths: DataFrame) -> int:
+        """A segment of lengths (chunk_id, dl) and blocks (term, blk, docs); ``blocks`` gets what deals rows (term, blk, ...) out to the files."""
         segment = max(self._segments(), default=0) + 1
         lengths.write.mode("overwrite").parquet(f"{self.path}/lengths/segment={segment}")
         done = self.spark.read.schema("chunk_id string, dl int").parquet(f"{self.path}/lengths/segment={segment}")
         n, size = done.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         buckets = max(BUCKETS[0], min(BUCKETS[1], size // TOKENS_A_BUCKET))
         files = size // (buckets * TOKENS_A_FILE) + 1
-        blocks = counts.groupBy("term", "blk").agg(
-            F.count("*").cast("int").alias("n"), F.max(_share("tf", "dl", size / n if size else 1.0)).alias("most"),
-            F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("docs")
-        )
-        placed = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("blk"), F.lit(files)))
-        placed = placed.sortWithinPartitions("bucket", "term")
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            placed = rows.withColumns({"bucket": _bucket(F.col("term"), buckets), "file": F.pmod(F.xxhash64("blk"), F.lit(files))})
+            return placed.repartition("bucket", "file")
+
+        mean = size / n if n else 1.0
+        most = F.array_max(F.transform("docs", lambda x: _shared(x["tf"], x["dl"], mean)))
+        placed = blocks(dealt).select("term", "blk", F.size("docs").alias("n"), most.alias("most"), "docs", "bucket").sortWithinPartitions("bucket", "term")
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
         totals = self.spark.createDataFrame([(n, size, buckets)], "chunks long, terms long, buckets int").coalesce(1)
         totals.write.mode("overwrite").parquet(f"{self.path}/totals/segment={segment}")
         return segment
 
+    @staticmethod
+    def _gathered(counts: DataFrame) -> Callable[[Callable[[DataFrame], DataFrame]], DataFrame]:
+        """Blocks of counts (term, blk, chunk_id, tf, dl): dealt out first, so they are gathered where they are written."""
+        docs = F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("docs")
+        return lambda dealt: dealt(counts).groupBy("bucket", "file", "term", "blk").agg(docs)
+
     def remove(self, ids: DataFrame) -> None:
         """Chunks (chunk_id) go from all segments so far; adding one later brings it back."""
         last = max(self._segments(), default=0)
@@ -201,17 +213,18 @@ class KeywordIndex:
     def compact(self, path: str) -> KeywordIndex:
         """The live postings as one segment of a new index."""
         new = KeywordIndex(self.spark, path, self.words)
-        lengths = self.live().select("chunk_id", "dl")
+        live = self.live()
         # chunks are dealt anew to blocks: those of like length together
-        numbered = lengths.repartitionByRange("dl", "chunk_id").sortWithinPartitions("dl", "chunk_id")
+        numbered = live.repartitionByRange("dl", "chunk_id").sortWithinPartitions("dl", "chunk_id")
         numbered = checkpointed(numbered.withColumn("number", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
-        counts = self.postings().drop("blk").join(numbered.select("chunk_id", F.col("number").alias("blk")), "chunk_id")
-        new._write(counts, lengths)
+        # postings of chunks that are not live find no number: one join
+        held = self._blocks().select("term", "segment", F.inline("docs")).join(numbered.select("chunk_id", "segment", F.col("number").alias("blk")), ["chunk_id", "segment"])
+        new._write(self._gathered(held.select("term", "blk", "chunk_id", "tf", "dl")), numbered.select("chunk_id", "dl"))
         return new
 
     def rehome(self, old: str, new: str, path: str) -> KeywordIndex:
         """A new index whose chunk ids that begin with ``old`` begin with ``new``: what a move of a project asks for. No text is read."""
         moved = KeywordIndex(self.spark, path, self.words)
         renamed = F.when(F.col("chunk_id").startswith(old), F.concat(F.lit(new), F.substr("chunk_id", F.lit(len(old) + 1)))).otherwise(F.col("chunk_id"))
-        moved._write(self.postings().withColumn("chunk_id", renamed), self.live().select(renamed.alias("chunk_id"), "dl"))
+        moved._write(self._gathered(self.postings().withColumn("chunk_id", renamed)), self.live().select(renamed.alias("chunk_id"), "dl"))
         return moved
