@@ -23,7 +23,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def grams(text: str | None) -> Counter[str]:
     """Trigrams of the words of a text, each word with a mark before and after it."""
-    words = Counter(_WORD.findall(text.lower())) if text else Counter()
+    return _grams(_words(text))
+
+
+def _words(text: str | None) -> Counter[str]:
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
+
+
+def _grams(words: Counter[str]) -> Counter[str]:
     out: Counter[str] = Counter()
     for w, n in words.items():
         w = f"_{w}_"
@@ -44,8 +51,11 @@ def counts(docs: DataFrame, text: str = "text", language: str = "lang") -> DataF
             held.clear()
 
         for b in batches:
+            words: dict[str, Counter[str]] = {}  # a word of a batch is taken apart once for a language
             for lang, said in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for gram, n in grams(said).items():
+                words.setdefault(lang, Counter()).update(_words(said))
+            for lang, said in words.items():
+                for gram, n in _grams(said).items():
                     held[lang, gram] += n
             if len(held) > HELD:
                 yield from send()
@@ -77,19 +87,49 @@ class Profiles:
         total = sum(table.values(), np.zeros(len(languages))) + len(table)
         return cls(languages, {g: np.log((n + 1) / total) for g, n in table.items()}, np.log(1 / total) if len(languages) else np.zeros(0))
 
-    def posterior(self, text: str | None, allowed: list[int]) -> np.ndarray | None:
-        """Probabilities of the allowed languages, all equally likely before; None for a text without a known trigram."""
-        score, known = np.zeros(len(self.languages)), False
-        for gram, n in grams(text).items():
-            share = self.shares.get(gram)
-            known |= share is not None
-            score += n * (self.rest if share is None else share)
-        if not known:
+    def posterior(self, text: str | None, allowed: list[int], known: KnownWords | None = None) -> np.ndarray | None:
+        """Probabilities of the allowed languages, all equally likely before; None for a text without a known trigram.
+
+        ``known``: what words of earlier texts add up to, so that each is taken apart once.
+        """
+        words = _words(text)
+        if not words:
+            return None
+        sums = (known or KnownWords(self)).of(words)
+        score = np.fromiter(words.values(), float, len(words)) @ sums
+        if not score[-1]:
             return None
         p = np.exp(score[allowed] - score[allowed].max())
         return p / p.sum()
 
 
+class KnownWords:
+    """Of words that were seen: the sum of their trigrams' shares by language and, last, the number of known trigrams. At most HELD are kept."""
+
+    def __init__(self, profiles: Profiles):
+        self.profiles, self.place = profiles, {}
+        self.sums = np.zeros((64, len(profiles.languages) + 1))
+
+    def of(self, words: Counter[str]) -> np.ndarray:
+        if len(self.place) > HELD:
+            self.place.clear()
+        places = [p if (p := self.place.get(w)) is not None else self._add(w) for w in words]
+        return self.sums[places]
+
+    def _add(self, word: str) -> int:
+        at = self.place[word] = len(self.place)
+        if at == len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        row = self.sums[at]
+        row[:] = 0
+        marked = f"_{word}_"
+        for i in range(len(marked) - 2):
+            share = self.profiles.shares.get(marked[i : i + 3])
+            row[:-1] += self.profiles.rest if share is None else share
+            row[-1] += share is not None
+        return at
+
+
 def detected(text: Column, profiles: Profiles, allowed: Iterable[str] | None = None, default: str = "en", confidence: float = CONFIDENCE) -> Column:
     """The likeliest of the allowed languages, ``default`` where its probability is below ``confidence`` or the text says nothing."""
     wanted = [i for i, x in enumerate(profiles.languages) if allowed is None or x in set(allowed)]
@@ -98,9 +138,9 @@ def detected(text: Column, profiles: Profiles, allowed: Iterable[str] | None = N
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
-        out = []
+        out, known = [], KnownWords(profiles)
         for t in texts:
-            p = profiles.posterior(t, wanted)
+            p = profiles.posterior(t, wanted, known)
             out.append(default if p is None or p.max() < confidence else profiles.languages[wanted[int(p.argmax())]])
         return pd.Series(out, dtype=object)
 
