@@ -150,7 +150,8 @@ def _scan_plan(questions: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _modes(questions: pd.Series) -> pd.Series:
-    return questions.map(lambda q: list(compilers.intents(q)))
+    different = {q: list(compilers.intents(q)) for q in questions.unique()}  # a question that is asked again is routed once a batch
+    return questions.map(different)
 
 
 @query(
