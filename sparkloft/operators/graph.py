@@ -46,9 +46,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return endpoints(edges.where(valid())).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges with an end among ``ids`` (id), each once: two equi-joins, the second without what the first has found."""
+def touching(edges: DataFrame, ids: DataFrame, few: bool = False) -> DataFrame:
+    """Edges with an end among ``ids`` (id), each once: two equi-joins, the second without what the first has found.
+
+    ``few``: the ids are known to be few; they are broadcast, so that edges are dropped where they are read and not shuffled.
+    """
     ends = ids.select(F.col("id").alias("__end")).distinct()
+    ends = F.broadcast(ends) if few else ends
     from_them = edges.join(ends, edges["source_id"] == ends["__end"], "left_semi")
     to_them = edges.join(ends, edges["target_id"] == ends["__end"], "left_semi").join(ends, edges["source_id"] == ends["__end"], "left_anti")
     return from_them.unionByName(to_them)
@@ -95,30 +99,39 @@ def top_nodes(nodes: DataFrame, edges: DataFrame, limit: int = 50, domains=()) -
     return out.select("id", "name", "label", "degree").orderBy(F.desc("degree"), "name", "id").limit(limit)
 
 
+def _at(edges: DataFrame, ids) -> DataFrame:
+    """Open edges at listed nodes. Each end has a filter of its own, which, unlike an OR of both, holds below a join that makes the edges."""
+    e, leaves, arrives = edges.where(valid()), F.col("source_id").isin(*ids), F.col("target_id").isin(*ids)
+    return e.where(leaves).unionByName(e.where(arrives & ~F.coalesce(leaves, F.lit(False))))
+
+
 def neighbors(nodes: DataFrame, edges: DataFrame, ids, limit: int = 200) -> DataFrame:
     """Open edges at the given nodes, by id."""
-    e = edges.where(valid()).where(F.col("source_id").isin(*ids) | F.col("target_id").isin(*ids))
+    e = _at(edges, ids)
     return e.select("id", "source_id", "label", "target_id").orderBy("id").limit(limit)
 
 
 def neighborhood(nodes: DataFrame, edges: DataFrame, ids, limit: int = 200, domains=()) -> tuple[DataFrame, DataFrame]:
     """The given nodes' open edges, ``limit`` at most, and the nodes at them (id, name, label, degree).
 
-    With ``domains`` both ends of an edge must lie in one of them; a degree counts all open edges.
+    With ``domains`` both ends of an edge must lie in one of them; a degree counts all open edges. The edges found and
+    their nodes are checkpointed, as all else starts from them.
     """
-    e = edges.where(valid()).where(F.col("source_id").isin(*ids) | F.col("target_id").isin(*ids))
+    e = _at(edges, ids)
     if domains:
         inside = nodes.where(F.col("domain").isin(*domains)).select("id")
         for end in ("source_id", "target_id"):
             e = e.join(inside.withColumnRenamed("id", end), end, "left_semi")
-    e = e.select("id", "source_id", "label", "target_id").orderBy("id").limit(limit)
-    near = e.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    return e, with_degrees(nodes.join(near, "id", "left_semi"), edges)
+    e = checkpointed(e.select("id", "source_id", "label", "target_id").orderBy("id").limit(limit))
+    near = e.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()  # twice the limit at most
+    return e, with_degrees(checkpointed(nodes.join(F.broadcast(near), "id", "left_semi")), edges, few=True)
 
 
-def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, name, label, degree) of some nodes; only edges at them are counted."""
-    found = degrees(touching(edges.where(valid()), nodes.select("id"))).withColumnRenamed("node", "id")
+def with_degrees(nodes: DataFrame, edges: DataFrame, few: bool = False) -> DataFrame:
+    """(id, name, label, degree) of some nodes; only edges at them are counted. ``few``: the nodes are known to be few."""
+    found = degrees(touching(edges.where(valid()), nodes.select("id"), few)).withColumnRenamed("node", "id")
+    if few:  # not the degrees of nodes at the other ends
+        found = F.broadcast(found.join(F.broadcast(nodes.select("id")), "id", "left_semi"))
     return nodes.join(found, "id", "left").select("id", "name", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
