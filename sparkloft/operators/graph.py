@@ -20,6 +20,7 @@ FUNCTION_WORDS = frozenset(
     | {"them", "they", "then", "than", "there", "with", "from", "into", "onto", "over", "about", "between", "some", "your"}
 )
 MAX_NODES = 25
+FEW_NODES = 10_000  # nodes whose ids are broadcast to the edges; beyond that, edges are shuffled
 
 
 def valid(as_of: str | None = None, include_invalid: bool = False) -> Column:
@@ -313,19 +314,43 @@ def _matches(nodes: DataFrame, edges: DataFrame, text: str, include_sensitive: b
     """(pos, entity, low, subject, ..., edge columns): open edges of the nodes that a question's names match, for each name.
 
     A name stands for the MAX_NODES nodes of highest degree whose names hold it. All names are matched in one pass: they are ten at most.
+    If the nodes that hold a name are few, which is counted first, the edges at them are found by a broadcast and written; degrees
+    and matches both come from those. One end of a match is such a node, so only the other one is looked up.
     """
     names = query_entities(text)
     if not names:
         return None
     spark, n, open_edges = nodes.sparkSession, visible(nodes, include_sensitive), edges.where(valid())
     asked = spark.createDataFrame([(i, x, x.lower()) for i, x in enumerate(names)], "pos int, entity string, low string")
-    hit = n.join(F.broadcast(asked), F.contains(F.lower("name"), F.col("low")))
+    hit = n.join(F.broadcast(asked), F.contains(F.lower("name"), F.col("low"))).select("pos", "entity", "low", "id", "name", "label")
+    some = checkpointed(hit.limit(FEW_NODES + 1))
+    few = some.count() <= FEW_NODES
+    if few:
+        hit, edges = some, written(touching(open_edges, some, few=True), "edges-at-names")
+        open_edges = edges
     hit = hit.join(degrees(edges).withColumnRenamed("node", "id"), "id", "left")
     best = F.row_number().over(W.Window.partitionBy("pos").orderBy(F.coalesce("degree", F.lit(0)).desc(), "name", "id"))
     found = hit.withColumn("__best", best).where(F.col("__best") <= MAX_NODES).select("pos", "entity", "low", "name").distinct()
-    ids = n.join(F.broadcast(found), "name").select("pos", "entity", "low", F.col("id").alias("__end"))  # at most ten times MAX_NODES names
-    sides = [open_edges.join(ids, open_edges[end] == ids["__end"]).drop("__end") for end in ("source_id", "target_id")]
-    rows = named_ends(sides[0].unionByName(sides[1]), n)
+    found = checkpointed(found)  # at most ten times MAX_NODES names
+    if few:
+        known = F.broadcast(some.join(F.broadcast(found), ["pos", "entity", "low", "name"], "left_semi"))
+    else:
+        known = n.select("id", "name", "label").join(F.broadcast(found), "name")
+    known = known.select("pos", "entity", "low", F.col("id").alias("__end"), F.col("name").alias("__name"), F.col("label").alias("__label"))
+    open_edges = open_edges.withColumnRenamed("label", "predicate")
+    sides = [
+        open_edges.join(known, F.col(end) == F.col("__end")).withColumns({"__out": F.lit(end == "source_id"), "__far": F.col(far)}).drop("__end")
+        for end, far in (("source_id", "target_id"), ("target_id", "source_id"))
+    ]
+    other = n.select(F.col("id").alias("__far"), F.col("name").alias("__far_name"), F.col("label").alias("__far_label"))
+    rows = sides[0].unionByName(sides[1]).join(other, "__far")
+    rows = rows.withColumns({
+        c: F.when(F.col("__out") == out, F.col(near)).otherwise(F.col(far))
+        for c, out, near, far in (
+            ("subject", True, "__name", "__far_name"), ("subject_type", True, "__label", "__far_label"),
+            ("object", False, "__name", "__far_name"), ("object_type", False, "__label", "__far_label"),
+        )
+    }).drop("__out", "__far", "__name", "__label", "__far_name", "__far_label")
     return rows.where(F.contains(F.lower("subject"), F.col("low")) | F.contains(F.lower("object"), F.col("low")))
 
 

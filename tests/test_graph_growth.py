@@ -39,3 +39,25 @@ def test_filters_on_nodes_reach_the_tables_that_edges_are_made_of(spark):
     assert joined and all("order:7" in side or "part:3" in side for side in joined)
     odd = spark.createDataFrame([("1", None, "x", "a", None), ("2", "a", "x", "a", None), ("3", "b", "x", None, None)], "id string, source_id string, label string, target_id string, valid_until string")
     assert [r["id"] for r in graph.neighbors(None, odd, ("a",)).collect()] == ["1", "2"]
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_edges_at_few_names_are_found_once(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_NODES", few, raising=False)
+    nodes, edges = (views.view(spark, SF, x) for x in ("nodes", "edges"))
+    edges = edges.where("label <> 'calls'").withColumns({"chunk_id": F.concat(F.lit("c"), F.crc32("id") % 7), "weight": (F.crc32("id") % 5).cast("double")})
+    chunks = spark.range(7).select(F.concat(F.lit("c"), "id").alias("chunk_id"))
+    out = graph.graph_chunks(nodes, edges, chunks, "which NATION_1 has ASIA", 10)
+    e = {r["id"]: r for r in edges.where("valid_until IS NULL").collect()}
+    rows = graph._matches(nodes, edges, "which NATION_1 has ASIA", False)
+    got = sorted((r["entity"], r["subject"], r["predicate"], r["object"], r["subject_type"], r["object_type"], r["id"]) for r in rows.collect())
+    n = {r["id"]: r for r in graph.visible(nodes).collect()}
+    want = []
+    for name in ("NATION_1", "ASIA"):
+        for x in e.values():
+            ends = [n.get(x["source_id"]), n.get(x["target_id"])]
+            want += [(name, ends[0]["name"], x["label"], ends[1]["name"], ends[0]["label"], ends[1]["label"], x["id"]) for y in ends if None not in ends and name.lower() in y["name"].lower()]
+    assert got == sorted(want) and got
+    assert out.count() > 0
+    if few:
+        assert not any("lineitem" in f for f in rows.inputFiles())
