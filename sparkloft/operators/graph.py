@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from sparkloft.functions.text import prefix_swap
-from sparkloft.operators.ordered import newest
+from sparkloft.operators.ordered import KEYED_OF_A_TASK, newest, spread
 from sparkloft.storage import checkpointed, written
 
 # Fixed vocabulary: the predicates along which a change has an impact.
@@ -534,7 +534,9 @@ def triple_edges(triples: DataFrame, now: str) -> DataFrame:
     twice is one edge; reserved properties are dropped; triples without a subject, predicate or object are none.
     """
     rows = triples.where("trim(subject) <> '' and trim(predicate) <> '' and trim(object) <> ''")
-    rows = rows.dropDuplicates(["chunk_id", "source_file", "subject", "predicate", "object"])
+    key = ["chunk_id", "source_file", "subject", "predicate", "object"]
+    rows = spread(rows.withColumn("__key", F.xxhash64(*key)), "__key", of_a_task=KEYED_OF_A_TASK)
+    rows = rows.dropDuplicates(["__key", *key]).drop("__key")  # also by what they are dealt out by, so that they meet where they are
     own = F.map_filter(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*RESERVED_PROPERTIES))
     ends = (F.col("subject").alias("source_id"), F.col("object").alias("target_id"), F.col("predicate").alias("label"))
     until = F.lit(None).cast("string").alias("valid_until")

@@ -11,6 +11,7 @@ from sparkloft.storage import checkpointed
 RANGES = 64
 PLAIN = 100_000  # rows up to which one task sorts them all
 A_TASK = 4000  # rows of a task that makes a text of each row and takes it apart
+KEYED_OF_A_TASK = 250_000  # rows of a task that holds them by key, texts and all
 
 
 def running_total(rows: DataFrame, order: tuple[str, ...], size: str, ranges: int | None = None) -> DataFrame:
@@ -43,9 +44,9 @@ def parts(spark: SparkSession) -> int:
     return max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread(rows: DataFrame, *key: str) -> DataFrame:
-    """The rows dealt out by a key, A_TASK to a task: for small rows that much work follows from, as a file of many such rows is one task."""
-    return rows.repartition(-(-rows.count() // A_TASK) or 1, *key)
+def spread(rows: DataFrame, *key: str, of_a_task: int | None = None) -> DataFrame:
+    """The rows dealt out by a key, A_TASK (or so many) to a task: for small rows that much work follows from, as a file of many such rows is one task."""
+    return rows.repartition(-(-rows.count() // (of_a_task or A_TASK)) or 1, *key)
 
 
 def place(rows: DataFrame, order: str | None) -> Column:

@@ -61,3 +61,15 @@ def test_edges_at_few_names_are_found_once(spark, monkeypatch, few):
     assert out.count() > 0
     if few:
         assert not any("lineitem" in f for f in rows.inputFiles())
+
+
+def test_triples_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "KEYED_OF_A_TASK", 100, raising=False)
+    rows = spark.range(1000).select(
+        F.concat(F.lit("s"), F.col("id") % 450).alias("subject"), F.lit("made_by").alias("predicate"), F.concat(F.lit("o"), F.col("id") % 450).alias("object"),
+        F.lit("f").alias("source_file"), F.lit("c").alias("chunk_id"), F.create_map(F.lit("note"), F.lit("y")).alias("properties"),
+    )
+    out = graph.triple_edges(rows, "2024")
+    assert out.count() == 450
+    assert out.rdd.getNumPartitions() == 10  # each holds about a hundred, however large a partition may be
+    assert plan(out).split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
