@@ -5,7 +5,7 @@ from types import SimpleNamespace
 
 import pandas as pd
 
-from sparkloft.streaming import watch
+from sparkloft.streaming import budget, watch
 
 
 class Store:
@@ -74,3 +74,21 @@ def test_a_folder_is_read_by_pieces():
             want.append([t, t, {path}])
     assert [(r.first.value // 1000, r.last.value // 1000, r.files) for r in got] == [(a, b, len(p)) for a, b, p in want]
     assert store.most == 20 and not folder.held.rows.data
+
+
+def test_keys_share_a_state():
+    rng = random.Random(4)
+    rows = [(f"u{rng.randrange(300)}", i, rng.randrange(10**6) * 10**6) for i in range(3000)]
+    store, shard = Store(), budget._Trailing(2, 7200.0)
+    shard.init(store)
+    list(shard.handleInputRows((1,), frames(rows, ["key", "id", "ts"]), at(0)))
+    got = {}
+    for now in (400_000_000, 700_000_000, 10**9):
+        for part in shard.handleExpiredTimer((1,), at(now), None):
+            got |= {r.id: (r.key, r.in_hour, r.allowed) for r in part.itertuples(index=False)}
+    want = {}
+    for k, i, t in rows:
+        n = sum(a == k and t - 7200 * 10**6 <= b <= t for a, _, b in rows)
+        want[i] = (k, n, n <= 2)
+    assert got == want and not shard.held.rows.data
+    assert store.calls < 3 * 10**6 // 7200 * 2  # by pieces of time, not by key
