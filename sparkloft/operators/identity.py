@@ -61,13 +61,14 @@ def resolve_all(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     )
     nothing = F.lit(None)
     steps = steps.select(*_NAME, "scope", "at", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"), "step", *(nothing.alias(f"m_{c}") for c in ("id", "scope", "at")))
-    asked = mentions.select("mention_id", F.lower("surface").alias("k"), "scope", "at").distinct().select(
+    asked = mentions.select("mention_id", F.lower("surface").alias("k"), "scope", "at").select(
         "k", F.col("at").isNull().alias("timeless"), F.explode(F.array_distinct(F.array(nothing.cast("string"), "scope"))).alias("line"),
         F.coalesce("at", F.lit("")).alias("at"), F.lit(1).alias("kind"), F.xxhash64("mention_id").alias("tie"), F.lit(0).cast("decimal(38,0)").alias("step"),
         F.col("mention_id").alias("m_id"), F.col("scope").alias("m_scope"), F.col("at").alias("m_at")
     ).withColumnRenamed("line", "scope")
     swept = running_total(steps.unionByName(asked), (*_NAME, "scope", "at", "kind", "tie"), "step").where("kind = 1")
-    found = swept.groupBy("m_id", "k", "m_scope", "m_at").agg(F.sum("before").cast("decimal(38,0)").alias("total"))
+    lines = [F.coalesce(F.max(F.when(of, F.col("before"))), F.lit(0)) for of in (F.col("scope").isNull(), F.col("scope").isNotNull())]  # equal mentions read the same
+    found = swept.groupBy("m_id", "k", "m_scope", "m_at").agg((lines[0] + lines[1]).cast("decimal(38,0)").alias("total"))
     found = found.select(
         F.col("m_id").alias("mention_id"), F.expr(f"total div CAST({_BASE} AS DECIMAL(38,0))").alias("candidates"),
         F.expr(f"total % CAST({_BASE} AS DECIMAL(38,0))").cast("decimal(38,0)").alias("person")

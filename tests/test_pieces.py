@@ -4,7 +4,9 @@ import random
 from types import SimpleNamespace
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from sparkloft.operators import identity
 from sparkloft.streaming import budget, watch
 
 
@@ -92,3 +94,15 @@ def test_keys_share_a_state():
         want[i] = (k, n, n <= 2)
     assert got == want and not shard.held.rows.data
     assert store.calls < 3 * 10**6 // 7200 * 2  # by pieces of time, not by key
+
+
+def test_mentions_are_not_shuffled_to_find_equal_ones(spark, monkeypatch):
+    seen = []
+    plain = identity.running_total
+    monkeypatch.setattr(identity, "running_total", lambda rows, *a: seen.append(rows) or plain(rows, *a))
+    mentions = spark.range(40).select(F.col("id").alias("mention_id"), F.lit("a").alias("surface"), F.lit(None).cast("string").alias("scope"), F.lit("5").alias("at"))
+    aliases = spark.createDataFrame([("A", None, "p", "1", None)], "surface string, scope string, person_id string, valid_from string, valid_to string")
+    got = identity.resolve_all(mentions.union(mentions), aliases).collect()
+    assert len(got) == 40 and {(r["person_id"], r["candidates"]) for r in got} == {("p", 1)}
+    lines = seen[-1]._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("Aggregate" in x and "mention_id" in x for x in lines)
