@@ -1,33 +1,29 @@
-"""A keyword index on storage: segments of postings in blocks of chunks, lengths of chunks, and tombstones.
+"""A keyword index on storage: segments of postings in runs and blocks of chunks, and tombstones.
 
-A search reads the postings of its terms only, and of those the blocks whose best possible score reaches the k-th. Adding writes a segment,
-removing writes tombstones; neither rewrites what is there.
+A search reads the postings of its terms only, and ids and lengths of the blocks whose best possible score reaches the k-th. Adding writes a
+segment, removing writes tombstones; neither rewrites what is there. Postings name chunks by number: an id is written once, not with every word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from sparkloft.functions.text import tokens
 from sparkloft.operators import inverted
 from sparkloft.operators.retrieval import B, K1, idf, normalised, top
-from sparkloft.storage import checkpointed
+from sparkloft.storage import written
 
-BUCKETS = (16, 4096)  # folders of terms in a segment, at least and at most
-TOKENS_A_BUCKET = 20_000_000
-TOKENS_A_FILE = 5_000_000  # a bucket of more is several files, dealt by block, so a term that all chunks have is nobody's alone
-BLOCK_BITS = 6  # chunks in a block: 64
+TOKENS_A_RUN = 2_000_000  # a task holds so many and writes them as a run
+TOKENS_A_FILE = 5_000_000  # of a compacted index, on average
+BLOCK_BITS = 6  # chunks in a block: 64, a bit each of a long
 FIRST_BLOCKS = 16  # blocks with the best bounds, scored first: their k-th score rules out others
 BROADCAST_BLOCKS = 200_000  # block numbers (8 bytes each) that are broadcast at most
 
-_POSTINGS = "term string, blk long, n int, most double, docs array<struct<chunk_id: string, tf: int, dl: int>>, segment int, bucket int"
-
-
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+_ROWS = f"{inverted.ROWS}, segment int"
 
 
 def _shared(tf: Column, dl: Column, mean: float) -> Column:
@@ -59,49 +55,29 @@ class KeywordIndex:
         found = self._fs.globStatus(self._path(f"{self.path}/totals/segment=*/_SUCCESS"))
         return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
 
-    def _totals(self) -> dict[int, tuple[int, int, int]]:
-        """Of each segment: its chunks, their terms, its buckets."""
+    def _totals(self) -> dict[int, tuple[int, int]]:
+        """Of each segment: its chunks and their terms."""
         segments = self._segments()
         if not segments:
             return {}
         rows = self.spark.read.option("basePath", f"{self.path}/totals").parquet(*[f"{self.path}/totals/segment={s}" for s in segments]).collect()
-        return {r["segment"]: (r["chunks"], r["terms"], r["buckets"]) for r in rows}
+        return {r["segment"]: (r["chunks"], r["terms"]) for r in rows}
 
     def add(self, chunks: DataFrame) -> int:
-        """A new segment of chunks (chunk_id, text); ids that are indexed already are replaced. Returns its number."""
-        rows = chunks.select("chunk_id", "text", F.size(self.words(F.col("text"))).alias("dl"))
-        # blocks of chunks of like length bound their scores well; every task numbers its own, so it makes the postings of its blocks
-        numbered = rows.sortWithinPartitions("dl", "chunk_id").withColumn("blk", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
-        made = inverted.blocks(numbered.select("chunk_id", "blk", "dl", self.words(F.col("text")).alias("w")))
-        return self._write(lambda dealt: dealt(made), rows.groupBy("chunk_id").agg(F.max("dl").alias("dl")))
-
-    def _write(self, blocks: Callable[[Callable[[DataFrame], DataFrame]], DataFrame], lengths: DataFrame) -> int:
-        """A segment of lengths (chunk_id, dl) and blocks (term, blk, docs); ``blocks`` gets what deals rows (term, blk, ...) out to the files."""
+        """A new segment of chunks (chunk_id, text); ids that are indexed already are replaced, rows of one id stay side by side. Returns its number."""
+        return self._write(inverted.runs(chunks.select("chunk_id", self.words(F.col("text")).alias("w")), TOKENS_A_RUN, 1 << BLOCK_BITS))
+
+    def _write(self, rows: DataFrame) -> int:
+        """A segment of ``inverted.ROWS``, as the tasks that make them hold them."""
         segment = max(self._segments(), default=0) + 1
-        lengths.write.mode("overwrite").parquet(f"{self.path}/lengths/segment={segment}")
-        done = self.spark.read.schema("chunk_id string, dl int").parquet(f"{self.path}/lengths/segment={segment}")
-        n, size = done.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        buckets = max(BUCKETS[0], min(BUCKETS[1], size // TOKENS_A_BUCKET))
-        files = size // (buckets * TOKENS_A_FILE) + 1
-
-        def dealt(rows: DataFrame) -> DataFrame:
-            placed = rows.withColumns({"bucket": _bucket(F.col("term"), buckets), "file": F.pmod(F.xxhash64("blk"), F.lit(files))})
-            return placed.repartition("bucket", "file")
-
-        mean = size / n if n else 1.0
-        most = F.array_max(F.transform("docs", lambda x: _shared(x["tf"], x["dl"], mean)))
-        placed = blocks(dealt).select("term", "blk", F.size("docs").alias("n"), most.alias("most"), "docs", "bucket").sortWithinPartitions("bucket", "term")
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
-        totals = self.spark.createDataFrame([(n, size, buckets)], "chunks long, terms long, buckets int").coalesce(1)
+        path = f"{self.path}/postings/segment={segment}"
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        blocks = self.spark.read.schema(inverted.ROWS).parquet(path).where("term is null")
+        size = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
+        totals = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.coalesce(F.sum(size), F.lit(0)).alias("terms")).coalesce(1)
         totals.write.mode("overwrite").parquet(f"{self.path}/totals/segment={segment}")
         return segment
 
-    @staticmethod
-    def _gathered(counts: DataFrame) -> Callable[[Callable[[DataFrame], DataFrame]], DataFrame]:
-        """Blocks of counts (term, blk, chunk_id, tf, dl): dealt out first, so they are gathered where they are written."""
-        docs = F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("docs")
-        return lambda dealt: dealt(counts).groupBy("bucket", "file", "term", "blk").agg(docs)
-
     def remove(self, ids: DataFrame) -> None:
         """Chunks (chunk_id) go from all segments so far; adding one later brings it back."""
         last = max(self._segments(), default=0)
@@ -111,87 +87,110 @@ class KeywordIndex:
         """Whether there is one segment and nothing was removed: then every row is live."""
         return len(self._segments()) == 1 and not self._there("removed")
 
-    def live(self) -> DataFrame:
-        """(chunk_id, segment, dl): the newest version of every chunk that was not removed since."""
-        schema = "chunk_id string, dl int, segment int"
+    def _rows(self) -> DataFrame:
         segments = self._segments()
-        if not segments:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/lengths").where(F.col("segment").isin(segments))
-        if self._plain():
-            return rows.select("chunk_id", "segment", "dl")
-        newest = rows.groupBy("chunk_id").agg(F.max_by("dl", "segment").alias("dl"), F.max("segment").alias("segment"))
+        rows = self.spark.read.schema(_ROWS).parquet(f"{self.path}/postings") if segments else self.spark.createDataFrame([], _ROWS)
+        return rows.where(F.col("segment").isin(segments))
+
+    def _heads(self) -> DataFrame:
+        """(segment, run, blk, ids, dls): the chunks of every block."""
+        return self._rows().where("term is null").select("segment", "run", "blk", "ids", "dls")
+
+    def live(self) -> DataFrame:
+        """(chunk_id, segment, run, blk, at, dl): the newest version of every chunk that was not removed since, with its place."""
+        rows = self._heads().select("segment", "run", "blk", F.posexplode(F.arrays_zip("ids", "dls")).alias("at", "x"))
+        rows = rows.select(F.col("x")["ids"].alias("chunk_id"), "segment", "run", "blk", "at", F.col("x")["dls"].alias("dl"))
+        if not self._segments() or self._plain():
+            return rows
         if self._there("removed"):
-            gone = self.spark.read.parquet(f"{self.path}/removed").groupBy("chunk_id").agg(F.max("upto").alias("upto"))
-            newest = newest.join(gone, "chunk_id", "left").where("upto is null or upto < segment").drop("upto")
-        return newest.select("chunk_id", "segment", "dl")
+            rows = rows.unionByName(self.spark.read.parquet(f"{self.path}/removed").select("chunk_id", "upto"), allowMissingColumns=True)
+        else:
+            rows = rows.withColumn("upto", F.lit(None).cast("int"))
+        same = W.Window.partitionBy("chunk_id")
+        rows = rows.withColumns({"newest": F.max("segment").over(same), "gone": F.max("upto").over(same)})
+        return rows.where("segment = newest and (gone is null or gone < segment)").drop("upto", "newest", "gone")
+
+    def _alive(self) -> DataFrame | None:
+        """(segment, blk, mask, n, size) of blocks with live chunks: a bit for each, how many and their terms. None if all are live."""
+        if self._plain():
+            return None
+        bit = F.expr("shiftleft(1L, at)")
+        return written(self.live().groupBy("segment", "blk").agg(F.bit_or(bit).alias("mask"), F.count("*").alias("n"), F.sum("dl").alias("size")), "live")
 
     def _blocks(self, terms: Iterable[str] | None = None) -> DataFrame:
-        """Blocks of postings of the whole segments; of some terms only their buckets and row groups are read."""
-        totals = self._totals()
-        rows = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings") if totals else self.spark.createDataFrame([], _POSTINGS)
-        if terms is None:
-            return rows.where(F.col("segment").isin(list(totals)))
-        terms = list(dict.fromkeys(terms))
-        places = self.spark.range(1).select(*[F.array(*[_bucket(F.lit(t), n) for t in terms]).alias(f"s{s}") for s, (_, _, n) in totals.items()]).first() if terms else ()
-        here = F.lit(False)
-        for s, found in zip(totals, places, strict=False):
-            here |= (F.col("segment") == s) & F.col("bucket").isin(sorted(set(found)))
-        return rows.where(here & F.col("term").isin(terms))
+        """(term, segment, run, n, docs) of the whole segments; of some terms only their pages are read."""
+        rows = self._rows()
+        rows = rows.where("term is not null") if terms is None else rows.where(F.col("term").isin(list(dict.fromkeys(terms))))
+        return rows.select("term", "segment", "run", "n", "docs")
+
+    def _opened(self, terms: Iterable[str] | None, alive: DataFrame | None) -> DataFrame:
+        """(term, segment, blk, docs): of each block the live chunks that hold a term."""
+        rows = inverted.opened(self._blocks(terms), BLOCK_BITS).select("term", "segment", "blk", "docs")
+        if alive is None:
+            return rows
+        kept = F.filter("docs", lambda d: F.getbit(F.col("mask"), d["at"]) == 1)
+        return rows.join(alive.select("segment", "blk", "mask"), ["segment", "blk"]).select("term", "segment", "blk", kept.alias("docs"))
+
+    @staticmethod
+    def _hits(opened: DataFrame, heads: DataFrame) -> DataFrame:
+        """(term, segment, blk, at, chunk_id, tf, dl): a row for each chunk that holds a term."""
+        found = F.transform("docs", lambda d: F.struct(d["at"], F.get("ids", d["at"]).alias("chunk_id"), d["tf"], F.get("dls", d["at"]).alias("dl")))
+        return opened.join(heads.select("segment", "blk", "ids", "dls"), ["segment", "blk"]).select("term", "segment", "blk", F.inline(found))
 
     def postings(self, terms: Iterable[str] | None = None) -> DataFrame:
         """(term, chunk_id, tf, dl, blk) of the live chunks."""
-        rows = self._blocks(terms).select("term", "segment", "blk", F.inline("docs"))
-        if not self._plain():
-            rows = rows.join(self.live().select("chunk_id", "segment"), ["chunk_id", "segment"])
-        return rows.select("term", "chunk_id", "tf", "dl", "blk")
-
-    def _statistics(self) -> tuple[int, float | None]:
-        """Live chunks and their mean length: of a single segment from what it wrote, else from the lengths."""
-        if self._plain():
-            ((n, size, _),) = self._totals().values()
-            return n, size / n if n else None
-        return tuple(self.live().agg(F.count("*"), F.avg("dl")).first())
+        alive = self._alive() if self._segments() else None
+        return self._hits(self._opened(terms, alive), self._heads()).select("term", "chunk_id", "tf", "dl", "blk")
 
     @staticmethod
     def _weight(df: dict[str, int], n: int) -> Column:
         return F.create_map(*[x for t, d in df.items() for x in (F.lit(t), F.lit(float(idf(n, d))))])[F.col("term")]
 
+    @staticmethod
+    def _scored(hits: DataFrame, df: dict[str, int], n: int, mean: float) -> DataFrame:
+        """(chunk_id, score): shares are added in the order of terms, so chunks with equal counts and lengths have equal scores."""
+        parts = [F.coalesce(F.sum(F.when(F.col("term") == t, F.lit(float(idf(n, d))) * _share("tf", "dl", mean))), F.lit(0.0)).alias(f"p{i}") for i, (t, d) in enumerate(df.items())]
+        scored = hits.groupBy("segment", "blk", "at", "chunk_id").agg(*parts)
+        return scored.select("chunk_id", sum((F.col(f"p{i}") for i in range(1, len(parts))), F.col("p0")).alias("score"))
+
     def scores(self, terms: Iterable[str]) -> DataFrame:
         """(chunk_id, score): BM25 of the chunks that hold any of the terms."""
         terms = list(dict.fromkeys(terms))
-        n, mean = self._statistics() if terms and self._segments() else (0, None)
-        hits = self.postings(terms)
-        df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()} if n else {}  # a row for each query term
-        if not n or not mean or not df:
-            return self.spark.createDataFrame([], "chunk_id string, score double")
-        return hits.groupBy("chunk_id").agg(F.sum(self._weight(df, n) * _share("tf", "dl", mean)).alias("score"))
+        none = self.spark.createDataFrame([], "chunk_id string, score double")
+        if not terms or not self._segments():
+            return none
+        alive = self._alive()
+        n, size = next(iter(self._totals().values())) if alive is None else alive.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        opened = self._opened(terms, alive)
+        found = {r["term"]: r["df"] for r in opened.groupBy("term").agg(F.sum(F.size("docs")).alias("df")).collect()} if size else {}  # a row for each query term
+        df = {t: found[t] for t in terms if found.get(t)}
+        return self._scored(self._hits(opened, self._heads()), df, n, size / n) if df else none
 
     def best(self, terms: Iterable[str], k: int) -> DataFrame:
         """(chunk_id, score): the k best of ``scores``, from few blocks.
 
-        A block's bound is the sum of the most that each term gives to any of its chunks, which is written with the block. The blocks with the
-        best bounds are scored first; no chunk of a block whose bound is below their k-th score can be among the best, so such blocks
-        are not read but for their bounds. These hold for one segment without removals; until ``compact``, others are scored whole.
+        A block's bound is the sum of the most that each term can give to any of its chunks: that of its largest count in the shortest chunk. The
+        blocks with the best bounds are scored first; no chunk of a block whose bound is below their k-th score can be among the best, so of such
+        blocks neither ids nor lengths are read. These hold for one segment without removals; until ``compact``, others are scored whole.
         ``read`` tells how many blocks of how many the last call read.
         """
         terms = list(dict.fromkeys(terms))
         if not terms or not self._segments() or not self._plain():
             return top(self.scores(terms), k)
-        n, mean = self._statistics()
-        heads = self._blocks(terms).select("term", "blk", "n", "most")
-        df = {r["term"]: r["df"] for r in heads.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # a row for each query term
-        if not n or not mean or not df:
+        ((n, size),) = self._totals().values()
+        found = {r["term"]: r["df"] for r in self._blocks(terms).groupBy("term").agg(F.sum("n").alias("df")).collect()}  # a row for each query term
+        df = {t: found[t] for t in terms if t in found}
+        if not size or not df:
             return top(self.scores(terms), k)
-        bounds = heads.groupBy("blk").agg(F.sum(self._weight(df, n) * F.col("most")).alias("bound"), F.max("n").alias("n"))
+        mean, opened, heads = size / n, inverted.opened(self._blocks(terms), BLOCK_BITS), self._heads()
+        most = opened.select("term", "blk", "tf").join(heads.select("blk", F.get("dls", F.lit(0)).alias("dl")), "blk")
+        bounds = most.groupBy("blk").agg(F.sum(self._weight(df, n) * _share("tf", "dl", mean)).alias("bound"))
         first = bounds.orderBy(F.desc("bound"), "blk").limit(max(FIRST_BLOCKS, 4 * k >> BLOCK_BITS)).collect()
-        blocks = self._blocks(terms).select("term", "blk", "docs")
 
-        def scored(rows: DataFrame) -> DataFrame:
-            hits = rows.select("term", F.inline("docs"))
-            return top(hits.groupBy("chunk_id").agg(F.sum(self._weight(df, n) * _share("tf", "dl", mean)).alias("score")), k)
+        def scored(of) -> DataFrame:
+            return top(self._scored(self._hits(of(opened), of(heads)), df, n, mean), k)
 
-        hits = scored(blocks.where(F.col("blk").isin([r["blk"] for r in first]))).collect()  # k rows
+        hits = scored(lambda x: x.where(F.col("blk").isin([r["blk"] for r in first]))).collect()  # k rows
         found = self.spark.createDataFrame(hits, "chunk_id string, score double")
         floor = hits[-1]["score"] * (1 - 1e-12) if len(hits) == k else 0.0
         rest = bounds.where((F.col("bound") >= floor) & ~F.col("blk").isin([r["blk"] for r in first])).select("blk")
@@ -199,8 +198,8 @@ class KeywordIndex:
         self.read = len(first) + more, every
         if not more:
             return found
-        rest = blocks.join(F.broadcast(rest) if more <= BROADCAST_BLOCKS else rest, "blk", "left_semi")
-        return top(found.unionByName(scored(rest)), k)
+        rest = F.broadcast(rest) if more <= BROADCAST_BLOCKS else rest
+        return top(found.unionByName(scored(lambda x: x.join(rest, "blk", "left_semi"))), k)
 
     def search(self, terms: Iterable[str], k: int, chunks: DataFrame | None = None, where: Column | None = None) -> DataFrame:
         """(chunk_id, score): top k over the largest score. A filter on chunks (``where``) comes after the cut to 3 k and the division."""
@@ -212,19 +211,21 @@ class KeywordIndex:
 
     def compact(self, path: str) -> KeywordIndex:
         """The live postings as one segment of a new index."""
-        new = KeywordIndex(self.spark, path, self.words)
-        live = self.live()
-        # chunks are dealt anew to blocks: those of like length together
-        numbered = live.repartitionByRange("dl", "chunk_id").sortWithinPartitions("dl", "chunk_id")
-        numbered = checkpointed(numbered.withColumn("number", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
-        # postings of chunks that are not live find no number: one join
-        held = self._blocks().select("term", "segment", F.inline("docs")).join(numbered.select("chunk_id", "segment", F.col("number").alias("blk")), ["chunk_id", "segment"])
-        new._write(self._gathered(held.select("term", "blk", "chunk_id", "tf", "dl")), numbered.select("chunk_id", "dl"))
-        return new
+        return self._copied(path, F.col("chunk_id"))
 
     def rehome(self, old: str, new: str, path: str) -> KeywordIndex:
         """A new index whose chunk ids that begin with ``old`` begin with ``new``: what a move of a project asks for. No text is read."""
-        moved = KeywordIndex(self.spark, path, self.words)
-        renamed = F.when(F.col("chunk_id").startswith(old), F.concat(F.lit(new), F.substr("chunk_id", F.lit(len(old) + 1)))).otherwise(F.col("chunk_id"))
-        moved._write(self._gathered(self.postings().withColumn("chunk_id", renamed)), self.live().select(renamed.alias("chunk_id"), "dl"))
-        return moved
+        return self._copied(path, F.when(F.col("chunk_id").startswith(old), F.concat(F.lit(new), F.substr("chunk_id", F.lit(len(old) + 1)))).otherwise(F.col("chunk_id")))
+
+    def _copied(self, path: str, name: Column) -> KeywordIndex:
+        """Live chunks are dealt anew to runs and blocks: whole runs go to a task, packed, and those without a live chunk stay behind."""
+        copy, live = KeywordIndex(self.spark, path, self.words), written(self.live(), "live")
+        size = live.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
+        unit = F.concat_ws(".", F.col("segment").cast("string"), F.col("run").cast("string")).alias("unit")
+        runs = F.broadcast(live.select("segment", "run").distinct())  # one for each TOKENS_A_RUN tokens or task that added
+        words = inverted.packed(self._blocks().join(runs, ["segment", "run"], "left_semi").select(unit, "term", "n", "docs"))
+        doc = (F.shiftleft(F.col("blk") - F.col("run"), BLOCK_BITS) + F.col("at")).cast("int").alias("doc")
+        rows = live.select(unit, doc, "dl", name.alias("chunk_id")).unionByName(words, allowMissingColumns=True)
+        dealt = rows.repartition(size // TOKENS_A_FILE + 1, "unit").sortWithinPartitions("unit", F.col("packed").isNotNull())
+        copy._write(inverted.joined(dealt, TOKENS_A_RUN, 1 << BLOCK_BITS))
+        return copy

@@ -2,11 +2,13 @@
 
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloft.functions.text import tokens
-from sparkloft.operators import inverted, retrieval
+from sparkloft.operators import inverted, keyword_index, retrieval
 from sparkloft.operators.fulltext import FulltextIndex
 from sparkloft.operators.keyword_index import KeywordIndex
 from sparkloft.storage import folder
@@ -69,3 +71,55 @@ def test_a_compacted_index_finds_the_same(spark, chunks):
     assert small._plain() and not small.search(["wrong"], 5).collect()
     a, b = ({r["chunk_id"]: round(r["score"], 9) for r in x.search(["b", "a"], 5).collect()} for x in (index, small))
     assert a == b and a and "c5" not in a
+
+
+def test_postings_as_bytes_and_back():
+    term = np.array([0, 0, 0, 1, 2, 2, 3])
+    doc = np.array([0, 127, 128 + 16_384, 2_000_000_000, 5, 300, 0])
+    tf = np.array([1, 1, 1, 1, 128, 1, 20_000])
+    first, n, docs = inverted._docs(term, doc, tf)
+    assert first.tolist() == [0, 3, 4, 6] and n.tolist() == [3, 1, 2, 1]
+    for part in (slice(0, 4), slice(1, 3)):
+        row, got, count = inverted._read(docs[part], n[part])
+        here = np.isin(term, np.arange(4)[part])
+        assert (row + part.start).tolist() == term[here].tolist() and got.tolist() == doc[here].tolist() and count.tolist() == tf[here].tolist()
+    assert inverted._docs(term[:0], doc[:0], tf[:0])[2] == pa.array([], pa.binary())
+
+
+def written_bytes(index) -> int:
+    return index._fs.getContentSummary(index._path(f"{index.path}/postings")).getLength()
+
+
+@pytest.fixture()
+def many(spark):
+    """20,000 chunks of 40 words out of 997; ids are hashes, as those of chunks are."""
+    word = "transform(sequence(1, 40), i -> concat('w', pmod(xxhash64(id, i), 997)))"
+    return spark.range(0, 20_000, 1, 4).selectExpr("id", "concat('chunk_', substr(md5(CAST(id AS STRING)), 1, 16)) AS chunk_id", f"array_join({word}, ' ') AS text")
+
+
+def test_compacting_deals_out_packed_runs_and_leaves_dead_ones(spark, many, monkeypatch):
+    monkeypatch.setattr(keyword_index, "TOKENS_A_RUN", 30_000)
+    monkeypatch.setattr(keyword_index, "TOKENS_A_FILE", 100_000)
+    index = KeywordIndex(spark, folder(spark, "k"))
+    index.add(many.where("id % 2 = 0").withColumn("text", F.lit("wrong w1 w1")))
+    index.add(many)
+    index.remove(many.where("id % 5 = 0").select("chunk_id"))
+    small = index.compact(folder(spark, "k"))
+    left = many.where("id % 5 <> 0")
+    assert small._plain() and small.live().count() == left.count() and small._blocks(["wrong"]).count() == 0
+    assert small._blocks().select("run").distinct().count() > 10
+    want = {r["chunk_id"]: round(r["score"], 9) for r in retrieval.bm25_scores(left, ["w1", "w20"]).collect()}
+    for found in (index, small):
+        assert {r["chunk_id"]: round(r["score"], 9) for r in found.scores(["w1", "w20"]).collect()} == want
+    n = left.select(F.sum(F.size(F.array_distinct(tokens(F.col("text")))))).first()[0]
+    assert small._blocks().agg(F.sum("n")).first()[0] == n and written_bytes(small) < 3 * n and len(want) > 500
+
+
+def test_chunks_of_one_id_stay_side_by_side_as_in_a_scan(spark):
+    rows = spark.createDataFrame([("a", "x y"), ("a", "x x x z"), ("b", "x"), ("c", "q"), (None, "x z"), (None, "z")], "chunk_id string, text string")
+    index = KeywordIndex(spark, folder(spark, "k"))
+    index.add(rows.where("chunk_id = 'a'").limit(1))
+    index.add(rows)
+    want = sorted((str(r["chunk_id"]), round(r["score"], 9)) for r in retrieval.bm25_scores(rows, ["x", "z"]).collect())
+    for found in (index, index.compact(folder(spark, "k"))):
+        assert sorted((str(r["chunk_id"]), round(r["score"], 9)) for r in found.best(["x", "z"], 10).collect()) == want
