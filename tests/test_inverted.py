@@ -97,6 +97,16 @@ def many(spark):
     return spark.range(0, 20_000, 1, 4).selectExpr("id", "concat('chunk_', substr(md5(CAST(id AS STRING)), 1, 16)) AS chunk_id", f"array_join({word}, ' ') AS text")
 
 
+def test_adding_shuffles_nothing_and_writes_an_id_once(spark, many):
+    words = many.select("chunk_id", tokens(F.col("text")).alias("w"))
+    assert exchanges(inverted.runs(words, 1000, 64)) == 0
+    index = KeywordIndex(spark, folder(spark, "k"))
+    index.add(many)
+    n = index._blocks().agg(F.sum("n")).first()[0]
+    assert n == words.select(F.sum(F.size(F.array_distinct("w")))).first()[0]
+    assert written_bytes(index) < 3 * n
+
+
 def test_compacting_deals_out_packed_runs_and_leaves_dead_ones(spark, many, monkeypatch):
     monkeypatch.setattr(keyword_index, "TOKENS_A_RUN", 30_000)
     monkeypatch.setattr(keyword_index, "TOKENS_A_FILE", 100_000)
